@@ -148,8 +148,8 @@ def _priced(spark, d):
     )
 
 
-def _rounded(model, frame):
-    p = op.predict_curve(model, frame)
+def _rounded(curve, frame):
+    p = op.predict_curve(curve, frame)
     return p.select("rows", F.round("prediction", 4).alias("prediction"))
 
 
@@ -167,7 +167,7 @@ def q_predict_curve(spark, d):
 
 def _old_and_new(spark, d):
     priced = _priced(spark, d)
-    old = op.curve_table(spark, op.fit_curve(priced.filter("l_linestatus = 'F'")))
+    old = op.fit_curve(priced.filter("l_linestatus = 'F'")).table
     new = op.pooled_points(priced.filter("l_linestatus = 'O' and rows > 25"))
     return old, new
 

@@ -1,6 +1,6 @@
 from runwise.operators.counts import partition_profile, row_count, value_counts
 from runwise.operators.curve import (
-    curve_table, fit_curve, merge_curve, pooled_points, predict_curve, probe_points, refit_curve,
+    Curve, fit_curve, merge_curve, pooled_points, predict_curve, probe_points, refit_curve,
 )
 from runwise.operators.joins import join_size, pair_join, self_join
 from runwise.operators.metrics import (
@@ -13,7 +13,7 @@ from runwise.operators.predict import (
 from runwise.operators.trials import best_trial, trial_stats, trial_table
 
 __all__ = [
-    "app_durations", "app_metrics", "best_trial", "combine_predictions", "curve_table",
+    "Curve", "app_durations", "app_metrics", "best_trial", "combine_predictions",
     "derive_persons", "effective_conf", "fit_curve", "join_size", "merge_curve", "pair_join",
     "partition_profile", "pooled_points", "predict_curve", "predict_footprint", "predict_gc",
     "predict_spill", "prefix_columns", "probe_points", "refit_curve", "row_count", "self_join",

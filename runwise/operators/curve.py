@@ -1,13 +1,29 @@
 """Isotonic curve from input rows to executor memory."""
 
+from typing import NamedTuple
+
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.functions import to_mib
+from runwise.operators.wide_curve import interpolate, isotonic_blocks
 
 # The input sizes a fitted curve is shown for.
 PROBE_ROWS = (50, 100, 1000, 10000, 10000000)
 
+# Distinct features up to which the fit may gather its blocks on the driver.
+MODEL_POINTS = 1_000_000
+
+# Points a task holds at a time in the fit of a larger curve.
+POINTS_PER_RANGE = 500_000
+
+
+class Curve(NamedTuple):
+    """A fitted curve: ``(boundary, prediction)`` rows, and a model if it is small."""
+
+    table: DataFrame
+    model: IsotonicRegressionModel | None
+
 
 def probe_points(spark: SparkSession) -> DataFrame:
     """The probe grid as one double column ``rows``."""
@@ -19,8 +35,8 @@ def pooled_points(points: DataFrame, feature: str = "rows", label: str = "mem")
 
     Pooling equal features to their mean is the first step of an isotonic fit
     anyway. Done as an aggregate it combines before the shuffle, whereas the fit
-    would bring all points of one feature into one task. A missing label stays
-    missing, so the fit refuses it as it would have refused the raw point.
+    would bring all points of one feature into one task. A group with a missing
+    label has none itself, so that the fit refuses it.
     """
     known = F.count(label) == F.count("*")
     return points.groupBy(F.col(feature).cast("double").alias("rows")).agg(
@@ -28,34 +44,49 @@ def pooled_points(points: DataFrame, feature: str = "rows", label: str = "mem")
     )
 
 
-def fit_curve(points: DataFrame, feature: str = "rows", label: str = "mem") -> IsotonicRegressionModel:
-    """Least-squares non-decreasing curve through the points, all of weight one."""
-    regression = IsotonicRegression(featuresCol="rows", labelCol="mem", weightCol="weight")
-    return regression.fit(pooled_points(points, feature, label))
+def fit_curve(
+    points: DataFrame, feature: str = "rows", label: str = "mem", model_points: int = MODEL_POINTS
+) -> Curve:
+    """Least-squares non-decreasing curve through the points, all of weight one.
+
+    Spark ML finishes its fit on the driver. That is right for up to
+    ``model_points`` distinct features, which are counted first; a larger curve is
+    fitted, and kept, as a table.
+    """
+    spark = points.sparkSession
+    pooled = pooled_points(points, feature, label).persist()
+    try:
+        found = pooled.agg(F.count("*"), F.count(F.when(F.col("rows").isNotNull(), F.col("mem")))).first()
+        if found[0] != found[1]:
+            raise ValueError("every point needs a feature and a label")
+        if found[0] > model_points:
+            blocks = isotonic_blocks(pooled, ranges=max(1000, found[0] // POINTS_PER_RANGE))
+            ends = F.explode(F.array_distinct(F.array("start", "end")))
+            return Curve(blocks.select(ends.alias("boundary"), "prediction"), None)
+        model = IsotonicRegression(featuresCol="rows", labelCol="mem", weightCol="weight").fit(pooled)
+    finally:
+        pooled.unpersist()
+    pairs = zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist())
+    return Curve(spark.createDataFrame(list(pairs), "boundary double, prediction double"), model)
 
 
-def predict_curve(model: IsotonicRegressionModel, rows: DataFrame) -> DataFrame:
+def predict_curve(curve: Curve, rows: DataFrame) -> DataFrame:
     """Add ``prediction`` and ``memory_prediction`` in MiB to a frame with ``rows``.
 
     Between boundaries the curve is linear, beyond the ends it is flat.
     """
-    return model.transform(rows).withColumn("memory_prediction", to_mib(F.col("prediction")))
-
-
-def curve_table(spark: SparkSession, model: IsotonicRegressionModel) -> DataFrame:
-    """The fitted curve as ``(boundary, prediction)`` rows, to keep or to merge."""
-    pairs = zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist())
-    return spark.createDataFrame(list(pairs), "boundary double, prediction double")
+    predicted = interpolate(curve.table, rows) if curve.model is None else curve.model.transform(rows)
+    return predicted.withColumn("memory_prediction", to_mib(F.col("prediction")))
 
 
 def merge_curve(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Points ``(rows, mem)`` of an old curve overridden by new points where both exist."""
+    """Points ``(rows, mem)`` of an old curve table overridden by new points where both exist."""
     o = old.select(F.col("boundary").alias("rows"), F.col("prediction").alias("old_mem"))
     return o.join(new.select("rows", "mem"), "rows", "full_outer").select(
         "rows", F.coalesce("mem", "old_mem").alias("mem")
     )
 
 
-def refit_curve(old: DataFrame, new: DataFrame) -> IsotonicRegressionModel:
+def refit_curve(old: DataFrame, new: DataFrame) -> Curve:
     """Curve through the merged points of an old curve and new runs."""
     return fit_curve(merge_curve(old, new))

@@ -2,18 +2,17 @@
 
 from typing import NamedTuple
 
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 from runwise.operators import (
-    app_metrics, combine_predictions, fit_curve, predict_curve, probe_points, task_metrics, training_points,
+    Curve, app_metrics, combine_predictions, fit_curve, predict_curve, probe_points, task_metrics, training_points,
 )
 from runwise.sources import read_config_logs, read_event_logs
 
 
 class Analysis(NamedTuple):
     points: DataFrame
-    model: IsotonicRegressionModel
+    curve: Curve
     probe: DataFrame
 
 
@@ -29,5 +28,5 @@ def analyze_runs(
     configs = read_config_logs(spark, config_logs)
     training_points(combine_predictions(metrics), configs, rows_key).write.mode("overwrite").parquet(points_path)
     points = spark.read.parquet(points_path)
-    model = fit_curve(points)
-    return Analysis(points, model, predict_curve(model, probe_points(spark)))
+    curve = fit_curve(points)
+    return Analysis(points, curve, predict_curve(curve, probe_points(spark)))

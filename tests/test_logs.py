@@ -1,0 +1,155 @@
+import json
+import subprocess
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+from runwise import fixtures as fx
+from runwise.operators import app_durations, app_metrics, effective_conf, task_metrics, trial_table
+from runwise.schemas import TASK_END
+from runwise.session import event_log_conf
+from runwise.sources import (
+    config_record, read_config_logs, read_event_logs, write_config_log, write_event_logs,
+)
+
+RUN = """
+import sys
+from pyspark.sql import SparkSession
+builder = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+for option in sys.argv[1:]:
+    builder = builder.config(*option.split("=", 1))
+spark = builder.getOrCreate()
+print("ID", spark.sparkContext.applicationId)
+spark.range(5000).selectExpr("id % 7 k", "id").groupBy("k").sum().collect()
+spark.stop()
+"""
+
+
+def run_application(folder, **conf):
+    options = {**event_log_conf(folder), "spark.sql.shuffle.partitions": "3", **conf}
+    out = subprocess.run(
+        [sys.executable, "-c", RUN, *[f"{k}={v}" for k, v in options.items()]],
+        capture_output=True, text=True, timeout=300, check=True,
+    ).stdout
+    return next(line.split()[1] for line in out.splitlines() if line.startswith("ID "))
+
+
+@pytest.fixture(scope="module")
+def logs(tmp_path_factory):
+    """A folder with one plain log, one rolling compressed log and foreign files."""
+    folder = tmp_path_factory.mktemp("logs")
+    plain = run_application(str(folder), **{
+        "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false",
+        "spark.hadoop.fs.s3a.secret.key": "hidden",
+    })
+    rolling = run_application(str(folder), **{"spark.eventLog.rolling.enabled": "true"})
+    (folder / "some.txt").write_text("#!/bin/sh\nset -e\n{\n")
+    (folder / "local-unfinished.inprogress").write_text(
+        (folder / plain).read_text().splitlines()[0] + "\n" + json.dumps({"Event": TASK_END}) + "\n"
+    )
+    return folder, plain, rolling
+
+
+def test_real_logs_of_both_layouts(spark, logs):
+    folder, plain, rolling = logs
+    events = read_event_logs(spark, str(folder))
+    per_app = {r[0]: r[1] for r in events.filter(F.col("Event") == TASK_END).groupBy("application_attempt").count().collect()}
+    written = (folder / plain).read_text().splitlines()
+    assert per_app[plain] == sum('"Event":"SparkListenerTaskEnd"' in line for line in written)
+    assert set(per_app) == {plain, rolling} and per_app[rolling] > 0
+    metrics = {r.application_attempt: r for r in app_metrics(task_metrics(events)).collect()}
+    tasks = [json.loads(line) for line in written if '"Event":"SparkListenerTaskEnd"' in line]
+    spent = [t["Task Info"]["Finish Time"] - t["Task Info"]["Launch Time"] for t in tasks]
+    assert metrics[plain].total_duration == sum(spent)
+    assert metrics[plain].max_bytes_all > 0
+
+
+def test_durations_and_settings_of_real_logs(spark, logs):
+    folder, plain, rolling = logs
+    events = read_event_logs(spark, str(folder))
+    durations = {r.application_attempt: r.duration_ms for r in app_durations(events).collect()}
+    assert set(durations) == {plain, rolling} and min(durations.values()) > 0
+    conf = {(r.application_attempt, r.key): r.value for r in effective_conf(events).collect()}
+    assert conf[plain, "spark.sql.shuffle.partitions"] == "3"
+    assert conf[plain, "spark.hadoop.fs.s3a.secret.key"] == "*(redacted)" or "hidden" not in conf.values()
+    assert "hidden" not in conf.values()
+
+
+def test_unfinished_logs_only_on_request(spark, logs):
+    folder, plain, rolling = logs
+    ids = {r[0] for r in read_event_logs(spark, str(folder), include_inprogress=True)
+           .filter(F.col("Event").isNotNull()).select("application_attempt").distinct().collect()}
+    assert ids == {plain, rolling, "local-unfinished"}
+
+
+def test_event_filter_reaches_the_scan(spark, logs, plan):
+    text = plan(app_metrics(task_metrics(read_event_logs(spark, str(logs[0])))))
+    assert "EqualTo(Event,SparkListenerTaskEnd)" in text
+    schema = next(line for line in text.splitlines() if line.startswith("ReadSchema"))
+    assert "Spark Properties" not in schema and "Timestamp" not in schema
+    assert "Python" not in text
+
+
+def test_archived_events_keep_their_application(spark, sf_dir):
+    from runwise.session import scratch_path
+
+    path = scratch_path(spark, "archive")
+    write_event_logs(fx.log_events(spark, sf_dir), path)
+    direct = app_metrics(task_metrics(fx.task_end_events(spark, sf_dir)))
+    again = app_metrics(task_metrics(read_event_logs(spark, path)))
+    assert direct.exceptAll(again).isEmpty() and again.exceptAll(direct).isEmpty()
+
+
+def test_parts_of_a_rolling_log_merge(spark, tmp_path):
+    folder = tmp_path / "eventlog_v2_app-1"
+    folder.mkdir()
+    for part in (1, 2):
+        (folder / f"events_{part}_app-1").write_text(json.dumps({"Event": TASK_END}) + "\n")
+    (folder / "appstatus_app-1").write_text("")
+    rows = read_event_logs(spark, str(tmp_path)).groupBy("application_attempt").count().collect()
+    assert [tuple(r) for r in rows] == [("app-1", 2)]
+
+
+def test_config_logs_survive_foreign_content(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({
+        "application_attempt": "app-a", "spark_executor_memory": "451m", "HOME": "/x", "home": "/y",
+        "spark_config": {"app_name": "n"}, "partitions": 3, "need_to_join": True, "limit": "10",
+    }))
+    (tmp_path / "b.json").write_text(json.dumps({"application_attempt": "app-b"}))
+    (tmp_path / "c.json").write_text(json.dumps({"spark_executor_memory": "1g"}))
+    (tmp_path / "some.txt").write_text("#!/bin/bash\nset -e\n")
+    rows = {r.application_attempt: r for r in read_config_logs(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"app-a", "app-b"}
+    assert rows["app-a"].spark_executor_memory == 451 << 20
+    assert rows["app-b"].spark_executor_memory is None
+    record = rows["app-a"].record
+    assert (record["HOME"], record["home"], record["partitions"], record["need_to_join"]) == ("/x", "/y", "3", "true")
+    assert json.loads(record["spark_config"]) == {"app_name": "n"}
+
+
+def test_record_precedence_and_secrets(spark, tmp_path):
+    runs = spark.createDataFrame(
+        [("app-1", "1g", "k", "spark_executor_memory=2g;application_attempt=x;p=1"), ("app-2", None, "k", None)],
+        "application_attempt string, spark_executor_memory string, access_key string, opp_parameters string",
+    )
+    records = config_record(runs, ["spark_executor_memory", "access_key"])
+    got = {r.application_attempt: r.record for r in records.collect()}
+    assert got == {
+        "app-1": {"spark_executor_memory": "2g", "application_attempt": "app-1", "p": "1"},
+        "app-2": {"application_attempt": "app-2"},
+    }
+    path = str(tmp_path / "log")
+    write_config_log(records, path)
+    write_config_log(records.filter("application_attempt = 'app-1'").replace("app-1", "app-3"), path)
+    assert read_config_logs(spark, path).count() == 3
+
+
+def test_trial_table_needs_parameter_and_duration(spark):
+    configs = spark.createDataFrame(
+        [("a", {"n": "150"}), ("b", {"n": "many"}), ("c", {}), ("d", {"n": "9"})],
+        "application_attempt string, record map<string,string>",
+    )
+    durations = spark.createDataFrame([("a", 1500), ("b", 1), ("c", 1)], "application_attempt string, duration_ms bigint")
+    rows = trial_table(configs, durations, "n").collect()
+    assert [tuple(r) for r in rows] == [("a", "n", 150, 1.5)]
