@@ -1,11 +1,14 @@
 """Many-to-many joins: all pairs of rows that share a key, and their number."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from runwise.operators.people import PREFIX, prefix_columns
 
-# A key gets a grid of its own once it yields more pairs than this.
-PAIRS_PER_CELL = 4_000_000
+# Joined rows one task should make, and the most tasks one join is cut into.
+PAIRS_PER_TASK = 250_000
+MAX_TASKS = 20_000
 
 
 def _key_counts(df: DataFrame, key: str, count: str) -> DataFrame:
@@ -31,46 +34,52 @@ def join_size(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     return pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("decimal(38,0)").alias("pairs"))
 
 
-def grid_sizes(pairs: DataFrame, cells: int, pairs_per_cell: int) -> list[tuple]:
-    """``(key, s)`` of the keys that deserve an ``s x s`` grid.
+def grid_sizes(pairs: DataFrame, share: float) -> list[tuple]:
+    """``(key, s)`` of the keys with over ``share`` pairs, which deserve an ``s x s`` grid.
 
-    Only a key with over 1/cells of all pairs qualifies, so there are fewer than
-    ``cells`` of them, whatever the data: a list the driver can hold.
+    With ``share`` a fixed part of all pairs, the list is as bounded as the number
+    of parts, whatever the data.
     """
-    total = pairs.agg(F.sum("pairs").cast("double")).scalar()
-    share = F.greatest(total / F.lit(float(cells)), F.lit(float(pairs_per_cell)))
     p = F.col("pairs").cast("double")
-    hot = pairs.select("_k", p.alias("p"), share.alias("share")).filter("p > share")
-    return [tuple(r) for r in hot.selectExpr("_k", "cast(ceil(sqrt(p / share)) as int)").collect()]
+    hot = pairs.select("_k", p.alias("p")).filter(F.col("p") > share)
+    return [tuple(r) for r in hot.select("_k", F.ceil(F.sqrt(F.col("p") / share)).cast("int")).collect()]
 
 
 def pair_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-    pairs_per_cell: int = PAIRS_PER_CELL, cells: int | None = None,
+    pairs_per_task: int = PAIRS_PER_TASK, max_tasks: int = MAX_TASKS,
 ) -> DataFrame:
-    """Inner equi-join in which no key's pairs are left to a single task.
+    """Inner equi-join sized by the rows it makes, with no key left to a single task.
 
-    The key columns are counted first. Usually no key stands out and this is
-    Spark's plain join. Otherwise a hot key is spread over an ``s x s`` grid: each
-    left row takes a random grid row and is copied to all its columns, each right
-    row the reverse, so every pair meets in exactly one cell.
+    The key columns are counted first. A small result is left to Spark's plain
+    join. A large one is cut into tasks by its own size, which can be far beyond
+    what the inputs suggest. A key with more pairs than a task's share is spread
+    over an ``s x s`` grid: each left row takes a random grid row and is copied to
+    all its columns, each right row the reverse, so every pair meets in exactly
+    one cell. There are fewer such keys than tasks, so their list is small.
 
     The random numbers depend on input partition and position; pass scanned or
     checkpointed inputs, whose rows come back in the same order after a loss.
     """
-    spark = left.sparkSession
-    if cells is None:
-        cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = grid_sizes(key_pairs(left, right, left_key, right_key), cells, pairs_per_cell)
+    pairs = key_pairs(left, right, left_key, right_key)
+    all_pairs, most = pairs.agg(
+        F.coalesce(F.sum("pairs"), F.lit(0)).cast("double"), F.coalesce(F.max("pairs"), F.lit(0)).cast("double")
+    ).first()
+    tasks = min(math.ceil(all_pairs / pairs_per_task), max_tasks)
     same_key = _col(left_key) == _col(right_key)
-    if not hot:
+    if tasks <= 1:
         return left.join(right, same_key)
+    share = all_pairs / tasks
+    hot = grid_sizes(pairs, share) if most > share else []
+    if not hot:
+        return left.repartition(tasks, _col(left_key)).join(right.repartition(tasks, _col(right_key)), same_key)
+    spark = left.sparkSession
     key_type = left.select(_col(left_key)).schema[0].dataType
     grids = spark.createDataFrame(
         hot, T.StructType([T.StructField("_k", key_type), T.StructField("_s", T.IntegerType())])
     )
-    l = _on_grid(left, left_key, grids, "_row", "_column", seed=1)
-    r = _on_grid(right, right_key, grids, "_column2", "_row2", seed=2)
+    l = _on_grid(left, left_key, grids, "_row", "_column", seed=1).repartition(tasks, _col(left_key), "_row", "_column")
+    r = _on_grid(right, right_key, grids, "_column2", "_row2", seed=2).repartition(tasks, _col(right_key), "_row2", "_column2")
     same_cell = (F.col("_row") == F.col("_row2")) & (F.col("_column") == F.col("_column2"))
     return l.join(r, same_key & same_cell).drop("_row", "_column", "_row2", "_column2")
 

@@ -36,21 +36,35 @@ def task_metrics(events: DataFrame) -> DataFrame:
     instead of exploding it. ``has_peak`` tells a task that reports the metric
     without a value from one that does not report it.
     """
-    accumulables = F.col("`Task Info`.Accumulables")
-
-    def is_peak(a: Column) -> Column:
-        return a["Name"] == PEAK_MEMORY
-
-    has_peak = F.coalesce(F.exists(accumulables, is_peak), F.lit(False)).cast("int")
-    updates = F.transform(F.filter(accumulables, is_peak), lambda a: a["Update"].try_cast("bigint"))
-    return events.filter(F.col("Event") == TASK_END).select(
+    tasks = events.filter(F.col("Event") == TASK_END).select(
         "application_attempt",
         *[F.col(field).alias(name) for name, field in TASK_FIELDS.items()],
-        has_peak.alias("has_peak"),
-        F.array_max(updates).alias("peak"),
+        F.col("`Task Info`.Accumulables").alias("accumulables"),
+        _occurrences(F.col("`Task Info`.Accumulables.Name"), PEAK_MEMORY).alias("peaks"),
+    )
+    return tasks.select(
+        "application_attempt", *TASK_FIELDS, (F.col("peaks") > 0).cast("int").alias("has_peak"), _peak().alias("peak")
     )
 
 
+def _occurrences(names: Column, name: str) -> Column:
+    return F.coalesce(F.size(names) - F.size(F.array_remove(names, name)), F.lit(0))
+
+
+def _peak() -> Column:
+    """Largest peak-memory update of a task.
+
+    A task nearly always reports the metric once, and then a lookup by position
+    stays in generated code; lambda functions, which do not, take the other case.
+    """
+    accumulables = F.col("accumulables")
+    position = F.array_position(F.col("accumulables.Name"), PEAK_MEMORY) - 1
+    only = F.get(F.col("accumulables.Update"), position.cast("int")).try_cast("bigint")
+    matching = F.filter(accumulables, lambda a: a["Name"] == PEAK_MEMORY)
+    largest = F.array_max(F.transform(matching, lambda a: a["Update"].try_cast("bigint")))
+    return F.when(F.col("peaks") == 1, only).when(F.col("peaks") > 1, largest)
+
+
 def _moved() -> Column:
     total = F.col(MOVED_BYTES[0])
     for name in MOVED_BYTES[1:]:

@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runwise.schemas import EVENT
 
-_CODECS = r"(\.(zstd|lz4|snappy|lzf|inprogress))+$"
+INPROGRESS = ".inprogress"
+
+_SUFFIXES = r"(\.(zstd|lz4|snappy|lzf|inprogress))+$"
 _ROLLING = r"^events_\d+_"
 _APP_FOLDER = r"/application_attempt=([^/]+)/"
 
@@ -19,26 +21,22 @@ def with_application_id() -> Column:
     filters on the events reach the scan.
     """
     folder = F.regexp_extract(F.col("_metadata.file_path"), _APP_FOLDER, 1)
-    plain = F.regexp_replace(F.col("_metadata.file_name"), _CODECS, "")
-    plain = F.regexp_replace(plain, _ROLLING, "")
-    return F.when(folder != "", folder).otherwise(plain)
+    name = F.regexp_replace(F.col("_metadata.file_name"), _SUFFIXES, "")
+    return F.when(folder != "", folder).otherwise(F.regexp_replace(name, _ROLLING, ""))
 
 
 def read_event_logs(spark: SparkSession, path: str, include_inprogress: bool = False) -> DataFrame:
     """All events below ``path`` with their ``application_attempt``.
 
     The schema is given, so there is no inference pass, and lines that are not
-    JSON come out as null events, which every event filter drops.
+    JSON come out as null events, which every event filter drops. Plain logs of
+    running applications are left out unless asked for; the parts of a rolling log
+    do not tell in their names whether it is complete.
     """
-    events = (
-        spark.read.schema(EVENT)
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .withColumn("application_attempt", with_application_id())
-    )
+    events = spark.read.schema(EVENT).option("recursiveFileLookup", True).json(path)
     if not include_inprogress:
-        events = events.filter(~F.col("_metadata.file_name").endswith(".inprogress"))
-    return events
+        events = events.filter(~F.col("_metadata.file_name").endswith(INPROGRESS))
+    return events.withColumn("application_attempt", with_application_id())
 
 
 def write_event_logs(events: DataFrame, path: str) -> None:

@@ -31,7 +31,7 @@ def test_grid_gives_the_plain_join(spark, plan):
     df = skewed(spark)
     other = prefix_columns(df, df.columns)
     plain = df.join(other, df.surname == other.another_surname)
-    spread = self_join(df, "surname", pairs_per_cell=1000, cells=64)
+    spread = self_join(df, "surname", pairs_per_task=1000, max_tasks=64)
     assert "explode(sequence" in plan(spread) and "explode" not in plan(self_join(df, "surname"))
     assert same(plain, spread)
     assert plain.count() == join_size(df, other, "surname", "another_surname").first()[0]
@@ -40,9 +40,16 @@ def test_grid_gives_the_plain_join(spark, plan):
 def test_only_busy_keys_get_a_grid(spark):
     df = skewed(spark)
     pairs = key_pairs(df, df, "surname", "surname")
-    assert grid_sizes(pairs, cells=1000, pairs_per_cell=1000) == [("hot", 7)]
-    assert grid_sizes(pairs, cells=2, pairs_per_cell=1) == [("hot", 2)]
-    assert grid_sizes(pairs, cells=1, pairs_per_cell=1) == []
+    assert grid_sizes(pairs, 1000.0) == [("hot", 7)]
+    assert grid_sizes(pairs, 40000.0) == []
+
+
+def test_tasks_follow_the_size_of_the_result(spark):
+    even = spark.range(400).selectExpr("id % 20 surname", "id name")
+    joined = self_join(even, "surname", pairs_per_task=500)
+    assert joined.rdd.getNumPartitions() == 16
+    assert joined.count() == 8000 and joined.distinct().count() == 8000
+    assert self_join(even, "surname", pairs_per_task=1, max_tasks=3).rdd.getNumPartitions() == 3
 
 
 def test_join_of_two_different_sides(spark):

@@ -10,7 +10,7 @@ from runwise.operators import app_durations, app_metrics, effective_conf, task_m
 from runwise.schemas import TASK_END
 from runwise.session import event_log_conf
 from runwise.sources import (
-    config_record, read_config_logs, read_event_logs, write_config_log, write_event_logs,
+    config_record, read_config_logs, read_event_logs, with_application_id, write_config_log, write_event_logs,
 )
 
 RUN = """
@@ -111,6 +111,20 @@ def test_parts_of_a_rolling_log_merge(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("app-1", 2)]
 
 
+@pytest.mark.parametrize("name, application", [
+    ("app-1", "app-1"), ("app-1.zstd", "app-1"), ("application_17_0001_1.lz4.inprogress", "application_17_0001_1"),
+    ("app.x.snappy", "app.x"), ("app.x", "app.x"), ("app-1.inprogress", "app-1"),
+    ("eventlog_v2_application_17_0001/events_12_application_17_0001", "application_17_0001"),
+    ("application_attempt=app-7/part-0.json", "app-7"),
+])
+def test_application_from_path(spark, tmp_path, name, application):
+    file = tmp_path / name
+    file.parent.mkdir(exist_ok=True)
+    file.write_text("{}\n")
+    lines = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(str(tmp_path))
+    assert [r[0] for r in lines.select(with_application_id()).collect()] == [application]
+
+
 def test_config_logs_survive_foreign_content(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({
         "application_attempt": "app-a", "spark_executor_memory": "451m", "HOME": "/x", "home": "/y",

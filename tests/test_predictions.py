@@ -48,6 +48,11 @@ def test_independent_maxima_and_sums(spark):
     assert (m.max_bytes_all, m.max_peak_mem, m.has_peak) == (28, 11, 1)
 
 
+def test_largest_of_repeated_updates(spark):
+    t = tasks(spark, event("a", updates=["3", None, "x", "12", "4"]), event("b", updates=["5"]), event("c", updates=[None, None]))
+    assert {r.application_attempt: (r.has_peak, r.peak) for r in t.collect()} == {"a": (1, 12), "b": (1, 5), "c": (1, None)}
+
+
 def test_formulas(spark):
     metrics = app_metrics(tasks(spark, event("a", 100, 25, (1000, 3000), updates=["72"])))
     gc, spill, footprint = (by_app(f(metrics))["a"] for f in (predict_gc, predict_spill, predict_footprint))
