@@ -168,7 +168,7 @@ def q_predict_curve(spark, d):
 def _old_and_new(spark, d):
     priced = _priced(spark, d)
     old = op.fit_curve(priced.filter("l_linestatus = 'F'")).table
-    new = op.pooled_points(priced.filter("l_linestatus = 'O' and rows > 25"))
+    new = priced.filter("l_linestatus = 'O' and rows > 25")
     return old, new
 
 
@@ -231,7 +231,7 @@ def q_self_join(spark, d):
 
 def q_self_join_grid(spark, d):
     """The same join with every busy key spread over a grid."""
-    return op.self_join(fx.person_rows(spark, d), "surname", pairs_per_task=100, max_tasks=1000).select(
+    return op.self_join(fx.person_rows(spark, d), "surname", rows_per_task=100, max_tasks=1000).select(
         "surname", "phone", "name", "another_surname", "another_phone", "another_name"
     )
 
@@ -375,11 +375,10 @@ _OLD_CURVE = f"""select x "rows", y mem from (
       (with {_isotonic(_PRICED + " where l_linestatus = 'F'")} select * from cv))
   where before is null or after is null or y - before > 1e-6 or after - y > 1e-6"""
 
-_NEW_POINTS = f"""select "rows", avg(mem) mem from ({_PRICED})
-  where l_linestatus = 'O' and "rows" > 25 group by 1"""
+_NEW_POINTS = f"""select "rows", mem from ({_PRICED}) where l_linestatus = 'O' and "rows" > 25"""
 
-_MERGED = f"""select "rows", coalesce(n.mem, o.mem) mem
-  from ({_OLD_CURVE}) o full join ({_NEW_POINTS}) n using ("rows")"""
+_MERGED = f"""{_NEW_POINTS} union all
+  select "rows", mem from ({_OLD_CURVE}) o where "rows" not in (select "rows" from ({_NEW_POINTS}) n)"""
 
 _PERSONS = f"(select {fx.PERSON_SQL.replace('date_format(o_orderdate, ' + chr(39) + 'd.M.yyyy' + chr(39), 'strftime(o_orderdate, ' + chr(39) + '%-d.%-m.%Y' + chr(39))} from orders)"
 
@@ -466,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
             q as (select distinct cast(p_size * 1.25 - 3 as double) r from part), {_LOOKUP}
             select p_partkey, r "rows", round(y, 4) prediction
             from part join fit on r = cast(p_size * 1.25 - 3 as double)""",
-        "merge_curve": f'select "rows", round(mem, 4) mem from ({_MERGED}) m',
+        "merge_curve": f'select "rows", round(avg(mem), 4) mem from ({_MERGED}) m group by 1',
         "refit_curve": f"""with {_isotonic(_MERGED)}, q as (select distinct l_quantity r from lineitem), {_LOOKUP}
             select r "rows", round(y, 4) prediction from fit""",
         "memory_to_bytes": f"""select c_custkey, size, case c_custkey % 9

@@ -30,7 +30,9 @@ def probe_points(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(float(r),) for r in PROBE_ROWS], "rows double")
 
 
-def pooled_points(points: DataFrame, feature: str = "rows", label: str = "mem") -> DataFrame:
+def pooled_points(
+    points: DataFrame, feature: str = "rows", label: str = "mem", weight: str | None = None
+) -> DataFrame:
     """One weighted point ``(rows, mem, weight)`` per distinct feature.
 
     Pooling equal features to their mean is the first step of an isotonic fit
@@ -38,23 +40,25 @@ def pooled_points(points: DataFrame, feature: str = "rows", label: str = "mem")
     would bring all points of one feature into one task. A group with a missing
     label has none itself, so that the fit refuses it.
     """
-    known = F.count(label) == F.count("*")
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    total, known = F.sum(w), F.count(label) == F.count("*")
     return points.groupBy(F.col(feature).cast("double").alias("rows")).agg(
-        F.when(known, F.avg(label)).alias("mem"), F.count("*").cast("double").alias("weight")
+        F.when(known, F.sum(w * F.col(label)) / total).alias("mem"), total.alias("weight")
     )
 
 
 def fit_curve(
-    points: DataFrame, feature: str = "rows", label: str = "mem", model_points: int = MODEL_POINTS
+    points: DataFrame, feature: str = "rows", label: str = "mem", weight: str | None = None,
+    model_points: int = MODEL_POINTS,
 ) -> Curve:
-    """Least-squares non-decreasing curve through the points, all of weight one.
+    """Least-squares non-decreasing curve through the points, of weight one unless given.
 
     Spark ML finishes its fit on the driver. That is right for up to
     ``model_points`` distinct features, which are counted first; a larger curve is
     fitted, and kept, as a table.
     """
     spark = points.sparkSession
-    pooled = pooled_points(points, feature, label).persist()
+    pooled = pooled_points(points, feature, label, weight).persist()
     try:
         found = pooled.agg(F.count("*"), F.count(F.when(F.col("rows").isNotNull(), F.col("mem")))).first()
         if found[0] != found[1]:
@@ -80,13 +84,17 @@ def predict_curve(curve: Curve, rows: DataFrame) -> DataFrame:
 
 
 def merge_curve(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Points ``(rows, mem)`` of an old curve table overridden by new points where both exist."""
+    """Points ``(rows, mem, weight)`` of an old curve table, overridden where new runs exist.
+
+    New points of equal size are pooled before they meet the old curve, so both
+    sides of the join have one row per feature.
+    """
     o = old.select(F.col("boundary").alias("rows"), F.col("prediction").alias("old_mem"))
-    return o.join(new.select("rows", "mem"), "rows", "full_outer").select(
-        "rows", F.coalesce("mem", "old_mem").alias("mem")
+    return o.join(pooled_points(new), "rows", "full_outer").select(
+        "rows", F.coalesce("mem", "old_mem").alias("mem"), F.coalesce("weight", F.lit(1.0)).alias("weight")
     )
 
 
 def refit_curve(old: DataFrame, new: DataFrame) -> Curve:
     """Curve through the merged points of an old curve and new runs."""
-    return fit_curve(merge_curve(old, new))
+    return fit_curve(merge_curve(old, new), weight="weight")

@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from runwise.operators.people import PREFIX, prefix_columns
 
-# Joined rows one task should make, and the most tasks one join is cut into.
-PAIRS_PER_TASK = 250_000
+# Rows one task should take in and make, and the most tasks one join is cut into.
+ROWS_PER_TASK = 250_000
 MAX_TASKS = 20_000
 
+_WIDE = "decimal(19,0)"
 
-def _key_counts(df: DataFrame, key: str, count: str) -> DataFrame:
-    counts = df.groupBy(_col(key).alias("_k")).agg(F.count("*").alias(count))
-    return counts.filter(F.col("_k").isNotNull())
 
+def _col(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def key_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str) -> DataFrame:
+    """``(_k, n, m)``: rows of each non-null key on both sides."""
+    def counts(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.filter(_col(key).isNotNull()).groupBy(_col(key).alias("_k")).agg(F.count("*").cast(_WIDE).alias(name))
 
-def key_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """``(_k, pairs)``: number of joined rows per key, from the key counts of both sides."""
-    n, m = _key_counts(left, left_key, "n"), _key_counts(right, right_key, "m")
-    wide = "decimal(19,0)"
-    return n.join(m, "_k").select("_k", (F.col("n").cast(wide) * F.col("m").cast(wide)).alias("pairs"))
+    joined = counts(left, left_key, "n").join(counts(right, right_key, "m"), "_k", how)
+    return joined.fillna(0, ["n", "m"])
 
 
 def join_size(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -30,80 +33,86 @@ def join_size(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     in the input where the join itself is quadratic per key. The total is a
     decimal because it outgrows a bigint long before the inputs are large.
     """
-    pairs = key_pairs(left, right, left_key, right_key)
-    return pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("decimal(38,0)").alias("pairs"))
+    pairs = F.sum(F.col("n") * F.col("m"))
+    counts = key_counts(left, right, left_key, right_key, "inner")
+    return counts.agg(F.coalesce(pairs, F.lit(0)).cast("decimal(38,0)").alias("pairs"))
 
 
-def grid_sizes(pairs: DataFrame, share: float) -> list[tuple]:
-    """``(key, s)`` of the keys with over ``share`` pairs, which deserve an ``s x s`` grid.
+def grids(counts: DataFrame, share: float) -> DataFrame:
+    """``(_k, _across, _down)`` for the keys that load a join with over ``share`` rows.
 
-    With ``share`` a fixed part of all pairs, the list is as bounded as the number
-    of parts, whatever the data.
+    The load of a key is the rows it brings plus the pairs it makes. The grid has
+    as many cells as the load has shares, in the proportion of the two sides.
     """
-    p = F.col("pairs").cast("double")
-    hot = pairs.select("_k", p.alias("p")).filter(F.col("p") > share)
-    return [tuple(r) for r in hot.select("_k", F.ceil(F.sqrt(F.col("p") / share)).cast("int")).collect()]
+    cells = F.col("load") / F.lit(share)
+    down = F.ceil(F.least(cells, F.sqrt(cells * F.greatest("n", F.lit(1.0)) / F.greatest("m", F.lit(1.0)))))
+    return (
+        counts.filter(F.col("load") > share)
+        .select("_k", cells.alias("cells"), F.greatest(down, F.lit(1)).cast("int").alias("_down"))
+        .select("_k", "_down", F.ceil(F.col("cells") / F.col("_down")).cast("int").alias("_across"))
+    )
 
 
 def pair_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-    pairs_per_task: int = PAIRS_PER_TASK, max_tasks: int = MAX_TASKS,
+    rows_per_task: int = ROWS_PER_TASK, max_tasks: int = MAX_TASKS,
 ) -> DataFrame:
     """Inner equi-join sized by the rows it makes, with no key left to a single task.
 
     The key columns are counted first. A small result is left to Spark's plain
     join. A large one is cut into tasks by its own size, which can be far beyond
-    what the inputs suggest. A key with more pairs than a task's share is spread
-    over an ``s x s`` grid: each left row takes a random grid row and is copied to
-    all its columns, each right row the reverse, so every pair meets in exactly
-    one cell. There are fewer such keys than tasks, so their list is small.
+    what the inputs suggest. A key that exceeds a task's share is spread over a
+    grid: each left row takes a random row of the grid and is copied to all its
+    columns, each right row the reverse, so every pair meets in exactly one cell.
+    Each such key holds over 1/tasks of the load, so there are fewer of them than
+    tasks, and their list is small enough to collect and broadcast.
 
     The random numbers depend on input partition and position; pass scanned or
     checkpointed inputs, whose rows come back in the same order after a loss.
     """
-    pairs = key_pairs(left, right, left_key, right_key)
-    all_pairs, most = pairs.agg(
-        F.coalesce(F.sum("pairs"), F.lit(0)).cast("double"), F.coalesce(F.max("pairs"), F.lit(0)).cast("double")
-    ).first()
-    tasks = min(math.ceil(all_pairs / pairs_per_task), max_tasks)
     same_key = _col(left_key) == _col(right_key)
-    if tasks <= 1:
+    counts = key_counts(left, right, left_key, right_key, "full_outer").select(
+        "_k", F.col("n").cast("double"), F.col("m").cast("double")
+    ).withColumn("load", F.expr("n * m + n + m"))
+    total, pairs, most = counts.agg(F.sum("load"), F.sum(F.expr("n * m")), F.max("load")).first()
+    if not pairs or pairs <= rows_per_task:
         return left.join(right, same_key)
-    share = all_pairs / tasks
-    hot = grid_sizes(pairs, share) if most > share else []
+    left, right = left.filter(_col(left_key).isNotNull()), right.filter(_col(right_key).isNotNull())
+    tasks = min(math.ceil(total / rows_per_task), max_tasks)
+    hot = grids(counts, total / tasks).collect() if most > total / tasks else []
     if not hot:
         return left.repartition(tasks, _col(left_key)).join(right.repartition(tasks, _col(right_key)), same_key)
-    spark = left.sparkSession
-    key_type = left.select(_col(left_key)).schema[0].dataType
-    grids = spark.createDataFrame(
-        hot, T.StructType([T.StructField("_k", key_type), T.StructField("_s", T.IntegerType())])
-    )
-    l = _on_grid(left, left_key, grids, "_row", "_column", seed=1).repartition(tasks, _col(left_key), "_row", "_column")
-    r = _on_grid(right, right_key, grids, "_column2", "_row2", seed=2).repartition(tasks, _col(right_key), "_row2", "_column2")
+    sizes = left.sparkSession.createDataFrame(hot, T.StructType([
+        T.StructField("_k", left.select(_col(left_key)).schema[0].dataType),
+        T.StructField("_down", T.IntegerType()), T.StructField("_across", T.IntegerType()),
+    ]))
+    l = _on_grid(left, left_key, sizes, own=("_row", "_down"), copied=("_column", "_across"), seed=1)
+    r = _on_grid(right, right_key, sizes, own=("_column2", "_across"), copied=("_row2", "_down"), seed=2)
+    l, r = l.repartition(tasks, _col(left_key), "_row", "_column"), r.repartition(tasks, _col(right_key), "_row2", "_column2")
     same_cell = (F.col("_row") == F.col("_row2")) & (F.col("_column") == F.col("_column2"))
     return l.join(r, same_key & same_cell).drop("_row", "_column", "_row2", "_column2")
 
 
-def _on_grid(df: DataFrame, key: str, grids: DataFrame, own: str, across: str, seed: int) -> DataFrame:
-    """Give each row a random ``own`` coordinate and a copy per ``across`` coordinate."""
-    size = F.coalesce(F.col("_s"), F.lit(1))
-    placed = df.join(F.broadcast(grids), _col(key) == F.col("_k"), "left").select(
+def _on_grid(
+    df: DataFrame, key: str, sizes: DataFrame, own: tuple[str, str], copied: tuple[str, str], seed: int
+) -> DataFrame:
+    """Give each row one random coordinate and a copy for each value of the other.
+
+    Coordinates are ``(name, size column)``; keys without a grid have size one.
+    """
+    placed = df.join(F.broadcast(sizes), _col(key) == F.col("_k"), "left").select(
         *[_col(c) for c in df.columns],
-        F.floor(F.rand(seed) * size).cast("int").alias(own),
-        size.alias("_size"),
+        F.floor(F.rand(seed) * F.coalesce(own[1], F.lit(1))).cast("int").alias(own[0]),
+        F.coalesce(copied[1], F.lit(1)).alias("_copies"),
     )
-    return placed.withColumn(across, F.explode(F.sequence(F.lit(0), F.col("_size") - 1))).drop("_size")
-
-
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return placed.withColumn(copied[0], F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
 
 
-def self_join(df: DataFrame, key: str, right: DataFrame | None = None, **spread) -> DataFrame:
+def self_join(df: DataFrame, key: str, right: DataFrame | None = None, **sizing) -> DataFrame:
     """Pair every row with every row of the same ``key``; null keys never match.
 
     The second copy's columns carry the ``another_`` prefix. ``right`` may give a
     second copy with further columns, already prefixed.
     """
     other = prefix_columns(df, df.columns) if right is None else right
-    return pair_join(df, other, key, PREFIX + key, **spread)
+    return pair_join(df, other, key, PREFIX + key, **sizing)

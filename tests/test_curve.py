@@ -90,6 +90,6 @@ def test_curve_never_falls(spark):
 
 def test_merge_prefers_new_points(spark):
     old = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0)], "boundary double, prediction double")
-    new = points(spark, [(2, 5), (3, 30)])
-    assert sorted(tuple(r) for r in merge_curve(old, new).collect()) == [(1.0, 10.0), (2.0, 5.0), (3.0, 30.0)]
-    assert at(spark, refit_curve(old, new), [1, 2, 3]) == {1: 7.5, 2: 7.5, 3: 30.0}
+    new = points(spark, [(2, 4), (2, 6), (3, 30)])
+    assert sorted(tuple(r) for r in merge_curve(old, new).collect()) == [(1.0, 10.0, 1.0), (2.0, 5.0, 2.0), (3.0, 30.0, 1.0)]
+    assert at(spark, refit_curve(old, new), [1, 2, 3]) == {1: 6.6667, 2: 6.6667, 3: 30.0}

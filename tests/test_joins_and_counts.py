@@ -5,7 +5,7 @@ from runwise.operators import (
     best_trial, derive_persons, join_size, partition_profile, prefix_columns, row_count, self_join, trial_stats,
     value_counts,
 )
-from runwise.operators.joins import grid_sizes, key_pairs
+from runwise.operators.joins import grids, pair_join
 from runwise.sources import generate_persons, person_ids
 
 
@@ -31,25 +31,48 @@ def test_grid_gives_the_plain_join(spark, plan):
     df = skewed(spark)
     other = prefix_columns(df, df.columns)
     plain = df.join(other, df.surname == other.another_surname)
-    spread = self_join(df, "surname", pairs_per_task=1000, max_tasks=64)
+    spread = self_join(df, "surname", rows_per_task=1000, max_tasks=64)
     assert "explode(sequence" in plan(spread) and "explode" not in plan(self_join(df, "surname"))
     assert same(plain, spread)
     assert plain.count() == join_size(df, other, "surname", "another_surname").first()[0]
 
 
-def test_only_busy_keys_get_a_grid(spark):
-    df = skewed(spark)
-    pairs = key_pairs(df, df, "surname", "surname")
-    assert grid_sizes(pairs, 1000.0) == [("hot", 7)]
-    assert grid_sizes(pairs, 40000.0) == []
+def test_hot_key_is_spread_over_many_tasks(spark):
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) surname", "id name")
+    sizes = [r["rows"] for r in partition_profile(self_join(df, "surname", rows_per_task=20_000)).collect()]
+    assert sum(sizes) == 667 * 667 + 1333 and max(sizes) < 667 * 667 / 6
+
+
+def grid_of(spark, n, m, share):
+    counts = spark.createDataFrame([("k", float(n), float(m))], "_k string, n double, m double")
+    rows = grids(counts.withColumn("load", F.expr("n * m + n + m")), float(share)).collect()
+    return [(r._down, r._across) for r in rows]
+
+
+def test_grid_follows_both_sides(spark):
+    assert grid_of(spark, 10, 10, 1000) == []
+    assert grid_of(spark, 200, 200, 1000) == [(7, 6)]
+    assert grid_of(spark, 100_000, 1, 1000) == [(201, 1)]
+    assert grid_of(spark, 100_000, 0, 1000) == [(100, 1)]
+    assert grid_of(spark, 1, 100_000, 1000)[0][0] == 1
+    down, across = grid_of(spark, 1e6, 1e4, 1e6)[0]
+    assert down * across >= 1e4 and 50 < down / across < 200
+
+
+def test_one_sided_hot_keys(spark):
+    left = spark.range(900).selectExpr("case when id < 300 then 'gone' when id < 600 then 'one' else concat('k', id % 10) end a", "id")
+    right = spark.range(300).selectExpr("case when id = 0 then 'one' else concat('k', id % 10) end b", "id other")
+    plain = left.join(right, F.col("a") == F.col("b"))
+    assert same(plain, pair_join(left, right, "a", "b", rows_per_task=100))
+    assert same(plain.select("id", "other"), pair_join(right, left, "b", "a", rows_per_task=100).select("id", "other"))
 
 
 def test_tasks_follow_the_size_of_the_result(spark):
     even = spark.range(400).selectExpr("id % 20 surname", "id name")
-    joined = self_join(even, "surname", pairs_per_task=500)
-    assert joined.rdd.getNumPartitions() == 16
+    joined = self_join(even, "surname", rows_per_task=500)
+    assert joined.rdd.getNumPartitions() == 18
     assert joined.count() == 8000 and joined.distinct().count() == 8000
-    assert self_join(even, "surname", pairs_per_task=1, max_tasks=3).rdd.getNumPartitions() == 3
+    assert self_join(even, "surname", rows_per_task=1, max_tasks=3).rdd.getNumPartitions() == 3
 
 
 def test_join_of_two_different_sides(spark):
@@ -59,10 +82,9 @@ def test_join_of_two_different_sides(spark):
     assert join_size(left.filter("a > 5"), right, "a", "b").first()[0] == 0
 
 
-def test_join_size_outgrows_a_bigint(spark):
-    counts = spark.createDataFrame([("k", 4 * 10**9, 4 * 10**9)], "k string, n bigint, m bigint")
-    wide = "decimal(19,0)"
-    assert counts.select((F.col("n").cast(wide) * F.col("m").cast(wide))).first()[0] == 16 * 10**18
+def test_join_size_type_holds_large_results(spark):
+    size = join_size(spark.range(3), spark.range(3), "id", "id")
+    assert size.schema["pairs"].dataType.simpleString() == "decimal(38,0)"
 
 
 def test_join_size_never_joins_rows(spark, plan):
