@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise import fixtures as fx, functions as fn, operators as op, plans, sources as src
+from runwise.schemas import PERSON_COLUMNS
 from runwise.session import scratch_path
 from runwise.sources import persons, pools
 
@@ -185,13 +186,19 @@ def q_refit_curve(spark, d):
 
 # --- functions ---------------------------------------------------------------
 
+def _customers(spark, d, text, name):
+    """Customers with a string put together in SQL."""
+    columns = f"c_custkey, {text.format(text='string')} {name}"
+    return spark.sql(f"select {columns} from {{t}}", t=fx.table(spark, d, "customer"))
+
+
 def q_memory_to_bytes(spark, d):
-    sized = spark.sql(f"select c_custkey, {_SIZE.format(text='string')} size from {{t}}", t=fx.table(spark, d, "customer"))
+    sized = _customers(spark, d, _SIZE, "size")
     return sized.select("c_custkey", "size", fn.memory_to_bytes(F.col("size")).alias("bytes"))
 
 
 def q_parse_params(spark, d):
-    given = spark.sql(f"select c_custkey, {_PARAMS.format(text='string')} params from {{t}}", t=fx.table(spark, d, "customer"))
+    given = _customers(spark, d, _PARAMS, "params")
     return given.select("c_custkey", F.explode(fn.parse_params(F.col("params"))).alias("key", "value"))
 
 
@@ -219,8 +226,8 @@ def q_row_count(spark, d):
 
 
 def q_partition_profile(spark, d):
-    profile = op.partition_profile(fx.table(spark, d, "lineitem").repartition(8, "l_orderkey"))
-    return profile.agg(F.count("*").alias("partitions"), F.sum("rows").alias("rows"))
+    profile = op.partition_profile(fx.table(spark, d, "lineitem"))
+    return profile.agg(F.sum("rows").alias("rows"), (F.min("rows") > 0).alias("all_filled"))
 
 
 def q_self_join(spark, d):
@@ -245,11 +252,18 @@ def q_join_size(spark, d):
 def q_run_workload(spark, d):
     path = scratch_path(spark, "workload")
     result = plans.run_workload(fx.person_rows(spark, d), path)
-    written = spark.read.parquet(path).agg(
-        F.count("*").alias("written"), F.sum(F.length("another_address").cast("bigint")).alias("address_chars")
+    written = spark.read.parquet(path)
+
+    def fact(name, df, value):
+        return df.select(F.lit(name).alias("fact"), value.cast("bigint").alias("value"))
+
+    return (
+        fact("rows", result.rows, F.col("rows"))
+        .union(fact("pairs", result.joined_rows, F.col("pairs")))
+        .union(fact("written", written, F.count("*")))
+        .union(fact("address_chars", written, F.sum(F.length("another_address"))))
+        .union(fact("most_frequent", op.value_counts(fx.person_rows(spark, d), "surname", limit=1), F.col("count")))
     )
-    pairs = result.joined_rows.select(F.col("pairs").cast("bigint").alias("pairs"))
-    return result.rows.join(pairs).join(written)
 
 
 def q_generate_persons(spark, d):
@@ -380,7 +394,9 @@ _NEW_POINTS = f"""select "rows", mem from ({_PRICED}) where l_linestatus = 'O' a
 _MERGED = f"""{_NEW_POINTS} union all
   select "rows", mem from ({_OLD_CURVE}) o where "rows" not in (select "rows" from ({_NEW_POINTS}) n)"""
 
-_PERSONS = f"(select {fx.PERSON_SQL.replace('date_format(o_orderdate, ' + chr(39) + 'd.M.yyyy' + chr(39), 'strftime(o_orderdate, ' + chr(39) + '%-d.%-m.%Y' + chr(39))} from orders)"
+_DUCK_PERSON = fx.PERSON_SQL.replace("date_format(o_orderdate, 'd.M.yyyy')", "strftime(o_orderdate, '%-d.%-m.%Y')")
+
+_PERSONS = f"(select {_DUCK_PERSON} from orders)"
 
 _ADDRESS = "concat_ws(',', street, city)"
 
@@ -480,19 +496,23 @@ def oracle_sql() -> dict[str, str]:
             group by 1, 2""",
         "derive_persons": f"""select phone, concat_ws(' ', surname, name, patronymic) fio, {_ADDRESS} address,
             concat_ws(' ', series_passport, number_passport) document from {_PERSONS} p""",
-        "prefix_columns": f"""select {", ".join(f"{c} another_{c}" for c in fx.PERSON_COLUMNS)},
+        "prefix_columns": f"""select {", ".join(f"{c} another_{c}" for c in PERSON_COLUMNS)},
             {_ADDRESS} another_address from {_PERSONS} p""",
         "value_counts": 'select event_type, count(*) "count" from events group by 1',
         "value_counts_top": """select o_custkey, count(*) "count" from orders group by 1
             order by 2 desc, 1 limit 20""",
         "row_count": 'select count(*) "rows" from lineitem',
-        "partition_profile": 'select 8::bigint partitions, count(*) "rows" from lineitem',
+        "partition_profile": 'select count(*) "rows", true all_filled from lineitem',
         "self_join": _SELF_JOIN,
         "self_join_grid": _SELF_JOIN,
         "join_size": """select count(*) pairs from customer a join customer b using (c_mktsegment)""",
-        "run_workload": f"""select (select count(*) from orders) "rows", count(*) pairs, count(*) written,
-            cast(sum(length({_ADDRESS.replace("street", "b.street").replace("city", "b.city")})) as bigint) address_chars
-            from {_PERSONS} a join {_PERSONS} b on a.surname = b.surname""",
+        "run_workload": f"""with j as (
+              select length(b.address) chars from {_PERSONS} a
+              join (select *, {_ADDRESS} address from {_PERSONS} p) b on a.surname = b.surname)
+            select 'rows' fact, count(*) "value" from orders
+            union all select 'pairs', count(*) from j union all select 'written', count(*) from j
+            union all select 'address_chars', cast(sum(chars) as bigint) from j
+            union all select 'most_frequent', max(n) from (select count(*) n from orders group by o_custkey)""",
         "generate_persons": f"""select {_pick(0, pools.SURNAMES)} surname, {_pick(1, pools.NAMES)} "name",
             {_pick(2, pools.PATRONYMICS)} patronymic,
             concat('{pools.PHONE_PREFIX}', {_digits(3, 5)}, {_digits(4, 5)}) phone,

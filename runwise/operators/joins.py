@@ -88,7 +88,8 @@ def pair_join(
     ]))
     l = _on_grid(left, left_key, sizes, own=("_row", "_down"), copied=("_column", "_across"), seed=1)
     r = _on_grid(right, right_key, sizes, own=("_column2", "_across"), copied=("_row2", "_down"), seed=2)
-    l, r = l.repartition(tasks, _col(left_key), "_row", "_column"), r.repartition(tasks, _col(right_key), "_row2", "_column2")
+    l = l.repartition(tasks, _col(left_key), "_row", "_column")
+    r = r.repartition(tasks, _col(right_key), "_row2", "_column2")
     same_cell = (F.col("_row") == F.col("_row2")) & (F.col("_column") == F.col("_column2"))
     return l.join(r, same_key & same_cell).drop("_row", "_column", "_row2", "_column2")
 

@@ -62,12 +62,14 @@ def isotonic_blocks(points: DataFrame, local_points: int = 200_000, ranges: int
     """
     edges = _ranges(points, "rows", ranges)
     work = _written(
-        _in_ranges(points, "rows", edges).select("range", "rows", "mem", "weight", F.lit(float("-inf")).alias("segment"))
+        _in_ranges(points, "rows", edges)
+        .select("range", "rows", "mem", "weight", F.lit(float("-inf")).alias("segment"))
     )
     finished = []
     while not work.isEmpty():
         cuts = _written(_cut_points(work, local_points))
-        finished.append(cuts.filter("state = 'constant'").selectExpr("first as start", "last as end", "mean as prediction").distinct())
+        constant = cuts.filter("state = 'constant'")
+        finished.append(constant.selectExpr("first as start", "last as end", "mean as prediction").distinct())
         # A segment and range at a time, so that no large segment meets in one task.
         placed = work.join(cuts.select("segment", "range", "state", "cut"), ["segment", "range"])
         small = placed.filter("state = 'small'").groupBy("segment").applyInPandas(_pool_adjacent(), BLOCK)

@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import functools
 import tempfile
 import uuid
 
@@ -29,6 +30,11 @@ def s3a_conf(endpoint: str, access_key: str, secret_key: str) -> dict[str, str]:
     }
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="runwise-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
@@ -39,6 +45,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="runwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from runwise.operators import (
@@ -60,7 +59,9 @@ def test_grid_follows_both_sides(spark):
 
 
 def test_one_sided_hot_keys(spark):
-    left = spark.range(900).selectExpr("case when id < 300 then 'gone' when id < 600 then 'one' else concat('k', id % 10) end a", "id")
+    left = spark.range(900).selectExpr(
+        "case when id < 300 then 'gone' when id < 600 then 'one' else concat('k', id % 10) end a", "id"
+    )
     right = spark.range(300).selectExpr("case when id = 0 then 'one' else concat('k', id % 10) end b", "id other")
     plain = left.join(right, F.col("a") == F.col("b"))
     assert same(plain, pair_join(left, right, "a", "b", rows_per_task=100))

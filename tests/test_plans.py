@@ -1,6 +1,3 @@
-import json
-
-from runwise.operators import app_metrics, combine_predictions, fit_curve, predict_curve, probe_points, task_metrics, training_points
 from runwise import fixtures as fx
 from runwise.plans import analyze_runs, run_workload
 from runwise.session import s3a_conf, scratch_path

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from runwise import fixtures as fx
@@ -49,8 +48,10 @@ def test_independent_maxima_and_sums(spark):
 
 
 def test_largest_of_repeated_updates(spark):
-    t = tasks(spark, event("a", updates=["3", None, "x", "12", "4"]), event("b", updates=["5"]), event("c", updates=[None, None]))
-    assert {r.application_attempt: (r.has_peak, r.peak) for r in t.collect()} == {"a": (1, 12), "b": (1, 5), "c": (1, None)}
+    updates = {"a": ["3", None, "x", "12", "4"], "b": ["5"], "c": [None, None]}
+    t = tasks(spark, *(event(app, updates=u) for app, u in updates.items()))
+    got = {r.application_attempt: (r.has_peak, r.peak) for r in t.collect()}
+    assert got == {"a": (1, 12), "b": (1, 5), "c": (1, None)}
 
 
 def test_formulas(spark):
@@ -134,7 +135,9 @@ def test_one_exchange(spark, sf_dir, plan):
 
 
 def test_training_points(spark):
-    predictions = spark.createDataFrame([("a", -100.0), ("b", -100.0), ("c", 1.0)], "application_attempt string, prediction double")
+    predictions = spark.createDataFrame(
+        [("a", -100.0), ("b", -100.0), ("c", 1.0)], "application_attempt string, prediction double"
+    )
     configs = spark.createDataFrame(
         [("a", 1000, {"limit": "5"}), ("b", 50, {"total_num_rows": "7"}), ("z", 1, {"limit": "1"})],
         "application_attempt string, spark_executor_memory bigint, record map<string,string>",
