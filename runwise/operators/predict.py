@@ -79,8 +79,9 @@ def training_points(
     input size under ``rows_key`` of the record, else under ``fallback_key``.
     """
     rows = F.coalesce(F.col("record")[rows_key], F.col("record")[fallback_key])
-    return predictions.join(configs, "application_attempt").select(
+    runs = configs.select("application_attempt", "spark_executor_memory", rows.try_cast("double").alias("rows"))
+    return predictions.join(runs, "application_attempt").select(
         "application_attempt",
         (F.col("prediction") + F.col("spark_executor_memory")).cast("double").alias("mem"),
-        rows.try_cast("double").alias("rows"),
+        "rows",
     )

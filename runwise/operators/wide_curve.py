@@ -132,22 +132,24 @@ def interpolate(curve: DataFrame, rows: DataFrame, ranges: int = 1000) -> DataFr
     point = F.struct("rows", "prediction")
     summary = known.groupBy("range").agg(F.min(point).alias("low"), F.max(point).alias("high"))
     frame = _range_numbers(rows, len(edges) - 1).join(summary, "range", "left")
-    order = Window.orderBy("range")
+    # Frames only ever grow from the start of an order, which takes linear time.
+    ahead = (Window.unboundedPreceding, -1)
     carried = frame.select(
         "range",
-        F.last("high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("left_in"),
-        F.first("low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("right_in"),
+        F.last("high", True).over(Window.orderBy("range").rowsBetween(*ahead)).alias("left_in"),
+        F.last("low", True).over(Window.orderBy(F.desc("range")).rowsBetween(*ahead)).alias("right_in"),
     )
     mixed = known.select("range", "rows", point.alias("point"), F.lit(False).alias("asked")).unionByName(
         asked.select("range", "rows", F.lit(None).cast("struct<rows:double,prediction:double>").alias("point"),
                      F.lit(True).alias("asked"))
     )
-    # Ties put the boundary on both sides of an equal feature.
-    here = Window.partitionBy("range").orderBy("rows")
+    # In both orders boundaries come before an equal feature, so that it sees them.
+    here = Window.partitionBy("range")
+    upto = (Window.unboundedPreceding, 0)
     near = mixed.select(
         "range", "rows", "asked",
-        F.last("point", True).over(here.rangeBetween(Window.unboundedPreceding, 0)).alias("l"),
-        F.first("point", True).over(here.rangeBetween(0, Window.unboundedFollowing)).alias("r"),
+        F.last("point", True).over(here.orderBy("rows", "asked").rowsBetween(*upto)).alias("l"),
+        F.last("point", True).over(here.orderBy(F.desc("rows"), "asked").rowsBetween(*upto)).alias("r"),
     ).filter("asked")
     l, r = F.coalesce("l", "left_in"), F.coalesce("r", "right_in")
     found = near.join(F.broadcast(carried), "range").select("rows", l.alias("l"), r.alias("r"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from runwise.operators import (
     Curve, app_metrics, combine_predictions, fit_curve, predict_curve, probe_points, task_metrics, training_points,
 )
-from runwise.sources import read_config_logs, read_event_logs
+from runwise.sources import read_config_logs, read_event_logs, unreadable_event_logs
 
 
 class Analysis(NamedTuple):
@@ -24,6 +24,9 @@ def analyze_runs(
     The event logs are read once: the training points, one row per application,
     are written to ``points_path`` and everything after starts from there.
     """
+    unreadable = unreadable_event_logs(spark, event_logs).first()
+    if unreadable is not None:
+        raise ValueError(f"cannot decode event log {unreadable.path}; use zstd or no compression")
     metrics = app_metrics(task_metrics(read_event_logs(spark, event_logs)))
     configs = read_config_logs(spark, config_logs)
     training_points(combine_predictions(metrics), configs, rows_key).write.mode("overwrite").parquet(points_path)

@@ -39,6 +39,21 @@ def read_event_logs(spark: SparkSession, path: str, include_inprogress: bool = F
     return events.withColumn("application_attempt", with_application_id())
 
 
+def unreadable_event_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of logs in codecs Spark can write but its JSON reader cannot decode.
+
+    Such files do not fail, they read as empty, so a job that must see every
+    application should look here first. Uncompressed and zstd logs are fine.
+    """
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.{lz4,snappy,lzf}")
+        .load(path)
+        .select("path")
+    )
+
+
 def write_event_logs(events: DataFrame, path: str) -> None:
     """Archive events as JSON lines, one folder per application.
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from runwise.schemas import FOOTER
 
 
-def _footer_reader():
+def _footer_reader(filesystem):
     """The function the Python workers run.
 
     It is nested so that it travels to the executors by value: they need
@@ -17,7 +17,10 @@ def _footer_reader():
         from pyarrow import fs
 
         try:
-            store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+            if filesystem is None:
+                store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+            else:
+                store, name = filesystem, path.split(":", 1)[-1].removeprefix("//")
             with store.open_input_file(name) as file:
                 meta = pq.ParquetFile(file).metadata
         except (OSError, ValueError, pa.ArrowException):
@@ -34,12 +37,14 @@ def _footer_reader():
     return footers
 
 
-def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
+def parquet_footers(spark: SparkSession, path: str, filesystem=None) -> DataFrame:
     """One row per readable ``*.parquet`` file below ``path``; others are skipped.
 
     Spark lists the files; only their names are read there, since the contents
     are not selected. Tasks then read the tail of each file. Listing packs tasks
     by file size, far too finely for footers, hence the narrow coalesce.
+    ``filesystem``, a pyarrow file system, is for stores that need more than the
+    executors' own settings, such as an endpoint.
     """
     files = (
         spark.read.format("binaryFile")
@@ -49,7 +54,7 @@ def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
         .select("path")
         .coalesce(4 * spark.sparkContext.defaultParallelism)
     )
-    return files.mapInPandas(_footer_reader(), FOOTER)
+    return files.mapInPandas(_footer_reader(filesystem), FOOTER)
 
 
 def parquet_profile(footers: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from runwise import fixtures as fx
 from runwise.plans import analyze_runs, run_workload
 from runwise.session import s3a_conf, scratch_path
@@ -34,6 +36,13 @@ def test_analysis_from_logs_to_probe(spark, sf_dir):
     assert len(probe) == 5 and probe == sorted(probe)
 
 
+def test_analysis_refuses_logs_it_cannot_decode(spark, tmp_path):
+    (tmp_path / "app-1.lz4").write_bytes(b"x")
+    (tmp_path / "app-2").write_text("{}\n")
+    with pytest.raises(ValueError, match="app-1.lz4"):
+        analyze_runs(spark, str(tmp_path), str(tmp_path), scratch_path(spark, "points"))
+
+
 def test_s3a_settings():
     conf = s3a_conf("http://store:9000", "a", "b")
     assert conf["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000" and len(conf) == 4

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from runwise.schemas import PERSON, PERSON_COLUMNS
@@ -107,6 +108,11 @@ def test_footers_agree_with_an_independent_reader(spark, sf_dir):
     assert not got
 
 
+def test_footers_through_a_given_file_system(spark, sf_dir):
+    plain = parquet_footers(spark, sf_dir)
+    assert plain.exceptAll(parquet_footers(spark, sf_dir, fs.LocalFileSystem())).isEmpty()
+
+
 def test_profile_skips_junk_and_other_files(spark, tmp_path):
     write_table(spark.range(100).repartition(3), "parquet", str(tmp_path / "a"))
     write_table(spark.range(7).selectExpr("id", "id x"), "parquet", str(tmp_path / "b" / "c"))
