@@ -160,12 +160,27 @@ def q_fit_curve(spark, d):
     return curve.withColumnRenamed("rows", "boundary")
 
 
-def q_predict_curve(spark, d):
+def q_fit_curve_wide(spark, d):
+    """The same curve, fitted and looked up as a table."""
+    priced = _priced(spark, d)
+    curve = _rounded(op.fit_curve(priced, model_points=0), priced.select("rows").distinct())
+    return curve.withColumnRenamed("rows", "boundary")
+
+
+def _parts_on(curve, spark, d):
     grid = fx.table(spark, d, "part").selectExpr("p_partkey", "cast(p_size * 1.25 - 3 as double) rows")
-    p = op.predict_curve(op.fit_curve(_priced(spark, d)), grid)
+    p = op.predict_curve(curve, grid)
     return p.select("p_partkey", "rows", F.round("prediction", 4).alias("prediction"))
 
 
+def q_predict_curve(spark, d):
+    return _parts_on(op.fit_curve(_priced(spark, d)), spark, d)
+
+
+def q_predict_curve_wide(spark, d):
+    return _parts_on(op.fit_curve(_priced(spark, d), model_points=0), spark, d)
+
+
 def _old_and_new(spark, d):
     priced = _priced(spark, d)
     old = op.fit_curve(priced.filter("l_linestatus = 'F'")).table
@@ -270,19 +285,19 @@ def q_generate_persons(spark, d):
     return src.generate_persons(fx.table(spark, d, "orders"), "o_orderkey")
 
 
-def q_read_write_parquet(spark, d):
+def q_write_table(spark, d):
     path = scratch_path(spark, "table")
     src.write_table(fx.table(spark, d, "customer"), "parquet", path)
     return src.read_table(spark, "parquet", path)
 
 
-def q_read_write_csv(spark, d):
+def q_read_table(spark, d):
     path = scratch_path(spark, "table")
     src.write_table(fx.table(spark, d, "customer").drop("c_acctbal"), "csv", path)
     return src.read_table(spark, "csv", path)
 
 
-def q_read_csv_inferred(spark, d):
+def q_read_table_inferred(spark, d):
     path = scratch_path(spark, "table")
     src.write_table(fx.table(spark, d, "customer").drop("c_acctbal"), "csv", path)
     return op.value_counts(src.read_table(spark, "csv", path, infer=True), "c_nationkey")
@@ -383,6 +398,13 @@ _LOOKUP = """lo as (select r, max(x) xl, arg_max(y, x) yl from q join cv on x <=
                else yl + (yh - yl) * (r - xl) / (xh - xl) end y
              from q left join lo using (r) left join hi using (r))"""
 
+_FIT = f"with {_isotonic(_PRICED)} select x boundary, round(y, 4) prediction from cv"
+
+_PREDICT = f"""with {_isotonic(_PRICED)},
+      q as (select distinct cast(p_size * 1.25 - 3 as double) r from part), {_LOOKUP}
+    select p_partkey, r "rows", round(y, 4) prediction
+    from part join fit on r = cast(p_size * 1.25 - 3 as double)"""
+
 # Boundaries of a fitted curve are the ends of its constant stretches.
 _OLD_CURVE = f"""select x "rows", y mem from (
     select *, lag(y) over (order by x) before, lead(y) over (order by x) after from
@@ -476,11 +498,10 @@ def oracle_sql() -> dict[str, str]:
         "analyze_runs": f"""with {_isotonic(_POINTS)},
             q as (select unnest([50.0, 100.0, 1000.0, 10000.0, 10000000.0])::double r), {_LOOKUP}
             select r "rows", round(y, 3) prediction, cast(ceil(y / 1048576) as bigint) memory_prediction from fit""",
-        "fit_curve": f"with {_isotonic(_PRICED)} select x boundary, round(y, 4) prediction from cv",
-        "predict_curve": f"""with {_isotonic(_PRICED)},
-            q as (select distinct cast(p_size * 1.25 - 3 as double) r from part), {_LOOKUP}
-            select p_partkey, r "rows", round(y, 4) prediction
-            from part join fit on r = cast(p_size * 1.25 - 3 as double)""",
+        "fit_curve": _FIT,
+        "fit_curve_wide": _FIT,
+        "predict_curve": _PREDICT,
+        "predict_curve_wide": _PREDICT,
         "merge_curve": f'select "rows", round(avg(mem), 4) mem from ({_MERGED}) m group by 1',
         "refit_curve": f"""with {_isotonic(_MERGED)}, q as (select distinct l_quantity r from lineitem), {_LOOKUP}
             select r "rows", round(y, 4) prediction from fit""",
@@ -521,10 +542,10 @@ def oracle_sql() -> dict[str, str]:
             {_date(9, pools.BIRTH_YEARS)} birthday, {_date(10, pools.RECORD_YEARS)} created_dt,
             {_date(11, pools.RECORD_YEARS)} updated_dt
             from (select o_orderkey k from orders)""",
-        "read_write_parquet": "select * from customer",
-        "read_write_csv": """select cast(c_custkey as varchar) c_custkey, c_name,
+        "write_table": "select * from customer",
+        "read_table": """select cast(c_custkey as varchar) c_custkey, c_name,
             cast(c_nationkey as varchar) c_nationkey, c_mktsegment from customer""",
-        "read_csv_inferred": 'select c_nationkey, count(*) "count" from customer group by 1',
+        "read_table_inferred": 'select c_nationkey, count(*) "count" from customer group by 1',
         "parquet_footers": _FOOTERS,
         "parquet_profile": f"""select cast(sum(num_rows) as bigint) total_num_rows,
             max(num_columns) max_num_columns, true has_footers from ({_FOOTERS}) f""",
