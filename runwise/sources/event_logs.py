@@ -30,8 +30,9 @@ def read_event_logs(spark: SparkSession, path: str, include_inprogress: bool = F
 
     The schema is given, so there is no inference pass, and lines that are not
     JSON come out as null events, which every event filter drops. Plain logs of
-    running applications are left out unless asked for; the parts of a rolling log
-    do not tell in their names whether it is complete.
+    running applications are left out unless asked for. The parts of a rolling log
+    do not tell in their names whether it is complete, so they are always read;
+    ``app_durations`` has only applications that logged their end.
     """
     events = spark.read.schema(EVENT).option("recursiveFileLookup", True).json(path)
     if not include_inprogress:

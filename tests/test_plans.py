@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 
 from runwise import fixtures as fx
@@ -36,6 +38,14 @@ def test_analysis_from_logs_to_probe(spark, sf_dir):
     assert len(probe) == 5 and probe == sorted(probe)
 
 
+def test_scratch_needs_a_shared_folder():
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077")
+    )
+    with pytest.raises(ValueError):
+        scratch_path(cluster, "x")
+
+
 def test_analysis_refuses_logs_it_cannot_decode(spark, tmp_path):
     (tmp_path / "app-1.lz4").write_bytes(b"x")
     (tmp_path / "app-2").write_text("{}\n")
