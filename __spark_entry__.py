@@ -253,7 +253,7 @@ def q_self_join(spark, d):
 
 def q_self_join_grid(spark, d):
     """The same join with every busy key spread over a grid."""
-    return op.self_join(fx.person_rows(spark, d), "surname", rows_per_task=100, max_tasks=1000).select(
+    return op.self_join(fx.person_rows(spark, d), "surname", rows_per_task=400).select(
         "surname", "phone", "name", "another_surname", "another_phone", "another_name"
     )
 
