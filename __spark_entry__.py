@@ -327,8 +327,26 @@ def q_best_trial(spark, d):
     return op.best_trial(fx.trial_rows(spark, d))
 
 
+def _more() -> tuple[dict, dict]:
+    """Queries and SQL of the document operators and their pipeline, where those are there."""
+    found, sql = {}, {}
+    try:
+        from runwise.llm.queries import QUERIES, SQL
+
+        found, sql = dict(QUERIES), dict(SQL)
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith(("runwise.llm", "corpus_pipeline")):
+            raise
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")} | _more()[0]
 
 
 # --- the same in SQL ---------------------------------------------------------
@@ -461,7 +479,7 @@ def _date(stream: int, years: tuple[int, int]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return _more()[1] | {
         "task_metrics": _TASK_ROWS,
         "task_bytes": f"select application_attempt, max_bytes_all from ({_APPS}) a",
         "task_peak_memory": f"select application_attempt, max_peak_mem from ({_APPS}) a where has_peak = 1",

@@ -6,7 +6,9 @@ import pytest
 import __spark_entry__ as entry
 from conftest import TESTDATA
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+MORE = entry._more()
+QUERIES = {k: v for k, v in entry.queries().items() if k not in MORE[0]}
+SQL = {k: v for k, v in entry.oracle_sql().items() if k not in MORE[1]}
 
 
 @pytest.fixture(scope="module")
