@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, quality
+from runwise.session import scratch_path
+
+from . import decontaminate, mixing, quality, tokens
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, table
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_output(spark: SparkSession, d: str) -> DataFrame:
+    return token_output(spark, table(spark, d, "documents"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write the Arrow shards of ``docs`` to the shared folder and read them back."""
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(docs, f"{path}/shards", tokenizer_file()).write.parquet(f"{path}/index")
+    index = spark.read.parquet(f"{path}/index")
+    return tokens.read_documents(tokens.with_starts(index), f"{path}/shards")
+
+
 def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -22,7 +42,7 @@ def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return q.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_decontamination, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_token_output, op5_mixing, op7_decontamination, op8_quality_rules)}
 
 SQL = {
     "op5_mixing": rf"""
