@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-from . import decontaminate, mixing, quality, tokens
-from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, table
+from . import decontaminate, language, mixing, quality, tokens
+from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, id_crc, table
+
+
+def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held_out = id_crc("doc_id") % 4 == 2
+    model = language.fit(docs.filter(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), language.identify(docs, model).alias("l")).select("doc_id", "held_out", "l.*")
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -42,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return q.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op5_mixing, op7_decontamination, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_mixing, op7_decontamination, op8_quality_rules)}
 
 SQL = {
     "op5_mixing": rf"""
