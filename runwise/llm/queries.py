@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-from . import decontaminate, language, mixing, quality, tokens
+from . import brown, decontaminate, language, mixing, quality, tokens
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, id_crc, table
 
 
@@ -49,7 +49,15 @@ def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return q.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_mixing, op7_decontamination, op8_quality_rules)}
+def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held_out = id_crc("doc_id") % 10 == 0
+    model = brown.fit(spark, docs.filter(~held_out).select(F.col("text").cast("binary").alias("text")))
+    return brown.score(spark, docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_mixing, op7_decontamination, op8_quality_rules, op10_lm_scoring)}
 
 SQL = {
     "op5_mixing": rf"""
