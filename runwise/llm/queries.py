@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-from . import brown, decontaminate, language, mixing, quality, tokens
+from . import brown, decontaminate, language, mixing, neardup, quality, tokens
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, id_crc, table
 
 
@@ -39,6 +39,10 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "documents")).select("doc_id", "class_id")
+
+
 def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -57,7 +61,7 @@ def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_mixing, op7_decontamination, op8_quality_rules, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op10_lm_scoring)}
 
 SQL = {
     "op5_mixing": rf"""
