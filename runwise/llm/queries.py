@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-from . import brown, decontaminate, language, mixing, neardup, quality, tokens
+from . import brown, decontaminate, language, mixing, neardup, quality, substrings, tokens
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, id_crc, table
 
 
@@ -35,6 +35,10 @@ def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return tokens.read_documents(tokens.with_starts(index), f"{path}/shards")
 
 
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.cut_repeats(table(spark, d, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,7 +65,7 @@ def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op4_suffix_dedup, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op10_lm_scoring)}
 
 SQL = {
     "op5_mixing": rf"""
