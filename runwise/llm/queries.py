@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-from . import brown, decontaminate, language, mixing, neardup, quality, substrings, tokens
+from . import brown, decontaminate, language, lines, mixing, neardup, quality, substrings, tokens
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, id_crc, table
 
 
@@ -57,6 +57,10 @@ def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return q.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return lines.line_counts(table(spark, d, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     held_out = id_crc("doc_id") % 10 == 0
@@ -65,7 +69,7 @@ def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op4_suffix_dedup, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op4_suffix_dedup, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op9_line_dedup, op10_lm_scoring)}
 
 SQL = {
     "op5_mixing": rf"""
