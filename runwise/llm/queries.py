@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-from . import brown, decontaminate, language, lines, mixing, neardup, quality, substrings, tokens
+from . import brown, decontaminate, language, lines, mixing, neardup, quality, substrings, tokens, urls
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, id_crc, table
 
 
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), language.identify(docs, model).alias("l")).select("doc_id", "held_out", "l.*")
 
 
+def op2_url_filters(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge_urls(table(spark, d, "pages"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -69,9 +73,40 @@ def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_output, op4_suffix_dedup, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op9_line_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_token_output, op4_suffix_dedup, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op9_line_dedup, op10_lm_scoring)}
 
 SQL = {
+    "op2_url_filters": rf"""
+        with p as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end r from pages),
+        h as (select page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') host,
+            coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') path from p),
+        u as (select *, case
+                when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+                when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+                when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+                when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end rule,
+            string_split(path, '/') e from h),
+        y as (select *, array_to_string(list_concat(list_transform(e[2:9], lambda s: regexp_replace(regexp_replace(
+                s, '^[0-9]+(\.[A-Za-z0-9]+)?$', '<num>\1'), '^[0-9a-fA-F-]{{16,}}(\.[A-Za-z0-9]+)?$', '<id>\1')),
+                case when len(e) > 9 then ['**'] else [] end), '/') typed,
+            case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end label from u),
+        l as (select host, typed, count(*) n, count(*) filter (label = 'allow') good, count(*) filter (label = 'block') bad from y group by 1, 2),
+        s as (select host, typed, n, i, s[i] seg, array_to_string(s[1 : i - 1], '/') pre, not regexp_matches(s[i], '^(<|\*|$)') lit
+            from (select *, unnest(range(1, len(s) + 1)) i from (select *, string_split(typed, '/') s from l))),
+        v as (select host, pre, i from s where lit group by 1, 2, 3 having count(distinct seg) > 20 and sum(n) < 5 * count(distinct seg)),
+        o as (select s.host, s.typed, list(case when lit and v.host is not null then '*' else seg end order by s.i) parts
+            from s left join v on s.host = v.host and s.pre = v.pre and s.i = v.i group by 1, 2),
+        f as (select *, list_filter(parts, lambda x: not regexp_matches(x, '^(<|\*|$)'))[1] first from o),
+        t as (select l.*, array_to_string(parts, '/') own, case when first is null then array_to_string(parts, '/') else array_to_string(list_concat(
+            parts[1 : list_position(parts, first) - 1], ['*'], parts[list_position(parts, first) + 1 :]), '/') end pattern
+            from l join f using (host, typed)),
+        b as (select host, pattern, own, sum(n) n, sum(good) good, sum(bad) bad from t group by 1, 2, 3),
+        a as (select *, sum(n) over w an, sum(good) over w ag, sum(bad) over w ab from b window w as (partition by host, pattern)),
+        k as (select *, (10 * (good * an + 4 * ag)) // (an * (n + 4)) g, (10 * (bad * an + 4 * ab)) // (an * (n + 4)) z from a),
+        j as (select host, own, pattern, count(*) over w c, sum(good) over w sg, sum(bad) over w sb from k window w as (partition by host, pattern, g, z))
+        select page_id, y.host, path, rule, coalesce(label, case when 5 * (sg + 1) < sg + sb + 2 then 'block' else 'allow' end) verdict,
+            case when c > 1 then j.pattern else j.own end "template"
+        from y join t on y.host = t.host and y.typed = t.typed join j on j.host = t.host and j.own = t.own and j.pattern = t.pattern""",
     "op5_mixing": rf"""
         with r as (select doc_id, source, md5(concat_ws(':', '0', coalesce(cast(doc_id as varchar), ''))) o,
             coalesce(len(regexp_extract_all(text, '{SPACED_WORD}')), 0) size from documents),
