@@ -193,14 +193,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows_of = nodes.join(wanted, "key", "left_semi").select("key", F.col("row.doc_id").alias("r_id"), F.col("row.text_hash").alias("r_hash"))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     texts = source.join(rows_of, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id"))).select("key", "text")
-    texts = kept(texts, "candidates")  # rows that are repeated give a text more than once
-    texts = texts.dropDuplicates(["key"]) if sig.filter("key is not null").groupBy("doc_id", "text_hash").count().filter("count > 1").take(1) else texts
+    # rows that are repeated would give a text more than once
+    texts = kept(texts.groupBy("key").agg(F.first("text").alias("text")), "candidates")
 
-    def linked(df):
-        return F.expr(f"{near[1]} * shared >= {near[0]} * all")
+    linked = F.expr(f"{near[1]} * shared >= {near[0]} * all")
 
     checked = kept(overlaps(members.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), texts), "checked")
-    links = checked.filter(linked(checked)).select("a", "b")
+    links = checked.filter(linked).select("a", "b")
     roots = kept(components(links), "roots")
 
     # what is in more than one component of a bucket
@@ -218,7 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   & (F.expr(f"{near[1]} * least(x.size, y.size) >= {near[0]} * greatest(x.size, y.size)"))).select(
         F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     more = kept(overlaps(rest, texts), "checked")
-    extra = more.filter(linked(more)).select("a", "b")
+    extra = more.filter(linked).select("a", "b")
     if extra.take(1):
         roots = kept(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)), "roots")
     named = nodes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
@@ -241,4 +240,4 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     keyed = docs.withColumn(h, F.xxhash64(text))
     rest = [c for c in docs.columns if c != doc_id]
     single = keyed.groupBy(doc_id, h).agg(*[F.first(c).alias(c) for c in rest])
-    return single.join(one, (F.col(h) == F.col("k_hash")) & F.col(doc_id).eqNullSafe(F.col("k_id")), "left_semi").select(*docs.columns)
+    return single.join(one, (single[h] == one["k_hash"]) & single[doc_id].eqNullSafe(one["k_id"]), "left_semi").select(*docs.columns)
