@@ -13,81 +13,51 @@ WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x
 BROADCAST_WINDOWS = 500_000
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def _covered(spans: Column) -> Column:
+    """Words in the union of sorted (start, length) spans."""
+    step = lambda a, s: F.struct(
+        F.greatest(a["end"], s["start"] + s["length"]).alias("end"),
+        (a["n"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(a["end"], s["start"]))).alias("n"))
+    return F.aggregate(spans, F.struct(F.lit(1).alias("end"), F.lit(0).alias("n")), step)["n"]
 
 
-def _gram(words: str, start: Column, length: Column) -> Column:
-    return F.array_join(F.slice(F.col(words), start, length), " ")
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def _fold(gram: Column) -> Column:
-    """A-Z lower-cased, nothing else."""
-    return F.translate(gram, UPPER, LOWER)
+def _low_words(text: Column) -> Column:
+    # lower() also folds letters beyond ASCII, and is much faster than translate(); it moves no
+    # border of a word, equal folded words are equal lower-case words, and each hit is verified
+    return _words(F.lower(text))
 
 
-def _key(gram: Column) -> Column:
-    # lower() also folds other letters, and is much faster than translate(); equal folded grams
-    # have equal keys, and each hit is verified
-    return F.xxhash64(F.lower(gram))
+def _folded(words: Column, start: Column, length: Column) -> Column:
+    """A window with A-Z lower-cased, and nothing else."""
+    return F.translate(F.array_join(F.slice(words, start, length), " "), UPPER, LOWER)
 
 
-def _starts(size: Column, length: Column) -> Column:
-    return F.explode(F.when(size >= length, F.sequence(F.lit(1), size - length + 1)))
+def _key(words: Column, start: Column, length: Column) -> Column:
+    return F.xxhash64(F.slice(words, start, length))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The distinct windows of all items: key, gram, length, item_ids.
+    """The distinct windows of all items: probe, key, gram, length, item_ids.
 
     An item of fewer than ``n`` words, but not none, is one window. Items without a word have no
-    window. Equal windows are one row that lists their items.
+    window. Equal windows are one row that lists their items. Windows are looked up by the hash of
+    their first ``probe`` words: all of a full window, else the largest power of two.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), _words(F.col(text)).alias("words"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).select(
+        "item_id", _words(F.col("text")).alias("words"), _low_words(F.col("text")).alias("low"))
+    size = F.size("words")
     windows = (
-        items.withColumn("length", F.least(F.size("words"), F.lit(n))).filter("length > 0")
-        .select("item_id", "words", "length", _starts(F.size("words"), F.col("length")).alias("start"))
-        .select("item_id", "length", _fold(_gram("words", F.col("start"), F.col("length"))).alias("gram"))
+        items.withColumn("length", F.least(size, F.lit(n))).filter("length > 0")
+        .withColumn("probe", F.when(F.col("length") == n, F.lit(n)).otherwise(F.pow(F.lit(2), F.floor(F.log2("length") + 1e-9)).cast("int")))
+        .select("*", F.explode(F.sequence(F.lit(1), size - F.col("length") + 1)).alias("start"))
+        .select("item_id", "probe", "length", _key(F.col("low"), F.col("start"), F.col("probe")).alias("key"),
+                _folded(F.col("words"), F.col("start"), F.col("length")).alias("gram"))
     )
-    return windows.groupBy("gram", "length").agg(F.collect_set("item_id").alias("item_ids")).select(
-        _key(F.col("gram")).alias("key"), "gram", "length", "item_ids")
-
-
-def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text",
-                broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Every occurrence of a benchmark window: doc_id, text_hash, start (from 1), length, item_ids.
-
-    The hashes of the windows are a broadcast hash set where there are ``broadcast_windows`` at
-    most, and the shuffled side of a join beyond that. The windows of all documents are looked up
-    by hash and verified by their words.
-    """
-    windows = benchmark_windows(benchmark, n).select(
-        F.col("key").alias("w_key"), F.col("gram").alias("w_gram"), F.col("length").alias("w_length"), "item_ids")
-    lengths = windows.groupBy("w_length").count().collect()  # n rows at most
-    small = sum(r["count"] for r in lengths) <= broadcast_windows
-    positions = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _words(F.col(text)).alias("words"))
-        .select("*", F.explode(F.array(*[F.lit(r["w_length"]) for r in lengths]).cast("array<int>")).alias("length"))
-        .select("*", _starts(F.size("words"), F.col("length")).alias("start"))
-        .withColumn("key", _key(_gram("words", F.col("start"), F.col("length"))))
-    )
-    if not small:
-        # only hashes and places are shuffled by the hash, never the word list of a document
-        places = positions.select("doc_id", "text_hash", "start", "length", "key",
-                                  _fold(_gram("words", F.col("start"), F.col("length"))).alias("gram"))
-        hits = places.join(windows, (F.col("key") == F.col("w_key")) & (F.col("gram") == F.col("w_gram"))
-                           & (F.col("length") == F.col("w_length")))
-    else:
-        hits = positions.join(F.broadcast(windows), (F.col("key") == F.col("w_key")) & (F.col("length") == F.col("w_length")))
-        hits = hits.filter(_fold(_gram("words", F.col("start"), F.col("length"))) == F.col("w_gram"))
-    return hits.select("doc_id", "text_hash", "start", "length", "item_ids")
-
-
-def _covered(spans: Column) -> Column:
-    """Words in the union of sorted (start, length) spans."""
-    step = lambda a, s: F.struct(
-        F.greatest(a["end"], s["start"] + s["length"]).alias("end"),
-        (a["n"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(a["end"], s["start"]))).alias("n"))
-    return F.aggregate(spans, F.struct(F.lit(1).alias("end"), F.lit(0).alias("n")), step)["n"]
+    return windows.groupBy("probe", "key", "gram", "length").agg(F.collect_set("item_id").alias("item_ids"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text",
@@ -95,26 +65,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, doc_id: str
     """Per row of ``docs``: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, spans, item_ids.
 
     A word inside any occurrence of a benchmark window is hit. ``contaminated``: some word is hit,
-    and ``share`` times the hit words are no fewer than the words. Null and empty texts have no
-    words and are clean. Rows are told apart by id and text, so rows that share an id (or have
-    none) keep their own counts, and repeated rows are repeated. An empty benchmark hits nothing.
+    and ``share`` times the hit words are no fewer than the words. The windows of all documents are
+    looked up in a broadcast hash set, or by a shuffled join where the benchmark has more than
+    ``broadcast_windows``, and verified by their words. Null and empty texts have no words and are
+    clean. Each row is judged alone: rows that repeat, or share an id, or have none keep their own
+    counts. An empty benchmark hits nothing.
     """
-    hits = (
-        window_hits(docs, benchmark, n, doc_id, text, broadcast_windows)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
-             F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
-        .withColumnsRenamed({"doc_id": "h_id", "text_hash": "h_hash"})
+    windows = benchmark_windows(benchmark, n).withColumnsRenamed({"probe": "w_probe", "key": "w_key"})
+    probes = windows.groupBy("w_probe").count().orderBy(F.desc("w_probe")).collect()  # n rows at most
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.select("*", F.xxhash64("text").alias("text_hash"), _low_words(F.col("text")).alias("low"))
+    # start 0 stands for the document itself
+    probe, first = F.col("probe"), probes[0]["w_probe"] if probes else n
+    starts = F.sequence(F.when(probe == first, 0).otherwise(1), F.greatest(F.size("low") - probe + 1, F.lit(0)))
+    places = (
+        rows.select("*", F.size("low").cast("bigint").alias("n_words"), F.explode(F.array(*[F.lit(r["w_probe"]) for r in probes] or [F.lit(n)])).alias("probe"))
+        .select("*", F.explode(F.when((probe == first) | (F.size("low") >= probe), starts)).alias("start"))
+        .withColumn("key", F.when(F.col("start") > 0, _key(F.col("low"), F.col("start"), probe)))
     )
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                       F.size(_words(F.col(text))).cast("bigint").alias("n_words"))
-    joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
-    items = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
-    n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("bigint")
+    same = (F.col("key") == F.col("w_key")) & (probe == F.col("w_probe"))
+    gram = _folded(_words(F.col("text")), F.col("start"), F.col("length"))
+    if sum(r["count"] for r in probes) <= broadcast_windows:
+        found = places.join(F.broadcast(windows), same, "left").filter(
+            # the words are taken anew from the text only where the hash was found
+            F.when(F.col("start") == 0, True).when(F.col("gram").isNull(), False).otherwise(gram == F.col("gram")))
+    else:
+        # places go through the shuffle without their document, which would be sent once a word
+        keys = windows.select("w_key", "w_probe").distinct()
+        near = places.select("row", "start", "key", "probe").filter("start > 0").join(keys, same, "left_semi")
+        near = near.join(windows, same).select(F.col("row").alias("h_row"), F.col("start").alias("h_start"), "gram", "length", "item_ids")
+        whole = rows.withColumn("n_words", F.size("low").cast("bigint"))
+        found = whole.join(near, F.col("row") == F.col("h_row"), "left").withColumn("start", F.coalesce("h_start", F.lit(0)))
+        hit = F.when(F.col("start") > 0, gram == F.col("gram")).otherwise(False)
+        found = found.withColumn("start", F.when(hit, F.col("start")).otherwise(0)).withColumn("item_ids", F.when(hit, F.col("item_ids")))
+    span = F.when(F.col("start") > 0, F.struct(F.col("start"), F.col("length")))
+    joined = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("text_hash").alias("text_hash"), F.max("n_words").alias("n_words"),
+        F.sort_array(F.collect_set(span)).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("start") > 0, F.col("item_ids")))))).alias("item_ids"))
+    n_hit = _covered(F.col("spans")).cast("bigint")
     return joined.select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", items.alias("item_ids"))
+        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", "item_ids")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
