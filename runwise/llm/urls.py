@@ -77,7 +77,7 @@ def template_tree(urls: DataFrame) -> DataFrame:
         .groupBy("host", "typed").agg(F.sort_array(F.collect_list(F.struct("d", shown.alias("x")))).alias("parts"))
         .select(F.col("host").alias("t_host"), F.col("typed").alias("t_typed"), F.transform("parts", lambda p: p["x"]).alias("parts"))
     )
-    first = F.coalesce(F.element_at(F.filter(F.col("parts"), lambda x: ~x.rlike(r"^(<|\*|$)")), 1), F.lit(""))
+    first = F.coalesce(F.get(F.filter(F.col("parts"), lambda x: ~x.rlike(r"^(<|\*|$)")), F.lit(0)), F.lit(""))
     at = F.array_position("parts", first)
     open_ = F.when(first == "", F.col("parts")).otherwise(F.transform("parts", lambda x, i: F.when(i + 1 == at, "*").otherwise(x)))
     named = leaves.join(templates, (F.col("host") == F.col("t_host")) & (F.col("typed") == F.col("t_typed"))).select(
