@@ -159,7 +159,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: tuple[int, int] = NEAR,
                     n: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, class_id.
+    """Per row of ``docs``: doc_id, text_hash, class_id, class_key.
 
     ``class_id`` is the smallest id of the documents that are linked, directly or through others, by
     a similarity of at least ``near[0] / near[1]``: the weighted Jaccard overlap of their multisets of
@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts without a word (null, empty, marks only) are each a class of their own, under their own
     id. Shorter texts than five words are one shingle. Repeated rows are copies. Ids may be null:
-    such rows belong to a class, but don't name one unless no other row does.
+    such rows belong to a class, but don't name one unless no other row does. ``class_key``, null for
+    texts without a word, tells classes apart even where rows of different texts share an id.
     """
     spark = docs.sparkSession
 
@@ -222,20 +223,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots = kept(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)), "roots")
     named = nodes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("root", "n_root")
-    classes = named.join(names, F.col("root") == F.col("n_root")).select(F.col("key").alias("c_key"), "class_id")
+    classes = named.join(names, F.col("root") == F.col("n_root")).select(F.col("key").alias("c_key"), "class_id", F.col("root").alias("class_key"))
     return sig.join(classes, F.col("key") == F.col("c_key"), "left").select(
-        "doc_id", "text_hash", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+        "doc_id", "text_hash", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key")
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of ``docs`` per class: that of the smallest id, and of its texts the one of smallest hash.
 
-    Rows that repeat an id and a text are one. Classes whose ids are all null keep one row.
+    Texts without a word all stay. Rows that repeat an id and a text are one. Classes whose ids are
+    all null keep one row.
     """
     found = near_duplicates(docs, doc_id, text, **how)
-    one = found.withColumn("own", F.when(F.col("class_id").isNull(), F.col("text_hash"))).groupBy("class_id", "own").agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.struct("doc_id", "text_hash"))).alias("row")).select(
-        F.col("row.doc_id").alias("k_id"), F.col("row.text_hash").alias("k_hash"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row")
+    one = found.filter("class_key is not null").groupBy("class_key").agg(best).select("row.doc_id", "row.text_hash").unionByName(
+        found.filter("class_key is null").select("doc_id", "text_hash").distinct()).select(
+        F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
     h = fresh(docs, "text_hash")
     keyed = docs.withColumn(h, F.xxhash64(text))
     rest = [c for c in docs.columns if c != doc_id]
