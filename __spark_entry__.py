@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from runwise import fixtures as fx, functions as fn, operators as op, plans, sources as src
 from runwise.schemas import PERSON_COLUMNS
 from runwise.session import scratch_path
-from runwise.sources import persons, pools
+from runwise.sources import pools
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -99,6 +99,9 @@ def _records(spark, d):
 
 def _config_logs(spark, d):
     path = scratch_path(spark, "config_logs")
+    # Every run is logged twice, first with another memory size; the later record counts.
+    first = _records(spark, d).withColumn("record", F.expr("transform_values(record, (k, v) -> if(k = 'spark_executor_memory', '7g', v))"))
+    src.write_config_log(first, path)
     src.write_config_log(_records(spark, d), path)
     # A foreign file in the folder must not disturb the reader.
     fx.table(spark, d, "supplier").select(F.col("s_name").alias("value")).write.mode("append").text(path)
@@ -161,12 +164,18 @@ def q_fit_curve(spark, d):
 
 
 def q_fit_curve_wide(spark, d):
-    """The same curve, fitted and looked up as a table."""
+    """The same curve, cut until a task has four points."""
     priced = _priced(spark, d)
-    curve = _rounded(op.fit_curve(priced, model_points=0), priced.select("rows").distinct())
+    curve = _rounded(op.fit_curve(priced, local_points=4), priced.select("rows").distinct())
     return curve.withColumnRenamed("rows", "boundary")
 
 
+def q_fit_curve_cut(spark, d):
+    """Prices over customer groups, a curve of far more points than a task may fit."""
+    orders = fx.table(spark, d, "orders").selectExpr("cast(o_custkey div 10 as double) rows", "o_totalprice mem")
+    return _rounded(op.fit_curve(orders, local_points=5), orders.select("rows").distinct())
+
+
 def _parts_on(curve, spark, d):
     grid = fx.table(spark, d, "part").selectExpr("p_partkey", "cast(p_size * 1.25 - 3 as double) rows")
     p = op.predict_curve(curve, grid)
@@ -178,14 +187,15 @@ def q_predict_curve(spark, d):
 
 
 def q_predict_curve_wide(spark, d):
-    return _parts_on(op.fit_curve(_priced(spark, d), model_points=0), spark, d)
+    return _parts_on(op.fit_curve(_priced(spark, d), local_points=4), spark, d)
 
 
 def _old_and_new(spark, d):
     priced = _priced(spark, d)
-    old = op.fit_curve(priced.filter("l_linestatus = 'F'")).table
-    new = priced.filter("l_linestatus = 'O' and rows > 25")
-    return old, new
+    new = "l_linestatus = 'O' and rows > 25"
+    kept = scratch_path(spark, "kept_curve")
+    op.write_curve(op.fit_curve(priced.filter(f"not ({new})")), kept)
+    return op.read_curve(spark, kept), priced.filter(new)
 
 
 def q_merge_curve(spark, d):
@@ -241,21 +251,20 @@ def q_row_count(spark, d):
 
 
 def q_partition_profile(spark, d):
-    profile = op.partition_profile(fx.table(spark, d, "lineitem"))
-    return profile.agg(F.sum("rows").alias("rows"), (F.min("rows") > 0).alias("all_filled"))
+    """Rows of each filled partition; each of the tables is one row group, and so one of them."""
+    parts = [fx.table(spark, d, t).select(F.lit(1).alias("one")) for t in ("lineitem", "orders", "customer")]
+    return op.partition_profile(parts[0].union(parts[1]).union(parts[2])).select("rows")
 
 
 def q_self_join(spark, d):
-    return op.self_join(fx.person_rows(spark, d), "surname").select(
-        "surname", "phone", "name", "another_surname", "another_phone", "another_name"
-    )
+    return op.self_join(fx.person_rows(spark, d), "surname")
 
 
 def q_self_join_grid(spark, d):
     """The same join with every busy key spread over a grid."""
-    return op.self_join(fx.person_rows(spark, d), "surname", rows_per_task=400).select(
-        "surname", "phone", "name", "another_surname", "another_phone", "another_name"
-    )
+    people = fx.person_rows(spark, d)
+    # the busiest key has a share of the rows whatever the scale, so this spreads some
+    return op.self_join(people, "surname", rows_per_task=max(50, people.count() // 40))
 
 
 def q_join_size(spark, d):
@@ -293,13 +302,13 @@ def q_write_table(spark, d):
 
 def q_read_table(spark, d):
     path = scratch_path(spark, "table")
-    src.write_table(fx.table(spark, d, "customer").drop("c_acctbal"), "csv", path)
-    return src.read_table(spark, "csv", path)
+    src.write_table(fx.table(spark, d, "customer"), "csv", path)
+    return src.read_table(spark, "csv", path).withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 
 def q_read_table_inferred(spark, d):
     path = scratch_path(spark, "table")
-    src.write_table(fx.table(spark, d, "customer").drop("c_acctbal"), "csv", path)
+    src.write_table(fx.table(spark, d, "customer"), "csv", path)
     return op.value_counts(src.read_table(spark, "csv", path, infer=True), "c_nationkey")
 
 
@@ -390,7 +399,7 @@ _CONFIGS = f"""select *,
          when spark_executor_memory like '%m' then cast(replace(spark_executor_memory, 'm', '') as bigint) * 1048576
          else cast(spark_executor_memory as bigint) end memory_bytes,
     case s_suppkey % 3 when 0 then '1000' when 1 then '150' else '300' end shuffle_partitions
-  from (select s_suppkey, {fx.CONFIG_SQL} from supplier)"""
+  from (select s_suppkey, {fx.CONFIG_SQL} from supplier where s_suppkey <> 7)"""
 
 _POINTS = f"""select application_attempt, prediction + memory_bytes mem, cast(row_limit as double) "rows"
   from ({_PREDICTIONS}) p join ({_CONFIGS}) c using (application_attempt)"""
@@ -426,7 +435,7 @@ _PREDICT = f"""with {_isotonic(_PRICED)},
 # Boundaries of a fitted curve are the ends of its constant stretches.
 _OLD_CURVE = f"""select x "rows", y mem from (
     select *, lag(y) over (order by x) before, lead(y) over (order by x) after from
-      (with {_isotonic(_PRICED + " where l_linestatus = 'F'")} select * from cv))
+      (with {_isotonic(_PRICED + " where not (l_linestatus = 'O' and l_quantity > 25)")} select * from cv))
   where before is null or after is null or y - before > 1e-6 or after - y > 1e-6"""
 
 _NEW_POINTS = f"""select "rows", mem from ({_PRICED}) where l_linestatus = 'O' and "rows" > 25"""
@@ -440,8 +449,7 @@ _PERSONS = f"(select {_DUCK_PERSON} from orders)"
 
 _ADDRESS = "concat_ws(',', street, city)"
 
-_SELF_JOIN = f"""select a.surname, a.phone, a.name,
-    b.surname another_surname, b.phone another_phone, b.name another_name
+_SELF_JOIN = f"""select {", ".join(f"a.{c}, b.{c} another_{c}" for c in PERSON_COLUMNS)}
   from {_PERSONS} a join {_PERSONS} b on a.surname = b.surname"""
 
 _DURATIONS = f"""select application_attempt, max(finish_time) - min(launch_time) duration_ms
@@ -456,10 +464,29 @@ _FOOTERS = " union all ".join(
 )
 
 
+# Written down here, not taken from the code that the SQL is held against.
+_PRIME = 2147483647
+_STREAMS = [
+    (1293655194, 1670264734, 645585956),
+    (985352962, 1087103376, 1261391282),
+    (485993904, 1267783083, 1121589885),
+    (769194507, 569087823, 387584076),
+    (380405989, 572343010, 953517081),
+    (637899838, 1901223551, 915144700),
+    (623019051, 45693207, 1915386542),
+    (1429568534, 192247300, 2091186617),
+    (1097898857, 1509639944, 1802549187),
+    (485512312, 1237639612, 520094257),
+    (1847771417, 2007692055, 948841693),
+    (328142663, 781264603, 1658763564),
+]
+_PHONE_PREFIX, _BIRTH_YEARS, _RECORD_YEARS = ('+7', (1950, 2000), (2020, 2022))
+
+
 def _draw(stream: int, size: int) -> str:
     """SQL of one draw of the person generator."""
-    low, high, offset = persons.stream_constants(stream, 0)
-    p = persons.PRIME
+    low, high, offset = _STREAMS[stream]
+    p = _PRIME
     base = f"((k % {p}) * {low} % {p} + (k // {p}) % {p} * {high} % {p} + {offset}) % {p}"
     square = f"({base}) * ({base}) % {p}"
     return f"((({square}) * ({square}) % {p}) * ({base}) % {p} % {size})"
@@ -518,6 +545,8 @@ def oracle_sql() -> dict[str, str]:
             select r "rows", round(y, 3) prediction, cast(ceil(y / 1048576) as bigint) memory_prediction from fit""",
         "fit_curve": _FIT,
         "fit_curve_wide": _FIT,
+        "fit_curve_cut": f"""with {_isotonic('select cast(o_custkey // 10 as double) "rows", o_totalprice mem from orders')}
+            select x "rows", round(y, 4) prediction from cv""",
         "predict_curve": _PREDICT,
         "predict_curve_wide": _PREDICT,
         "merge_curve": f'select "rows", round(avg(mem), 4) mem from ({_MERGED}) m group by 1',
@@ -541,7 +570,8 @@ def oracle_sql() -> dict[str, str]:
         "value_counts_top": """select o_custkey, count(*) "count" from orders group by 1
             order by 2 desc, 1 limit 20""",
         "row_count": 'select count(*) "rows" from lineitem',
-        "partition_profile": 'select count(*) "rows", true all_filled from lineitem',
+        "partition_profile": """select count(*) "rows" from lineitem
+            union all select count(*) from orders union all select count(*) from customer""",
         "self_join": _SELF_JOIN,
         "self_join_grid": _SELF_JOIN,
         "join_size": """select count(*) pairs from customer a join customer b using (c_mktsegment)""",
@@ -554,15 +584,15 @@ def oracle_sql() -> dict[str, str]:
             union all select 'most_frequent', max(n) from (select count(*) n from orders group by o_custkey)""",
         "generate_persons": f"""select {_pick(0, pools.SURNAMES)} surname, {_pick(1, pools.NAMES)} "name",
             {_pick(2, pools.PATRONYMICS)} patronymic,
-            concat('{pools.PHONE_PREFIX}', {_digits(3, 5)}, {_digits(4, 5)}) phone,
+            concat('{_PHONE_PREFIX}', {_digits(3, 5)}, {_digits(4, 5)}) phone,
             {_pick(5, pools.STREETS)} street, {_pick(6, pools.CITIES)} city,
             {_digits(7, 4)} series_passport, {_digits(8, 6)} number_passport,
-            {_date(9, pools.BIRTH_YEARS)} birthday, {_date(10, pools.RECORD_YEARS)} created_dt,
-            {_date(11, pools.RECORD_YEARS)} updated_dt
+            {_date(9, _BIRTH_YEARS)} birthday, {_date(10, _RECORD_YEARS)} created_dt,
+            {_date(11, _RECORD_YEARS)} updated_dt
             from (select o_orderkey k from orders)""",
         "write_table": "select * from customer",
         "read_table": """select cast(c_custkey as varchar) c_custkey, c_name,
-            cast(c_nationkey as varchar) c_nationkey, c_mktsegment from customer""",
+            cast(c_nationkey as varchar) c_nationkey, c_acctbal, c_mktsegment from customer""",
         "read_table_inferred": 'select c_nationkey, count(*) "count" from customer group by 1',
         "parquet_footers": _FOOTERS,
         "parquet_profile": f"""select cast(sum(num_rows) as bigint) total_num_rows,

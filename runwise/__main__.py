@@ -1,11 +1,12 @@
 """Jobs for spark-submit: ``python -m runwise <job> --help``."""
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 
 from runwise import operators as op, plans, sources as src
-from runwise.session import JOB_CONF, event_log_conf
+from runwise.session import JOB_CONF, event_log_conf, s3a_conf
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -23,6 +24,7 @@ def _parser() -> argparse.ArgumentParser:
 
     profile = jobs.add_parser("profile", help="total the Parquet footers below a path")
     profile.add_argument("--input", required=True)
+    profile.add_argument("--endpoint", help="of an S3-compatible store; its keys come from AWS_ACCESS_KEY_ID and AWS_SECRET_ACCESS_KEY")
 
     workload = jobs.add_parser("workload", help="derive, count and self-join a person table")
     workload.add_argument("--format", choices=("csv", "parquet"), default="parquet")
@@ -36,6 +38,8 @@ def _parser() -> argparse.ArgumentParser:
     analyze.add_argument("--config-logs", required=True)
     analyze.add_argument("--points", required=True, help="where to keep the training points")
     analyze.add_argument("--rows-key", default="limit")
+    analyze.add_argument("--curve", help="where to keep the fitted curve")
+    analyze.add_argument("--old-curve", help="a kept curve to refit with the new points")
 
     trials = jobs.add_parser("trials", help="rank the values a parameter had in all logged runs")
     trials.add_argument("--event-logs", required=True)
@@ -44,8 +48,25 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _keys() -> tuple[str, str]:
+    return os.environ["AWS_ACCESS_KEY_ID"], os.environ["AWS_SECRET_ACCESS_KEY"]
+
+
+def _store(args):
+    """The file system for footers, where the store has an endpoint of its own."""
+    if not args.endpoint:
+        return None
+    from pyarrow import fs
+
+    scheme, _, host = args.endpoint.rpartition("://")
+    key, secret = _keys()
+    return fs.S3FileSystem(endpoint_override=host, scheme=scheme or "https", access_key=key, secret_key=secret)
+
+
 def _session(args) -> SparkSession:
     options = dict(JOB_CONF)
+    if getattr(args, "endpoint", None):
+        options.update(s3a_conf(args.endpoint, *_keys()))
     if args.event_log_dir:
         options.update(event_log_conf(args.event_log_dir))
     options.update(item.split("=", 1) for item in args.params.split(";") if "=" in item)
@@ -79,14 +100,15 @@ def main(argv: list[str] | None = None) -> None:
         people = src.generate_persons(src.person_ids(spark, args.rows), phone_prefix=args.phone_prefix, seed=args.seed)
         src.write_table(people, args.format, args.output)
     elif args.job == "profile":
-        src.parquet_profile(src.parquet_footers(spark, args.input)).show()
+        src.parquet_profile(src.parquet_footers(spark, args.input, _store(args))).show()
     elif args.job == "workload":
         _workload(spark, args)
     elif args.job == "analyze":
-        result = plans.analyze_runs(spark, args.event_logs, args.config_logs, args.points, args.rows_key)
+        result = plans.analyze_runs(spark, args.event_logs, args.config_logs, args.points, args.rows_key, args.curve, args.old_curve)
         result.points.show()
         result.probe.show()
     else:
+        src.require_readable(spark, args.event_logs)
         durations = op.app_durations(src.read_event_logs(spark, args.event_logs))
         trials = op.trial_table(src.read_config_logs(spark, args.config_logs), durations, args.param)
         op.trial_stats(trials, by="value").orderBy("avg").show()

@@ -2,27 +2,19 @@
 
 from typing import NamedTuple
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.functions import to_mib
-from runwise.operators.wide_curve import interpolate, isotonic_blocks
+from runwise.operators.wide_curve import LOCAL_POINTS, interpolate, isotonic_blocks
 
 # The input sizes a fitted curve is shown for.
 PROBE_ROWS = (50, 100, 1000, 10000, 10000000)
 
-# Distinct features up to which the fit may gather its blocks on the driver.
-MODEL_POINTS = 1_000_000
-
-# Points a task holds at a time in the fit of a larger curve.
-POINTS_PER_RANGE = 500_000
-
 
 class Curve(NamedTuple):
-    """A fitted curve: ``(boundary, prediction)`` rows, and a model if it is small."""
+    """A fitted curve: ``(boundary, prediction)`` rows."""
 
     table: DataFrame
-    model: IsotonicRegressionModel | None
 
 
 def probe_points(spark: SparkSession) -> DataFrame:
@@ -49,38 +41,32 @@ def pooled_points(
 
 def fit_curve(
     points: DataFrame, feature: str = "rows", label: str = "mem", weight: str | None = None,
-    model_points: int = MODEL_POINTS,
+    local_points: int = LOCAL_POINTS,
 ) -> Curve:
     """Least-squares non-decreasing curve through the points, of weight one unless given.
 
-    Spark ML finishes its fit on the driver. That is right for up to
-    ``model_points`` distinct features, which are counted first; a larger curve is
-    fitted, and kept, as a table.
+    ``local_points`` is the number of points up to which a stretch of the curve is
+    fitted by one task. The curve does not depend on it.
     """
-    spark = points.sparkSession
     pooled = pooled_points(points, feature, label, weight).persist()
     try:
         found = pooled.agg(F.count("*"), F.count(F.when(F.col("rows").isNotNull(), F.col("mem")))).first()
         if found[0] != found[1]:
             raise ValueError("every point needs a feature and a label")
-        if found[0] > model_points:
-            blocks = isotonic_blocks(pooled, ranges=max(1000, found[0] // POINTS_PER_RANGE))
-            ends = F.explode(F.array_distinct(F.array("start", "end")))
-            return Curve(blocks.select(ends.alias("boundary"), "prediction"), None)
-        model = IsotonicRegression(featuresCol="rows", labelCol="mem", weightCol="weight").fit(pooled)
+        blocks = isotonic_blocks(pooled, found[0], local_points)
     finally:
         pooled.unpersist()
-    pairs = zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist())
-    return Curve(spark.createDataFrame(list(pairs), "boundary double, prediction double"), model)
+    ends = F.explode(F.array_distinct(F.array("start", "end")))
+    return Curve(blocks.select(ends.alias("boundary"), "prediction"))
 
 
 def predict_curve(curve: Curve, rows: DataFrame) -> DataFrame:
-    """Add ``prediction`` and ``memory_prediction`` in MiB to a frame with ``rows``.
+    """Add ``prediction`` and ``memory_prediction`` in MiB to a frame with numbers ``rows``.
 
-    Between boundaries the curve is linear, beyond the ends it is flat.
+    Between boundaries the curve is linear, beyond the ends it is flat. A null
+    size, and any size under a curve without points, has no prediction.
     """
-    predicted = interpolate(curve.table, rows) if curve.model is None else curve.model.transform(rows)
-    return predicted.withColumn("memory_prediction", to_mib(F.col("prediction")))
+    return interpolate(curve.table, rows).withColumn("memory_prediction", to_mib(F.col("prediction")))
 
 
 def merge_curve(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -98,3 +84,14 @@ def merge_curve(old: DataFrame, new: DataFrame) -> DataFrame:
 def refit_curve(old: DataFrame, new: DataFrame) -> Curve:
     """Curve through the merged points of an old curve and new runs."""
     return fit_curve(merge_curve(old, new), weight="weight")
+
+
+def write_curve(curve: Curve, path: str) -> Curve:
+    """Keep a curve as a table, and return the kept one."""
+    curve.table.write.mode("overwrite").parquet(path)
+    return Curve(read_curve(curve.table.sparkSession, path))
+
+
+def read_curve(spark: SparkSession, path: str) -> DataFrame:
+    """The ``(boundary, prediction)`` rows of a kept curve, as ``refit_curve`` takes them."""
+    return spark.read.parquet(path)

@@ -5,8 +5,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from runwise.operators.people import PREFIX, prefix_columns
+from runwise.session import written
 
-# Rows one task should take in and make, and the most tasks one join is cut into.
+# Rows one task should take in and make, and the tasks beyond which a join is refused.
 ROWS_PER_TASK = 250_000
 MAX_TASKS = 20_000
 
@@ -26,16 +27,29 @@ def key_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return joined.fillna(0, ["n", "m"])
 
 
+def kept_key_counts(df: DataFrame, key: str) -> DataFrame:
+    """``(_k, n)`` of every key, null included, from one scan and kept as a table."""
+    return written(df.groupBy(_col(key).alias("_k")).agg(F.count("*").alias("n")), "keys")
+
+
+def own_pairs(counts: DataFrame) -> DataFrame:
+    """``kept_key_counts`` as the ``(_k, n, m)`` of a join of the table with itself."""
+    n = F.col("n").cast(_WIDE)
+    return counts.filter("_k is not null").select("_k", n.alias("n"), n.alias("m"))
+
+
+def pairs_of(counts: DataFrame) -> DataFrame:
+    """One row: the pairs that ``(_k, n, m)`` make, a decimal because they outgrow a bigint."""
+    return counts.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).cast("decimal(38,0)").alias("pairs"))
+
+
 def join_size(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """One row: how many rows the inner equi-join has, without making them.
 
     Both sides shrink to one row per key before they meet, so the work is linear
-    in the input where the join itself is quadratic per key. The total is a
-    decimal because it outgrows a bigint long before the inputs are large.
+    in the input where the join itself is quadratic per key.
     """
-    pairs = F.sum(F.col("n") * F.col("m"))
-    counts = key_counts(left, right, left_key, right_key, "inner")
-    return counts.agg(F.coalesce(pairs, F.lit(0)).cast("decimal(38,0)").alias("pairs"))
+    return pairs_of(key_counts(left, right, left_key, right_key, "inner"))
 
 
 def grids(counts: DataFrame, share: float) -> DataFrame:
@@ -55,47 +69,46 @@ def grids(counts: DataFrame, share: float) -> DataFrame:
 
 def pair_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-    rows_per_task: int = ROWS_PER_TASK, max_tasks: int = MAX_TASKS,
+    rows_per_task: int = ROWS_PER_TASK, max_tasks: int = MAX_TASKS, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join sized by the rows it makes, with no key left to a single task.
 
-    The key columns are counted first. A small result is left to Spark's plain
-    join. A large one is cut into tasks by its own size, which can be far beyond
-    what the inputs suggest. A key that exceeds a task's share is spread over a
-    grid: each left row takes a random row of the grid and is copied to all its
-    columns, each right row the reverse, so every pair meets in exactly one cell.
-    Each such key holds over 1/tasks of the load, so there are fewer of them than
-    tasks, and their list is small enough to collect and broadcast.
-
-    The random numbers depend on input partition and position; pass scanned or
-    checkpointed inputs, whose rows come back in the same order after a loss.
+    The key columns are counted first, unless ``counts`` has their ``(_k, n, m)``.
+    The join is cut into tasks by the rows it takes and makes, which can be far
+    beyond what the inputs suggest; a join that would need more than
+    ``max_tasks`` is refused, and needs a larger ``rows_per_task``. A key that exceeds
+    a task's share is spread over a grid: each left row takes a random row of the
+    grid and is copied to all its columns, each right row the reverse, so every
+    pair meets in exactly one cell. Each such key holds over 1/tasks of the load,
+    so there are fewer of them than tasks, and their list is small enough to
+    collect and broadcast.
+
+    The random places are written to the shared folder before the join, so that
+    a task that is run again finds the same ones.
     """
-    same_key = _col(left_key) == _col(right_key)
-    counts = key_counts(left, right, left_key, right_key, "full_outer").select(
-        "_k", F.col("n").cast("double"), F.col("m").cast("double")
-    ).withColumn("load", F.expr("n * m + n + m"))
-    total, pairs, most = counts.agg(F.sum("load"), F.sum(F.expr("n * m")), F.max("load")).first()
-    if not pairs or pairs <= rows_per_task:
-        return left.join(right, same_key)
+    if counts is None:
+        counts = written(key_counts(left, right, left_key, right_key, "full_outer"), "keys")
+    loads = counts.select("_k", F.col("n").cast("double"), F.col("m").cast("double")).withColumn("load", F.expr("n * m + n + m"))
+    total, most = loads.agg(F.coalesce(F.sum("load"), F.lit(0.0)), F.coalesce(F.max("load"), F.lit(0.0))).first()
+    tasks = max(1, math.ceil(total / rows_per_task))
+    if tasks > max_tasks:
+        raise ValueError(f"the join makes {total:.3g} rows, {tasks} tasks of {rows_per_task}; raise rows_per_task or max_tasks")
     left, right = left.filter(_col(left_key).isNotNull()), right.filter(_col(right_key).isNotNull())
-    tasks = min(math.ceil(total / rows_per_task), max_tasks)
-    hot = grids(counts, total / tasks).collect() if most > total / tasks else []
-    if not hot:
-        return left.repartition(tasks, _col(left_key)).join(right.repartition(tasks, _col(right_key)), same_key)
+    hot = grids(loads, total / tasks).collect() if most > total / tasks else []
     sizes = left.sparkSession.createDataFrame(hot, T.StructType([
         T.StructField("_k", left.select(_col(left_key)).schema[0].dataType),
         T.StructField("_down", T.IntegerType()), T.StructField("_across", T.IntegerType()),
     ]))
-    l = _on_grid(left, left_key, sizes, own=("_row", "_down"), copied=("_column", "_across"), seed=1)
-    r = _on_grid(right, right_key, sizes, own=("_column2", "_across"), copied=("_row2", "_down"), seed=2)
+    l = _on_grid(left, left_key, sizes, bool(hot), own=("_row", "_down"), copied=("_column", "_across"), seed=1)
+    r = _on_grid(right, right_key, sizes, bool(hot), own=("_column2", "_across"), copied=("_row2", "_down"), seed=2)
     l = l.repartition(tasks, _col(left_key), "_row", "_column")
     r = r.repartition(tasks, _col(right_key), "_row2", "_column2")
     same_cell = (F.col("_row") == F.col("_row2")) & (F.col("_column") == F.col("_column2"))
-    return l.join(r, same_key & same_cell).drop("_row", "_column", "_row2", "_column2")
+    return l.join(r, (_col(left_key) == _col(right_key)) & same_cell).drop("_row", "_column", "_row2", "_column2")
 
 
 def _on_grid(
-    df: DataFrame, key: str, sizes: DataFrame, own: tuple[str, str], copied: tuple[str, str], seed: int
+    df: DataFrame, key: str, sizes: DataFrame, spread: bool, own: tuple[str, str], copied: tuple[str, str], seed: int
 ) -> DataFrame:
     """Give each row one random coordinate and a copy for each value of the other.
 
@@ -106,14 +119,20 @@ def _on_grid(
         F.floor(F.rand(seed) * F.coalesce(own[1], F.lit(1))).cast("int").alias(own[0]),
         F.coalesce(copied[1], F.lit(1)).alias("_copies"),
     )
+    if spread:
+        placed = written(placed, "placed")
     return placed.withColumn(copied[0], F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
 
 
-def self_join(df: DataFrame, key: str, right: DataFrame | None = None, **sizing) -> DataFrame:
+def self_join(
+    df: DataFrame, key: str, right: DataFrame | None = None, counts: DataFrame | None = None, **sizing
+) -> DataFrame:
     """Pair every row with every row of the same ``key``; null keys never match.
 
     The second copy's columns carry the ``another_`` prefix. ``right`` may give a
-    second copy with further columns, already prefixed.
+    second copy with further columns, already prefixed. Both have the same keys,
+    so one count, ``kept_key_counts``, serves both sides.
     """
     other = prefix_columns(df, df.columns) if right is None else right
-    return pair_join(df, other, key, PREFIX + key, **sizing)
+    counts = own_pairs(kept_key_counts(df, key) if counts is None else counts)
+    return pair_join(df, other, key, PREFIX + key, counts=counts, **sizing)

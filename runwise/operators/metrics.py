@@ -112,9 +112,14 @@ def app_durations(events: DataFrame) -> DataFrame:
 
 
 def effective_conf(events: DataFrame, redact: str = SECRET_KEYS) -> DataFrame:
-    """``(application_attempt, key, value)`` of the settings applications ran under."""
+    """``(application_attempt, key, value)`` of the settings applications ran under, one row per key.
+
+    Spark logs all settings again when an application adds files or jars; where
+    a value differs then, the largest is shown.
+    """
     return (
         events.filter(F.col("Event") == ENVIRONMENT_UPDATE)
         .select("application_attempt", F.explode("Spark Properties").alias("key", "value"))
         .withColumn("value", F.when(F.col("key").rlike(redact), F.lit("*(redacted)")).otherwise(F.col("value")))
+        .groupBy("application_attempt", "key").agg(F.max("value").alias("value"))
     )

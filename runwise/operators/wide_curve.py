@@ -1,4 +1,4 @@
-"""Isotonic fit and lookup for curves too large for one process.
+"""Isotonic fit and lookup, for curves of any size.
 
 Both cut the feature axis into ranges small enough for one task each. No step
 brings a whole curve, or all rows of one feature, into a task or to the driver.
@@ -7,30 +7,41 @@ brings a whole curve, or all rows of one feature, into a task or to the driver.
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from runwise.session import scratch_path
+from runwise.session import written
 
 BLOCK = "start double, end double, prediction double"
 
-# Relative size below which a cumulative gap counts as rounding error.
+# Relative size below which a cumulative gap counts as rounding error: stretches whose
+# means differ by less, relative to their labels, may come out as one.
 ROUNDING = 1e-12
 
+# Points of a segment up to which one task fits it, and points of a range.
+LOCAL_POINTS = 200_000
+POINTS_PER_RANGE = 500_000
+
+# Edges of ranges that the driver holds at most; ranges hold more points beyond that.
+MOST_RANGES = 10_000
+
+
+def ranges_for(points: int) -> int:
+    return max(1, min(MOST_RANGES, -(-points // POINTS_PER_RANGE)))
+
 
 def _ranges(df: DataFrame, column: str, ranges: int) -> list[float]:
     """About equally filled ranges of a column, as their edges."""
     shares = [i / ranges for i in range(1, ranges)]
-    edges = df.approxQuantile(column, shares, 0.1 / ranges)
+    edges = df.approxQuantile(column, shares, 0.1 / ranges) if shares else []
     return [float("-inf"), *sorted(set(edges)), float("inf")]
 
 
 def _in_ranges(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    if len(edges) == 2:
+        return df.withColumn("range", F.lit(0.0))
     return Bucketizer(splits=edges, inputCol=column, outputCol="range").transform(df)
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table all executors can read."""
-    path = scratch_path(df.sparkSession, "curve")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(df, "curve")
 
 
 def _pool_adjacent():
@@ -50,17 +61,19 @@ def _pool_adjacent():
     return pool
 
 
-def isotonic_blocks(points: DataFrame, local_points: int = 200_000, ranges: int = 1000) -> DataFrame:
+def isotonic_blocks(
+    points: DataFrame, number: int, local_points: int = LOCAL_POINTS, ranges: int | None = None
+) -> DataFrame:
     """Constant stretches ``(start, end, prediction)`` of the isotonic fit.
 
-    ``points`` are ``(rows, mem, weight)`` with distinct rows. The fit of a segment
+    ``points`` are ``number`` rows ``(rows, mem, weight)`` with distinct rows. The fit of a segment
     lies on both sides of the segment's mean m, and it crosses m where the
     running sum of ``weight * (mem - m)`` is least: left and right of there the
     fits are independent. If that sum never drops below zero, the segment is one
     stretch at height m. So segments are cut at their means, all in one round,
     until each is constant or small enough for a single task.
     """
-    edges = _ranges(points, "rows", ranges)
+    edges = _ranges(points, "rows", ranges or ranges_for(number))
     work = _written(
         _in_ranges(points, "rows", edges)
         .select("range", "rows", "mem", "weight", F.lit(float("-inf")).alias("segment"))
@@ -78,8 +91,8 @@ def isotonic_blocks(points: DataFrame, local_points: int = 200_000, ranges: int
         work = _written(
             placed.filter("state = 'split'").select("range", "rows", "mem", "weight", beyond.alias("segment"))
         )
-    blocks = finished[0]
-    for part in finished[1:]:
+    blocks = points.sparkSession.createDataFrame([], BLOCK)
+    for part in finished:
         blocks = blocks.unionByName(part)
     return blocks
 
@@ -119,18 +132,24 @@ def _cut_points(work: DataFrame, local_points: int) -> DataFrame:
     )
 
 
-def interpolate(curve: DataFrame, rows: DataFrame, ranges: int = 1000) -> DataFrame:
+def interpolate(curve: DataFrame, rows: DataFrame, ranges: int | None = None) -> DataFrame:
     """Add ``prediction``: linear between boundaries of the curve, flat beyond.
 
     Distinct features are looked up, so a feature that many rows share is one row
-    here. Within a range the neighbours come from a window; boundaries in other
-    ranges are carried over as one summary row per range.
+    here. Ranges are drawn through boundaries and asked features together, so that
+    many features between two boundaries fill many ranges. Within a range the
+    neighbours come from a window; boundaries in other ranges are carried over as
+    one summary row per range.
     """
-    edges = _ranges(curve, "boundary", ranges)
-    known = _in_ranges(curve.select(F.col("boundary").alias("rows"), "prediction"), "rows", edges)
-    asked = _in_ranges(rows.select("rows").distinct().filter("rows is not null"), "rows", edges)
-    point = F.struct("rows", "prediction")
-    summary = known.groupBy("range").agg(F.min(point).alias("low"), F.max(point).alias("high"))
+    empty = F.lit(None).cast("struct<rows:double,prediction:double>")
+    point = F.struct(F.col("boundary").cast("double").alias("rows"), F.col("prediction").cast("double").alias("prediction"))
+    known = curve.select(point["rows"].alias("rows"), point.alias("point"), F.lit(False).alias("asked"))
+    asked = rows.select(F.col("rows").cast("double").alias("rows")).distinct().filter("rows is not null").select(
+        "rows", empty.alias("point"), F.lit(True).alias("asked"))
+    mixed = _written(known.unionByName(asked))
+    edges = _ranges(mixed, "rows", ranges or ranges_for(mixed.count()))
+    mixed = _in_ranges(mixed, "rows", edges)
+    summary = mixed.filter("not asked").groupBy("range").agg(F.min("point").alias("low"), F.max("point").alias("high"))
     frame = _range_numbers(rows, len(edges) - 1).join(summary, "range", "left")
     # Frames only ever grow from the start of an order, which takes linear time.
     ahead = (Window.unboundedPreceding, -1)
@@ -139,10 +158,6 @@ def interpolate(curve: DataFrame, rows: DataFrame, ranges: int = 1000) -> DataFr
         F.last("high", True).over(Window.orderBy("range").rowsBetween(*ahead)).alias("left_in"),
         F.last("low", True).over(Window.orderBy(F.desc("range")).rowsBetween(*ahead)).alias("right_in"),
     )
-    mixed = known.select("range", "rows", point.alias("point"), F.lit(False).alias("asked")).unionByName(
-        asked.select("range", "rows", F.lit(None).cast("struct<rows:double,prediction:double>").alias("point"),
-                     F.lit(True).alias("asked"))
-    )
     # In both orders boundaries come before an equal feature, so that it sees them.
     here = Window.partitionBy("range")
     upto = (Window.unboundedPreceding, 0)
@@ -152,11 +167,14 @@ def interpolate(curve: DataFrame, rows: DataFrame, ranges: int = 1000) -> DataFr
         F.last("point", True).over(here.orderBy(F.desc("rows"), "asked").rowsBetween(*upto)).alias("r"),
     ).filter("asked")
     l, r = F.coalesce("l", "left_in"), F.coalesce("r", "right_in")
+    # MOST_RANGES rows at most
     found = near.join(F.broadcast(carried), "range").select("rows", l.alias("l"), r.alias("r"))
     slope = F.try_divide(F.expr("r.prediction - l.prediction"), F.expr("r.rows - l.rows"))
     inside = F.col("l.prediction") + F.coalesce(slope * (F.col("rows") - F.col("l.rows")), F.lit(0.0))
     value = F.when(F.col("l").isNull(), F.col("r.prediction")).when(F.col("r").isNull(), F.col("l.prediction"))
-    return rows.join(found.select("rows", value.otherwise(inside).alias("prediction")), "rows", "left")
+    # Written, so that both sides of the join are plain shuffles, which Spark splits where a size is common.
+    found = _written(found.select(F.col("rows").alias("_rows"), value.otherwise(inside).alias("prediction")))
+    return rows.join(found, F.col("rows").cast("double") == F.col("_rows"), "left").select(*rows.columns, "prediction")
 
 
 def _range_numbers(df: DataFrame, ranges: int) -> DataFrame:

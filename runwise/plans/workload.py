@@ -2,11 +2,10 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from runwise.operators import (
-    derive_persons, join_size, prefix_columns, row_count, self_join, value_counts,
-)
+from runwise.operators import derive_persons, prefix_columns, self_join
+from runwise.operators.joins import kept_key_counts, own_pairs, pairs_of
 from runwise.operators.people import PREFIX
 from runwise.schemas import PERSON_COLUMNS
 from runwise.sources import write_table
@@ -25,17 +24,22 @@ def run_workload(
 ) -> Workload:
     """Run the workload on a person-like table and, if asked, write its self-join.
 
-    The join goes straight to the sink, never into a cache, and its row count
-    comes from the key counts instead of from making the rows again.
+    The key is counted once, in one scan. The number of rows, both counts, the
+    number of pairs and the shape of the join all come from that table. The join
+    goes straight to the sink, never into a cache.
     """
     base = persons.columns
     derived = derive_persons(persons)
     other = prefix_columns(derived.drop("fio", "document"), {*PERSON_COLUMNS, *base, "address"})
+    keys = kept_key_counts(persons, key)
     joined_rows = None
     if need_to_join:
-        joined_rows = join_size(persons, other, key, PREFIX + key)
+        joined_rows = pairs_of(own_pairs(keys))
         if output_path is not None:
-            write_table(self_join(persons, key, right=other), "parquet", output_path)
-    return Workload(
-        derived, row_count(persons), value_counts(persons, key), value_counts(other, PREFIX + key), joined_rows
-    )
+            write_table(self_join(persons, key, right=other, counts=keys), "parquet", output_path)
+
+    def counts(name: str) -> DataFrame:
+        return keys.select(F.col("_k").alias(name), F.col("n").alias("count")).orderBy(F.desc("count"), name)
+
+    rows = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"))
+    return Workload(derived, rows, counts(key), counts(PREFIX + key), joined_rows)

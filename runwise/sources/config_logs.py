@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from runwise.functions import fold_entries, keep_public, memory_to_bytes, parse_params
 
 ID = "application_attempt"
+# When a record was written, in microseconds; not part of the record itself.
+LOGGED_AT = "logged_at"
 
 
 def config_record(runs: DataFrame, fields: Sequence[str], params: str = "opp_parameters") -> DataFrame:
@@ -32,12 +34,17 @@ def config_record(runs: DataFrame, fields: Sequence[str], params: str = "opp_par
 
 
 def write_config_log(records: DataFrame, path: str) -> None:
-    """Append records as JSON lines."""
-    records.select(F.to_json("record").alias("value")).write.mode("append").text(path)
+    """Append records as JSON lines, each with the time it was logged."""
+    own = F.map_filter("record", lambda k, _: k != LOGGED_AT)
+    now = F.create_map(F.lit(LOGGED_AT), F.unix_micros(F.current_timestamp()).cast("string"))
+    records.select(F.to_json(F.map_concat(own, now)).alias("value")).write.mode("append").text(path)
 
 
 def read_config_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``(application_attempt, spark_executor_memory in bytes, record)`` of every run.
+    """``(application_attempt, spark_executor_memory in bytes, record)``, one row per run.
+
+    Of several records of an application the one logged last counts; one without
+    a time is older than any with one.
 
     Keys differ from run to run, so a record is read as a map and not as
     inferred columns: no inference pass, and keys that differ only in case do
@@ -45,12 +52,18 @@ def read_config_logs(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     record = F.from_json("value", "map<string,string>")
+    logged_at = F.coalesce(F.col("record")[LOGGED_AT].try_cast("bigint"), F.lit(-1))
+    last = (
+        lines.select("value", record.alias("record"))
+        .filter(F.col("record")[ID].isNotNull())
+        .groupBy(F.col("record")[ID].alias(ID))
+        .agg(F.max_by("record", F.struct(logged_at, "value")).alias("record"))
+    )
     return (
-        lines.select(record.alias("record"))
+        last.select(ID, F.map_filter("record", lambda k, _: k != LOGGED_AT).alias("record"))
         .select(
-            F.col("record")[ID].alias(ID),
+            ID,
             memory_to_bytes(F.col("record")["spark_executor_memory"]).alias("spark_executor_memory"),
             "record",
         )
-        .filter(F.col(ID).isNotNull())
     )

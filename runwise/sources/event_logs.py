@@ -6,8 +6,10 @@ from runwise.schemas import EVENT
 
 INPROGRESS = ".inprogress"
 
-_SUFFIXES = r"(\.(zstd|lz4|snappy|lzf|inprogress))+$"
-_ROLLING = r"^events_\d+_"
+COMPACT = ".compact"
+
+_SUFFIXES = r"(\.(zstd|lz4|snappy|lzf|inprogress|compact))+$"
+_ROLLING = r"^events_(\d+)_"
 _APP_FOLDER = r"/application_attempt=([^/]+)/"
 
 
@@ -15,7 +17,8 @@ def with_application_id() -> Column:
     """The application a log line belongs to, from the path of its file.
 
     Plain logs are named by the application, parts of a rolling log are
-    ``events_<n>_<application>``, both perhaps with a codec suffix. Logs archived
+    ``events_<n>_<application>``, both perhaps with a codec suffix, and the latter
+    with ``.compact`` where Spark has condensed the parts up to it. Logs archived
     by ``write_event_logs`` keep the application in a folder name. The hidden
     ``_metadata`` column is used because, unlike ``input_file_name()``, it lets
     filters on the events reach the scan.
@@ -32,29 +35,59 @@ def read_event_logs(spark: SparkSession, path: str, include_inprogress: bool = F
     JSON come out as null events, which every event filter drops. Plain logs of
     running applications are left out unless asked for. The parts of a rolling log
     do not tell in their names whether it is complete, so they are always read;
-    ``app_durations`` has only applications that logged their end.
+    ``app_durations`` has only applications that logged their end. Parts that a
+    compacted part of the same folder covers are left out.
     """
     events = spark.read.schema(EVENT).option("recursiveFileLookup", True).json(path)
     if not include_inprogress:
         events = events.filter(~F.col("_metadata.file_name").endswith(INPROGRESS))
-    return events.withColumn("application_attempt", with_application_id())
-
-
-def unreadable_event_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of logs in codecs Spark can write but its JSON reader cannot decode.
-
-    Such files do not fail, they read as empty, so a job that must see every
-    application should look here first. Uncompressed and zstd logs are fine.
-    """
+    events = events.withColumn("application_attempt", with_application_id())
+    compacted = _compacted(spark, path)
+    if compacted.isEmpty():
+        return events
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, _ROLLING, 1).try_cast("bigint")
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "[^/]*$", "")
+    placed = events.withColumns({"_folder": folder, "_part": part, "_name": name})
+    kept = F.expr("last is null or _part is null or _part > last or (_part = last and _name like '%.compact')")
+    return placed.join(compacted, "_folder", "left").filter(kept).select(*events.columns)
+
+
+def _listed(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """The paths of the files with such names; contents are not read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{lz4,snappy,lzf}")
+        .option("pathGlobFilter", names)
         .load(path)
         .select("path")
     )
 
 
+def _compacted(spark: SparkSession, path: str) -> DataFrame:
+    """``(_folder, last)``: the last part that is compacted, for each folder that has one."""
+    found = _listed(spark, path, "events_*" + COMPACT)
+    part = F.regexp_extract(F.regexp_extract("path", "[^/]*$", 0), _ROLLING, 1).try_cast("bigint")
+    return found.groupBy(F.regexp_replace("path", "[^/]*$", "").alias("_folder")).agg(F.max(part).alias("last"))
+
+
+def unreadable_event_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of logs that Spark can write but its JSON reader cannot decode.
+
+    Such files do not fail, they read as empty, so a job that must see every
+    application should look here first. Uncompressed and zstd logs are fine, but
+    compacted parts end in ``.compact``, behind which no codec is recognised.
+    """
+    return _listed(spark, path, "*{.lz4,.snappy,.lzf,.zstd.compact,.lz4.compact,.snappy.compact,.lzf.compact}")
+
+
+def require_readable(spark: SparkSession, path: str) -> None:
+    """Raise if a log below ``path`` cannot be decoded."""
+    unreadable = unreadable_event_logs(spark, path).first()
+    if unreadable is not None:
+        raise ValueError(f"cannot decode event log {unreadable.path}; use zstd or no compression")
+
+
 def write_event_logs(events: DataFrame, path: str) -> None:
     """Archive events as JSON lines, one folder per application.
 

@@ -16,15 +16,15 @@ def _footer_reader(filesystem):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        try:
-            if filesystem is None:
-                store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-            else:
-                store, name = filesystem, path.split(":", 1)[-1].removeprefix("//")
-            with store.open_input_file(name) as file:
+        if filesystem is None:
+            store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        else:
+            store, name = filesystem, path.split(":", 1)[-1].removeprefix("//")
+        with store.open_input_file(name) as file:
+            try:
                 meta = pq.ParquetFile(file).metadata
-        except (OSError, ValueError, pa.ArrowException):
-            return None
+            except pa.ArrowInvalid:  # not Parquet
+                return None
         return path, meta.num_rows, meta.num_columns, meta.serialized_size
 
     def footers(batches):
@@ -38,7 +38,10 @@ def _footer_reader(filesystem):
 
 
 def parquet_footers(spark: SparkSession, path: str, filesystem=None) -> DataFrame:
-    """One row per readable ``*.parquet`` file below ``path``; others are skipped.
+    """One row per ``*.parquet`` file below ``path``; files that are not Parquet are skipped.
+
+    A file or store that cannot be read fails the job, so a profile never misses
+    files in silence.
 
     Spark lists the files; only their names are read there, since the contents
     are not selected. Tasks then read the tail of each file. Listing packs tasks

@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runwise.operators import Curve, fit_curve, merge_curve, pooled_points, predict_curve, probe_points, refit_curve
-from runwise.operators.wide_curve import interpolate, isotonic_blocks
+from runwise.operators import (
+    Curve, fit_curve, merge_curve, pooled_points, predict_curve, probe_points, read_curve, refit_curve, write_curve,
+)
+from runwise.operators.wide_curve import _in_ranges, _ranges, interpolate, isotonic_blocks
 
 POINTS = [(10, 100), (10, 200), (50, 80), (100, 300), (100, 100), (1000, 500), (2000, 400)]
 
@@ -22,10 +24,9 @@ EXPECTED = {1: 126.6667, 10: 126.6667, 50: 126.6667, 60: 141.3333, 100: 200.0, 5
             2000: 450.0, 1e7: 450.0}
 
 
-@pytest.mark.parametrize("model_points", [1_000_000, 0])
-def test_known_curve(spark, model_points):
-    curve = fit_curve(points(spark, POINTS), model_points=model_points)
-    assert (curve.model is None) == (model_points == 0)
+@pytest.mark.parametrize("local_points", [1_000_000, 1])
+def test_known_curve(spark, local_points):
+    curve = fit_curve(points(spark, POINTS), local_points=local_points)
     assert at(spark, curve, EXPECTED) == EXPECTED
     assert {round(r.prediction, 4) for r in curve.table.collect()} == {126.6667, 200.0, 450.0}
 
@@ -36,9 +37,9 @@ def test_memory_prediction_in_mib(spark):
     assert [tuple(r) for r in rows] == [(50.0, 6), (100.0, 6), (1000.0, 6), (10000.0, 6), (10000000.0, 6)]
 
 
-@pytest.mark.parametrize("model_points", [1_000_000, 0])
-def test_one_point_is_a_constant(spark, model_points):
-    curve = fit_curve(points(spark, [(10, 7), (10, 9)]), model_points=model_points)
+@pytest.mark.parametrize("local_points", [1_000_000, 0])
+def test_one_point_is_a_constant(spark, local_points):
+    curve = fit_curve(points(spark, [(10, 7), (10, 9)]), local_points=local_points)
     assert at(spark, curve, [0, 10, 99]) == {0: 8.0, 10: 8.0, 99: 8.0}
 
 
@@ -50,7 +51,36 @@ def test_missing_values_are_refused(spark, row):
 
 
 def test_no_points_no_curve(spark):
-    assert fit_curve(points(spark, [])).table.isEmpty()
+    curve = fit_curve(points(spark, []))
+    assert curve.table.isEmpty()
+    asked = spark.createDataFrame([(1,), (None,)], "rows bigint")
+    assert [(r.rows, r.prediction, r.memory_prediction) for r in predict_curve(curve, asked).orderBy("rows").collect()] == [
+        (None, None, None), (1, None, None)]
+
+
+def test_lookup_of_whole_numbers_keeps_columns(spark):
+    curve = fit_curve(points(spark, POINTS))
+    found = predict_curve(curve, spark.createDataFrame([("a", 60, 1)], "k string, rows bigint, x int"))
+    assert found.columns == ["k", "rows", "x", "prediction", "memory_prediction"] and dict(found.dtypes)["rows"] == "bigint"
+    assert round(found.first().prediction, 4) == 141.3333
+
+
+def test_many_sizes_in_one_gap_fill_many_ranges(spark):
+    curve = spark.createDataFrame([(0.0, 0.0), (10.0, 100.0)], "boundary double, prediction double")
+    asked = spark.range(20_000).selectExpr("cast(20 + id as double) rows")
+    found = interpolate(curve, asked, ranges=20)
+    assert found.count() == 20_000 and found.filter("prediction <> 100").isEmpty()
+    mixed = curve.selectExpr("boundary rows").unionByName(asked)
+    edges = _ranges(mixed, "rows", 20)
+    sizes = [r["count"] for r in _in_ranges(mixed, "rows", edges).groupBy("range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3_000
+
+
+def test_curve_is_kept(spark, tmp_path):
+    first = write_curve(fit_curve(points(spark, POINTS)), f"{tmp_path}/curve")
+    assert at(spark, first, EXPECTED) == EXPECTED
+    again = refit_curve(read_curve(spark, f"{tmp_path}/curve"), points(spark, [(5000, 900)]))
+    assert at(spark, again, [5000, 9000]) == {5000: 900.0, 9000: 900.0}
 
 
 def shape(kind, i, rng):
@@ -61,13 +91,13 @@ def shape(kind, i, rng):
 
 
 @pytest.mark.parametrize("kind", ["noise", "rising", "falling", "steps", "flat"])
-def test_wide_fit_equals_the_model(spark, kind):
+def test_cut_fit_equals_the_fit_of_one_task(spark, kind):
     rng = random.Random(3)
     data = [(i * 3, shape(kind, i, rng)) for i in range(300) for _ in range(rng.choice([1, 1, 3]))]
     df = points(spark, data)
     model = fit_curve(df)
-    blocks = isotonic_blocks(pooled_points(df), local_points=40, ranges=7)
-    wide = Curve(blocks.select(F.explode(F.array_distinct(F.array("start", "end"))).alias("boundary"), "prediction"), None)
+    blocks = isotonic_blocks(pooled_points(df), 300, local_points=40, ranges=7)
+    wide = Curve(blocks.select(F.explode(F.array_distinct(F.array("start", "end"))).alias("boundary"), "prediction"))
     asked = [x * 0.7 - 20 for x in range(1400)]
     a, b = at(spark, model, asked), at(spark, wide, asked)
     assert max(abs(a[x] - b[x]) for x in a) < 1e-3 and len(a) == len(b) == 1400

@@ -10,7 +10,8 @@ from runwise.operators import app_durations, app_metrics, effective_conf, task_m
 from runwise.schemas import TASK_END
 from runwise.session import event_log_conf
 from runwise.sources import (
-    config_record, read_config_logs, read_event_logs, with_application_id, write_config_log, write_event_logs,
+    config_record, read_config_logs, read_event_logs, require_readable, unreadable_event_logs, with_application_id,
+    write_config_log, write_event_logs,
 )
 
 RUN = """
@@ -156,7 +157,7 @@ def test_record_precedence_and_secrets(spark, tmp_path):
     path = str(tmp_path / "log")
     write_config_log(records, path)
     write_config_log(records.filter("application_attempt = 'app-1'").replace("app-1", "app-3"), path)
-    assert read_config_logs(spark, path).count() == 3
+    assert read_config_logs(spark, path).count() == 2  # the record's own id counts, and one row per application
 
 
 def test_trial_table_needs_parameter_and_duration(spark):
@@ -167,3 +168,37 @@ def test_trial_table_needs_parameter_and_duration(spark):
     durations = spark.createDataFrame([("a", 1500), ("b", 1), ("c", 1)], "application_attempt string, duration_ms bigint")
     rows = trial_table(configs, durations, "n").collect()
     assert [tuple(r) for r in rows] == [("a", "n", 150, 1.5)]
+
+
+def test_compacted_parts_replace_what_they_cover(spark, tmp_path):
+    def part(name, *ids):
+        folder = tmp_path / "eventlog_v2_app-1"
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_text("".join(f'{{"Event":"SparkListenerTaskEnd","Timestamp":{i}}}\n' for i in ids))
+
+    part("events_1_app-1", 1)
+    part("events_2_app-1", 2)
+    part("events_2_app-1.compact", 12)
+    part("events_3_app-1", 3)
+    (tmp_path / "app-2").write_text('{"Event":"SparkListenerTaskEnd","Timestamp":7}\n')
+    got = read_event_logs(spark, str(tmp_path)).select("application_attempt", "Timestamp").collect()
+    assert sorted(map(tuple, got)) == [("app-1", 3), ("app-1", 12), ("app-2", 7)]
+    require_readable(spark, str(tmp_path))
+    part("events_1_app-1.zstd.compact", 1)
+    with pytest.raises(ValueError, match="cannot decode"):
+        require_readable(spark, str(tmp_path))
+
+
+def test_last_record_of_an_application_counts(spark, tmp_path):
+    for memory in ("1g", "2g"):
+        df = spark.createDataFrame([("app-1", {"application_attempt": "app-1", "spark_executor_memory": memory})], "application_attempt string, record map<string,string>")
+        write_config_log(df, str(tmp_path))
+    rows = read_config_logs(spark, str(tmp_path)).collect()
+    assert [(r.application_attempt, r.spark_executor_memory, set(r.record)) for r in rows] == [
+        ("app-1", 2 << 30, {"application_attempt", "spark_executor_memory"})]
+
+
+def test_settings_logged_twice_are_one_row(spark):
+    rows = [("a", "SparkListenerEnvironmentUpdate", {"k": "v", "x": "1"})] * 2
+    df = spark.createDataFrame(rows, "application_attempt string, Event string, `Spark Properties` map<string,string>")
+    assert sorted(map(tuple, effective_conf(df).collect())) == [("a", "k", "v"), ("a", "x", "1")]

@@ -79,14 +79,14 @@ def min_max(points):
     return {xs[i]: max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)}
 
 
-@pytest.mark.parametrize("model_points", [1_000_000, 0])
+@pytest.mark.parametrize("local_points", [1_000_000, 2])
 @pytest.mark.parametrize("seed", range(2))
-def test_fit_is_the_min_max_formula(spark, seed, model_points):
+def test_fit_is_the_min_max_formula(spark, seed, local_points):
     rng = random.Random(seed)
     data = [(float(rng.randrange(15)), float(rng.randrange(50))) for _ in range(40)]
     expected = min_max(data)
     df = spark.createDataFrame(data, "rows double, mem double")
-    curve = fit_curve(df, model_points=model_points)
+    curve = fit_curve(df, local_points=local_points)
     got = {r.rows: r.prediction for r in predict_curve(curve, df.select("rows").distinct()).collect()}
     assert got.keys() == expected.keys()
     assert all(abs(got[x] - expected[x]) < 1e-9 for x in expected)

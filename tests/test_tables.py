@@ -127,3 +127,12 @@ def test_profile_skips_junk_and_other_files(spark, tmp_path):
 def test_profile_of_nothing_has_no_row(spark, tmp_path):
     (tmp_path / "junk.parquet").write_bytes(b"not parquet")
     assert parquet_profile(parquet_footers(spark, str(tmp_path))).count() == 0
+
+
+def test_footers_that_cannot_be_read_fail(spark, tmp_path):
+    from pyarrow import fs
+
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    gone = fs.SubTreeFileSystem(f"{tmp_path}/elsewhere", fs.LocalFileSystem())
+    with pytest.raises(Exception, match="FileNotFoundError|Failed to open"):
+        parquet_footers(spark, f"{tmp_path}/t", gone).collect()
