@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession, functions as F
 
-from runwise import fixtures as fx, operators as op, sources as src
+from runwise import fixtures as fx, operators as op, plans, sources as src
 from runwise.session import JOB_CONF, scratch_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -75,6 +75,11 @@ def jobs(spark):
         return op.training_points(op.combine_predictions(metrics(events)), src.read_config_logs(spark, configs))
 
     priced = fx.table(spark, SF_DIR, "lineitem").selectExpr("l_quantity rows", "l_extendedprice mem")
+    orders = fx.table(spark, SF_DIR, "orders").selectExpr("cast(o_custkey as double) rows", "o_totalprice mem")
+    curve = op.write_curve(op.fit_curve(orders), scratch_path(spark, "curve"))
+    few = fx.table(spark, SF_DIR, "customer").selectExpr("cast(c_custkey % 92 as string) surname", "c_custkey", "c_name")
+    csv = scratch_path(spark, "csv")
+    src.write_table(fx.table(spark, SF_DIR, "customer"), "csv", csv)
     workload = scratch_path(spark, "workload")
     people_out = scratch_path(spark, "people")
     return {
@@ -85,6 +90,11 @@ def jobs(spark):
         "event_logs_four_branches": lambda: drain(branch_by_branch(src.read_event_logs(spark, logs))),
         "event_logs_training_points": lambda: drain(points(src.read_event_logs(spark, logs))),
         "fit_curve": lambda: op.fit_curve(priced),
+        "fit_curve_cut": lambda: op.fit_curve(orders, local_points=1000),
+        "predict_curve": lambda: drain(op.predict_curve(curve, orders.select("rows"))),
+        "read_table_csv": lambda: drain(src.read_table(spark, "csv", csv)),
+        "run_workload": lambda: drain(plans.run_workload(people, workload).joined_rows),
+        "self_join_few_keys": lambda: drain(op.self_join(few, "surname")),
         "value_counts": lambda: drain(op.value_counts(people, "surname")),
         "value_counts_top": lambda: drain(op.value_counts(people, "surname", limit=20)),
         "join_size": lambda: drain(op.join_size(customers, others(customers), "c_mktsegment", "another_c_mktsegment")),
