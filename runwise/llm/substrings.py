@@ -21,7 +21,7 @@ from .suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 128
 #: Bytes whose strings are handled together, and bytes of a shard's suffix array.
-TOGETHER, SHARD = 1_000_000, 4_000_000
+TOGETHER, SHARD = 1_000_000, 1_000_000
 #: Pieces of one anchor that may meet in a shard; strings of more are compared by their hashes.
 MEET = 200
 _U = np.uint64
