@@ -22,8 +22,10 @@ from .suffixes import common_prefixes, suffix_array
 LENGTH, GRAM = 400, 128
 #: Bytes whose strings are handled together, and bytes of a shard's suffix array.
 TOGETHER, SHARD = 1_000_000, 1_000_000
-#: Pieces of one anchor that may meet in a shard; strings of more are compared by their hashes.
+#: Pieces of one anchor that may meet in a shard. More are cut anew at anchors of longer parts, and what
+#: meets in greater number even then is compared by the hashes of its strings.
 MEET = 200
+LONGER = (256, 384)
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -176,6 +178,41 @@ def _shards(length: int):
     return search
 
 
+def _finer(length: int, gram: int):
+    """Pieces to the pieces of their own strings at anchors of ``gram`` bytes."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashes = Hashes(2 * TOGETHER)
+        names = ("anchor", "piece", "n", "key", "first", "last", "text")
+
+        def done(rows):
+            sizes = np.array([len(r["text"]) for r in rows])
+            starts = np.cumsum(sizes) - sizes
+            joined = b"".join(r["text"] for r in rows)
+            first, last, anchor, place = anchored(np.frombuffer(joined, np.uint8), starts, sizes, hashes, length, gram)
+            own = np.searchsorted(starts, first, side="right") - 1
+            out: dict[str, list] = {k: [] for k in names}
+            for a, b, h, p, i in zip(first.tolist(), last.tolist(), anchor.tolist(), place.tolist(), own.tolist()):
+                text, shift = joined[a : b + length], rows[i]["first"] - int(starts[i])
+                for k, v in zip(names, (h, xxhash.xxh3_64_intdigest(text, p - a) - (1 << 63), rows[i]["n"], rows[i]["key"], a + shift, b + shift, text)):
+                    out[k].append(v)
+            return pa.record_batch(list(out.values()), names=names)
+
+        rows, size = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows.append(r)
+                size += len(r["text"])
+                if size > TOGETHER:
+                    yield done(rows)
+                    rows, size = [], 0
+        if rows:
+            yield done(rows)
+
+    return cut
+
+
 def _strings(length: int):
     """Pieces to one row per string: hash (two numbers), key, start, n."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,17 +279,28 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         _take, "anchor bigint, piece bigint, n bigint, key binary, first bigint, last bigint, text binary")
     # rows of the same text give the same pieces
     taken = kept(taken.dropDuplicates(["anchor", "piece"]), "unlike")
-    size = taken.groupBy("anchor").count().withColumnsRenamed({"anchor": "s_anchor"})
-    sized = taken.join(size, F.col("anchor") == F.col("s_anchor")).select(*taken.columns, "count")
-    few = sized.filter(f"count <= {MEET}").repartition("anchor").sortWithinPartitions("anchor", "piece").select(*taken.columns)
-    in_shards = few.mapInArrow(_shards(length), "key binary, start bigint, stop bigint")
-    strings = sized.filter(f"count > {MEET}").select(*taken.columns).mapInArrow(
-        _strings(length), "string binary, key binary, start bigint, n bigint")
-    strings = kept(strings, "strings")
+    spans = whole
+    for longer in (*LONGER, None):
+        size = taken.groupBy("anchor").count().withColumnsRenamed({"anchor": "s_anchor"})
+        sized = taken.join(size, F.col("anchor") == F.col("s_anchor")).select(*taken.columns, "count")
+        few = sized.filter(f"count <= {MEET}").repartition("anchor").sortWithinPartitions("anchor", "piece").select(*taken.columns)
+        spans = spans.unionByName(few.mapInArrow(_shards(length), "key binary, start bigint, stop bigint"))
+        many = kept(sized.filter(f"count > {MEET}").select(*taken.columns), "many")
+        if longer is None or many.isEmpty():
+            break
+        cut = kept(many.mapInArrow(_finer(length, longer), taken.schema.simpleString()[7:-1].replace(":", " ")), "finer")
+        same = cut.groupBy("anchor", "piece").agg(F.sum("n").alias("all"), F.min(F.struct("key", "first")).alias("at")).withColumnsRenamed(
+            {"anchor": "a_anchor", "piece": "a_piece"})
+        cut = kept(cut.join(same, (F.col("anchor") == F.col("a_anchor")) & (F.col("piece") == F.col("a_piece"))), "finer")
+        spans = spans.unionByName(cut.filter("n = 1 and all > 1").select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop")))
+        # one of each kind goes on, where its anchor has several
+        one = cut.filter("key = at.key and first = at.first").withColumn("n", F.col("all")).select(*taken.columns)
+        several = one.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("m_anchor"))
+        taken = kept(one.join(several, F.col("anchor") == F.col("m_anchor"), "left_semi"), "unlike")
+    strings = kept(many.mapInArrow(_strings(length), "string binary, key binary, start bigint, n bigint"), "strings")
     again = strings.groupBy("string").count().filter("count > 1").select(F.col("string").alias("a_string"))
-    one_by_one = strings.filter("n = 1").join(again, F.col("string") == F.col("a_string"), "left_semi").select(
-        "key", "start", (F.col("start") + length).alias("stop"))
-    spans = whole.unionByName(in_shards).unionByName(one_by_one)
+    spans = spans.unionByName(strings.filter("n = 1").join(again, F.col("string") == F.col("a_string"), "left_semi").select(
+        "key", "start", (F.col("start") + length).alias("stop")))
     return kept(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
 
 

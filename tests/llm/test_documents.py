@@ -232,6 +232,7 @@ def _cut(texts, length):
 @pytest.mark.parametrize("meet", [200, 1])
 def test_repeated_strings_hard_rows(spark, none, monkeypatch, meet):
     monkeypatch.setattr(substrings, "MEET", meet)
+    monkeypatch.setattr(substrings, "LONGER", (26, 36))
     monkeypatch.setattr(substrings, "TOGETHER", 3_000)  # long texts in parts
     r = random.Random(8)
     passage = _prose(11, 30)
@@ -524,7 +525,7 @@ def test_scores_do_not_depend_on_the_dictionary(spark, hard, none):
     texts = hard.select(F.col("text").cast("binary").alias("text"))
     c = _unigrams(t for _, t, *_ in HARD)
     found = []
-    for dictionary in (100_000, 40):
+    for dictionary in (100_000, 1_000):
         model = brown.fit(spark, texts, clustered=30, classes=4, dictionary=dictionary)
         assert model.total == sum(c.values()) and model.distinct == len(c)
         found.append(sorted(brown.score(spark, hard, model).collect(), key=lambda r: (r.doc_id or 0, r.n_tokens, r.score)))
