@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from runwise.session import scratch_path
 
@@ -151,10 +151,37 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())],
                                   names=["a", "b", "shared", "all"])
 
+    return _with_texts(pairs, texts).mapInArrow(compare, "a binary, b binary, shared bigint, all bigint")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and their texts ta, tb."""
     left = texts.select(F.col("key").alias("ka"), F.col("text").cast("binary").alias("ta"))
     right = texts.select(F.col("key").alias("kb"), F.col("text").cast("binary").alias("tb"))
     both = pairs.select("a", "b").join(right, F.col("b") == F.col("kb")).join(left, F.col("a") == F.col("ka"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary, shared bigint, all bigint")
+    return both.select("a", "b", "ta", "tb")
+
+
+def additions(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (key, pivot) to one row a, b, shingle, n for each shingle of ``key`` and how often it has it more than ``pivot``."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, shingle, more = [], [], [], []
+            for ka, kb, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
+                (s, n), (t, m) = (np.unique(shingles(words_of(x)), return_counts=True) for x in (ta, tb))
+                _, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+                n = n.copy()
+                n[i] -= m[j]
+                s, n = s[n > 0], n[n > 0]
+                a += [ka] * len(s)
+                b += [kb] * len(s)
+                shingle += s.view(np.int64).tolist()
+                more += n.tolist()
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(shingle, pa.int64()), pa.array(more, pa.int64())],
+                                  names=["a", "b", "shingle", "n"])
+
+    return _with_texts(pairs.select(F.col("key").alias("a"), F.col("pivot").alias("b")), texts).mapInArrow(
+        compare, "a binary, b binary, shingle bigint, n bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: tuple[int, int] = NEAR,
@@ -164,10 +191,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``class_id`` is the smallest id of the documents that are linked, directly or through others, by
     a similarity of at least ``near[0] / near[1]``: the weighted Jaccard overlap of their multisets of
     five-word shingles. Documents of the same words are one node. Nodes that share a band are
-    candidates; each is checked against the smallest node of the bucket, and what that leaves in
-    more than one component against the others of the bucket, but for pairs that the triangle
-    inequality of the Jaccard distance or their sizes rule out. So a large group needs one check per
-    node, and no pair of different components in a bucket stays unchecked.
+    candidates; each is checked against the bucket's pivot, its most connected node. What that leaves
+    in more than one component is checked pair by pair, but only where the overlaps with the pivot
+    allow a link, or with the shingles that both have and the pivot lacks do. So a large group of
+    copies needs one check per node, and no pair of a bucket that could be a link stays unchecked.
 
     Texts without a word (null, empty, marks only) are each a class of their own, under their own
     id. Shorter texts than five words are one shingle. Repeated rows are copies. Ids may be null:
@@ -186,9 +213,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = kept(nodes, "nodes")
     places = nodes.select("key", "size", F.explode("bands").alias("bucket"))
-    buckets = places.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).filter("pivot <> last").select(
-        F.col("bucket").alias("b_bucket"), "pivot")
-    members = kept(places.join(buckets, F.col("bucket") == F.col("b_bucket")).select("bucket", "pivot", "key", "size"), "members")
+    buckets = places.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").withColumnRenamed("bucket", "b_bucket")
+    members = kept(places.join(buckets, F.col("bucket") == F.col("b_bucket")).select("bucket", "members", "key", "size"), "members")
+    # the pivot of a bucket is the member that shares most places with others, as an original does among its copies
+    central = members.groupBy("key").agg(F.sum("members").alias("weight")).withColumnRenamed("key", "c_key")
+    pivots = members.join(central, F.col("key") == F.col("c_key")).groupBy("bucket").agg(
+        F.max(F.struct("weight", "key"))["key"].alias("pivot")).withColumnRenamed("bucket", "p_bucket")
+    members = kept(members.join(pivots, F.col("bucket") == F.col("p_bucket")).select("bucket", "pivot", "key", "size"), "members")
 
     wanted = members.select("key").distinct()
     rows_of = nodes.join(wanted, "key", "left_semi").select("key", F.col("row.doc_id").alias("r_id"), F.col("row.text_hash").alias("r_hash"))
@@ -204,19 +235,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = kept(components(links), "roots")
 
     # what is in more than one component of a bucket
-    placed = (
-        members.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-        .join(checked.select("a", "b", (1 - F.col("shared") / F.col("all")).alias("far")), (F.col("key") == F.col("a")) & (F.col("pivot") == F.col("b")), "left")
-        .select("bucket", "pivot", "key", "size", "root", F.coalesce("far", F.lit(0.0)).alias("far"))
-    )
+    placed = members.filter("key <> pivot").join(roots, F.col("key") == F.col("node"), "left").select(
+        "bucket", "pivot", "key", "size", F.coalesce("root", "key").alias("root"))
+    placed = placed.join(checked.select("a", "b", "shared"), (F.col("key") == F.col("a")) & (F.col("pivot") == F.col("b"))).drop("a", "b")
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("bucket").alias("o_bucket"))
-    placed = kept(placed.filter("key <> pivot").join(open_, F.col("bucket") == F.col("o_bucket"), "left_semi"), "open")
-    limit = 1 - near[0] / near[1]
+    placed = kept(placed.join(open_, F.col("bucket") == F.col("o_bucket"), "left_semi"), "open")
+    # the pivot's part of an overlap is no more than the smaller overlap with the pivot; pairs for which that is enough
+    needed = f"{near[0]} * (x.size + y.size)"
     x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                  & (F.abs(F.col("x.far") - F.col("y.far")) <= limit + 1e-9)
-                  & (F.expr(f"{near[1]} * least(x.size, y.size) >= {near[0]} * greatest(x.size, y.size)"))).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+    both = f"{near[0] + near[1]}"
+    nested = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & F.expr(f"{both} * least(x.shared, y.shared) >= {needed}")).select(
+        F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    # all other pairs need shingles that both have and the pivot has not: so many that two nodes of a link
+    # share one of the first of these in any order, once each leaves out one less than it needs. The
+    # rarest go first, so what a family of copies has in common hardly counts.
+    added = kept(additions(placed.select("key", "pivot").distinct(), texts), "additions")
+    known = placed.select("key", "pivot", "size", "root", "shared").distinct()
+    added = kept(added.join(known, (F.col("a") == F.col("key")) & (F.col("b") == F.col("pivot"))).select(
+        "pivot", "key", "size", "root", "shared", "shingle", "n"), "additions")
+    often = added.groupBy("pivot", "shingle").agg(F.count("*").alias("often")).withColumnsRenamed({"pivot": "o_pivot", "shingle": "o_shingle"})
+    rarest = Window.partitionBy("pivot", "key").orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    # a link needs an overlap of near[0] / near[1] of the node's own size at least, of which the pivot gives up to ``shared``
+    needs = F.greatest(F.lit(1), F.ceil(F.col("size") * near[0] / near[1] - 1e-9) - F.col("shared"))
+    first = kept(
+        added.join(often, (F.col("pivot") == F.col("o_pivot")) & (F.col("shingle") == F.col("o_shingle")))
+        .withColumn("ahead", F.coalesce(F.sum("n").over(rarest), F.lit(0)))
+        .filter((F.col("often") > 1) & (F.col("ahead") <= F.col("size") - F.col("shared") - needs))
+        .select("pivot", "key", "size", "root", "shingle"), "first")
+    x, y = first.alias("x"), first.alias("y")
+    fits = F.expr(f"{near[1]} * least(x.size, y.size) >= {near[0]} * greatest(x.size, y.size)")
+    alike = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & fits).select(
+        F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    rest = nested.unionByName(alike).distinct()
     more = kept(overlaps(rest, texts), "checked")
     extra = more.filter(linked).select("a", "b")
     if extra.take(1):
