@@ -95,10 +95,11 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     place = F.struct("doc_id", "row", "chunk")
     many = kept(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select(
         F.col("key").alias("m_key"), F.col("first.row").alias("m_row"), F.col("first.chunk").alias("m_chunk")), "repeated")
-    some = kept(keyed.select("row", "chunk", "key", "body").join(many, F.col("key") == F.col("m_key")).select(
+    # the repeated keys grow with the input, so they are never broadcast
+    some = kept(keyed.select("row", "chunk", "key", "body").join(many.hint("merge"), F.col("key") == F.col("m_key")).select(
         "row", "chunk", "key", "body", ((F.col("row") == F.col("m_row")) & (F.col("chunk") == F.col("m_chunk"))).alias("stays")), "occurrences")
     first = some.filter("stays").select(F.col("key").alias("f_key"), F.col("body").alias("f_body"))
-    gone = some.filter("not stays").join(first, (F.col("key") == F.col("f_key")) & (F.col("body") == F.col("f_body"))).select("row", "chunk")
+    gone = some.filter("not stays").join(first.hint("merge"), (F.col("key") == F.col("f_key")) & (F.col("body") == F.col("f_body"))).select("row", "chunk")
     return every, gone
 
 
