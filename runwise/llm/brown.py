@@ -207,7 +207,16 @@ def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, class
     shapes = vocabulary.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r["n"] for r in shapes), sum(r["v"] for r in shapes)
     ends = sum(r["n"] for r in shapes if r["shape"] < 0)
-    top = vocabulary.filter("shape >= 0").orderBy(F.desc("n"), "word").select("word", "shape", "n").limit(dictionary).toPandas()
+    # the count from which words fit the dictionary, from the number of words by order of magnitude
+    step = F.floor(F.log2("n") * 8)
+    least, room = None, dictionary
+    for r in vocabulary.filter("shape >= 0").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = vocabulary.filter("shape >= 0").filter(step >= F.lit(least)).select("word", "shape", "n").toPandas()
+    top = top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     words, counts = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
     clustered = min(clustered, len(words))
     sent = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
