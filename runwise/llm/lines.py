@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines, cut where the content says so."""
+"""Removal of repeated runs of lines: chunks cut where the content says so, and whole passages."""
 
 from __future__ import annotations
 
@@ -38,18 +38,23 @@ def borders(hashes: np.ndarray, every: int = EVERY, least: int = LEAST) -> list[
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, chunk, lines, chars, key, body: the chunks of each text in order, and their bytes.
+    """row, doc_id, chunk, lines, chars, key, body, at, pairs, sizes: the chunks of each text in order, and their bytes.
 
     Chunks of two lines or more have a key, the hash of their bytes. A null text is one chunk
-    without lines and with a null body. ``row`` numbers the rows of ``docs``, so write the result
-    before joining it with itself.
+    without lines and with a null body. ``at`` is the number of the chunk's first line, ``pairs``
+    the hash of each of its lines with the one behind it (null where there is none, or both are
+    blank), ``sizes`` the bytes of its lines and of the one behind. ``row`` numbers the rows of
+    ``docs``, so write the result before joining it with itself.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
         import xxhash
         from pyspark import TaskContext
 
-        names = ("row", "doc_id", "chunk", "lines", "chars", "key", "body")
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ("row", "doc_id", "chunk", "lines", "chars", "key", "body", "at", "pairs", "sizes")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(),
+                 pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
         row, out, size = TaskContext.get().partitionId() << 40, {k: [] for k in names}, 0
 
         def done():
@@ -59,10 +64,13 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = t.split(b"\n") if t is not None else []
                 h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+                pairs = [blake2b(x + b"\n" + y, digest_size=16).digest() if x.strip() or y.strip() else None for x, y in zip(lines, lines[1:])] + [None]
+                sizes = [len(x) + 1 for x in lines] + [0]
                 for k, (a, b) in enumerate(borders(h) if lines else [(0, 0)]):
                     body = b"\n".join(lines[a:b]) if lines else None
                     chars = sum(map(len, lines[a:b])) + b - a
-                    for c, v in zip(names, (row, i, k, b - a, chars, xxhash.xxh3_128_digest(body) if b - a > 1 else None, body)):
+                    for c, v in zip(names, (row, i, k, b - a, chars, xxhash.xxh3_128_digest(body) if b - a > 1 else None, body,
+                                               a, pairs[a:b], sizes[a : b + 1])):
                         out[c].append(v)
                     size += chars
                 row += 1
@@ -73,7 +81,13 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             yield done()
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        cut, "row bigint, doc_id bigint, chunk int, lines bigint, chars bigint, key binary, body binary")
+        cut, "row bigint, doc_id bigint, chunk int, lines bigint, chars bigint, key binary, body binary, at bigint, pairs array<binary>, sizes array<bigint>")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -83,29 +97,46 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     that of the smallest id (null first), row and place. The others go if their bytes equal its
     bytes. Hashes only propose: a chunk that differs stays.
     """
-    spark = docs.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    every = kept(chunks(docs, doc_id, text), "chunks")
+    every = _kept(chunks(docs, doc_id, text), "chunks")
     keyed = every.filter("key is not null")
     place = F.struct("doc_id", "row", "chunk")
-    many = kept(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select(
+    many = _kept(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select(
         F.col("key").alias("m_key"), F.col("first.row").alias("m_row"), F.col("first.chunk").alias("m_chunk")), "repeated")
     # the repeated keys grow with the input, so they are never broadcast
-    some = kept(keyed.select("row", "chunk", "key", "body").join(many.hint("merge"), F.col("key") == F.col("m_key")).select(
+    some = _kept(keyed.select("row", "chunk", "key", "body").join(many.hint("merge"), F.col("key") == F.col("m_key")).select(
         "row", "chunk", "key", "body", ((F.col("row") == F.col("m_row")) & (F.col("chunk") == F.col("m_chunk"))).alias("stays")), "occurrences")
     first = some.filter("stays").select(F.col("key").alias("f_key"), F.col("body").alias("f_body"))
     gone = some.filter("not stays").join(first.hint("merge"), (F.col("key") == F.col("f_key")) & (F.col("body") == F.col("f_body"))).select("row", "chunk")
     return every, gone
 
 
+def passage_lines(every: DataFrame) -> DataFrame:
+    """(row, line, size) of the lines in repeated passages, from ``chunks`` as a table.
+
+    A passage is any run of two lines or more that also stands at an earlier place, in another text
+    or in the same one, whatever stands around it and wherever chunks end: two lines that follow
+    each other are looked up as one 128-bit hash, and what is found overlaps to the edges of the
+    passage. The first occurrence of every such pair stays (the smallest id, null first, then row and
+    place), and so do lines that another pair has its first occurrence in. Equal up to collisions of
+    the hash. Pairs of blank lines are no passage.
+    """
+    pairs = every.select("row", "doc_id", "at", "sizes", F.posexplode("pairs")).filter("col is not null").select(
+        F.col("col").alias("pair"), "doc_id", "row", (F.col("at") + F.col("pos")).alias("line"),
+        F.get("sizes", F.col("pos")).alias("size"), F.get("sizes", F.col("pos") + 1).alias("next"))
+    many = pairs.groupBy("pair").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("first")).filter("n > 1")
+    many = _kept(many.select(F.col("pair").alias("m_pair"), F.col("first.row").alias("m_row"), F.col("first.line").alias("m_line")), "pairs")
+    found = pairs.join(many.hint("merge"), F.col("pair") == F.col("m_pair")).select(
+        "row", ((F.col("row") == F.col("m_row")) & (F.col("line") == F.col("m_line"))).alias("stays"),
+        F.explode(F.array(F.struct("line", "size"), F.struct((F.col("line") + 1).alias("line"), F.col("next").alias("size")))).alias("x"))
+    return found.groupBy("row", F.col("x.line").alias("line")).agg(F.max("stays").alias("stays"), F.max("x.size").alias("size")).filter(
+        "not stays").drop("stays")
+
+
 def line_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, n_removed_bytes.
+    """Per row of ``docs``: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, n_removed_bytes, n_passage_lines, n_passage_bytes.
 
+    The removed chunks, lines and bytes are those of ``remove_repeats``, which takes whole chunks
+    only; the last two columns count what ``remove_passages`` takes.
     A removed line counts with its line break. A null text has no line, an empty one has one.
     Repeated rows are told apart; the first of them keeps its chunks. Texts of a single line, of any
     length, keep it.
@@ -113,12 +144,15 @@ def line_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     every, gone = repeated_chunks(docs, doc_id, text)
     gone = gone.withColumnsRenamed({"row": "g_row", "chunk": "g_chunk"})
     marked = every.select("row", "doc_id", "chunk", "lines", "chars").join(
-        gone, (F.col("row") == F.col("g_row")) & (F.col("chunk") == F.col("g_chunk")), "left")
+        gone.hint("merge"), (F.col("row") == F.col("g_row")) & (F.col("chunk") == F.col("g_chunk")), "left")
     out = F.col("g_row").isNotNull()
-    return marked.groupBy("row").agg(
+    counts = marked.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("lines").alias("n_lines"), F.count(F.when(F.col("lines") > 0, 1)).alias("n_chunks"),
         F.count(F.when(out, 1)).alias("n_removed_chunks"), F.sum(F.when(out, F.col("lines")).otherwise(0)).alias("n_removed_lines"),
-        F.sum(F.when(out, F.col("chars")).otherwise(0)).alias("n_removed_bytes")).drop("row")
+        F.sum(F.when(out, F.col("chars")).otherwise(0)).alias("n_removed_bytes"))
+    passages = passage_lines(every).groupBy(F.col("row").alias("p_row")).agg(F.count("*").alias("p_lines"), F.sum("size").alias("p_bytes"))
+    return counts.join(passages.hint("merge"), F.col("row") == F.col("p_row"), "left").withColumns(
+        {"n_passage_lines": F.coalesce("p_lines", F.lit(0)), "n_passage_bytes": F.coalesce("p_bytes", F.lit(0))}).drop("row", "p_row", "p_lines", "p_bytes")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,3 +166,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stays = F.when(F.col("g_row").isNull(), F.struct("chunk", F.col("body").cast("string").alias("body")))
     whole = marked.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(F.col("body").isNotNull()).alias("real"), F.sort_array(F.collect_list(stays)).alias("parts"))
     return whole.select("doc_id", F.when(F.col("real"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n")).alias("text"))
+
+
+def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and text per row, without the lines of repeated passages.
+
+    Empty where all lines went, null where it was null.
+    """
+    every = _kept(chunks(docs, doc_id, text), "chunks")
+    gone = passage_lines(every).select(F.col("row").alias("g_row"), F.col("line").alias("g_line"))
+    lines = every.select("row", "doc_id", "at", F.posexplode_outer(F.split(F.col("body").cast("string"), "\n"))).select(
+        "row", "doc_id", (F.col("at") + F.coalesce("pos", F.lit(0))).alias("line"), F.col("col").alias("body"))
+    marked = lines.join(gone.hint("merge"), (F.col("row") == F.col("g_row")) & (F.col("line") == F.col("g_line")), "left")
+    stays = F.when(F.col("g_row").isNull(), F.struct("line", "body"))
+    whole = marked.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(F.col("body").isNotNull()).alias("real"), F.sort_array(F.collect_list(stays)).alias("parts"))
+    return whole.select("doc_id", F.when(F.col("real"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n")).alias("text"))

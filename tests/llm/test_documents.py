@@ -497,6 +497,52 @@ def test_line_chunks_query(spark, table):
     assert {r.doc_id: (r.n_lines, r.n_chunks, r.n_removed_chunks, r.n_removed_lines) for r in got} == want
 
 
+def _passages(rows):
+    """Texts without repeated passages, by brute force over pairs of lines."""
+    texts = [(i, t.split("\n")) for i, t in sorted(rows)]
+    places = collections.defaultdict(list)
+    for k, (_, l) in enumerate(texts):
+        for j in range(len(l) - 1):
+            if l[j].strip() or l[j + 1].strip():
+                places[l[j], l[j + 1]].append((k, j))
+    kept, gone = set(), set()
+    for at in places.values():
+        for n, (k, j) in enumerate(at if len(at) > 1 else []):
+            (gone if n else kept).update([(k, j), (k, j + 1)])
+    return {i: [x for j, x in enumerate(l) if (k, j) not in gone - kept] for k, (i, l) in enumerate(texts)}
+
+
+def test_passages_are_removed_to_their_edges(spark, none):
+    rows = []
+    for n in range(2, 11):
+        shared = "\n".join(_prose(1000 + 20 * n + i, 6) for i in range(n))
+        for k in range(2):
+            rows.append((100 * k + n, f"{_prose(2000 + 2 * n + k, 6)}\n{shared}\n{_prose(3000 + 2 * n + k, 6)}"))
+    unlike = len(rows)
+    rows += [(300, "a\na\na\na"), (301, "p\nq\nr"), (302, "u\np\nq\ns"), (303, "v\nq\ns\nw"), (304, ""), (305, "\n\n\n"), (306, "\n\n\n"), (307, "x\n\ny"), (308, "x\n\ny")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = _passages(rows)
+    assert {r.doc_id: r.text for r in lines.remove_passages(df).collect()} == {i: "\n".join(l) for i, l in want.items()}
+    assert all(len(want[100 + n]) == 2 and len(want[n]) == n + 2 for n in range(2, 11)) and unlike == 18
+    assert (want[300], want[302], want[303], want[307], want[308]) == (["a", "a"], ["u", "q", "s"], ["v", "w"], ["x", "", "y"], [])
+    got = {r.doc_id: r for r in lines.line_counts(df).collect()}
+    whole = dict(rows)
+    for i, l in want.items():
+        left = whole[i].encode().split(b"\n")
+        assert got[i].n_passage_lines == len(left) - len(l)
+        assert got[i].n_passage_bytes == sum(len(x) + 1 for x in left) - sum(len(x.encode()) + 1 for x in l)
+    nulls = spark.createDataFrame([(1, None), (1, "a\nb"), (None, "a\nb")], "doc_id bigint, text string")
+    assert _counted(lines.remove_passages(nulls).collect()) == _counted([(1, None), (None, "a\nb"), (1, "")])
+    assert lines.remove_passages(none).count() == 0
+
+
+def test_passages_query(spark, table):
+    want = _passages([(i, t or "") for i, t in table.items()])
+    got = QUERIES["op9_line_dedup"](spark, TESTDATA).collect()
+    assert {r.doc_id: r.n_lines - r.n_passage_lines for r in got if table[r.doc_id] is not None} == {i: len(l) for i, l in want.items() if table[i] is not None}
+    assert sum(r.n_passage_lines for r in got) > sum(r.n_removed_lines for r in got)
+
+
 # --- language model ----------------------------------------------------------
 
 def _unigrams(texts):
