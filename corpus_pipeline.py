@@ -7,7 +7,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.llm import decontaminate, mixing, neardup, quality
 from runwise.llm.common import table
@@ -36,8 +36,12 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document of the mix, from the files written."""
-    return token_output(spark, docs)
+    """doc_id, start, n_tokens and ids_crc32 of each document of the mix, from the files written.
+
+    The shards follow the curriculum: ``docs`` is the mix as read from its Parquet, which was sorted
+    by training position, so a row's file and its place there are its place in training.
+    """
+    return token_output(spark, docs, order=(F.col("_metadata.file_name"), F.col("_metadata.row_index")))
 
 
 STAGES = [

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
@@ -31,10 +33,10 @@ def op3_token_output(spark: SparkSession, d: str) -> DataFrame:
     return token_output(spark, table(spark, d, "documents"))
 
 
-def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Write the Arrow shards of ``docs`` to the shared folder and read them back."""
+def token_output(spark: SparkSession, docs: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Write the Arrow shards of ``docs``, by id or by ``order``, to the shared folder and read them back."""
     path = scratch_path(spark, "tokens")
-    tokens.write_tokens(docs, f"{path}/shards", tokenizer_file()).write.parquet(f"{path}/index")
+    tokens.write_tokens(docs, f"{path}/shards", tokenizer_file(), order=order).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
     return tokens.read_documents(tokens.with_starts(index), f"{path}/shards")
 

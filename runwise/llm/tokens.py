@@ -6,12 +6,12 @@ import re
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A place after a letter and before a mark, and any place between other characters and white
 #: space, is a border of the tokenizer's own pieces, whatever stands around it.
@@ -148,14 +148,14 @@ class Shard:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0,
-                 length: int = 2048, rows: int = 256) -> DataFrame:
-    """Encode all texts, in ascending order of the id, into the Arrow shards below ``path``.
+                 length: int = 2048, rows: int = 256, order: Sequence[Column] = ()) -> DataFrame:
+    """Encode all texts, in ascending order of the id or of the columns ``order``, into the Arrow shards below ``path``.
 
     Returns doc_id, shard, start (in the shard) and n_tokens (with ``end_id``, which ends each
     document) per row of ``docs``; the files are written as that result is, so write it. Shard by
     shard the files hold one long run of ids; documents may cross sequences but no shards, and each
     shard's last sequence is padded and masked. A null text is an empty one; null ids come first;
-    rows that share an id follow each other by a hash of the text. ``docs`` may be empty: no shard.
+    rows that share an id, or a place in ``order``, follow each other by a hash of the text. ``docs`` may be empty: no shard.
     ``path`` must be a folder that all executors share.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +183,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
             writer.close()
 
     # the last two keep rows of one id in order, and spread them where they are many
-    order = [F.col("doc_id"), F.xxhash64("text"), F.col("row")]
+    places = {f"place{k}": c for k, c in enumerate(order)}
+    by = [F.col(c) for c in places or ("doc_id",)] + [F.xxhash64("text"), F.col("row")]
     rows_ = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"),
-                        F.monotonically_increasing_id().alias("row"))
-    return rows_.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, INDEX)
+                        F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in places.items()))
+    return rows_.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text").mapInArrow(encode, INDEX)
 
 
 def with_starts(index: DataFrame) -> DataFrame:

@@ -611,6 +611,30 @@ def test_pipeline_stages(spark, hard, none, tmp_path):
         assert after.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and bool(after.count()) == (start == "hard")
 
 
+def test_pipeline_shards_follow_the_curriculum(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    taken = mixing.mix_plan(docs).select("doc_id", F.explode("takes.position").alias("at")).collect()
+    before = {"spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.files.maxPartitionBytes": "128m", "spark.sql.autoBroadcastJoinThreshold": "10m"}
+    try:
+        for k, v in zip(before, ("false", "64k", "-1")):  # many files, and many tasks that read them
+            spark.conf.set(k, v)
+        p.mixing_sources(spark, docs, TESTDATA).write.parquet(f"{tmp_path}/mixed")
+        got = p.token_shards(spark, spark.read.parquet(f"{tmp_path}/mixed"), TESTDATA).orderBy("start").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    taken.sort(key=lambda r: r.at)
+    assert len(list(tmp_path.glob("mixed/*.parquet"))) > 1
+    got_ids = iter([r.doc_id for r in got])
+    for _, same in itertools.groupby(taken, lambda r: r.at):  # documents at one position may change places
+        ids = [r.doc_id for r in same]
+        assert sorted(itertools.islice(got_ids, len(ids))) == sorted(ids)
+    assert len(got) == len(taken) and [r.doc_id for r in got] != sorted(r.doc_id for r in got)
+    assert [r.start for r in got] == list(itertools.accumulate([0] + [r.n_tokens for r in got]))[:-1]
+
+
 def test_pipeline_on_documents(spark, table, duck):
     import corpus_pipeline as p
 
