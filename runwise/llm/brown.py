@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-#: The most frequent words, which exchange clustering deals to CLASSES classes.
+#: The most frequent words, whose exchange clustering makes the CLASSES classes.
 CLUSTERED, CLASSES = 1024, 64
+#: All other words with this count or more are dealt to the classes.
+LEAST_COUNT = 3
+#: Added to the number of a word that is to be dealt.
+DEALT = 1 << 16
 #: The most frequent words, whose counts every worker holds; the others are joined.
 DICTIONARY = 200_000
-#: Classes of the words that are not clustered: by their last byte, and by length.
+#: Classes of the words that are neither clustered nor dealt: by their last byte, and by length.
 ENDS, SHAPES = (b".!?", b",;:", b"0123456789"), 10
 END = ""  # no word is empty
 PRIOR, PASSES = 0.5, 5
@@ -66,27 +70,45 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Symbols:
-    """Numbers of words: clustered words by rank, then SHAPES shapes, then the end."""
+class Classes:
+    """Numbers of words: those of ``known`` by rank, of the others that ``hashes`` has, or else by shape.
 
-    ranks: dict[bytes, int]
-    clustered: int
+    ``plain`` is the first of the SHAPES numbers by shape; the end of a text follows them.
+    """
+
+    known: dict[bytes, int]  # rank
+    of_rank: np.ndarray
+    hashes: np.ndarray  # sorted
+    of_hash: np.ndarray
+    plain: int
 
     def __post_init__(self):
-        self.end = self.clustered + SHAPES
+        self.end = self.plain + SHAPES
         self.size = self.end + 1
         self.ends = _end_table()
 
-    def shape(self, word: bytes) -> int:
-        return self.clustered + self.ends[word[-1]] * 2 + (len(word) > 8)
-
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks in the dictionary, -1 where it lacks the word, and symbols."""
-        ranks = np.fromiter(map(self.ranks.get, words, _minus), np.int64, len(words))
-        symbols = ranks.copy()
-        for i in np.flatnonzero((ranks < 0) | (ranks >= self.clustered)):
-            symbols[i] = self.shape(words[i])
-        return ranks, symbols
+        """Ranks, -1 where ``known`` lacks the word, and numbers."""
+        ranks = np.fromiter(map(self.known.get, words, _minus), np.int64, len(words))
+        out = self.of_rank[ranks]  # the last one stands for -1
+        for_shape = np.flatnonzero(ranks < 0)
+        if len(for_shape) and len(self.hashes):
+            h = word_hashes([words[i] for i in for_shape])
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            out[for_shape[hit]] = self.of_hash[at[hit]]
+            for_shape = for_shape[~hit]
+        for i in for_shape:
+            w = words[i]
+            out[i] = self.plain + self.ends[w[-1]] * 2 + (len(w) > 8)
+        return ranks, out
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The same as Spark's xxhash64 of binary values."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 class _Minus:
@@ -100,10 +122,10 @@ class _Minus:
 _minus = _Minus()
 
 
-def count_pairs(texts: DataFrame, sent, clustered: int) -> np.ndarray:
-    """How often symbol i is followed by symbol j, the end standing before and behind each text."""
+def count_pairs(texts: DataFrame, sent, size: int) -> np.ndarray:
+    """How often number i is followed by number j, the end standing before and behind each text."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Symbols(sent.value, clustered)
+        s = sent.value
         total = np.zeros(s.size * s.size, np.int64)
         for batch in batches:
             codes, size = [], 0
@@ -121,7 +143,6 @@ def count_pairs(texts: DataFrame, sent, clustered: int) -> np.ndarray:
             p = pair[i : i + 100_000]
             yield pa.record_batch([pa.array(p), pa.array(total[p])], names=["pair", "n"])
 
-    size = clustered + SHAPES + 1
     # size * size rows at most, whatever the input
     found = texts.select("text").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(size * size)
@@ -129,6 +150,61 @@ def count_pairs(texts: DataFrame, sent, clustered: int) -> np.ndarray:
     return pairs.reshape(size, size)
 
 
+def deal(texts: DataFrame, sent, pairs: np.ndarray, plain: int) -> DataFrame:
+    """h, class: for the hash of each word whose number has DEALT added, the class that makes its occurrences likeliest.
+
+    ``pairs`` counts how classes follow each other. Words are counted with the classes on either
+    side, and all move at once, by what precedes, what follows and the size of the class. Ties: the
+    lower class.
+    """
+    size = len(pairs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, codes, held = sent.value, [], 0
+        known = word_hashes(s.known)
+        every = np.sort(np.concatenate([known, s.hashes]))
+        place = np.append(np.searchsorted(every, known), -1)
+
+        def handed_on():
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            return pa.record_batch([pa.array(every[code // (2 * size)]), pa.array(code % (2 * size), pa.int32()), pa.array(n)], names=["h", "code", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                ranks, numbers = s.of(words)
+                moves = np.flatnonzero(numbers >= DEALT)
+                line = np.concatenate([[s.end], numbers % DEALT, [s.end]])
+                at = place[ranks[moves]]
+                at[at < 0] = np.searchsorted(every, word_hashes([words[i] for i in moves[at < 0]]))
+                codes += [at * (2 * size) + line[moves + 2], at * (2 * size) + size + line[moves]]
+                held += 2 * len(moves)
+                if held > COUNTED_TOGETHER * 8:
+                    yield handed_on()
+                    codes, held = [], 0
+        if held:
+            yield handed_on()
+
+    follows = np.log((pairs + PRIOR) / (pairs.sum(1, keepdims=True) + PRIOR * size))
+    gains = np.concatenate([follows[:plain].T, follows[:, :plain]])  # [code, class]
+    sizes = np.log(pairs.sum(0)[:plain] + 1)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2_000):
+                part = batch.slice(k, 2_000)
+                counts = np.zeros((part.num_rows, 2 * size))
+                found = part.column(1)
+                code, n = found.flatten().flatten()
+                counts[np.repeat(np.arange(len(found)), found.value_lengths().to_numpy()), code.to_numpy()] = n.to_numpy()
+                best = (counts @ gains - counts[:, :size].sum(1, keepdims=True) * sizes).argmax(1)
+                yield pa.record_batch([part.column(0), pa.array(best, pa.int32())], names=["h", "class"])
+
+    # tasks have summed what they hand on, and a word meets each class on either side, so its list is short
+    sums = texts.select("text").mapInArrow(count, "h bigint, code int, n bigint").repartition("h").groupBy("h", "code").agg(F.sum("n").alias("n"))
+    return sums.groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("codes")).mapInArrow(choose, "h bigint, class int")
+
+
 def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """The class of each symbol, by exchange clustering.
 
@@ -185,21 +261,23 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, passes:
 
 @dataclass
 class ClassModel:
-    vocabulary: str  # Parquet of word, shape, n
+    vocabulary: str  # Parquet of word, shape, n, class
     total: int
     distinct: int
     end_count: int
-    clustered: int
-    words: list[bytes]  # by rank
-    counts: np.ndarray
-    step: np.ndarray  # [i, j] of symbols: log10 probability of j's class behind i's, less j's emission denominator
+    classes: Classes
+    counts: np.ndarray  # by rank
+    step: np.ndarray  # [i, j] of classes: log10 probability of j behind i, less j's emission denominator
 
 
-def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, dictionary: int = DICTIONARY) -> ClassModel:
+def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, dictionary: int = DICTIONARY,
+        least_count: int = LEAST_COUNT) -> ClassModel:
     """Learn from the column ``text`` (as bytes) of all rows, none of which may be left out.
 
-    The counts of all words stay a table in the shared folder; the driver gets ``dictionary`` words
-    and the pairs of ``clustered`` words and SHAPES other classes, sizes that don't grow.
+    The ``clustered`` most frequent words (ties: the lower word) found the classes by exchange; then
+    all others of ``least_count`` or more are dealt to these classes, in parallel. The counts and
+    classes of all words stay a table in the shared folder. The driver gets ``dictionary`` words,
+    the pairs of classes, and a hash and a class (12 bytes) of every dealt word.
     """
     path = scratch_path(spark, "vocabulary")
     count_words(texts).write.parquet(path)
@@ -207,39 +285,67 @@ def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, class
     shapes = vocabulary.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r["n"] for r in shapes), sum(r["v"] for r in shapes)
     ends = sum(r["n"] for r in shapes if r["shape"] < 0)
+    real = vocabulary.filter("shape >= 0")
+    head = real.orderBy(F.desc("n"), "word").limit(clustered).collect()
+    first = [bytes(r["word"]) for r in head]
+    clustered = len(head)
+    none = np.zeros(0, np.int64)
+
+    def counted(c: Classes) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(c)
+        pairs = count_pairs(texts, sent, c.size)
+        sent.unpersist()
+        return pairs
+
+    ranks = {w: i for i, w in enumerate(first)}
+    pairs = counted(Classes(ranks, np.append(np.arange(clustered), -1), none, none, clustered))
+    of = exchange(pairs, clustered, classes)
+    k = int(of.max()) + 1
+    plain = k - SHAPES - 1
+    onehot = np.zeros((len(of), k))
+    onehot[np.arange(len(of)), of] = 1
     # the count from which words fit the dictionary, from the number of words by order of magnitude
     step = F.floor(F.log2("n") * 8)
     least, room = None, dictionary
-    for r in vocabulary.filter("shape >= 0").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+    for r in real.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         room -= r["count"]
         if room < 0:
             break
         least = r["step"]
-    top = vocabulary.filter("shape >= 0").filter(step >= F.lit(least)).select("word", "shape", "n").toPandas()
-    top = top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
-    words, counts = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
-    clustered = min(clustered, len(words))
-    sent = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    pairs = count_pairs(texts, sent, clustered)
-    sent.unpersist()
-    of = exchange(pairs, clustered, classes)
-    k = int(of.max()) + 1
-    onehot = np.zeros((len(of), k))
-    onehot[np.arange(len(of)), of] = 1
-    n = onehot.T @ pairs @ onehot
+
+    def with_classes(words: DataFrame) -> tuple[Classes, np.ndarray]:
+        """The dictionary, clustered words first, and the hashes of dealt words that it lacks."""
+        top = words.filter(step >= F.lit(least)).select("word", "class", "n").toArrow()
+        fixed = set(first)
+        top = top.filter(pa.array([w not in fixed for w in top["word"].to_pylist()], pa.bool_()))
+        names = first + top["word"].to_pylist()
+        numbers = np.concatenate([of[:clustered], top["class"].to_numpy(), [-1]]).astype(np.int64)
+        rest = words.filter(F.col("n") >= least_count).filter(F.coalesce(step < F.lit(least), F.lit(True))).select(
+            F.xxhash64("word").alias("h"), "class").toArrow().sort_by("h")
+        counts = np.concatenate([[r["n"] for r in head], top["n"].to_numpy()]).astype(np.int64)
+        return Classes({w: i for i, w in enumerate(names)}, numbers, rest["h"].to_numpy(), rest["class"].to_numpy(), plain), counts
+
+    moving = real.withColumn("class", (F.col("shape") + plain + F.when(F.col("n") >= least_count, DEALT).otherwise(0)).cast("int"))
+    sent = spark.sparkContext.broadcast(with_classes(moving)[0])
+    dealt = deal(texts, sent, onehot.T @ pairs @ onehot, plain).withColumnsRenamed({"h": "d_h", "class": "d_class"})
+    path = scratch_path(spark, "classes")
+    vocabulary.join(dealt.hint("merge"), F.when(F.col("n") >= least_count, F.xxhash64("word")) == F.col("d_h"), "left").select(
+        "word", "shape", "n", F.coalesce("d_class", F.col("shape") + plain).cast("int").alias("class")).write.parquet(path)
+    sent.destroy()
+    del sent, dealt
+    vocabulary = spark.read.parquet(path)
+    found, counts = with_classes(vocabulary.filter("shape >= 0"))
+    n = counted(found)
     transition = np.log10((n + PRIOR) / (n.sum(1, keepdims=True) + PRIOR * k))
     # words of each class and their counts
-    v = np.bincount(of[:clustered], minlength=k).astype(float)
-    c = np.bincount(of[:clustered], weights=counts[:clustered].astype(float), minlength=k)
-    inside = np.bincount(top["shape"].to_numpy(np.int64)[:clustered], minlength=SHAPES)
-    inside_n = np.bincount(top["shape"].to_numpy(np.int64)[:clustered], weights=counts[:clustered].astype(float), minlength=SHAPES)
-    for r in shapes:
-        if r["shape"] >= 0:
-            at = of[clustered + r["shape"]]
-            v[at], c[at] = r["v"] - inside[r["shape"]], r["n"] - inside_n[r["shape"]]
-    v[of[-1]], c[of[-1]] = min(1, ends), ends
-    step = transition[of][:, of] - np.log10(c + 0.1 * (v + 1))[of]
-    return ClassModel(path, total, distinct, ends, clustered, words, counts, step)
+    v, c = np.zeros(k), np.zeros(k)
+    for r in vocabulary.filter("shape >= 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        v[r["class"]], c[r["class"]] = r["v"], r["n"]
+    for i, r in enumerate(head):  # these have classes of their own, and not the table's
+        at = plain + r["shape"]
+        v[at], c[at], v[of[i]], c[of[i]] = v[at] - 1, c[at] - r["n"], v[of[i]] + 1, c[of[i]] + r["n"]
+    v[-1], c[-1] = min(1, ends), ends
+    return ClassModel(path, total, distinct, ends, found, counts, transition - np.log10(c + 0.1 * (v + 1)))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: ClassModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,16 +356,14 @@ def score(spark: SparkSession, docs: DataFrame, model: ClassModel, doc_id: str =
     one token, its end. Repeated rows and rows that share an id keep their own scores. Words beyond
     the dictionary get their counts by a join, so the model is the same however large it is.
     """
-    s = Symbols({w: i for i, w in enumerate(model.words)}, model.clustered)
-    sent = spark.sparkContext.broadcast((s.ranks, model.counts, model.step))
-    clustered, ends = model.clustered, model.end_count
+    sent = spark.sparkContext.broadcast((model.classes, model.counts, model.step))
+    ends = model.end_count
     denominator = math.log10(model.total + 0.1 * (model.distinct + 1))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ranks_of, counts, step = sent.value
-        s = Symbols(ranks_of, clustered)
+        s, counts, step = sent.value
         log_count, log_end = np.log10(np.append(counts, -0.1) + 0.1, where=np.append(counts, 0) > 0, out=np.zeros(len(counts) + 1)), math.log10(ends + 0.1)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:

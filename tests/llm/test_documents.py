@@ -585,6 +585,26 @@ def test_scores_do_not_depend_on_the_dictionary(spark, hard, none):
     assert brown.score(spark, none, model).count() == 0
 
 
+def test_words_beyond_the_clustered_have_learned_classes(spark):
+    r = random.Random(5)
+    kinds = [[f"{c}{i}" for i in range(60)] for c in "xyz"]
+    texts = [" ".join(r.choice(kinds[k % 3][:8] if r.random() < 0.7 else kinds[k % 3]) for k in range(60)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    b = df.select(F.col("text").cast("binary").alias("text"))
+    known = [w.encode() for kind in kinds for w in kind]
+    c, found = _unigrams(texts), []
+    for dictionary in (100_000, 40, 5):  # all words; fewer than there are; fewer than are clustered
+        model = brown.fit(spark, b, clustered=24, classes=3, dictionary=dictionary)
+        classes = [model.classes.of([w.encode() for w in kind if c[w.encode()] >= brown.LEAST_COUNT])[1].tolist() for kind in kinds]
+        assert [len(set(x)) for x in classes] == [1, 1, 1] and len({x[0] for x in classes}) == 3 and max(map(max, classes)) < 3
+        assert sum(map(len, classes)) > 100 and model.classes.of([b"new"])[1][0] == 3 + 4 * 2
+        found.append((classes, sorted(r.score for r in brown.score(spark, df, model).collect())))
+    assert all(f[0] == found[0][0] and np.allclose(f[1], found[0][1], rtol=1e-9) for f in found)
+    words = [b"", b"abc", "é".encode() * 40] + known[:5]
+    want = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w binary").orderBy("i").select(F.xxhash64("w")).collect()]
+    assert brown.word_hashes(words).tolist() == want
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(2)
     true = np.arange(40) % 4
