@@ -605,6 +605,13 @@ def test_words_beyond_the_clustered_have_learned_classes(spark):
     assert brown.word_hashes(words).tolist() == want
 
 
+def test_clustered_words_do_not_depend_on_the_dictionary(spark):
+    alike = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50)))], "doc_id bigint, text string").select(F.col("text").cast("binary").alias("text"))
+    model = brown.fit(spark, alike, clustered=24, classes=3, dictionary=10)  # all counts equal, and too many words for the dictionary
+    assert sorted(model.classes.known) == sorted(f"w{i}".encode() for i in range(50))[:24]
+    assert max(model.classes.of(list(model.classes.known))[1]) < 3
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(2)
     true = np.arange(40) % 4
