@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runwise.session import scratch_path
 
-from . import brown, decontaminate, language, lines, mixing, neardup, quality, substrings, tokens, urls
+from . import brown, decontaminate, fim, language, lines, mixing, neardup, quality, substrings, tokens, topk, urls, whitening
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, id_crc, table
 
 
@@ -75,7 +75,22 @@ def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_token_output, op4_suffix_dedup, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op9_line_dedup, op10_lm_scoring)}
+def op11_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, d, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    out = whitening.whiten(table(spark, d, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_top_products(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_products(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_token_output, op4_suffix_dedup, op5_mixing, op6_near_duplicates, op7_decontamination, op8_quality_rules, op9_line_dedup, op10_lm_scoring, op11_fill_in_middle, op12_embedding_whitening, op13_top_products)}
 
 SQL = {
     "op2_url_filters": rf"""
@@ -157,4 +172,23 @@ SQL = {
             from w left join r using (doc_id) left join l using (doc_id))
         select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, n_dup_lines, n_repeat_words, base_failed,
             not base_failed and enough kept from x""",
+    "op11_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') t, sha256(concat('7:', coalesce(cast(doc_id as varchar), ''))) h from documents),
+        u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') u, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(h, i, 8) as bigint)) r from d),
+        c as (select *, len(u) n, list_transform(r[1:2], lambda x: x % (len(u) + 1)) c,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100 then 'plain'
+                when r[4] % 100 < 50 then 'spm' else 'psm' end form from u),
+        p as (select *, array_to_string(u[1 : list_min(c)], '') p, array_to_string(u[list_min(c) + 1 : list_max(c)], '') m,
+            array_to_string(u[list_max(c) + 1 :], '') s from c)
+        select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(p) as bigint) end prefix_chars,
+            case when form <> 'plain' then cast(length(m) as bigint) end middle_chars,
+            sha256(case form when 'plain' then t when 'psm' then concat('<P>', p, '<S>', s, '<M>', m) else concat('<S>', s, '<P>', p, '<M>', m) end) output_sha256,
+            sha256(t) restored_sha256 from p""",
+    "op13_top_products": r"""
+        with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) x from embeddings
+            where len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))),
+        s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) score
+            from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+        select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
 }
