@@ -7,15 +7,14 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: What stands before the prefix, the suffix and the middle.
 SENTINELS = ("<P>", "<S>", "<M>")
 SCHEMA = "n bigint, form string, prefix_chars bigint, middle_chars bigint, output string"
-#: Bytes of output that a batch holds before it is handed on.
-BATCH_BYTES = 16_000_000
+#: Bytes of output that a batch holds before it is handed on, and texts that are Python objects at a time.
+BATCH_BYTES, ROWS_AT_ONCE = 16_000_000, 200
 
 
 def unit_ends(data: bytes) -> np.ndarray:
@@ -104,13 +103,14 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, size = [], [], 0
-            for i, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
-                ids.append(i)
-                rows.append(transform(t or b"", i, seed, percent, spm_percent, marks))
-                size += len(rows[-1][-1])
-                if size > BATCH_BYTES:
-                    yield done(ids, rows)
-                    ids, rows, size = [], [], 0
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for i, t in zip(*(batch.column(c).slice(at, ROWS_AT_ONCE).to_pylist() for c in ("doc_id", "text"))):
+                    ids.append(i)
+                    rows.append(transform(t or b"", i, seed, percent, spm_percent, marks))
+                    size += len(rows[-1][-1])
+                    if size > BATCH_BYTES:
+                        yield done(ids, rows)
+                        ids, rows, size = [], [], 0
             if ids:
                 yield done(ids, rows)
 
@@ -128,10 +128,13 @@ def restored(output: str | Column, form: str | Column, sentinels: tuple[str, str
     """The exact texts of columns ``output`` and ``form``, from these alone. A null output gives null."""
     marks = _bytes(sentinels)
 
-    @F.pandas_udf("string")
-    def back(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for outputs, forms in batches:
-            yield pd.Series([None if o is None else restore(o.encode(), f, marks).decode() for o, f in zip(outputs, forms)], dtype=object)
+    @F.arrow_udf("string")
+    def back(outputs: pa.Array, forms: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.string())]
+        for at in range(0, len(outputs), ROWS_AT_ONCE):
+            pairs = zip(*(x.slice(at, ROWS_AT_ONCE).to_pylist() for x in (outputs.cast(pa.binary()), forms)))
+            parts.append(pa.array([None if o is None else restore(o, f, marks) for o, f in pairs], pa.binary()).cast(pa.string()))
+        return pa.concat_arrays(parts)
 
     return back(output, form)
 
