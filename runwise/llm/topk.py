@@ -16,6 +16,8 @@ FACTOR, K = 64, 20
 #: Rows of a block of candidates and of queries, and of the parts in which a task compares them.
 CANDIDATES, QUERIES = 4096, 1024
 CANDIDATES_AT_ONCE, QUERIES_AT_ONCE = 1024, 256
+#: Partitions of the candidates at most, and how many times as many blocks each wave has as all before it.
+MOST_PARTITIONS, WAVE = 10_000, 8
 #: Shares of the axes after which a partial sum is held against the bound.
 STEPS = (0.25, 0.5)
 #: Relative error that is allowed to rounding in a bound.
@@ -116,7 +118,10 @@ def best_of(queries: Side, own: np.ndarray, least: np.ndarray, cands: Side, rows
 
 
 def _search(cells: DataFrame, axes: np.ndarray, size: int, k: int) -> DataFrame:
-    """``FOUND`` rows, k a query at most, of each pair of a block of queries and one of candidates."""
+    """``FOUND`` rows, k a query at most, of each pair of a block of queries and one of candidates.
+
+    Only what comes before the query's k-th best so far, by score, then id, then row, is returned.
+    """
     steps = sorted({max(1, round(size * s)) for s in STEPS})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,22 +129,22 @@ def _search(cells: DataFrame, axes: np.ndarray, size: int, k: int) -> DataFrame:
             for cell in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 q = Side(matrix(cell["q_data"], cell["q_kind"], cell["q_n"], size), axes, steps)
                 c = Side(matrix(cell["data"], cell["kind"], cell["n"], size), axes, steps)
-                own, rows = np.array(cell["q_rows"]), np.array(cell["rows"])
+                own, rows, ids, q_ids, kth = np.array(cell["q_rows"]), np.array(cell["rows"]), cell["ids"], cell["q_ids"], cell["kth"]
                 # ties go to the smaller id, then to the earlier row; null ids are last
-                ids = cell["ids"]
                 places = np.empty(len(rows), np.int64)
                 places[sorted(range(len(rows)), key=lambda i: (ids[i] is None, ids[i] or 0, rows[i]))] = np.arange(len(rows))
-                least = np.array([_NONE if x is None else x for x in cell["least"]])
+                least = np.array([_NONE if x is None else x["score"] for x in kth])
                 at, best = best_of(q, own, least, c, rows, places, k, steps)
-                line, column = np.nonzero(best != _NONE)
-                at, best = at[line, column], best[line, column]
-                keep = best >= least[line]
-                line, at, best = line[keep], at[keep], best[keep]
-                q_ids = cell["q_ids"]
-                yield pa.record_batch([pa.array(own[line]), pa.array([q_ids[i] for i in line], pa.int64()), pa.array([ids[i] for i in at], pa.int64()),
-                                       pa.array(rows[at]), pa.array(best)], names=["q_row", "query_id", "vec_id", "row", "score"])
+                line, column = np.nonzero((best != _NONE) & (best >= least[:, None]))
+                out = []
+                for i, j, score in zip(line.tolist(), at[line, column].tolist(), best[line, column].tolist()):
+                    x, row = kth[i], int(rows[j])
+                    if x is None or score > x["score"] or (ids[j] is None, ids[j] or 0, row) < (x["vec_id"] is None, x["vec_id"] or 0, x["row"]):
+                        out.append((int(own[i]), q_ids[i], ids[j], row, score))
+                columns = zip(*out) if out else [()] * 5
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=["q_row", "query_id", "vec_id", "row", "score"])
 
-    return cells.select("q_n", "q_kind", "q_ids", "q_rows", "q_data", "least", "n", "kind", "ids", "rows", "data").mapInArrow(search, FOUND)
+    return cells.select("q_n", "q_kind", "q_ids", "q_rows", "q_data", "kth", "n", "kind", "ids", "rows", "data").mapInArrow(search, FOUND)
 
 
 def top_products(df: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", factor: int = FACTOR) -> DataFrame:
@@ -149,9 +154,11 @@ def top_products(df: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_
     rows but the query's own are candidates, all of them where there are fewer than ``k``. Ties go
     to the smaller id.
 
-    Candidates are range-sorted by falling length and packed into blocks, queries into smaller ones. The block
-    of the longest vectors gives each query a score that its k-th best reaches at least. A block of queries then
-    meets the blocks that are long enough for one of them, so a task holds two blocks, whatever the table's size.
+    Candidates are range-sorted by falling length and packed into numbered blocks, queries into smaller ones. Blocks
+    of queries meet the first block of candidates, then the next ones in waves that grow by WAVE. After each wave
+    a query knows its k best so far; blocks too short for every query of a block are not met, and a cell
+    returns only what beats the k-th. So a query brings some ``k * WAVE`` rows to a wave, not k to every block, and
+    a task holds two blocks, whatever the table's size.
 
     Rows whose vector is null or holds a null or non-finite entry take no part. Shorter vectors count as if zeros
     followed, an empty one as zeros. A row without an id is a candidate, after all others of its score, and no query.
@@ -166,55 +173,59 @@ def top_products(df: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_
         return spark.read.parquet(path)
 
     rows = kept(integer_vectors(df, factor, vec_id, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    size = max(rows.agg(F.max(F.size("x"))).first()[0] or 0, 1)
+    number, size = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    if not number:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    size = max(size, 1)
     rows = padded(rows, size).withColumn("length", F.ceil(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e.cast("double") * e))))
     order = [F.desc("length"), F.col("row")]
-    # partitions are in the order of the lengths, and so are the blocks' numbers
-    part = F.shiftleft(F.spark_partition_id().cast("bigint"), 24)
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    cands = kept(pack(sorted_, CANDIDATES, size).withColumn("block", part + F.col("block")), "candidates")
-    asked = kept(pack(rows.filter(queries), QUERIES, size).withColumn("block", part + F.col("block")), "queries")
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "kind", "ids", "rows", "data")))
-    first = cands.agg(F.min("block"), F.max(F.shiftright("block", 24)), F.max(F.col("block").bitwiseAND((1 << 24) - 1))).first()
-    if first[0] is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    placed = rows.repartitionByRange(min(MOST_PARTITIONS, -(-number // CANDIDATES)), *order).sortWithinPartitions(*order)
+    # ranges come out uneven, so that most are one block, but none is more than twice the usual size
+    cands = kept(pack(placed, 2 * CANDIDATES, size).withColumn("part", F.spark_partition_id()), "candidates")
+    # partitions are in the order of the lengths; there are MOST_PARTITIONS of them at most
+    before, total = [], 0
+    for part, blocks in sorted(tuple(r) for r in cands.groupBy("part").count().collect()):
+        before.append((part, total))
+        total += blocks
+    first = F.broadcast(spark.createDataFrame(before, "b_part int, before bigint"))
+    cands = cands.join(first, F.col("part") == F.col("b_part")).withColumn("block", F.col("before") + F.col("block")).drop("part", "b_part", "before")
+    asked = pack(rows.filter(queries), QUERIES, size).withColumn("block", F.shiftleft(F.spark_partition_id().cast("bigint"), 32) + F.col("block"))
+    asked = kept(asked.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "kind", "ids", "rows", "data"))), "queries")
     axes = main_axes(cands, size)
-
-    # one block of bounded size goes to all queries
-    longest = F.broadcast(cands.filter(F.col("block") == first[0]).limit(1).drop("block"))
-    unknown = F.transform("q_rows", lambda _: F.lit(None).cast("bigint"))
-    start = _search(asked.withColumn("least", unknown).join(longest, F.lit(True)), axes, size, k)
-    floors = start.groupBy("q_row").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k)
-    of_block = asked.select("q_block", F.posexplode("q_rows").alias("place", "q_row"))
-    floors = of_block.join(floors.withColumnRenamed("q_row", "f_row"), F.col("q_row") == F.col("f_row"), "left").groupBy("q_block").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "score"))), lambda p: p["score"]).alias("least"))
-    ready = kept(asked.join(floors.withColumnRenamed("q_block", "f_block"), F.col("q_block") == F.col("f_block")).drop("f_block"), "queries")
-    return _ranked(_search(_cells(ready, cands, first[1], first[2], size), axes, size, k), k)
-
-
-def _cells(ready: DataFrame, cands: DataFrame, parts: int, blocks: int, size: int) -> DataFrame:
-    """Blocks of queries with the blocks of candidates in which a query may find one of its best."""
+    best, low, high = spark.createDataFrame([], f"{FOUND}, rank int"), 0, 1
+    while low < total:
+        found = _search(_cells(_with_kth(asked, best, k), cands, low, min(high, total)), axes, size, k)
+        by = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+        merged = best.drop("rank").unionByName(found).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+        best, low, high = kept(merged, "best"), high, high * WAVE
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _with_kth(asked: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """``asked`` with the array ``kth``: the k-th best so far of each query of the block, null where there are fewer."""
+    known = best.filter(F.col("rank") == k).select(F.col("q_row").alias("k_row"), F.struct("score", "vec_id", "row").alias("found"))
+    places = asked.select("q_block", F.posexplode("q_rows").alias("place", "q_row"))
+    # a block has QUERIES rows at most
+    kth = places.join(known, F.col("q_row") == F.col("k_row"), "left").groupBy("q_block").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "found"))), lambda p: p["found"]).alias("kth"))
+    return asked.join(kth.withColumnRenamed("q_block", "k_block"), F.col("q_block") == F.col("k_block")).drop("k_block")
+
+
+def _cells(ready: DataFrame, cands: DataFrame, low: int, high: int) -> DataFrame:
+    """Blocks of queries with those of the candidates ``low`` up to ``high`` in which a query may find one of its best."""
     def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             needs = []
-            for n, kind, data, least in zip(*(batch.column(c).to_pylist() for c in ("q_n", "q_kind", "q_data", "least"))):
-                length = np.sqrt((matrix(data, kind, n, size).astype(float) ** 2).sum(1))
-                known = np.array([-np.inf if x is None else x for x in least], float)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    need = np.where(known <= 0, -np.inf, known / length)
-                needs.append(float(need.min(initial=np.inf)) * (1 - SLACK))
+            for n, kind, data, kth in zip(*(batch.column(c).to_pylist() for c in ("q_n", "q_kind", "q_data", "kth"))):
+                length = np.sqrt((np.frombuffer(data, kind).reshape(n, -1).astype(float) ** 2).sum(1))
+                known = np.array([-np.inf if x is None else x["score"] for x in kth], float)
+                need = np.divide(known, length, out=np.full(n, -np.inf), where=(known > 0) & (length > 0))
+                needs.append(float(need.min()) * (1 - SLACK))
             yield pa.record_batch([batch.column("q_block"), pa.array(needs, pa.float64())], names=["n_block", "need"])
 
-    needs = ready.select("q_block", "q_n", "q_kind", "q_data", "least").mapInArrow(shortest, "n_block bigint, need double")
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(parts)))
-    places = needs.select("*", numbers.alias("part")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks))).alias("place"))
-    wanted = places.select("n_block", "need", (F.shiftleft(F.col("part").cast("bigint"), 24) + F.col("place")).alias("number"))
+    needs = ready.select("q_block", "q_n", "q_kind", "q_data", "kth").mapInArrow(shortest, "n_block bigint, need double")
+    wanted = needs.select("*", F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint"))).alias("number"))
     tops = cands.select(F.col("block").alias("t_block"), F.col("top").cast("double").alias("t_top"))
     wanted = wanted.join(tops, F.col("number") == F.col("t_block")).filter("t_top >= need").select("n_block", "number")
     pairs = wanted.join(ready, F.col("n_block") == F.col("q_block"))
-    return pairs.join(cands, F.col("number") == F.col("block"))
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.join(cands.filter(F.col("block").between(low, high - 1)), F.col("number") == F.col("block"))

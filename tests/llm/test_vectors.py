@@ -202,7 +202,7 @@ def test_search_hard_rows(spark, k):
 @pytest.mark.parametrize("seed, scale", [(1, 0.0), (2, 1.0), (3, 4.0)])
 def test_search_in_many_blocks(spark, monkeypatch, seed, scale):
     """Vectors of few main axes and of very different lengths, so that bounds drop most; a third are copies."""
-    for name, n in (("CANDIDATES", 37), ("QUERIES", 11), ("CANDIDATES_AT_ONCE", 10), ("QUERIES_AT_ONCE", 4)):
+    for name, n in (("CANDIDATES", 19), ("WAVE", 3), ("QUERIES", 11), ("CANDIDATES_AT_ONCE", 10), ("QUERIES_AT_ONCE", 4)):
         monkeypatch.setattr(topk, name, n)
     r = random.Random(seed)
     rows = [(i, [r.gauss(0, 1) * math.exp(scale * length) / (j + 1) ** 2 for j in range(12)]) for i, length in enumerate(r.random() for _ in range(300))]
