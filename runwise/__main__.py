@@ -108,8 +108,7 @@ def main(argv: list[str] | None = None) -> None:
         result.points.show()
         result.probe.show()
     else:
-        src.require_readable(spark, args.event_logs)
-        durations = op.app_durations(src.read_event_logs(spark, args.event_logs))
+        durations = op.app_durations(src.read_event_logs(spark, args.event_logs, complete=True))
         trials = op.trial_table(src.read_config_logs(spark, args.config_logs), durations, args.param)
         op.trial_stats(trials, by="value").orderBy("avg").show()
         op.best_trial(trials, ties=("application_attempt",)).show()

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runwise.functions.params import SECRET_KEYS
 from runwise.schemas import APPLICATION_END, APPLICATION_START, ENVIRONMENT_UPDATE, TASK_END
+from runwise.sources.event_logs import LOG_AT, LOG_FILE, part_number, with_application_id
 
 PEAK_MEMORY = "internal.metrics.peakExecutionMemory"
 
@@ -34,16 +35,17 @@ def task_metrics(events: DataFrame) -> DataFrame:
 
     The peak-memory accumulables are condensed inside the row's own array
     instead of exploding it. ``has_peak`` tells a task that reports the metric
-    without a value from one that does not report it.
+    without a value from one that does not report it. Events of log files keep their ``log_file``.
     """
+    where = [LOG_FILE] if LOG_FILE in events.columns else []
     tasks = events.filter(F.col("Event") == TASK_END).select(
-        "application_attempt",
+        "application_attempt", *where,
         *[F.col(field).alias(name) for name, field in TASK_FIELDS.items()],
         F.col("`Task Info`.Accumulables").alias("accumulables"),
         _occurrences(F.col("`Task Info`.Accumulables.Name"), PEAK_MEMORY).alias("peaks"),
     )
     return tasks.select(
-        "application_attempt", *TASK_FIELDS, (F.col("peaks") > 0).cast("int").alias("has_peak"), _peak().alias("peak")
+        "application_attempt", *where, *TASK_FIELDS, (F.col("peaks") > 0).cast("int").alias("has_peak"), _peak().alias("peak")
     )
 
 
@@ -87,16 +89,19 @@ def app_metrics(tasks: DataFrame) -> DataFrame:
 
     All aggregates share one shuffle of partial results, one row per application
     and map task, so neither many tasks nor one dominating application hurts.
+    Tasks of log files are totalled per file first, so that the application is
+    read from a path once per file and not once per event.
     """
-    return tasks.groupBy("application_attempt").agg(
-        F.sum(F.col("finish_time") - F.col("launch_time")).alias("total_duration"),
-        F.sum("jvm_gc_time").alias("total_gc"),
-        F.max("mem_spill").alias("mem_spill"),
-        F.max("disk_spill").alias("disk_spill"),
-        F.max(_moved()).alias("max_bytes_all"),
-        F.max("peak").alias("max_peak_mem"),
-        F.max("has_peak").alias("has_peak"),
-    )
+    values = {
+        "total_duration": (F.sum, F.col("finish_time") - F.col("launch_time")), "total_gc": (F.sum, F.col("jvm_gc_time")),
+        "mem_spill": (F.max, F.col("mem_spill")), "disk_spill": (F.max, F.col("disk_spill")),
+        "max_bytes_all": (F.max, _moved()), "max_peak_mem": (F.max, F.col("peak")), "has_peak": (F.max, F.col("has_peak")),
+    }
+    if LOG_FILE in tasks.columns:
+        files = tasks.groupBy(LOG_FILE).agg(*[f(c).alias(name) for name, (f, c) in values.items()])
+        tasks = files.withColumn("application_attempt", with_application_id(F.col(LOG_FILE)))
+        values = {name: (f, F.col(name)) for name, (f, _) in values.items()}
+    return tasks.groupBy("application_attempt").agg(*[f(c).alias(name) for name, (f, c) in values.items()])
 
 
 def app_durations(events: DataFrame) -> DataFrame:
@@ -115,11 +120,20 @@ def effective_conf(events: DataFrame, redact: str = SECRET_KEYS) -> DataFrame:
     """``(application_attempt, key, value)`` of the settings applications ran under, one row per key.
 
     Spark logs all settings again when an application adds files or jars; where
-    a value differs then, the largest is shown.
+    a value differs then, the last one logged is shown: that of the highest part
+    of a rolling log, and there the one furthest on. Events that do not come from
+    log files have no order, and the largest value is shown.
     """
+    updates = events.filter(F.col("Event") == ENVIRONMENT_UPDATE)
+    if LOG_FILE in events.columns:
+        # within a split the running id follows the file
+        file = F.col(LOG_FILE)
+        order = F.struct(F.coalesce(part_number(file), F.lit(0)), file, LOG_AT, F.monotonically_increasing_id())
+    else:
+        order = F.lit(0)
+    value = F.when(F.col("key").rlike(redact), F.lit("*(redacted)")).otherwise(F.col("value"))
     return (
-        events.filter(F.col("Event") == ENVIRONMENT_UPDATE)
-        .select("application_attempt", F.explode("Spark Properties").alias("key", "value"))
-        .withColumn("value", F.when(F.col("key").rlike(redact), F.lit("*(redacted)")).otherwise(F.col("value")))
-        .groupBy("application_attempt", "key").agg(F.max("value").alias("value"))
+        updates.select("application_attempt", order.alias("at"), "Spark Properties")
+        .select("application_attempt", "at", F.explode("Spark Properties").alias("key", "value"))
+        .groupBy("application_attempt", "key").agg(F.max_by(value, F.struct("at", value)).alias("value"))
     )

@@ -8,7 +8,7 @@ from runwise.operators import (
     Curve, app_metrics, combine_predictions, fit_curve, predict_curve, probe_points, read_curve, refit_curve,
     task_metrics, training_points, write_curve,
 )
-from runwise.sources import read_config_logs, read_event_logs, require_readable
+from runwise.sources import read_config_logs, read_event_logs
 
 
 class Analysis(NamedTuple):
@@ -28,8 +28,7 @@ def analyze_runs(
     curve is written to ``curve_path``; one that an earlier run wrote to
     ``old_curve_path`` is refitted with the new points.
     """
-    require_readable(spark, event_logs)
-    metrics = app_metrics(task_metrics(read_event_logs(spark, event_logs)))
+    metrics = app_metrics(task_metrics(read_event_logs(spark, event_logs, complete=True)))
     configs = read_config_logs(spark, config_logs)
     training_points(combine_predictions(metrics), configs, rows_key).write.mode("overwrite").parquet(points_path)
     points = spark.read.parquet(points_path)

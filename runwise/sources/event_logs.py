@@ -1,19 +1,28 @@
 """Spark event logs as a DataFrame of events."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runwise.schemas import EVENT
+from runwise.sources.codecs import DECODED, codec_of, decoded_lines
+from runwise.sources.files import decoded, resolver, store_options
 
 INPROGRESS = ".inprogress"
 
 COMPACT = ".compact"
 
+# Where an event stands: its file, and its place there or that of the split it was read in.
+LOG_FILE, LOG_AT = "log_file", "log_at"
+
 _SUFFIXES = r"(\.(zstd|lz4|snappy|lzf|inprogress|compact))+$"
 _ROLLING = r"^events_(\d+)_"
 _APP_FOLDER = r"/application_attempt=([^/]+)/"
+# Names that Spark's JSON reader cannot decode.
+_OTHER_CODECS = r"\.(lz4|snappy|lzf)(\.compact|\.inprogress)*$|\.zstd(\.compact|\.inprogress)+$"
 
 
-def with_application_id() -> Column:
+def with_application_id(file_path: Column | None = None) -> Column:
     """The application a log line belongs to, from the path of its file.
 
     Plain logs are named by the application, parts of a rolling log are
@@ -23,69 +32,100 @@ def with_application_id() -> Column:
     ``_metadata`` column is used because, unlike ``input_file_name()``, it lets
     filters on the events reach the scan.
     """
-    folder = F.regexp_extract(F.col("_metadata.file_path"), _APP_FOLDER, 1)
-    name = F.regexp_replace(F.col("_metadata.file_name"), _SUFFIXES, "")
+    path = F.col("_metadata.file_path") if file_path is None else file_path
+    folder = F.regexp_extract(path, _APP_FOLDER, 1)
+    name = F.regexp_replace(F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B"))), _SUFFIXES, "")
     return F.when(folder != "", folder).otherwise(F.regexp_replace(name, _ROLLING, ""))
 
 
-def read_event_logs(spark: SparkSession, path: str, include_inprogress: bool = False) -> DataFrame:
-    """All events below ``path`` with their ``application_attempt``.
+def part_number(file_path: Column) -> Column:
+    """The number of a part of a rolling log; null for other files."""
+    return F.regexp_extract(F.substring_index(file_path, "/", -1), _ROLLING, 1).try_cast("bigint")
+
+
+def read_event_logs(
+    spark: SparkSession, path: str, include_inprogress: bool = False, complete: bool = False, filesystem=None
+) -> DataFrame:
+    """All events below ``path`` with their ``application_attempt``, ``log_file`` and ``log_at``.
 
     The schema is given, so there is no inference pass, and lines that are not
-    JSON come out as null events, which every event filter drops. Plain logs of
-    running applications are left out unless asked for. The parts of a rolling log
+    JSON come out as null events, which every event filter drops. Files are listed once. Those in a codec
+    that the JSON reader lacks are decoded on the executors, see ``codecs``, and parsed by the same schema.
+
+    Plain logs of running applications are left out unless asked for. The parts of a rolling log
     do not tell in their names whether it is complete, so they are always read;
     ``app_durations`` has only applications that logged their end. Parts that a
     compacted part of the same folder covers are left out.
+
+    A log in lzf, which nothing here decodes, gives no event; with ``complete`` it raises an error instead.
+    ``log_at`` orders the events of a file: the start of the split for plain files, the line for decoded ones.
+    ``filesystem``, a pyarrow file system, opens files to decode where the session's store options don't.
     """
-    events = spark.read.schema(EVENT).option("recursiveFileLookup", True).json(path)
+    plain = spark.read.schema(EVENT).option("recursiveFileLookup", True).json(path)
+    fields = plain.columns
+    # spelt as in the metadata
+    files = [re.sub(r"^(\w+):///", r"\1:/", f) for f in plain.inputFiles()]
+    other, covered = _sorted_out(files, include_inprogress)
+    unknown = [file for file, codec in other if codec not in DECODED]
+    if unknown and complete:
+        raise ValueError(f"cannot decode event log {unknown[0]}; use zstd, lz4, snappy or no compression")
+    other = [(file, codec) for file, codec in other if codec in DECODED]
+    name, file = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    # filters on the file's name leave its files out of the scan
+    if other or unknown:
+        plain = plain.filter(~name.rlike(_OTHER_CODECS))
+    if covered:
+        plain = plain.filter(~file.isin(covered))
     if not include_inprogress:
-        events = events.filter(~F.col("_metadata.file_name").endswith(INPROGRESS))
-    events = events.withColumn("application_attempt", with_application_id())
-    compacted = _compacted(spark, path)
-    if compacted.isEmpty():
-        return events
-    name = F.col("_metadata.file_name")
-    part = F.regexp_extract(name, _ROLLING, 1).try_cast("bigint")
-    folder = F.regexp_replace(F.col("_metadata.file_path"), "[^/]*$", "")
-    placed = events.withColumns({"_folder": folder, "_part": part, "_name": name})
-    kept = F.expr("last is null or _part is null or _part > last or (_part = last and _name like '%.compact')")
-    return placed.join(compacted, "_folder", "left").filter(kept).select(*events.columns)
-
-
-def _listed(spark: SparkSession, path: str, names: str) -> DataFrame:
-    """The paths of the files with such names; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", names)
-        .load(path)
-        .select("path")
-    )
-
-
-def _compacted(spark: SparkSession, path: str) -> DataFrame:
-    """``(_folder, last)``: the last part that is compacted, for each folder that has one."""
-    found = _listed(spark, path, "events_*" + COMPACT)
-    part = F.regexp_extract(F.regexp_extract("path", "[^/]*$", 0), _ROLLING, 1).try_cast("bigint")
-    return found.groupBy(F.regexp_replace("path", "[^/]*$", "").alias("_folder")).agg(F.max(part).alias("last"))
+        plain = plain.filter(~name.endswith(INPROGRESS))
+    events = plain.select(*fields, file.alias(LOG_FILE), F.col("_metadata.file_block_start").alias(LOG_AT))
+    if other:
+        lines = decoded_lines(spark, [(f, decoded(f), codec) for f, codec in other], resolver(store_options(spark), filesystem))
+        parsed = lines.select(LOG_FILE, LOG_AT, F.from_json("line", EVENT).alias("e")).select("e.*", LOG_FILE, LOG_AT)
+        events = events.unionByName(parsed)
+    return events.withColumn("application_attempt", with_application_id(F.col(LOG_FILE)))
+
+
+def _sorted_out(files: list[str], include_inprogress: bool) -> tuple[list[tuple[str, str]], list[str]]:
+    """Of the listed files, those that the JSON reader cannot decode with their codec, and those that a compacted part covers."""
+    last: dict[str, int] = {}
+    placed = []
+    for file in files:
+        folder, _, name = file.rpartition("/")
+        number = re.match(_ROLLING, name)
+        placed.append((file, folder, name, int(number[1]) if number else None))
+        if number and name.endswith(COMPACT):
+            last[folder] = max(last.get(folder, 0), int(number[1]))
+    other, covered = [], []
+    for file, folder, name, number in placed:
+        upto = last.get(folder, 0)
+        if number is not None and (number < upto or number == upto and not name.endswith(COMPACT)):
+            covered.append(file)
+        elif re.search(_OTHER_CODECS, name) and (include_inprogress or not name.endswith(INPROGRESS)):
+            other.append((file, codec_of(name) or ""))
+    return other, covered
 
 
 def unreadable_event_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of logs that Spark can write but its JSON reader cannot decode.
+    """Paths of logs that Spark can write but nothing here decodes: those in lzf.
 
     Such files do not fail, they read as empty, so a job that must see every
-    application should look here first. Uncompressed and zstd logs are fine, but
-    compacted parts end in ``.compact``, behind which no codec is recognised.
+    application should look here first.
     """
-    return _listed(spark, path, "*{.lz4,.snappy,.lzf,.zstd.compact,.lz4.compact,.snappy.compact,.lzf.compact}")
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*{.lzf,.lzf.compact,.lzf.inprogress}")
+        .load(path)
+        .select("path")
+    )
 
 
 def require_readable(spark: SparkSession, path: str) -> None:
-    """Raise if a log below ``path`` cannot be decoded."""
+    """Raise if a log below ``path`` cannot be decoded. ``read_event_logs`` does the same from its own listing."""
     unreadable = unreadable_event_logs(spark, path).first()
     if unreadable is not None:
-        raise ValueError(f"cannot decode event log {unreadable.path}; use zstd or no compression")
+        raise ValueError(f"cannot decode event log {unreadable.path}; use zstd, lz4, snappy or no compression")
 
 
 def write_event_logs(events: DataFrame, path: str) -> None:
@@ -95,7 +135,8 @@ def write_event_logs(events: DataFrame, path: str) -> None:
     execution split one that is much larger than the rest.
     """
     (
-        events.hint("rebalance", "application_attempt")
+        events.drop(LOG_FILE, LOG_AT)
+        .hint("rebalance", "application_attempt")
         .write.mode("overwrite")
         .partitionBy("application_attempt")
         .json(path)

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.schemas import FOOTER
+from runwise.sources.files import resolver, store_options
 
 
-def _footer_reader(filesystem):
+def _footer_reader(resolve):
     """The function the Python workers run.
 
     It is nested so that it travels to the executors by value: they need
@@ -14,12 +15,8 @@ def _footer_reader(filesystem):
     def footer(path: str):
         import pyarrow as pa
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
-        if filesystem is None:
-            store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-        else:
-            store, name = filesystem, path.split(":", 1)[-1].removeprefix("//")
+        store, name = resolve(path)
         with store.open_input_file(name) as file:
             try:
                 meta = pq.ParquetFile(file).metadata
@@ -46,8 +43,8 @@ def parquet_footers(spark: SparkSession, path: str, filesystem=None) -> DataFram
     Spark lists the files; only their names are read there, since the contents
     are not selected. Tasks then read the tail of each file. Listing packs tasks
     by file size, far too finely for footers, hence the narrow coalesce.
-    ``filesystem``, a pyarrow file system, is for stores that need more than the
-    executors' own settings, such as an endpoint.
+    Executors open files with the session's store options; ``filesystem``, a pyarrow
+    file system, is for stores that need something else.
     """
     files = (
         spark.read.format("binaryFile")
@@ -57,7 +54,7 @@ def parquet_footers(spark: SparkSession, path: str, filesystem=None) -> DataFram
         .select("path")
         .coalesce(4 * spark.sparkContext.defaultParallelism)
     )
-    return files.mapInPandas(_footer_reader(filesystem), FOOTER)
+    return files.mapInPandas(_footer_reader(resolver(store_options(spark), filesystem)), FOOTER)
 
 
 def parquet_profile(footers: DataFrame) -> DataFrame:

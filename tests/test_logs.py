@@ -9,6 +9,8 @@ from runwise import fixtures as fx
 from runwise.operators import app_durations, app_metrics, effective_conf, task_metrics, trial_table
 from runwise.schemas import TASK_END
 from runwise.session import event_log_conf
+from runwise.sources.codecs import decoded_lines
+from runwise.sources.files import resolver, store_options
 from runwise.sources import (
     config_record, read_config_logs, read_event_logs, require_readable, unreadable_event_logs, with_application_id,
     write_config_log, write_event_logs,
@@ -184,9 +186,12 @@ def test_compacted_parts_replace_what_they_cover(spark, tmp_path):
     got = read_event_logs(spark, str(tmp_path)).select("application_attempt", "Timestamp").collect()
     assert sorted(map(tuple, got)) == [("app-1", 3), ("app-1", 12), ("app-2", 7)]
     require_readable(spark, str(tmp_path))
-    part("events_1_app-1.zstd.compact", 1)
+    part("events_4_app-1.lzf", 1)
+    assert read_event_logs(spark, str(tmp_path)).filter("Event is not null").count() == 3
     with pytest.raises(ValueError, match="cannot decode"):
         require_readable(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="cannot decode"):
+        read_event_logs(spark, str(tmp_path), complete=True)
 
 
 def test_last_record_of_an_application_counts(spark, tmp_path):
@@ -202,3 +207,165 @@ def test_settings_logged_twice_are_one_row(spark):
     rows = [("a", "SparkListenerEnvironmentUpdate", {"k": "v", "x": "1"})] * 2
     df = spark.createDataFrame(rows, "application_attempt string, Event string, `Spark Properties` map<string,string>")
     assert sorted(map(tuple, effective_conf(df).collect())) == [("a", "k", "v"), ("a", "x", "1")]
+
+
+CODECS = ("lz4", "snappy", "zstd")
+
+
+@pytest.fixture(scope="module")
+def coded(tmp_path_factory):
+    """The same application's log in every codec: as Spark writes it, and its events as a plain file."""
+    folder, plain = tmp_path_factory.mktemp("coded"), tmp_path_factory.mktemp("plain")
+    apps = {}
+    for codec, rolling in (*((c, "true") for c in CODECS), ("lz4", "false")):
+        apps[run_application(str(folder), **{
+            "spark.eventLog.rolling.enabled": rolling, "spark.eventLog.compress": "true", "spark.eventLog.compression.codec": codec,
+        })] = codec
+    return folder, plain, apps
+
+
+def _plain_copy(spark, folder, plain):
+    """Every log decoded by Spark's own codec, which the reader under test does not use."""
+    jvm = spark._jvm
+    for file in folder.rglob("*"):
+        name = file.name.removesuffix(".compact")
+        codec = name.rpartition(".")[2]
+        if not file.is_file() or codec not in CODECS or file.name.startswith("."):
+            continue
+        stream = jvm.org.apache.spark.io.CompressionCodec.createCodec(spark._jsparkSession.sparkContext().conf(), codec)
+        source = stream.compressedContinuousInputStream(jvm.java.io.FileInputStream(str(file)))
+        target = plain / file.relative_to(folder).with_name(name.removesuffix("." + codec) + (".compact" if file.name.endswith(".compact") else ""))
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    return plain
+
+
+def test_logs_in_every_codec_equal_the_plain_ones(spark, coded):
+    folder, plain, apps = coded
+    _plain_copy(spark, folder, plain)
+    events, same = read_event_logs(spark, str(folder), complete=True), read_event_logs(spark, str(plain))
+    for result in (lambda e: app_metrics(task_metrics(e)), app_durations, effective_conf):
+        a, b = result(events), result(same)
+        assert {r[0] for r in a.select("application_attempt").collect()} == set(apps)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    count = lambda e: sorted(map(tuple, e.groupBy("application_attempt", "Event").count().collect()))
+    assert count(events.filter("Event is not null")) == count(same.filter("Event is not null"))
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_compacted_parts_in_every_codec(spark, tmp_path, coded, codec):
+    """A real part, taken as the compacted one, replaces what it covers."""
+    folder, _, apps = coded
+    app = next(a for a, c in apps.items() if c == codec and list(folder.glob(f"eventlog_v2_{a}/events_1_{a}.{codec}")))
+    part = folder / f"eventlog_v2_{app}" / f"events_1_{app}.{codec}"
+    target = tmp_path / f"eventlog_v2_{app}"
+    target.mkdir()
+    (target / f"events_1_{app}.{codec}").write_bytes(b"covered")
+    (target / f"events_2_{app}.{codec}.compact").write_bytes(part.read_bytes())
+    later = {"Event": TASK_END, "Task Info": {"Launch Time": 1, "Finish Time": 1001}}
+    (target / f"events_3_{app}").write_text(json.dumps(later) + "\n")
+    total = lambda path: app_metrics(task_metrics(read_event_logs(spark, str(path), complete=True))).filter(F.col("application_attempt") == app).first()
+    assert total(tmp_path).total_duration == total(folder).total_duration + 1000
+    assert total(tmp_path).total_gc == total(folder).total_gc
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_broken_logs(spark, tmp_path, coded, codec):
+    """The whole lines of a log cut short are read, a file of something else fails the job."""
+    folder, _, apps = coded
+    part = next(folder.glob(f"*/events_1_*.{codec}"))
+    data = part.read_bytes()
+    (tmp_path / f"app-1.{codec}.inprogress").write_bytes(data + data[: len(data) * 2 // 3])
+    found = read_event_logs(spark, str(tmp_path), include_inprogress=True).filter("Event is not null")
+    whole = read_event_logs(spark, str(folder)).filter(F.col("log_file").endswith(part.name)).filter("Event is not null").count()
+    assert whole <= found.count() < 2 * whole
+    assert read_event_logs(spark, str(tmp_path)).filter("Event is not null").isEmpty()
+    if codec != "zstd":  # that one Spark itself reads where its name is plain
+        (tmp_path / f"app-2.{codec}").write_text("this is no compressed stream at all, but a text of more than a few bytes")
+        with pytest.raises(Exception, match="not a|Corrupt|nappy"):
+            read_event_logs(spark, str(tmp_path)).collect()
+
+
+def test_long_lines_cross_blocks(spark, tmp_path):
+    """Pieces that end inside lines and inside characters, and batches smaller than a file."""
+    import pyarrow as pa
+
+    lines = ["é" * 50_000 + str(i) if i % 3 == 0 else "" if i % 3 == 1 else f"日{i}" for i in range(30)]
+    data, out = "\n".join(lines).encode(), b"\x82SNAPPY\0\0\0\0\1\0\0\0\1"
+    for k in range(0, len(data), 4097):
+        block = pa.Codec("snappy").compress(data[k : k + 4097]).to_pybytes()
+        out += len(block).to_bytes(4, "big") + block
+    (tmp_path / "a.snappy").write_bytes(out)
+    path = str(tmp_path / "a.snappy")
+    found = decoded_lines(spark, [("shown", path, "snappy")], resolver(), lines_per_batch=4, bytes_per_batch=60_000).collect()
+    assert [tuple(r) for r in sorted(found, key=lambda r: r.log_at)] == [("shown", i, x) for i, x in enumerate(lines)]
+
+
+def test_last_value_of_a_setting_counts(spark, tmp_path):
+    def update(value):
+        return json.dumps({"Event": "SparkListenerEnvironmentUpdate", "Spark Properties": {"memory": value, "same": "x"}}) + "\n"
+
+    (tmp_path / "app-1").write_text(update("16g") + update("9g") + update("16g"))
+    (tmp_path / "app-2").write_text(update("9g") + "{}\n" * 3 + update("16g"))
+    folder = tmp_path / "eventlog_v2_app-3"
+    folder.mkdir()
+    for number, value in ((2, "2g"), (9, "9g"), (10, "10g")):
+        (folder / f"events_{number}_app-3").write_text(update("99g") + update(value))
+    found = {(r.application_attempt, r.key): r.value for r in effective_conf(read_event_logs(spark, str(tmp_path))).collect()}
+    assert found == {("app-1", "memory"): "16g", ("app-2", "memory"): "16g", ("app-3", "memory"): "10g"} | {(f"app-{i}", "same"): "x" for i in (1, 2, 3)}
+
+
+def test_last_value_in_a_log_of_many_splits(spark, tmp_path):
+    line = lambda v: json.dumps({"Event": "SparkListenerEnvironmentUpdate", "Spark Properties": {"n": str(v)}}) + "\n"
+    (tmp_path / "app-1").write_text("".join(line(i) for i in range(2000)) + line(7))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        events = read_event_logs(spark, str(tmp_path))
+        assert events.rdd.getNumPartitions() > 5
+        assert [tuple(r) for r in effective_conf(events).collect()] == [("app-1", "n", "7")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_are_listed_once(spark, logs, monkeypatch):
+    """Reading starts no job, whatever the folder holds."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "read_event_logs")
+    try:
+        events = read_event_logs(spark, str(logs[0]))
+        assert list(tracker.getJobIdsForGroup("listing")) == []
+        assert {r[0] for r in app_metrics(task_metrics(events)).select("application_attempt").collect()} == {logs[1], logs[2]}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_names_with_odd_characters(spark, tmp_path):
+    folder = tmp_path / "a b+c%20d"
+    folder.mkdir()
+    (folder / "app x+1%41").write_text('{"Event":"e"}\n')
+    found = read_event_logs(spark, str(tmp_path)).select("application_attempt").collect()
+    assert [r[0] for r in found] == ["app x+1%41"]
+
+
+def test_files_of_any_store(tmp_path):
+    from pyarrow import fs
+
+    own = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    assert resolver(filesystem=own)("s3a://bucket/k y.txt") == (own, "bucket/k y.txt")
+    for path in ("/a/b", "file:/a/b", "file:///a/b"):
+        assert resolver()(path)[1] == "/a/b"
+    store, name = resolver({"endpoint_override": "127.0.0.1:1", "scheme": "http", "access_key": "a", "secret_key": "b", "region": "r"})("s3a://bucket/x/y")
+    assert (store.type_name, name) == ("s3", "bucket/x/y")
+
+
+def test_store_options_of_the_session(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    given = {"fs.s3a.endpoint": "http://store:9000/", "fs.s3a.access.key": "k", "fs.s3a.secret.key": "s"}
+    try:
+        for k, v in given.items():
+            conf.set(k, v)
+        assert store_options(spark) == {"endpoint_override": "store:9000", "scheme": "http", "access_key": "k", "secret_key": "s"}
+    finally:
+        for k in given:
+            conf.unset(k)
