@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runwise.functions import to_mib
-from runwise.operators.wide_curve import LOCAL_POINTS, interpolate, isotonic_blocks
+from runwise.operators.wide_curve import LOCAL_POINTS, interpolate, isotonic_blocks, label_moments
 
 # The input sizes a fitted curve is shown for.
 PROBE_ROWS = (50, 100, 1000, 10000, 10000000)
@@ -50,10 +50,11 @@ def fit_curve(
     """
     pooled = pooled_points(points, feature, label, weight).persist()
     try:
-        found = pooled.agg(F.count("*"), F.count(F.when(F.col("rows").isNotNull(), F.col("mem")))).first()
-        if found[0] != found[1]:
+        number, whole, *moments = pooled.agg(
+            F.count("*"), F.count(F.when(F.col("rows").isNotNull(), F.col("mem"))), *label_moments()).first()
+        if number != whole:
             raise ValueError("every point needs a feature and a label")
-        blocks = isotonic_blocks(pooled, found[0], local_points)
+        blocks = isotonic_blocks(pooled, number, local_points, moments=moments)
     finally:
         pooled.unpersist()
     ends = F.explode(F.array_distinct(F.array("start", "end")))

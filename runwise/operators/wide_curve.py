@@ -1,161 +1,212 @@
 """Isotonic fit and lookup, for curves of any size.
 
 Both cut the feature axis into ranges small enough for one task each. No step
-brings a whole curve, or all rows of one feature, into a task or to the driver.
+brings a whole curve, or all rows of one feature, into a task or to the driver,
+and the number of steps does not depend on the labels.
 """
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from runwise.session import written
 
 BLOCK = "start double, end double, prediction double"
+STACK = ("range int, start double, end double, w double, s double, slope double, before_end double, before_w double, "
+         "before_s double, before double, last boolean, n bigint, size double")
 
-# Relative size below which a cumulative gap counts as rounding error: stretches whose
-# means differ by less, relative to their labels, may come out as one.
+# Relative size below which a gap between labels, or between sums of them, counts as rounding error:
+# stretches whose means differ by less may come out as one.
 ROUNDING = 1e-12
 
-# Points of a segment up to which one task fits it, and points of a range.
+# Points of a range and blocks of a band, about, that one task handles.
 LOCAL_POINTS = 200_000
-POINTS_PER_RANGE = 500_000
 
-# Edges of ranges that the driver holds at most; ranges hold more points beyond that.
-MOST_RANGES = 10_000
 
+def _written(df: DataFrame) -> DataFrame:
+    return written(df, "curve")
 
-def ranges_for(points: int) -> int:
-    return max(1, min(MOST_RANGES, -(-points // POINTS_PER_RANGE)))
 
+def _pool(tiny: float):
+    """Pool-adjacent-violators over rows sorted by start; nested to travel by value.
 
-def _ranges(df: DataFrame, column: str, ranges: int) -> list[float]:
-    """About equally filled ranges of a column, as their edges."""
-    shares = [i / ranges for i in range(1, ranges)]
-    edges = df.approxQuantile(column, shares, 0.1 / ranges) if shares else []
-    return [float("-inf"), *sorted(set(edges)), float("inf")]
+    Blocks whose means do not rise by more than ``tiny`` are pooled.
+    """
+    def pool(starts, ends, weights, sums):
+        blocks = []
+        for start, end, w, s in zip(starts, ends, weights, sums):
+            while blocks and blocks[-1][3] / blocks[-1][2] >= s / w - tiny:
+                start, _, v, t = blocks.pop()
+                w, s = w + v, s + t
+            blocks.append((start, end, w, s))
+        return blocks
 
+    return pool
 
-def _in_ranges(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
-    if len(edges) == 2:
-        return df.withColumn("range", F.lit(0.0))
-    return Bucketizer(splits=edges, inputCol=column, outputCol="range").transform(df)
 
+def _stacks(center: float, tiny: float):
+    """The points of each partition, sorted, to its stack of blocks with the sums before each."""
+    pool = _pool(tiny)
+    names = [c.split()[0] for c in STACK.split(", ")]
 
-def _written(df: DataFrame) -> DataFrame:
-    return written(df, "curve")
+    def stack(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        points = pd.concat(parts)
+        w = points["weight"].to_numpy()
+        s = w * (points["mem"].to_numpy() - center)
+        blocks = pool(points["rows"].tolist(), points["rows"].tolist(), w.tolist(), s.tolist())
+        start, end, bw, bs = (np.array(x) for x in zip(*blocks))
+        n, slope, none = len(blocks), bs / bw, np.full(1, -np.inf)
+        before = lambda x: np.concatenate([[0.0], np.cumsum(x)[:-1]])
+        last = np.arange(n) == n - 1
+        columns = (np.full(n, TaskContext.get().partitionId()), start, end, bw, bs, slope, np.concatenate([none, end[:-1]]), before(bw), before(bs),
+                   np.concatenate([none, slope[:-1]]), last, np.where(last, n, 0), np.where(last, np.abs(s).sum(), 0.0))
+        yield pd.DataFrame(dict(zip(names, columns)))
+
+    return stack
+
+
+def _corners(slopes: list[float], first: int):
+    """Blocks to the corners ``(t, range, x, w, s)`` at which a line of slope ``slopes[t]`` supports the range's own curve."""
+    def corners(batches):
+        import numpy as np
+        import pandas as pd
 
+        lines = np.array(slopes)
 
-def _pool_adjacent():
-    """Pool-adjacent-violators on one small segment; nested to travel by value."""
-    def pool(pdf):
-        import pandas as pd
+        def rows(b, low, high, x, w, s):
+            n = high - low
+            at = np.repeat(np.arange(len(n)), n)
+            t = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            return pd.DataFrame({"t": t.astype("int32"), "range": b["range"].to_numpy()[at], "x": x.to_numpy()[at], "w": w.to_numpy()[at], "s": s.to_numpy()[at]})
 
-        blocks = []
-        for x, y, w in pdf.sort_values("rows")[["rows", "mem", "weight"]].itertuples(index=False):
-            start, total, weight = x, y * w, w
-            while blocks and blocks[-1][2] * weight >= total * blocks[-1][3]:
-                start, _, t, v = blocks.pop()
-                total, weight = total + t, weight + v
-            blocks.append((start, x, total, weight))
-        return pd.DataFrame([(s, e, t / w) for s, e, t, w in blocks], columns=["start", "end", "prediction"])
+        for b in batches:
+            low, high = (np.searchsorted(lines, b[c].to_numpy(), "right") for c in ("before", "slope"))
+            # the corner before a range is the last of the range before it
+            own = np.isfinite(b["before_end"].to_numpy()) | (b["range"].to_numpy() == first)
+            yield rows(b, np.where(own, low, high), high, b["before_end"], b["before_w"], b["before_s"])
+            end = b[b["last"]]
+            if len(end):
+                steepest = np.searchsorted(lines, end["slope"].to_numpy(), "right")
+                yield rows(end, steepest, np.full(len(end), len(lines)), end["end"], end["before_w"] + end["w"], end["before_s"] + end["s"])
 
-    return pool
+    return corners
+
+
+def _cuts(stacks: DataFrame, slopes: list[float], first: int, size: float) -> list[float]:
+    """For each slope the place of the axis left of which the fit's blocks lie below it, and right of which they do not.
+
+    That is where the running sum of ``weight * (mem - slope)`` is least. A range's own least place is
+    a corner of its own fit, so only those meet: one row per range and slope.
+    """
+    totals = stacks.filter("last").select("range", (F.col("before_w") + F.col("w")).alias("all_w"), (F.col("before_s") + F.col("s")).alias("all_s"))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("range", *[F.coalesce(F.sum(f"all_{c}").over(ahead), F.lit(0.0)).alias(f"off_{c}") for c in "ws"])
+    corners = stacks.mapInPandas(_corners(slopes, first), "t int, range int, x double, w double, s double")
+    line = F.element_at(F.lit(slopes), F.col("t") + 1)
+    values = _written(corners.join(offsets, "range").select("t", "x", (F.expr("s + off_s") - line * F.expr("w + off_w")).alias("gap")))
+    least = values.groupBy("t").agg(F.min("gap").alias("least"))
+    # of places that differ by rounding alone the leftmost, so that no stretch is cut in two
+    near = values.join(least, "t").filter(F.col("gap") <= F.col("least") + ROUNDING * size)
+    found = dict(tuple(r) for r in near.groupBy("t").agg(F.min("x")).collect())
+    cuts, so_far = [], float("-inf")
+    for t in range(len(slopes)):
+        so_far = max(so_far, found[t])
+        cuts.append(so_far)
+    return cuts
+
+
+def _segments(slopes: list[float], cuts: list[float]):
+    """Blocks to rows ``(range, segment, part, start, end, w, s)``, where blocks of equal part can be pooled.
+
+    Between two cuts the fit lies between their slopes, so no corner between two blocks of a range that both
+    lie below, or both not below, that band is a corner of the fit.
+    """
+    def place(batches):
+        import numpy as np
+
+        edges, lines = np.array(cuts), np.array([-np.inf, *slopes, np.inf])
+        for b in batches:
+            start, slope = b["start"].to_numpy(), b["slope"].to_numpy()
+            segment = np.searchsorted(edges, start, "left")
+            part = np.where(slope < lines[segment], -np.inf, np.where(slope >= lines[segment + 1], np.inf, start))
+            yield b[["range", "start", "end", "w", "s"]].assign(segment=segment.astype("int32"), part=part)
+
+    return place
+
+
+def label_moments():
+    """Aggregates of ``(mem, weight)`` that ``isotonic_blocks`` starts from."""
+    return F.sum(F.expr("weight * mem")) / F.sum("weight"), F.sum(F.expr("weight * abs(mem)")) / F.sum("weight")
 
 
 def isotonic_blocks(
-    points: DataFrame, number: int, local_points: int = LOCAL_POINTS, ranges: int | None = None
+    points: DataFrame, number: int, local_points: int = LOCAL_POINTS, ranges: int | None = None,
+    moments: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Constant stretches ``(start, end, prediction)`` of the isotonic fit.
 
-    ``points`` are ``number`` rows ``(rows, mem, weight)`` with distinct rows. The fit of a segment
-    lies on both sides of the segment's mean m, and it crosses m where the
-    running sum of ``weight * (mem - m)`` is least: left and right of there the
-    fits are independent. If that sum never drops below zero, the segment is one
-    stretch at height m. So segments are cut at their means, all in one round,
-    until each is constant or small enough for a single task.
+    ``points`` are ``number`` rows ``(rows, mem, weight)`` with distinct rows. The fit is the slope of the greatest
+    convex curve below the running sums of the labels. Every range of ``local_points`` points is fitted by itself; its
+    stack of blocks holds all corners that the whole fit can have there. The slopes of all blocks
+    are cut into bands of about as many blocks, and each line between two bands finds the place where it
+    supports the whole curve. Between two such places the fit has only slopes of their band, so all other
+    blocks of a range are pooled there, and what is left, a band of blocks and two for each range, is one
+    task's share. The steps are the same for all labels, and the result does not depend on the cuts.
+
+    ``moments`` are the weighted means of the labels and of their sizes, see ``label_moments``, if known.
     """
-    if number <= local_points:  # what the first round would find
-        return _written(points.select("rows", "mem", "weight", F.lit(0).alias("segment")).groupBy("segment").applyInPandas(_pool_adjacent(), BLOCK))
-    edges = _ranges(points, "rows", ranges or ranges_for(number))
-    work = _written(
-        _in_ranges(points, "rows", edges)
-        .select("range", "rows", "mem", "weight", F.lit(float("-inf")).alias("segment"))
-    )
-    finished = []
-    while not work.isEmpty():
-        cuts = _written(_cut_points(work, local_points))
-        constant = cuts.filter("state = 'constant'")
-        finished.append(constant.selectExpr("first as start", "last as end", "mean as prediction").distinct())
-        # A segment and range at a time, so that no large segment meets in one task.
-        placed = work.join(cuts.select("segment", "range", "state", "cut"), ["segment", "range"])
-        small = placed.filter("state = 'small'").groupBy("segment").applyInPandas(_pool_adjacent(), BLOCK)
-        finished.append(_written(small))
-        beyond = F.when(F.col("rows") > F.col("cut"), F.col("cut")).otherwise(F.col("segment"))
-        work = _written(
-            placed.filter("state = 'split'").select("range", "rows", "mem", "weight", beyond.alias("segment"))
-        )
-    blocks = points.sparkSession.createDataFrame([], BLOCK)
-    for part in finished:
-        blocks = blocks.unionByName(part)
-    return blocks
-
-
-def _cut_points(work: DataFrame, local_points: int) -> DataFrame:
-    """State, mean and cut of every segment, one row per segment and range."""
-    cell = ["segment", "range"]
-    segment = Window.partitionBy("segment")
-    earlier = segment.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        work.groupBy(cell)
-        .agg(
-            F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("mem")).alias("wy"),
-            F.count("*").alias("n"), F.min("rows").alias("first"), F.max("rows").alias("last"),
-        )
-        .withColumns({
-            "mean": F.sum("wy").over(segment) / F.sum("w").over(segment),
-            "points": F.sum("n").over(segment),
-            "first": F.min("first").over(segment), "last": F.max("last").over(segment),
-        })
-        .withColumn("before", F.coalesce(F.sum(F.expr("wy - mean * w")).over(earlier), F.lit(0.0)))
-    )
-    large = totals.filter(F.col("points") > local_points)
-    step = F.expr("weight * (mem - mean)")
-    running = Window.partitionBy(cell).orderBy("rows").rowsBetween(Window.unboundedPreceding, 0)
-    lowest = (
-        work.join(large.select(*cell, "mean", "before"), cell)
-        .withColumns({"gap": F.col("before") + F.sum(step).over(running), "size": F.abs(step)})
-        .groupBy(cell)
-        .agg(F.min(F.struct("gap", "rows")).alias("low"), F.sum("size").alias("size"))
-        .withColumns({"low": F.min("low").over(segment), "size": F.sum("size").over(segment)})
-    )
-    drops = F.col("low.gap") < -F.lit(ROUNDING) * F.col("size")
-    state = F.when(F.col("points") <= local_points, "small").when(drops & (F.col("low.rows") < F.col("last")), "split")
-    return totals.join(lowest, cell, "left").select(
-        *cell, "mean", "first", "last", state.otherwise("constant").alias("state"), F.col("low.rows").alias("cut")
-    )
+    if not number:
+        return points.sparkSession.createDataFrame([], BLOCK)
+    center, scale = moments or points.agg(*label_moments()).first()
+    tiny, size = ROUNDING * scale, max(1, local_points)
+    ranges = ranges or -(-number // size)
+    ranged = points.select("rows", "mem", "weight").repartitionByRange(ranges, "rows").sortWithinPartitions("rows")
+    stacks = _written(ranged.mapInPandas(_stacks(center, tiny), STACK))
+    prediction = (F.lit(center) + F.col("s") / F.col("w")).alias("prediction")
+    if ranges == 1:
+        return stacks.select("start", "end", prediction)
+    first, blocks, spread = stacks.filter("last").agg(F.min("range"), F.sum("n"), F.sum("size")).first()
+    bands = -(-blocks // size)
+    slopes = sorted(set(stacks.approxQuantile("slope", [i / bands for i in range(1, bands)], 0.1 / bands))) if bands > 1 else []
+    cuts = _cuts(stacks, slopes, first, spread) if slopes else []
+    placed = stacks.mapInPandas(_segments(slopes, cuts), "range int, start double, end double, w double, s double, segment int, part double")
+    pooled = placed.groupBy("segment", "range", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("w").alias("w"), F.sum("s").alias("s"))
+    pool = _pool(tiny)
+
+    def fit(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("start")
+        return pd.DataFrame(pool(*(pdf[c].tolist() for c in ("start", "end", "w", "s"))), columns=["start", "end", "w", "s"])
+
+    found = pooled.groupBy("segment").applyInPandas(fit, "start double, end double, w double, s double")
+    return _written(found.select("start", "end", prediction))
 
 
 def interpolate(curve: DataFrame, rows: DataFrame, ranges: int | None = None) -> DataFrame:
     """Add ``prediction``: linear between boundaries of the curve, flat beyond.
 
     Distinct features are looked up, so a feature that many rows share is one row
-    here. Ranges are drawn through boundaries and asked features together, so that
+    here. Boundaries and asked features are range-sorted together, so that
     many features between two boundaries fill many ranges. Within a range the
-    neighbours come from a window; boundaries in other ranges are carried over as
-    one summary row per range.
+    neighbours come from a window; boundaries in other ranges are carried over in a
+    second pass, as one summary row per range.
     """
     empty = F.lit(None).cast("struct<rows:double,prediction:double>")
     point = F.struct(F.col("boundary").cast("double").alias("rows"), F.col("prediction").cast("double").alias("prediction"))
     known = curve.select(point["rows"].alias("rows"), point.alias("point"), F.lit(False).alias("asked"))
     asked = rows.select(F.col("rows").cast("double").alias("rows")).distinct().filter("rows is not null").select(
         "rows", empty.alias("point"), F.lit(True).alias("asked"))
-    mixed = _written(known.unionByName(asked))
-    edges = _ranges(mixed, "rows", ranges or ranges_for(mixed.count()))
-    mixed = _in_ranges(mixed, "rows", edges)
-    summary = mixed.filter("not asked").groupBy("range").agg(F.min("point").alias("low"), F.max("point").alias("high"))
-    frame = _range_numbers(rows, len(edges) - 1).join(summary, "range", "left")
+    mixed = _in_ranges(known.unionByName(asked), ranges)
+    summary = mixed.groupBy("range").agg(F.min("point").alias("low"), F.max("point").alias("high"))
     # Frames only ever grow from the start of an order, which takes linear time.
     ahead = (Window.unboundedPreceding, -1)
-    carried = frame.select(
+    carried = summary.select(
         "range",
         F.last("high", True).over(Window.orderBy("range").rowsBetween(*ahead)).alias("left_in"),
         F.last("low", True).over(Window.orderBy(F.desc("range")).rowsBetween(*ahead)).alias("right_in"),
@@ -169,8 +220,7 @@ def interpolate(curve: DataFrame, rows: DataFrame, ranges: int | None = None) ->
         F.last("point", True).over(here.orderBy(F.desc("rows"), "asked").rowsBetween(*upto)).alias("r"),
     ).filter("asked")
     l, r = F.coalesce("l", "left_in"), F.coalesce("r", "right_in")
-    # MOST_RANGES rows at most
-    found = near.join(F.broadcast(carried), "range").select("rows", l.alias("l"), r.alias("r"))
+    found = near.join(carried, "range").select("rows", l.alias("l"), r.alias("r"))
     slope = F.try_divide(F.expr("r.prediction - l.prediction"), F.expr("r.rows - l.rows"))
     inside = F.col("l.prediction") + F.coalesce(slope * (F.col("rows") - F.col("l.rows")), F.lit(0.0))
     value = F.when(F.col("l").isNull(), F.col("r.prediction")).when(F.col("r").isNull(), F.col("l.prediction"))
@@ -179,6 +229,8 @@ def interpolate(curve: DataFrame, rows: DataFrame, ranges: int | None = None) ->
     return rows.join(found, F.col("rows").cast("double") == F.col("_rows"), "left").select(*rows.columns, "prediction")
 
 
-def _range_numbers(df: DataFrame, ranges: int) -> DataFrame:
-    """The range numbers 0.0 .. ranges-1, which the edges bound."""
-    return df.sparkSession.range(ranges).select(F.col("id").cast("double").alias("range"))
+def _in_ranges(mixed: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``mixed`` with the number of the ``range`` each row fell into, in the order of ``rows``, as a table."""
+    by = ("rows", "asked")
+    placed = mixed.repartitionByRange(ranges, *by) if ranges else mixed.repartitionByRange(*by)
+    return _written(placed.withColumn("range", F.spark_partition_id()))

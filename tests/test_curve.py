@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from runwise.operators import (
     Curve, fit_curve, merge_curve, pooled_points, predict_curve, probe_points, read_curve, refit_curve, write_curve,
 )
-from runwise.operators.wide_curve import _in_ranges, _ranges, interpolate, isotonic_blocks
+from runwise.operators.wide_curve import _in_ranges, interpolate, isotonic_blocks
 
 POINTS = [(10, 100), (10, 200), (50, 80), (100, 300), (100, 100), (1000, 500), (2000, 400)]
 
@@ -70,9 +70,8 @@ def test_many_sizes_in_one_gap_fill_many_ranges(spark):
     asked = spark.range(20_000).selectExpr("cast(20 + id as double) rows")
     found = interpolate(curve, asked, ranges=20)
     assert found.count() == 20_000 and found.filter("prediction <> 100").isEmpty()
-    mixed = curve.selectExpr("boundary rows").unionByName(asked)
-    edges = _ranges(mixed, "rows", 20)
-    sizes = [r["count"] for r in _in_ranges(mixed, "rows", edges).groupBy("range").count().collect()]
+    mixed = curve.selectExpr("boundary rows", "false asked").unionByName(asked.selectExpr("rows", "true asked"))
+    sizes = [r["count"] for r in _in_ranges(mixed, 20).groupBy("range").count().collect()]
     assert len(sizes) >= 15 and max(sizes) < 3_000
 
 
@@ -86,11 +85,11 @@ def test_curve_is_kept(spark, tmp_path):
 def shape(kind, i, rng):
     return {
         "noise": i + rng.gauss(0, 60), "rising": float(i * i), "falling": float(-i),
-        "steps": i // 100 + rng.choice([0.0, 0.0, 5.0]), "flat": 3.0,
+        "steps": i // 100 + rng.choice([0.0, 0.0, 5.0]), "flat": 0.1, "saw": float(i % 50), "cliff": i / 1000 + 0.1 * (i == 0) - 0.7 * (i == 299),
     }[kind]
 
 
-@pytest.mark.parametrize("kind", ["noise", "rising", "falling", "steps", "flat"])
+@pytest.mark.parametrize("kind", ["noise", "rising", "falling", "steps", "flat", "saw", "cliff"])
 def test_cut_fit_equals_the_fit_of_one_task(spark, kind):
     rng = random.Random(3)
     data = [(i * 3, shape(kind, i, rng)) for i in range(300) for _ in range(rng.choice([1, 1, 3]))]
@@ -123,3 +122,43 @@ def test_merge_prefers_new_points(spark):
     new = points(spark, [(2, 4), (2, 6), (3, 30)])
     assert sorted(tuple(r) for r in merge_curve(old, new).collect()) == [(1.0, 10.0, 1.0), (2.0, 5.0, 2.0), (3.0, 30.0, 1.0)]
     assert at(spark, refit_curve(old, new), [1, 2, 3]) == {1: 6.6667, 2: 6.6667, 3: 30.0}
+
+
+def _fit(points):
+    """Pool-adjacent-violators over sorted (x, y, w), in fractions."""
+    from fractions import Fraction
+
+    blocks = []
+    for x, y, w in points:
+        block = [x, x, Fraction(y) * w, w]
+        while blocks and blocks[-1][2] * block[3] >= block[2] * blocks[-1][3]:
+            a = blocks.pop()
+            block = [a[0], block[1], a[2] + block[2], a[3] + block[3]]
+        blocks.append(block)
+    return [(a, b, float(s / w)) for a, b, s, w in blocks]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fit_does_not_depend_on_the_cuts(spark, seed):
+    """Many equal means, ramps and noise, by one range and by many, against exact arithmetic."""
+    rng = random.Random(seed)
+    make = [lambda i: rng.randrange(4), lambda i: i % 17, lambda i: i * i % 23 + i // 9, lambda i: -i + 40 * (i % 2), lambda i: rng.choice([0, i]), lambda i: i // 7][seed]
+    data = [(float(i), float(make(i)), float(rng.choice([1, 1, 2, 5]))) for i in range(240)]
+    df = spark.createDataFrame(data, "rows double, mem double, weight double").repartition(5)
+    want = _fit((x, int(y), int(w)) for x, y, w in data)
+    for local_points, ranges in ((1000, 9), (25, None), (3, None)):
+        got = sorted(tuple(r) for r in isotonic_blocks(df, 240, local_points, ranges).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want], (local_points, ranges)
+        assert max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 1e-9
+
+
+def test_steps_do_not_follow_the_labels(spark):
+    """The same jobs for labels that give one block and for labels that give as many as points."""
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for name, label in (("falling", "-id"), ("rising", "id"), ("mixed", "id % 97 + id / 50")):
+        df = spark.range(2000).selectExpr("cast(id as double) rows", f"cast({label} as double) mem", "1d weight")
+        spark.sparkContext.setJobGroup(f"fit {name}", "fit")
+        isotonic_blocks(df, 2000, 100)
+        jobs[name] = len(tracker.getJobIdsForGroup(f"fit {name}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(jobs.values()) <= 25
