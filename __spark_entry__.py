@@ -267,6 +267,13 @@ def q_self_join_grid(spark, d):
     return op.self_join(people, "surname", rows_per_task=max(50, people.count() // 40))
 
 
+def q_self_join_factored(spark, d):
+    """The same join from blocks of rows, several to each busy key."""
+    people = fx.person_rows(spark, d)
+    other = op.prefix_columns(people, people.columns)
+    return op.expand_pairs(op.factor_join(people, other, "surname", "another_surname", block_rows=16, blocks_per_cell=2))
+
+
 def q_join_size(spark, d):
     c = fx.table(spark, d, "customer")
     size = op.join_size(c, op.prefix_columns(c, c.columns), "c_mktsegment", "another_c_mktsegment")
@@ -290,6 +297,12 @@ def q_run_workload(spark, d):
     )
 
 
+def q_run_workload_without_join(spark, d):
+    result = plans.run_workload(fx.person_rows(spark, d), scratch_path(spark, "workload"), need_to_join=False)
+    assert result.joined_rows is None
+    return result.counts.select("surname", "count").join(result.other_counts.withColumnRenamed("count", "other"), F.col("surname") == F.col("another_surname"))
+
+
 def q_generate_persons(spark, d):
     return src.generate_persons(fx.table(spark, d, "orders"), "o_orderkey")
 
@@ -574,6 +587,9 @@ def oracle_sql() -> dict[str, str]:
             union all select count(*) from orders union all select count(*) from customer""",
         "self_join": _SELF_JOIN,
         "self_join_grid": _SELF_JOIN,
+        "self_join_factored": _SELF_JOIN,
+        "run_workload_without_join": f"""select surname, surname another_surname, count(*) "count", count(*) other
+            from {_PERSONS} p group by 1""",
         "join_size": """select count(*) pairs from customer a join customer b using (c_mktsegment)""",
         "run_workload": f"""with j as (
               select length(b.address) chars from {_PERSONS} a

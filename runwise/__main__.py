@@ -6,7 +6,7 @@ import os
 from pyspark.sql import SparkSession
 
 from runwise import operators as op, plans, sources as src
-from runwise.session import JOB_CONF, event_log_conf, s3a_conf
+from runwise.session import JOB_CONF, event_log_conf, s3a_conf, scratch_scope
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -96,6 +96,11 @@ def _workload(spark: SparkSession, args) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = _session(args)
+    with scratch_scope(spark):
+        _run(spark, args)
+
+
+def _run(spark: SparkSession, args) -> None:
     if args.job == "generate":
         people = src.generate_persons(src.person_ids(spark, args.rows), phone_prefix=args.phone_prefix, seed=args.seed)
         src.write_table(people, args.format, args.output)

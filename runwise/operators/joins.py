@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from runwise.operators.people import PREFIX, prefix_columns
 from runwise.session import written
 
-# Rows one task should take in and make, and the tasks beyond which a join is refused.
+# Rows one task should take in and make, and the tasks beyond which rows made no longer decide.
 ROWS_PER_TASK = 250_000
 MAX_TASKS = 20_000
 
+# Rows of a block of a factored join, and blocks of either side that meet in a task.
+BLOCK_ROWS = 4096
+BLOCKS_PER_CELL = 8
+
 _WIDE = "decimal(19,0)"
 
 
@@ -69,15 +73,16 @@ def grids(counts: DataFrame, share: float) -> DataFrame:
 
 def pair_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-    rows_per_task: int = ROWS_PER_TASK, max_tasks: int = MAX_TASKS, counts: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK, max_tasks: int | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join sized by the rows it makes, with no key left to a single task.
 
     The key columns are counted first, unless ``counts`` has their ``(_k, n, m)``.
     The join is cut into tasks by the rows it takes and makes, which can be far
-    beyond what the inputs suggest; a join that would need more than
-    ``max_tasks`` is refused, and needs a larger ``rows_per_task``. A key that exceeds
-    a task's share is spread over a grid: each left row takes a random row of the
+    beyond what the inputs suggest. One that would need more than ``MAX_TASKS`` is
+    made from blocks of rows instead, by ``factor_join``, whose tasks are sized by what
+    they hold; with ``max_tasks`` given it is refused, and needs a larger
+    ``rows_per_task``. A key that exceeds a task's share is spread over a grid: each left row takes a random row of the
     grid and is copied to all its columns, each right row the reverse, so every
     pair meets in exactly one cell. Each such key holds over 1/tasks of the load,
     so there are fewer of them than tasks, and their list is small enough to
@@ -91,7 +96,9 @@ def pair_join(
     loads = counts.select("_k", F.col("n").cast("double"), F.col("m").cast("double")).withColumn("load", F.expr("n * m + n + m"))
     total, most = loads.agg(F.coalesce(F.sum("load"), F.lit(0.0)), F.coalesce(F.max("load"), F.lit(0.0))).first()
     tasks = max(1, math.ceil(total / rows_per_task))
-    if tasks > max_tasks:
+    if max_tasks is None and tasks > MAX_TASKS:
+        return expand_pairs(factor_join(left, right, left_key, right_key, counts))
+    if max_tasks is not None and tasks > max_tasks:
         raise ValueError(f"the join makes {total:.3g} rows, {tasks} tasks of {rows_per_task}; raise rows_per_task or max_tasks")
     left, right = left.filter(_col(left_key).isNotNull()), right.filter(_col(right_key).isNotNull())
     hot = grids(loads, total / tasks).collect() if most > total / tasks else []
@@ -124,6 +131,56 @@ def _on_grid(
     return placed.withColumn(copied[0], F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
 
 
+def factor_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, counts: DataFrame | None = None,
+    block_rows: int = BLOCK_ROWS, blocks_per_cell: int = BLOCKS_PER_CELL,
+) -> DataFrame:
+    """The inner equi-join in factored form: rows ``(left_rows, right_rows)`` of which every pair is a row of the join.
+
+    The rows of a key fall into blocks of about ``block_rows``. Both sides are kept as tables of such blocks, so what
+    is stored is linear in the inputs however many rows the join has. A cell, the share of a task, holds
+    ``blocks_per_cell`` blocks of either side at most: its memory is bounded, whatever it makes, and a
+    key of many blocks fills as many cells as it needs. ``counts`` are the ``(_k, n, m)`` of the keys, if known.
+    """
+    if counts is None:
+        counts = written(key_counts(left, right, left_key, right_key, "inner"), "keys")
+    sizes = counts.filter("n > 0 and m > 0").select(
+        "_k", *[F.ceil(F.col(c) / block_rows).cast("bigint").alias(b) for c, b in (("n", "_lb"), ("m", "_rb"))]
+    ).withColumns({"_down": F.ceil(F.col("_lb") / blocks_per_cell), "_across": F.ceil(F.col("_rb") / blocks_per_cell)})
+    sizes = written(sizes, "sizes")
+    cells = sizes.agg(F.coalesce(F.sum(F.col("_down") * F.col("_across")), F.lit(1))).first()[0]
+    tasks = int(min(MAX_TASKS, max(1, cells)))
+    l = _in_blocks(left, left_key, sizes, "_lb", "_across", blocks_per_cell, seed=1)
+    r = _in_blocks(right, right_key, sizes, "_rb", "_down", blocks_per_cell, seed=2)
+    l = l.select(F.col("_key").alias("_l"), F.col("_own").alias("_row"), F.col("_other").alias("_column"), F.col("_rows").alias("left_rows"))
+    r = r.select(F.col("_key").alias("_r"), F.col("_own").alias("_column2"), F.col("_other").alias("_row2"), F.col("_rows").alias("right_rows"))
+    same_cell = (F.col("_l") == F.col("_r")) & (F.col("_row") == F.col("_row2")) & (F.col("_column") == F.col("_column2"))
+    met = l.repartition(tasks, "_l", "_row", "_column").join(r.repartition(tasks, "_r", "_row2", "_column2").hint("merge"), same_cell)
+    return met.select("left_rows", "right_rows")
+
+
+def _in_blocks(df: DataFrame, key: str, sizes: DataFrame, blocks: str, copies: str, per_cell: int, seed: int) -> DataFrame:
+    """``(_key, _own, _other, _rows)``: blocks of rows, the cell they are in along their own side, and a copy for each cell of the other.
+
+    Rows without a partner go. A row's block is drawn and written before rows are gathered, so that a task that runs
+    again finds the same ones.
+    """
+    placed = df.join(sizes, _col(key) == F.col("_k")).select(
+        F.col("_k").alias("_key"), F.floor(F.rand(seed) * F.col(blocks)).cast("bigint").alias("_block"), F.col(copies).alias("_copies"),
+        F.struct(*[_col(c) for c in df.columns]).alias("_record"))
+    placed = written(placed, "placed")
+    gathered = placed.groupBy("_key", "_block").agg(F.first("_copies").alias("_copies"), F.collect_list("_record").alias("_rows"))
+    kept = written(gathered, "blocks")
+    return kept.select("_key", F.expr(f"_block div {per_cell}").alias("_own"), "_copies", "_rows").select(
+        "_key", "_own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies").cast("bigint") - 1)).alias("_other"), "_rows")
+
+
+def expand_pairs(factored: DataFrame) -> DataFrame:
+    """The rows of a ``factor_join``, made one by one as they are read; two nested loops in generated code."""
+    return factored.select(F.explode("left_rows").alias("_left"), "right_rows").select(
+        "_left", F.explode("right_rows").alias("_right")).select("_left.*", "_right.*")
+
+
 def self_join(
     df: DataFrame, key: str, right: DataFrame | None = None, counts: DataFrame | None = None, **sizing
 ) -> DataFrame:

@@ -1,8 +1,11 @@
 """Session settings and the shared scratch folder."""
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +49,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
+_owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, the scratch tables that were made inside.
+
+    What comes out of it must be written, counted or collected before it ends: a DataFrame
+    that reads a scratch table cannot be read any more. Scopes may be nested; each
+    deletes its own paths only, through Hadoop, so on any store. Without a scope
+    scratch tables stay, since results are lazy and may still need them.
+    """
+    token = _owned.set([])
+    try:
+        yield
+    finally:
+        paths = _owned.get()
+        _owned.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

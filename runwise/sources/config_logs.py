@@ -34,17 +34,28 @@ def config_record(runs: DataFrame, fields: Sequence[str], params: str = "opp_par
 
 
 def write_config_log(records: DataFrame, path: str) -> None:
-    """Append records as JSON lines, each with the time it was logged."""
+    """Write records as JSON lines, each with the time it was logged, in place of older ones of the same application.
+
+    An application has one folder with one file. Writing replaces the folders of the applications in
+    ``records`` and leaves all others as they are. Records without an application are left out, since no reader finds them.
+    """
     own = F.map_filter("record", lambda k, _: k != LOGGED_AT)
     now = F.create_map(F.lit(LOGGED_AT), F.unix_micros(F.current_timestamp()).cast("string"))
-    records.select(F.to_json(F.map_concat(own, now)).alias("value")).write.mode("append").text(path)
+    lines = records.filter(F.col("record")[ID].isNotNull()).select(F.col("record")[ID].alias(ID), F.to_json(F.map_concat(own, now)).alias("value"))
+    (
+        lines.repartition(ID)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(ID)
+        .text(path)
+    )
 
 
 def read_config_logs(spark: SparkSession, path: str) -> DataFrame:
     """``(application_attempt, spark_executor_memory in bytes, record)``, one row per run.
 
-    Of several records of an application the one logged last counts; one without
-    a time is older than any with one.
+    Of several records of an application, as logs that were appended to have, the one
+    logged last counts; one without a time is older than any with one.
 
     Keys differ from run to run, so a record is read as a map and not as
     inferred columns: no inference pass, and keys that differ only in case do

@@ -5,7 +5,7 @@ from runwise.operators import (
     best_trial, derive_persons, join_size, partition_profile, prefix_columns, row_count, self_join, trial_stats,
     value_counts,
 )
-from runwise.operators.joins import grids, pair_join
+from runwise.operators.joins import expand_pairs, factor_join, grids, pair_join
 from runwise.plans import run_workload
 from runwise.schemas import PERSON_COLUMNS
 from runwise.sources import generate_persons, person_ids
@@ -88,6 +88,41 @@ def test_equal_rows_of_a_hot_key_are_spread(spark):
     assert sorted(r["rows"] for r in partition_profile(joined).collect()) == sorted(sizes)
 
 
+@pytest.mark.parametrize("block_rows, per_cell", [(4096, 8), (7, 2), (1, 1)])
+def test_factored_join_is_the_plain_join(spark, block_rows, per_cell):
+    df = skewed(spark, 300)
+    other = prefix_columns(df, df.columns).withColumn("more", F.lit(None).cast("int"))
+    plain = df.join(other, df.surname == other.another_surname)
+    factored = factor_join(df, other, "surname", "another_surname", block_rows=block_rows, blocks_per_cell=per_cell)
+    assert factored.columns == ["left_rows", "right_rows"]
+    expanded = expand_pairs(factored)
+    assert expanded.columns == plain.columns and same(plain, expanded)
+
+
+def test_factored_join_bounds_what_a_task_holds(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) surname", "id name")
+    other = prefix_columns(df, df.columns)
+    factored = factor_join(df, other, "surname", "another_surname", block_rows=50, blocks_per_cell=4)
+    sizes = factored.select(F.size("left_rows").alias("l"), F.size("right_rows").alias("r"), F.spark_partition_id().alias("p"))
+    rows = sizes.collect()
+    assert sum(r.l * r.r for r in rows) == 1000 * 1000 + 2000
+    assert max(max(r.l, r.r) for r in rows) < 100
+    hot = [r for r in rows if r.l > 1]
+    assert len(hot) == 400 and len({r.p for r in hot}) > 8
+
+
+def test_large_joins_are_planned_and_not_refused(spark, plan, monkeypatch):
+    """Ten million rows on 92 keys make 1.1e12 pairs: the plan holds blocks, and a small table gives its plain join."""
+    df = spark.range(920).selectExpr("cast(id % 92 as string) surname", "id name")
+    told = spark.range(92).selectExpr("cast(id as string) _k", "cast(108696 as decimal(19,0)) n", "cast(108696 as decimal(19,0)) m")
+    other = prefix_columns(df, df.columns)
+    joined = pair_join(df, other, "surname", "another_surname", counts=told)
+    assert joined.rdd.getNumPartitions() <= 92 * 16 and plan(joined).count("* Generate (") >= 2
+    assert joined.count() == 9200
+    monkeypatch.setattr("runwise.operators.joins.MAX_TASKS", 4)
+    assert same(self_join(df, "surname", rows_per_task=10), df.join(other, df.surname == other.another_surname))
+
+
 def test_workload_counts_its_key_in_one_scan(spark, tmp_path):
     spark.range(100).selectExpr(*[f"cast(id % 7 as string) {c}" for c in PERSON_COLUMNS]).write.parquet(f"{tmp_path}/people")
     people = spark.read.parquet(f"{tmp_path}/people")

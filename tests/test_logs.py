@@ -203,6 +203,22 @@ def test_last_record_of_an_application_counts(spark, tmp_path):
         ("app-1", 2 << 30, {"application_attempt", "spark_executor_memory"})]
 
 
+def test_a_record_replaces_that_of_its_application(spark, tmp_path):
+    def log(**memory):
+        rows = [(app, {"application_attempt": app, "spark_executor_memory": m}) for app, m in memory.items()] + [("lost", {"x": "y"})]
+        df = spark.createDataFrame(rows, "application_attempt string, record map<string,string>")
+        write_config_log(df.repartition(3), str(tmp_path))
+        return {r.application_attempt: r.spark_executor_memory >> 30 for r in read_config_logs(spark, str(tmp_path)).collect()}
+
+    assert log(a="1g", b="2g") == {"a": 1, "b": 2}
+    assert log(a="3g", **{"c/d=e": "5g"}) == {"a": 3, "b": 2, "c/d=e": 5}
+    assert log(a="4g") == {"a": 4, "b": 2, "c/d=e": 5}
+    assert len([f for f in tmp_path.rglob("*.txt")]) == 3
+    # a log that was appended to before still has its last record
+    (tmp_path / "old.json").write_text(json.dumps({"application_attempt": "a", "spark_executor_memory": "9g", "logged_at": "1"}))
+    assert log(b="7g") == {"a": 4, "b": 7, "c/d=e": 5}
+
+
 def test_settings_logged_twice_are_one_row(spark):
     rows = [("a", "SparkListenerEnvironmentUpdate", {"k": "v", "x": "1"})] * 2
     df = spark.createDataFrame(rows, "application_attempt string, Event string, `Spark Properties` map<string,string>")

@@ -1,10 +1,12 @@
+import os
 from types import SimpleNamespace
 
 import pytest
 
 from runwise import fixtures as fx
 from runwise.plans import analyze_runs, run_workload
-from runwise.session import s3a_conf, scratch_path
+from runwise.operators import fit_curve, predict_curve, self_join
+from runwise.session import s3a_conf, scratch_path, scratch_scope
 from runwise.sources import config_record, generate_persons, person_ids, write_config_log, write_event_logs
 
 
@@ -47,12 +49,33 @@ def test_scratch_needs_a_shared_folder():
 
 
 def test_analysis_refuses_logs_it_cannot_decode(spark, tmp_path):
-    (tmp_path / "app-1.lz4").write_bytes(b"x")
+    (tmp_path / "app-1.lzf").write_bytes(b"x")
     (tmp_path / "app-2").write_text("{}\n")
-    with pytest.raises(ValueError, match="app-1.lz4"):
+    with pytest.raises(ValueError, match="app-1.lzf"):
         analyze_runs(spark, str(tmp_path), str(tmp_path), scratch_path(spark, "points"))
 
 
+def test_scratch_tables_go_with_their_scope(spark, tmp_path):
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    people = generate_persons(person_ids(spark, 300))
+    with scratch_scope(spark):
+        curve = fit_curve(people.selectExpr("cast(length(name) as double) rows", "cast(length(street) as double) mem"), local_points=2)
+        with scratch_scope(spark):
+            assert self_join(people, "surname", rows_per_task=100).count() > 300
+            inside = set(os.listdir(base))
+        between = set(os.listdir(base))
+        assert predict_curve(curve, people.selectExpr("length(name) rows")).count() == 300
+        assert before < between < inside
+        kept = scratch_path(spark, "never_written")
+    assert set(os.listdir(base)) == before and not os.path.exists(kept)
+    outside = scratch_path(spark, "outside")
+    people.write.parquet(outside)
+    with scratch_scope(spark):
+        pass
+    assert spark.read.parquet(outside).count() == 300
+
+
 def test_s3a_settings():
     conf = s3a_conf("http://store:9000", "a", "b")
     assert conf["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000" and len(conf) == 4
