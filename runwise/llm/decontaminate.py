@@ -27,8 +27,9 @@ def _words(text: Column) -> Column:
 
 def _low_words(text: Column) -> Column:
     # lower() also folds letters beyond ASCII, and is much faster than translate(); it moves no
-    # border of a word, equal folded words are equal lower-case words, and each hit is verified
-    return _words(F.lower(text))
+    # border of a word, and each hit is verified. Only a capital sigma becomes one letter or another by
+    # what stands around it, so both are made one: equal folded words are equal here
+    return _words(F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3")))
 
 
 def _folded(words: Column, start: Column, length: Column) -> Column:
@@ -69,7 +70,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, doc_id: str
     looked up in a broadcast hash set, or by a shuffled join where the benchmark has more than
     ``broadcast_windows``, and verified by their words. Null and empty texts have no words and are
     clean. Each row is judged alone: rows that repeat, or share an id, or have none keep their own
-    counts. An empty benchmark hits nothing.
+    counts. Texts are looked through whole, whatever their length. An empty benchmark hits nothing, no documents give no
+    rows, and other columns, whatever their names, play no part.
     """
     windows = benchmark_windows(benchmark, n).withColumnsRenamed({"probe": "w_probe", "key": "w_key"})
     probes = windows.groupBy("w_probe").count().orderBy(F.desc("w_probe")).collect()  # n rows at most

@@ -6,7 +6,6 @@ One table of slots serves all languages: bit ``l`` of a slot belongs to the filt
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ N, SLOTS = 4, 1 << 21
 HASHES = (1_640_531_527, 2_043_128_591)
 #: An n-gram belongs to the languages that use it at least this share as often as the one that uses it most.
 SHARE = 0.3
-LETTER = re.compile(r"[^\W\d_]")
 #: Everything in ASCII but letters separates words.
 TO_SPACE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -95,7 +93,8 @@ class LanguageFilters:
         n, held = self.scores(texts)
         langs, scores = [], []
         for text, row in zip(texts, held):
-            if text is None or not LETTER.search(text) or not self.langs:
+            # number signs, such as fractions and Roman numerals, are no letters
+            if text is None or not any(map(str.isalpha, text)) or not self.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
@@ -109,7 +108,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", share: floa
     """Filters of all languages in ``labelled``; rows without language or text are left out.
 
     The n-grams of all texts are counted. What reaches the driver is the list of languages and the
-    table of the filters, whose size is fixed.
+    table of the filters, whose size is fixed for every 64 languages: there must be few enough for a task to hold it.
+    Repeated rows count as often as they are there. An empty table, or one without languages, teaches none. Texts
+    count whole, whatever their length, and other columns play no part.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).dropna()
     counts = rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -144,7 +145,8 @@ def identify(docs: DataFrame, model: LanguageFilters, text: str = "text") -> Col
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. A
     text none of whose n-grams is known gets the most frequent language and score 0. The first of
-    equal languages in order wins. The whole text counts, and nothing but the text.
+    equal languages in order wins. The whole text counts, whatever its length, and nothing but the text. Repeated rows
+    are judged alike, and an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.usual))
 

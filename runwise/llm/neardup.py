@@ -18,8 +18,8 @@ WORDS = 5
 NEAR = (4, 5)
 #: A pair at similarity 0.8 misses all bands once in 20,000 times.
 BANDS, ROWS = 25, 5
-#: Shingles that are signed together.
-TOGETHER = 1_000_000
+#: Shingles that are signed together, and texts that are Python objects at a time.
+TOGETHER, ROWS_AT_ONCE = 400_000, 200
 _U = np.uint64
 #: ASCII but letters and digits separates words.
 TO_SPACE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -116,16 +116,17 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
 
         ids, hashes, keys, bags, size = [], [], [], [], 0
         for batch in batches:
-            for i, h, t in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(t)
-                ids.append(i)
-                hashes.append(h)
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                bags.append(shingles(words))
-                size += len(words) + 20
-                if size > TOGETHER:
-                    yield done(ids, hashes, keys, bags)
-                    ids, hashes, keys, bags, size = [], [], [], [], 0
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for i, h, t in zip(*(c.slice(at, ROWS_AT_ONCE).to_pylist() for c in batch.columns)):
+                    words = words_of(t)
+                    ids.append(i)
+                    hashes.append(h)
+                    keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+                    bags.append(shingles(words))
+                    size += len(words) + 20
+                    if size > TOGETHER:
+                        yield done(ids, hashes, keys, bags)
+                        ids, hashes, keys, bags, size = [], [], [], [], 0
         if ids:
             yield done(ids, hashes, keys, bags)
 

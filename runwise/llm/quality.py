@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fresh
@@ -23,6 +22,9 @@ SCHEMA = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "n_lines bigint, n_bad_lines bigint, lost_chars bigint, base_failed boolean, kept boolean, clean_text string"
 )
+_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+#: Texts that are Python objects at a time.
+ROWS_AT_ONCE = 200
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -71,11 +73,10 @@ def _chars(words: list[bytes]) -> int:
     return len(data) if data.isascii() else len(data.decode("utf-8", "replace"))
 
 
-def judge_text(text: str | None, min_words: int, repeat_percent: int, lost_percent: int) -> tuple:
-    """The values of ``SCHEMA`` for one text."""
-    if text is None:
+def judge_text(data: bytes | None, min_words: int, repeat_percent: int, lost_percent: int) -> tuple:
+    """The values of ``SCHEMA`` for one text; the last is None where no line goes."""
+    if data is None:
         return 0, 0, 0, 0, 0, 0, 0, 0, min_words > 0, min_words <= 0, None
-    data = text.encode("utf-8", "replace")
     lines, seen = data.split(b"\n"), set()
     all_words: list[bytes] = []
     good, chars, lost, dup, bad = [], 0, 0, 0, 0
@@ -101,7 +102,7 @@ def judge_text(text: str | None, min_words: int, repeat_percent: int, lost_perce
     kept = not failed and 100 * lost <= lost_percent * chars
     symbols = sum(data.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS)))
     return (n, chars, symbols, dup, repeat, len(lines), bad, lost, failed, kept,
-            text if not bad else b"\n".join(good).decode("utf-8", "replace"))
+            b"\n".join(good) if bad else None)
 
 
 def line_quality(text: str | Column, min_words: int = 20, repeat_percent: int = 30, lost_percent: int = 50) -> Column:
@@ -110,27 +111,34 @@ def line_quality(text: str | Column, min_words: int = 20, repeat_percent: int =
     ``base_failed``: fewer than ``min_words`` words, or more than ``repeat_percent`` of them in
     8-word windows that occur twice. ``kept``: not that, and the lines that fail ``bad_line`` hold
     at most ``lost_percent`` of the characters in words. ``clean_text`` is the text without failing
-    lines; lines without a word stay. Null: no words, null ``clean_text``; it and an empty text
+    lines, null where none fails; lines without a word stay. Null: no words; it and an empty text
     fail by their word count. Each row is judged alone, so ties, repeated rows and other columns
-    play no part, and a text is handled whole, whatever its length.
+    play no part, an empty table gives an empty one, and a text is handled whole, whatever its length.
     """
-    @F.pandas_udf(SCHEMA)
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for texts in batches:
-            yield pd.DataFrame([judge_text(x, min_words, repeat_percent, lost_percent) for x in texts], columns=names)
+    fields = [(c.split()[0], _ARROW[c.split()[1]]) for c in SCHEMA.split(", ")]
 
-    return judge(F.col(text) if isinstance(text, str) else text)
+    @F.arrow_udf(SCHEMA)
+    def judge(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.struct(fields))]
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            rows = [judge_text(x, min_words, repeat_percent, lost_percent) for x in texts.slice(at, ROWS_AT_ONCE).to_pylist()]
+            columns = [pa.array([x and x.decode("utf-8", "replace") for x in c] if t == pa.string() else c, t) for c, (_, t) in zip(zip(*rows), fields)]
+            parts.append(pa.StructArray.from_arrays(columns, names=[n for n, _ in fields]))
+        return pa.concat_arrays(parts)
+
+    c = F.col(text) if isinstance(text, str) else text
+    return judge(c.cast("string").cast("binary"))
 
 
 def clean_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **limits) -> DataFrame:
     """The documents that pass, without their failing lines and with the same columns.
 
-    ``n_chars``, if it is a column, is set to the new length where lines went.
+    ``n_chars``, if it is a column, is set to the new length where lines went. Nulls, empty and long texts and
+    repeated rows are as in ``line_quality``.
     """
     q = fresh(docs, "quality")
     out = docs.withColumn(q, line_quality(text, **limits)).filter(F.col(f"{q}.kept"))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.col(f"{q}.n_bad_lines") > 0, F.length(f"{q}.clean_text"))
                              .otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return out.withColumn(text, F.col(f"{q}.clean_text")).select(*docs.columns)
+    return out.withColumn(text, F.coalesce(F.col(f"{q}.clean_text"), F.col(text))).select(*docs.columns)

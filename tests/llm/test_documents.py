@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -100,13 +101,20 @@ def test_language_hard_rows(spark, hard, none):
     assert model.langs == ["de", "en", "fr"]
     got = hard.select("text", language.identify(hard, model).alias("l")).select("text", "l.*").collect()
     for r in got:
-        letters = r.text is not None and re.search(r"[^\W\d_]", r.text)
+        letters = r.text is not None and any(unicodedata.category(c).startswith("L") for c in r.text)
         assert (r.lang_pred in model.langs) if letters else (r.lang_pred, r.score) == ("und", 0.0)
     empty = language.fit(none)
     assert {r.l.lang_pred for r in hard.select(language.identify(hard, empty).alias("l")).collect()} == {"und"}
     assert none.select(language.identify(none, model)).count() == 0
 
 
+def test_number_signs_are_no_letters(spark, hard):
+    texts = ["½ ² 5", "Ⅷ ①", "٣ ৪", "_ - .", "5 a", "ª", "日本", "ǅ"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = [r.l.lang_pred for r in df.select(language.identify(df, language.fit(hard)).alias("l")).collect()]
+    assert [g == "und" for g in got] == [True] * 4 + [False] * 4
+
+
 def test_filters_hold_what_was_put_in():
     code, counts, starts = language.ngrams([b"abcd", b"", b"ab"])
     words = [b"  abcd  ", b"    ", b"  ab  "]
@@ -406,6 +414,19 @@ def _contaminated(text, items, n=13):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_capitals_beyond_ascii_do_not_depend_on_what_follows(spark, most):
+    """A capital sigma that ends a word is lower-cased by what stands behind it."""
+    rest = " ".join(f"w{i}" for i in range(11))
+    items = [(1, f"ΟΔΟΣ a {rest}"), (2, f"ΣΑΣ. ΣΑΣ'Σ b {rest}"), (3, f"İΣ iσ ß {rest}")]
+    texts = [f"ΟΔΟΣ a {rest}", f"ΟΔΟΣ.A {rest}", f"ΟΔΟΣ:a,{rest}!", f"οδος a {rest}", f"ΣΑΣ ΣΑΣ Σ b {rest}", f"İΣ, Iσ'ß {rest}", f"x.İΣ.iσ.ß.{rest.upper()}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, bench, broadcast_windows=most).collect()}
+    assert got == {i: _contaminated(t, items)[:3] for i, t in enumerate(texts)}
+    assert got[1][:2] == (13, 13) and got[3][1] == 0
+
+
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_contamination_hard_rows(spark, hard, none, most):
     items = [(1, SHARED), (2, SHARED[:300]), (10, "the same five words"), (3, "Été été"), (4, None), (5, "!?"), (6, "a"), (7, LONG[5000:5400]), (8, SHARED)]
