@@ -193,13 +193,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a similarity of at least ``near[0] / near[1]``: the weighted Jaccard overlap of their multisets of
     five-word shingles. Documents of the same words are one node. Nodes that share a band are
     candidates; each is checked against the bucket's pivot, its most connected node. What that leaves
-    in more than one component is checked pair by pair, but only where the overlaps with the pivot
-    allow a link, or with the shingles that both have and the pivot lacks do. So a large group of
-    copies needs one check per node, and no pair of a bucket that could be a link stays unchecked.
+    in more than one component is checked further, but only where the overlaps with the pivot
+    allow a link, or with the shingles that both have and the pivot lacks do: first against one member of each
+    group that meets, then, where that linked nothing, pair by pair. So a large group of
+    copies needs a check or two per node, and no pair of a bucket that could be a link stays unchecked. The pairs that
+    are left are those of nodes which are similar, but not similar enough.
 
     Texts without a word (null, empty, marks only) are each a class of their own, under their own
     id. Shorter texts than five words are one shingle. Repeated rows are copies. Ids may be null:
-    such rows belong to a class, but don't name one unless no other row does. ``class_key``, null for
+    such rows belong to a class, but don't name one unless no other row does. Texts are compared whole, whatever
+    their length; an empty table gives an empty one; other columns, whatever their names, play no part. ``class_key``, null for
     texts without a word, tells classes apart even where rows of different texts share an id.
     """
     spark = docs.sparkSession
@@ -242,12 +245,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("bucket").alias("o_bucket"))
     placed = kept(placed.join(open_, F.col("bucket") == F.col("o_bucket"), "left_semi"), "open")
     # the pivot's part of an overlap is no more than the smaller overlap with the pivot; pairs for which that is enough
-    needed = f"{near[0]} * (x.size + y.size)"
-    x, y = placed.alias("x"), placed.alias("y")
-    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-    both = f"{near[0] + near[1]}"
-    nested = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & F.expr(f"{both} * least(x.shared, y.shared) >= {needed}")).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    both = near[0] + near[1]
+
+    def apart(x: str, y: str) -> str:
+        """``x`` is the smaller, the two may be similar by their sizes, and nothing links them yet."""
+        return (f"({x}.size < {y}.size or {x}.size = {y}.size and {x}.key < {y}.key) and {x}.root <> {y}.root"
+                f" and {near[1]} * {x}.size >= {near[0]} * {y}.size")
+
+    enough = f"{both} * least(x.shared, y.shared) >= {near[0]} * (x.size + y.size)"
     # all other pairs need shingles that both have and the pivot has not: so many that two nodes of a link
     # share one of the first of these in any order, once each leaves out one less than it needs. The
     # rarest go first, so what a family of copies has in common hardly counts.
@@ -257,22 +262,52 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "pivot", "key", "size", "root", "shared", "shingle", "n"), "additions")
     often = added.groupBy("pivot", "shingle").agg(F.count("*").alias("often")).withColumnsRenamed({"pivot": "o_pivot", "shingle": "o_shingle"})
     rarest = Window.partitionBy("pivot", "key").orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    # a link needs an overlap of near[0] / near[1] of the node's own size at least, of which the pivot gives up to ``shared``
-    needs = F.greatest(F.lit(1), F.ceil(F.col("size") * near[0] / near[1] - 1e-9) - F.col("shared"))
-    first = kept(
+    # of a link the larger node shares near[0] / near[1] of its own size at least, the smaller (and nodes of equal size)
+    # twice near[0] of both; the pivot gives up to ``shared`` of that
+    needs = {"low": f"ceil({2 * near[0]} * size / {both} - 1e-9D)", "high": f"ceil({near[0]} * size / {near[1]} - 1e-9D)"}
+    within = {k: F.expr(f"ahead <= size - shared - greatest(1, {v} - shared)") for k, v in needs.items()}
+    first = (
         added.join(often, (F.col("pivot") == F.col("o_pivot")) & (F.col("shingle") == F.col("o_shingle")))
         .withColumn("ahead", F.coalesce(F.sum("n").over(rarest), F.lit(0)))
-        .filter((F.col("often") > 1) & (F.col("ahead") <= F.col("size") - F.col("shared") - needs))
-        .select("pivot", "key", "size", "root", "shingle"), "first")
-    x, y = first.alias("x"), first.alias("y")
-    fits = F.expr(f"{near[1]} * least(x.size, y.size) >= {near[0]} * greatest(x.size, y.size)")
-    alike = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & fits).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    rest = nested.unionByName(alike).distinct()
-    more = kept(overlaps(rest, texts), "checked")
-    extra = more.filter(linked).select("a", "b")
-    if extra.take(1):
-        roots = kept(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)), "roots")
+        .filter((F.col("often") > 1) & within["high"])
+        .select("pivot", "key", "size", "root", "shingle", within["low"].alias("low")))
+    first = kept(first, "first")
+    # the shingles of a passage are with the same nodes, whose pairs one of them brings
+    member = F.xxhash64("key", "low")
+    sets = first.groupBy("pivot", "shingle").agg(F.bit_xor(member).alias("one"), F.sum(member.bitwiseAND((1 << 40) - 1)).alias("two"), F.count("*").alias("of"))
+    stands = sets.groupBy("pivot", "one", "two", "of").agg(F.min("shingle").alias("s_shingle")).filter("of > 1").select(F.col("pivot").alias("s_pivot"), "s_shingle")
+    first = kept(first.join(kept(stands, "shingles"), (F.col("pivot") == F.col("s_pivot")) & (F.col("shingle") == F.col("s_shingle")), "left_semi"), "first")
+
+    def renamed(groups: DataFrame) -> DataFrame:
+        """With the roots as they are after further links."""
+        now = roots.select(F.col("node").alias("n_node"), F.col("root").alias("n_root"))
+        return kept(groups.join(now, F.col("key") == F.col("n_node"), "left").withColumn("root", F.coalesce("n_root", "key")).drop("n_node", "n_root"), "open")
+
+    def centred(groups: DataFrame, by: list[str], condition: str) -> DataFrame:
+        """Each group's members with its largest one."""
+        center = F.max(F.struct("size", "key", *[c for c in groups.columns if c not in (*by, "size", "key")])).alias("c")
+        y = kept(groups.groupBy(*by).agg(center).select(*[F.col(c).alias(f"y_{c}") for c in by], "c.*"), "centers").alias("y")
+        x = groups.alias("x")
+        same = " and ".join(f"x.{c} = y.y_{c}" for c in by)
+        return x.join(y, F.expr(f"{same} and {apart('x', 'y')} and {condition}")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+    def paired(groups: DataFrame, by: list[str], condition: str) -> DataFrame:
+        x, y = groups.alias("x"), groups.alias("y")
+        same = " and ".join(f"x.{c} = y.{c}" for c in by)
+        return x.join(y, F.expr(f"{same} and {apart('x', 'y')} and {condition}")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+    # first against one member of each group, which links a family in as many pairs as it has members; then
+    # what is still apart, pair by pair
+    done = None
+    for pairs in (centred, paired):
+        rest = pairs(placed, ["bucket"], enough).unionByName(pairs(first, ["pivot", "shingle"], "x.low")).distinct()
+        rest = rest if done is None else rest.join(done, ["a", "b"], "left_anti")
+        done = kept(overlaps(rest, texts), "checked")
+        extra = done.filter(linked).select("a", "b")
+        if extra.take(1):
+            roots = kept(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)), "roots")
+            if pairs is centred:
+                placed, first = renamed(placed), renamed(first)
     named = nodes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("root", "n_root")
     classes = named.join(names, F.col("root") == F.col("n_root")).select(F.col("key").alias("c_key"), "class_id", F.col("root").alias("class_key"))

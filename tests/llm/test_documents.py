@@ -364,6 +364,26 @@ def test_near_duplicates_hard_rows(spark, hard, none):
     assert ids.count(6) == 2 and 11 in ids and 12 not in ids and {1, 2, 3, 4, 5, 7, 8, 9, 10, 13} <= set(ids)
 
 
+@pytest.mark.parametrize("seed, share, own", [(1, 150, 6), (2, 190, 20), (3, 120, 60)])
+def test_families_that_share_an_addition(spark, monkeypatch, seed, share, own):
+    """Members far from the original, that have a passage in common which the original lacks; some differ in length."""
+    r = random.Random(seed)
+    base, passage = _prose(31, 260).split(), _prose(32, 90).split()
+    rows = [(0, " ".join(base)), (1, " ".join(base + passage))]
+    for i in range(60):
+        words = base[:share] + passage[: 90 - i % 3 * 15] + base[share + 40 + i % 7 :]
+        for _ in range(r.randint(0, own)):
+            words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+        rows.append((100 - i, " ".join(words)))
+    checked = []
+    overlaps = neardup.overlaps
+    monkeypatch.setattr(neardup, "overlaps", lambda pairs, texts: checked.append(pairs) or overlaps(pairs, texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = neardup.near_duplicates(df, n=60, rows=3).select("doc_id", "class_id").collect()
+    assert _counted(got) == _counted((i, c) for (i, _), c in zip(rows, _classes(rows)))
+    assert len(checked) == 3
+
+
 def test_near_duplicates_query(spark, table):
     ids = sorted(table)
     want = dict(zip(ids, _classes([(i, table[i]) for i in ids])))
