@@ -20,9 +20,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     now, before = now.filter("a <> b"), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # written, so that the join shuffles both sides plainly and a hub's edges can be split among tasks
+        low = _written(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.join(low, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        large = _written(spark, large)
+        low = _written(spark, large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         moved = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = low.select(F.col("u").alias("a"), F.col("m").alias("b"))
         now = _written(spark, moved.unionByName(own).filter("a <> b").distinct())
