@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh
-
 SYMBOLS = b"#*$%&|<>"
 #: Words that stand between the entries of a menu.
 SEPARATORS = frozenset(x.encode() for x in ("|", "»", "›", "•", "·", ">", "<", "/", "-", "–"))
@@ -130,15 +129,30 @@ def line_quality(text: str | Column, min_words: int = 20, repeat_percent: int =
     return judge(c.cast("string").cast("binary"))
 
 
-def clean_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **limits) -> DataFrame:
+def clean_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", min_words: int = 20, repeat_percent: int = 30,
+                    lost_percent: int = 50) -> DataFrame:
     """The documents that pass, without their failing lines and with the same columns.
 
     ``n_chars``, if it is a column, is set to the new length where lines went. Nulls, empty and long texts and
-    repeated rows are as in ``line_quality``.
+    repeated rows are as in ``line_quality``. Documents go through the workers a few at a time, and each comes
+    back once, so that neither side holds more than a batch.
     """
-    q = fresh(docs, "quality")
-    out = docs.withColumn(q, line_quality(text, **limits)).filter(F.col(f"{q}.kept"))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col(f"{q}.n_bad_lines") > 0, F.length(f"{q}.clean_text"))
-                             .otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return out.withColumn(text, F.coalesce(F.col(f"{q}.clean_text"), F.col(text))).select(*docs.columns)
+    at, length = docs.columns.index(text), docs.columns.index(n_chars) if n_chars in docs.columns else None
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                rows = [judge_text(x, min_words, repeat_percent, lost_percent) for x in part.column(at).cast(pa.binary()).to_pylist()]
+                keep = pa.array([r[-2] for r in rows])
+                changed = [None if r[-1] is None else r[-1].decode("utf-8", "replace") for r in rows]
+                columns = list(part.columns)
+                if any(x is not None for x in changed):
+                    old = part.column(at).to_pylist()
+                    columns[at] = pa.array([x if new is None else new for x, new in zip(old, changed)], columns[at].type)
+                    if length is not None:
+                        old = part.column(length).to_pylist()
+                        columns[length] = pa.array([x if new is None else len(new) for x, new in zip(old, changed)], columns[length].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
+
+    return docs.mapInArrow(clean, docs.schema)
