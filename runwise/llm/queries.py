@@ -103,9 +103,8 @@ SQL = {
                 when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
                 when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end rule,
             string_split(path, '/') e from h),
-        y as (select *, array_to_string(list_concat(list_transform(e[2:9], lambda s: regexp_replace(regexp_replace(
-                s, '^[0-9]+(\.[A-Za-z0-9]+)?$', '<num>\1'), '^[0-9a-fA-F-]{{16,}}(\.[A-Za-z0-9]+)?$', '<id>\1')),
-                case when len(e) > 9 then ['**'] else [] end), '/') typed,
+        y as (select *, array_to_string(list_transform(e[2:], lambda s: regexp_replace(regexp_replace(
+                s, '^[0-9]+(\.[A-Za-z0-9]+)?$', '<num>\1'), '^[0-9a-fA-F-]{{16,}}(\.[A-Za-z0-9]+)?$', '<id>\1')), '/') typed,
             case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end label from u),
         l as (select host, typed, count(*) n, count(*) filter (label = 'allow') good, count(*) filter (label = 'block') bad from y group by 1, 2),
         s as (select host, typed, n, i, s[i] seg, array_to_string(s[1 : i - 1], '/') pre, not regexp_matches(s[i], '^(<|\*|$)') lit
@@ -117,11 +116,13 @@ SQL = {
         t as (select l.*, array_to_string(parts, '/') own, case when first is null then array_to_string(parts, '/') else array_to_string(list_concat(
             parts[1 : list_position(parts, first) - 1], ['*'], parts[list_position(parts, first) + 1 :]), '/') end pattern
             from l join f using (host, typed)),
-        b as (select host, pattern, own, sum(n) n, sum(good) good, sum(bad) bad from t group by 1, 2, 3),
-        a as (select *, sum(n) over w an, sum(good) over w ag, sum(bad) over w ab from b window w as (partition by host, pattern)),
-        k as (select *, (10 * (good * an + 4 * ag)) // (an * (n + 4)) g, (10 * (bad * an + 4 * ab)) // (an * (n + 4)) z from a),
-        j as (select host, own, pattern, count(*) over w c, sum(good) over w sg, sum(bad) over w sb from k window w as (partition by host, pattern, g, z))
-        select page_id, y.host, path, rule, coalesce(label, case when 5 * (sg + 1) < sg + sb + 2 then 'block' else 'allow' end) verdict,
+        b as (select host, pattern, own, sum(good) good, sum(bad) bad from t group by 1, 2, 3),
+        a as (select *, sum(good) over w ag, sum(good + bad) over w al from b window w as (partition by host, pattern)),
+        k as (select *, case when al > 0 then (10 * (good * al + 4 * ag)) // (al * (good + bad + 4)) else -1 end g from a),
+        j as (select host, own, pattern, ag, al, count(*) over w c, sum(good) over w sg, sum(good + bad) over w sl from k
+            window w as (partition by host, pattern, g))
+        select page_id, y.host, path, rule, coalesce(label, case when case when sl > 0 then 5 * (sg + 1) < sl + 2 else 5 * (ag + 1) < al + 2 end
+                then 'block' else 'allow' end) verdict,
             case when c > 1 then j.pattern else j.own end "template"
         from y join t on y.host = t.host and y.typed = t.typed join j on j.host = t.host and j.own = t.own and j.pattern = t.pattern""",
     "op5_mixing": rf"""

@@ -10,11 +10,9 @@ from .common import LOWER, UPPER
 
 #: (verdict, rule); a rule is a host, which stands for its subdomains too, and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Segments of a path that the tree tells apart; what is behind them is one wildcard.
-DEPTH = 8
 #: A place with more literal segments than this, and fewer pages than PER_SEGMENT to each, is variable.
 SEGMENTS, PER_SEGMENT = 20, 5
-#: Weight of the pooled rate when branches are compared, and tenths in which rates are compared.
+#: Weight of the parent's purity when branches are compared, and tenths in which purities are compared.
 POOLED, STEPS = 4, 10
 #: Allowed and blocked pages that each template is taken to have besides its own, and the least share of allowed ones.
 PRIOR, LEAST_PURITY = (1, 1), (1, 5)
@@ -45,25 +43,25 @@ def segments(path: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(s, r"^[0-9]+(\.[A-Za-z0-9]+)?$", "<num>$1"), r"^[0-9a-fA-F-]{16,}(\.[A-Za-z0-9]+)?$", "<id>$1")
 
     every = F.split(path, "/")
-    parts = F.transform(F.slice(every, 2, DEPTH), typed)
-    return F.when(F.size(every) > DEPTH + 1, F.concat(parts, F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(F.slice(every, 2, F.size(every) - 1), typed)
 
 
 def template_tree(urls: DataFrame) -> DataFrame:
     """host, typed (path), template, n, good, bad, blocked, for ``urls`` of host, path and a label (allow, block or null).
 
     Every place of the tree, a host and the segments so far, is variable if it has many literal
-    segments and few pages to each, and a wildcard then. Templates of a host that differ only in
-    their first literal segment are merged into one with a wildcard, if their shares of allowed and
-    of blocked pages, each smoothed by that of all of them, fall into the same tenth. A template is
-    blocked if the smoothed share of allowed pages among its labelled ones is below LEAST_PURITY;
-    without labels it is not.
+    segments and few pages to each, and a wildcard then. Branches of a host that differ only in
+    their first literal segment have one parent, the pattern with a wildcard there. A branch's purity is the share of
+    allowed pages among its labelled ones, smoothed by the parent's; without labels it is the parent's.
+    Branches whose purities fall into the same tenth are merged. A template is
+    blocked if its labelled pages, or its parent's where it has none, have a purity below LEAST_PURITY, smoothed
+    by PRIOR; where the parent has no labels either, it is not.
     """
     leaves = urls.select("host", F.array_join(segments(F.col("path")), "/").alias("typed"), "label").groupBy("host", "typed").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("label") == "allow", 1)).alias("good"), F.count(F.when(F.col("label") == "block", 1)).alias("bad"))
     leaves = _kept(leaves, "leaves")
     steps = leaves.select("host", "typed", "n", F.split("typed", "/").alias("s")).select("*", F.posexplode("s").alias("d", "segment")).select(
-        "host", "typed", "n", "d", "segment", F.array_join(F.slice("s", 1, F.col("d")), "/").alias("before"))
+        "host", "typed", "n", "d", "segment", F.xxhash64(F.slice("s", 1, F.col("d"))).alias("before"))
     literal = ~F.col("segment").rlike(r"^(<|\*|$)")
     variable = (
         steps.filter(literal).groupBy("host", "before", "d", "segment").agg(F.sum("n").alias("n"))
@@ -84,17 +82,20 @@ def template_tree(urls: DataFrame) -> DataFrame:
         "host", "typed", "n", "good", "bad", F.array_join("parts", "/").alias("own"), F.array_join(open_, "/").alias("pattern"))
     named = _kept(named, "templates")
 
-    branches = named.groupBy("host", "pattern", "own").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    pooled = named.groupBy("host", "pattern").agg(F.sum("n").alias("all"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")).withColumnsRenamed(
+    branches = named.groupBy("host", "pattern", "own").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    parents = branches.groupBy("host", "pattern").agg(F.sum("good").alias("all_good"), F.sum(F.expr("good + bad")).alias("labelled")).withColumnsRenamed(
         {"host": "p_host", "pattern": "p_pattern"})
-    step = lambda x: F.expr(f"({STEPS} * ({x} * all + {POOLED} * all_{x})) div (all * (n + {POOLED}))")
-    binned = branches.join(pooled, (F.col("host") == F.col("p_host")) & (F.col("pattern") == F.col("p_pattern"))).select(
-        "host", "pattern", "own", "n", "good", "bad", step("good").alias("g"), step("bad").alias("b"))
-    groups = binned.groupBy("host", "pattern", "g", "b").agg(F.count("*").alias("branches"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    tenth = F.expr(f"({STEPS} * (good * labelled + {POOLED} * all_good)) div (labelled * (good + bad + {POOLED}))")
+    binned = branches.join(parents, (F.col("host") == F.col("p_host")) & (F.col("pattern") == F.col("p_pattern"))).select(
+        "host", "pattern", "own", "good", "bad", "all_good", "labelled", F.when(F.col("labelled") > 0, tenth).otherwise(-1).alias("tenth"))
+    groups = binned.groupBy("host", "pattern", "tenth").agg(
+        F.count("*").alias("branches"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("all_good").alias("all_good"), F.max("labelled").alias("labelled"))
+    impure = lambda good, of: LEAST_PURITY[1] * (good + PRIOR[0]) < LEAST_PURITY[0] * (of + sum(PRIOR))
+    own = F.col("good") + F.col("bad")
     judged = groups.select(
-        F.col("host").alias("j_host"), F.col("pattern").alias("j_pattern"), F.col("g").alias("j_g"), F.col("b").alias("j_b"), "branches",
-        (LEAST_PURITY[1] * (F.col("good") + PRIOR[0]) < LEAST_PURITY[0] * (F.col("good") + F.col("bad") + sum(PRIOR))).alias("blocked"))
-    verdicts = binned.join(judged, (F.col("host") == F.col("j_host")) & (F.col("pattern") == F.col("j_pattern")) & (F.col("g") == F.col("j_g")) & (F.col("b") == F.col("j_b"))).select(
+        F.col("host").alias("j_host"), F.col("pattern").alias("j_pattern"), F.col("tenth").alias("j_tenth"), "branches",
+        F.when(own > 0, impure(F.col("good"), own)).otherwise(impure(F.col("all_good"), F.col("labelled"))).alias("blocked"))
+    verdicts = binned.join(judged, (F.col("host") == F.col("j_host")) & (F.col("pattern") == F.col("j_pattern")) & (F.col("tenth") == F.col("j_tenth"))).select(
         F.col("host").alias("b_host"), F.col("pattern").alias("b_pattern"), F.col("own").alias("b_own"),
         F.when(F.col("branches") > 1, F.col("pattern")).otherwise(F.col("own")).alias("template"), "blocked")
     return named.join(verdicts, (F.col("host") == F.col("b_host")) & (F.col("pattern") == F.col("b_pattern")) & (F.col("own") == F.col("b_own"))).select(
@@ -112,7 +113,8 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
 
     The verdict is the longest fitting rule's, else the template's; pages that rules judge are the
     labels that templates learn from. A url that is null or has no ``://`` has an empty host and path,
-    fits no rule, and shares the template of such urls. Repeated rows are judged alike and kept. An
+    fits no rule, and shares the template of such urls. Repeated rows are judged alike and kept, and count as often in
+    the shares. Of rules of equal length the first wins. Paths are told apart in all their segments, however many. An
     empty table gives an empty result. Other columns play no part.
     """
     host, path = host_and_path(F.col(url))
