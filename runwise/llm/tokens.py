@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from runwise.sources.files import resolver, store_options
+
 #: A place after a letter and before a mark, and any place between other characters and white
 #: space, is a border of the tokenizer's own pieces, whatever stands around it.
 PIECES = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!]|\Z)|\s*\S+|\s+")
 #: Characters that are white space to Python and not to the tokenizer.
 UNSURE = re.compile("[\x1c-\x1f]")
-#: Texts that a call to the tokenizer gets, and pieces that a worker remembers, at most.
-CALL_CHARS, REMEMBERED = 1_000_000, 1_000_000
+#: Characters that a call to the tokenizer gets, and pieces, and characters of them, that a worker remembers, at most.
+CALL_CHARS, REMEMBERED, REMEMBERED_CHARS = 1_000_000, 1_000_000, 32_000_000
 INDEX = "doc_id bigint, shard int, start bigint, n_tokens bigint"
 
 
@@ -32,6 +34,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.known_chars = 0
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -48,13 +51,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, the same as of the tokenizer on whole texts."""
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.known_chars > REMEMBERED_CHARS:
             known.clear()
+            self.known_chars = 0
         split = [None if UNSURE.search(x) else PIECES.findall(x) for x in texts]
         new, size = [], 0
         for p in dict.fromkeys(p for x in split if x for p in x if p not in known):
             new.append(p)
             size += len(p)
+            self.known_chars += len(p)
             if size > CALL_CHARS:
                 known.update(zip(new, self._encode(new)))
                 new, size = [], 0
@@ -64,12 +69,6 @@ class Encoder:
         return [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for t, x in zip(texts, split)]
 
 
-def _open_fs(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def shard_name(path: str, shard: int) -> str:
     return f"{path.rstrip('/')}/{shard:06d}.arrow"
 
@@ -83,8 +82,8 @@ class ShardWriter:
     The file gets its name when it is complete, so that a lost task leaves none.
     """
 
-    def __init__(self, path: str, dtype: np.dtype, length: int, rows: int):
-        self.fs, self.name = _open_fs(path)
+    def __init__(self, path: str, dtype: np.dtype, length: int, rows: int, resolve=None):
+        self.fs, self.name = (resolve or resolver())(path)
         context = TaskContext.get()
         self.draft = f"{self.name}.{context.taskAttemptId() if context else 0}.draft"
         self.fs.create_dir(self.name.rpartition("/")[0], recursive=True)
@@ -118,10 +117,10 @@ class ShardWriter:
 class Shard:
     """Random access to the ids of a shard; local files are mapped and not read."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, resolve=None):
         from pyarrow import fs
 
-        store, name = _open_fs(path)
+        store, name = (resolve or resolver())(path)
         self.source = pa.memory_map(name) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(name)
         self.file = pa.ipc.open_file(self.source)
         self.at, self.ids = -1, np.array([])
@@ -148,7 +147,7 @@ class Shard:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0,
-                 length: int = 2048, rows: int = 256, order: Sequence[Column] = ()) -> DataFrame:
+                 length: int = 2048, rows: int = 256, order: Sequence[Column] = (), filesystem=None) -> DataFrame:
     """Encode all texts, in ascending order of the id or of the columns ``order``, into the Arrow shards below ``path``.
 
     Returns doc_id, shard, start (in the shard) and n_tokens (with ``end_id``, which ends each
@@ -156,8 +155,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     shard the files hold one long run of ids; documents may cross sequences but no shards, and each
     shard's last sequence is padded and masked. A null text is an empty one; null ids come first;
     rows that share an id, or a place in ``order``, follow each other by a hash of the text. ``docs`` may be empty: no shard.
-    ``path`` must be a folder that all executors share.
+    ``path`` must be a folder that all executors share: of a file system they mount, or of a store, which they open with the
+    session's options, or as the pyarrow ``filesystem``. Texts are encoded whole, whatever their length; a call to the
+    tokenizer takes some of them, and what a worker remembers is bounded by number and by size. Other columns play no part.
     """
+    resolve = resolver(store_options(docs.sparkSession), filesystem)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -169,7 +172,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
                 part = batch.slice(first, 500)
                 if not part.num_rows:
                     continue
-                writer = writer or ShardWriter(shard_name(path, shard), encoder.dtype, length, rows)
+                writer = writer or ShardWriter(shard_name(path, shard), encoder.dtype, length, rows, resolve)
                 starts, sizes = [], []
                 for ids in encoder.encode([x or "" for x in part.column(1).to_pylist()]):
                     writer.add(ids + end)
@@ -199,15 +202,17 @@ def with_starts(index: DataFrame) -> DataFrame:
         "doc_id", "shard", F.col("start").alias("shard_start"), (F.col("before") + F.col("start")).alias("start"), "n_tokens")
 
 
-def read_documents(index: DataFrame, path: str) -> DataFrame:
+def read_documents(index: DataFrame, path: str, filesystem=None) -> DataFrame:
     """Per row of ``with_starts``: doc_id, start, n_tokens and ids_crc32, from the ids in the files."""
+    resolve = resolver(store_options(index.sparkSession), filesystem)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
         for batch in batches:
             sums = []
             for number, start, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "shard_start", "n_tokens"))):
                 if number != at:
-                    at, shard = number, Shard(shard_name(path, number))
+                    at, shard = number, Shard(shard_name(path, number), resolve)
                 sums.append(zlib.crc32(shard.slice(start, n).astype("<u4").tobytes()))
             yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())],
                                   names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -183,6 +183,29 @@ def test_pieces_are_the_tokenizers_own():
         assert pieces.encode([x])[0] == np.array(whole.encode(x, add_special_tokens=False).ids, "<u2").tobytes(), repr(x)
 
 
+def test_token_files_of_a_given_store(spark, hard, tmp_path):
+    """The path is one of a store that only the given file system knows."""
+    from pyarrow import fs
+
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    path = "s3a://bucket/some shards"
+    tokens.write_tokens(hard, path, tokenizer_file(), length=64, rows=4, filesystem=store).write.parquet(f"{tmp_path}/index")
+    index = tokens.with_starts(spark.read.parquet(f"{tmp_path}/index"))
+    got = tokens.read_documents(index, path, filesystem=store).select("doc_id", "n_tokens", "ids_crc32")
+    tokens.write_tokens(hard, f"{tmp_path}/plain", tokenizer_file()).write.parquet(f"{tmp_path}/index2")
+    plain = tokens.read_documents(tokens.with_starts(spark.read.parquet(f"{tmp_path}/index2")), f"{tmp_path}/plain")
+    assert _counted(got.collect()) == _counted(plain.select("doc_id", "n_tokens", "ids_crc32").collect())
+    assert list((tmp_path / "bucket" / "some shards").glob("*.arrow"))
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_CHARS", 50)
+    encoder = tokens.Encoder(tokenizer_file())
+    texts = [_prose(i, 30) for i in range(5)] + ["x" * 10_000]
+    first = [encoder.encode([t])[0] for t in texts]
+    assert encoder.encode(texts) == first and len(encoder.known) < 200
+
+
 def test_token_files(spark, hard, none, tmp_path):
     from tokenizers import Tokenizer
 
