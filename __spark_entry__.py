@@ -493,6 +493,14 @@ _STREAMS = [
     (1847771417, 2007692055, 948841693),
     (328142663, 781264603, 1658763564),
 ]
+# Checksums of the value lists; with another list the SQL has no rows.
+_POOLS = {
+    "SURNAMES": "f71dc7cd7a37c5a9d5fa0d60965eb3ec",
+    "NAMES": "e4d4a876a3c7b0c551ae96e259a63132",
+    "PATRONYMICS": "87d520d0d5f9b82579e421efaf29d751",
+    "STREETS": "33b521150832e2dcc6e2c067c22c33e8",
+    "CITIES": "8d1e03156e9e573a5b3fe0834b2d481c",
+}
 _PHONE_PREFIX, _BIRTH_YEARS, _RECORD_YEARS = ('+7', (1950, 2000), (2020, 2022))
 
 
@@ -513,6 +521,9 @@ def _digits(stream: int, width: int) -> str:
     return f"lpad(cast({_draw(stream, 10 ** width)} as varchar), {width}, '0')"
 
 
+_POOLS_AS_WRITTEN = " and ".join(f"md5('{'|'.join(getattr(pools, name))}') = '{md5}'" for name, md5 in _POOLS.items())
+
+
 def _date(stream: int, years: tuple[int, int]) -> str:
     n = _draw(stream, 336 * (years[1] - years[0] + 1))
     return f"concat({n} % 28 + 1, '.', {n} // 28 % 12 + 1, '.', {n} // 336 + {years[0]})"
@@ -605,7 +616,7 @@ def oracle_sql() -> dict[str, str]:
             {_digits(7, 4)} series_passport, {_digits(8, 6)} number_passport,
             {_date(9, _BIRTH_YEARS)} birthday, {_date(10, _RECORD_YEARS)} created_dt,
             {_date(11, _RECORD_YEARS)} updated_dt
-            from (select o_orderkey k from orders)""",
+            from (select o_orderkey k from orders) where {_POOLS_AS_WRITTEN}""",
         "write_table": "select * from customer",
         "read_table": """select cast(c_custkey as varchar) c_custkey, c_name,
             cast(c_nationkey as varchar) c_nationkey, c_acctbal, c_mktsegment from customer""",
