@@ -263,7 +263,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     keyed = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"), F.col(text).cast("binary").alias("text")).filter(
         F.octet_length("text") >= length)
     every = kept(pieces(keyed, length, gram), "pieces")
-    common = every.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("c_anchor"))
+    # each count is a table before rows meet it, so that both sides of the join are shuffles that a hot key can be split in
+    common = kept(every.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("c_anchor")), "common")
     shared = kept(every.join(common, F.col("anchor") == F.col("c_anchor"), "left_semi"), "shared")
     kinds = kept(shared.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("at")), "kinds")
     twice = kinds.filter("n > 1").select(F.col("anchor").alias("k_anchor"), F.col("piece").alias("k_piece"))
@@ -271,17 +272,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         "key", F.col("first").alias("start"), (F.col("last") + length).alias("stop")).distinct()
 
     # pieces that differ at an anchor
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("pieces")).filter("pieces > 1").withColumnRenamed("anchor", "m_anchor")
-    unlike = kinds.join(mixed, F.col("anchor") == F.col("m_anchor")).select("anchor", "piece", "n", "pieces", "at.*")
-    wanted = unlike.groupBy("key").agg(F.collect_list(F.struct(
-        "anchor", "piece", F.col("n"), "first", "last", (F.col("last") + length).alias("stop"))).alias("wanted")).withColumnRenamed("key", "w_key")
+    mixed = kept(kinds.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("m_anchor")), "mixed")
+    unlike = kinds.join(mixed, F.col("anchor") == F.col("m_anchor"), "left_semi").select("anchor", "piece", "n", "at.*")
+    wanted = kept(unlike.groupBy("key").agg(F.collect_list(F.struct(
+        "anchor", "piece", F.col("n"), "first", "last", (F.col("last") + length).alias("stop"))).alias("wanted")).withColumnRenamed("key", "w_key"), "wanted")
     taken = keyed.join(wanted, F.col("key") == F.col("w_key")).select("key", "text", "wanted").mapInArrow(
         _take, "anchor bigint, piece bigint, n bigint, key binary, first bigint, last bigint, text binary")
     # rows of the same text give the same pieces
     taken = kept(taken.dropDuplicates(["anchor", "piece"]), "unlike")
     spans = whole
     for longer in (*LONGER, None):
-        size = taken.groupBy("anchor").count().withColumnsRenamed({"anchor": "s_anchor"})
+        size = kept(taken.groupBy("anchor").count().withColumnsRenamed({"anchor": "s_anchor"}), "sizes")
         sized = taken.join(size, F.col("anchor") == F.col("s_anchor")).select(*taken.columns, "count")
         few = sized.filter(f"count <= {MEET}").repartition("anchor").sortWithinPartitions("anchor", "piece").select(*taken.columns)
         spans = spans.unionByName(few.mapInArrow(_shards(length), "key binary, start bigint, stop bigint"))
@@ -289,16 +290,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         if longer is None or many.isEmpty():
             break
         cut = kept(many.mapInArrow(_finer(length, longer), taken.schema.simpleString()[7:-1].replace(":", " ")), "finer")
-        same = cut.groupBy("anchor", "piece").agg(F.sum("n").alias("all"), F.min(F.struct("key", "first")).alias("at")).withColumnsRenamed(
-            {"anchor": "a_anchor", "piece": "a_piece"})
+        same = kept(cut.groupBy("anchor", "piece").agg(F.sum("n").alias("all"), F.min(F.struct("key", "first")).alias("at")).withColumnsRenamed(
+            {"anchor": "a_anchor", "piece": "a_piece"}), "same")
         cut = kept(cut.join(same, (F.col("anchor") == F.col("a_anchor")) & (F.col("piece") == F.col("a_piece"))), "finer")
         spans = spans.unionByName(cut.filter("n = 1 and all > 1").select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop")))
         # one of each kind goes on, where its anchor has several
         one = cut.filter("key = at.key and first = at.first").withColumn("n", F.col("all")).select(*taken.columns)
-        several = one.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("m_anchor"))
+        several = kept(one.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("m_anchor")), "several")
         taken = kept(one.join(several, F.col("anchor") == F.col("m_anchor"), "left_semi"), "unlike")
     strings = kept(many.mapInArrow(_strings(length), "string binary, key binary, start bigint, n bigint"), "strings")
-    again = strings.groupBy("string").count().filter("count > 1").select(F.col("string").alias("a_string"))
+    again = kept(strings.groupBy("string").count().filter("count > 1").select(F.col("string").alias("a_string")), "again")
     spans = spans.unionByName(strings.filter("n = 1").join(again, F.col("string") == F.col("a_string"), "left_semi").select(
         "key", "start", (F.col("start") + length).alias("stop")))
     return kept(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
@@ -309,7 +310,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
 
     Judged on the input: each covered byte goes, whatever else goes. A null or empty text, or one
     shorter than ``length``, keeps all. Rows of the same text lose all of it, if it is long enough,
-    and a row repeats as often as it is there. Other columns play no part.
+    and a row repeats as often as it is there. A very long text is cut into overlapping parts for the
+    search only, an empty table gives an empty one, and other columns play no part.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
