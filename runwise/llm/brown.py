@@ -17,7 +17,7 @@ from runwise.session import scratch_path
 CLUSTERED, CLASSES = 1024, 64
 #: All other words with this count or more are dealt to the classes.
 LEAST_COUNT = 3
-#: Added to the number of a word that is to be dealt.
+#: Added to the number of a dictionary word that is to be dealt.
 DEALT = 1 << 16
 #: The most frequent words, whose counts every worker holds; the others are joined.
 DICTIONARY = 200_000
@@ -71,15 +71,13 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Classes:
-    """Numbers of words: those of ``known`` by rank, of the others that ``hashes`` has, or else by shape.
+    """Numbers of words: those of ``known`` by rank, of all others by shape.
 
     ``plain`` is the first of the SHAPES numbers by shape; the end of a text follows them.
     """
 
     known: dict[bytes, int]  # rank
     of_rank: np.ndarray
-    hashes: np.ndarray  # sorted
-    of_hash: np.ndarray
     plain: int
 
     def __post_init__(self):
@@ -91,14 +89,7 @@ class Classes:
         """Ranks, -1 where ``known`` lacks the word, and numbers."""
         ranks = np.fromiter(map(self.known.get, words, _minus), np.int64, len(words))
         out = self.of_rank[ranks]  # the last one stands for -1
-        for_shape = np.flatnonzero(ranks < 0)
-        if len(for_shape) and len(self.hashes):
-            h = word_hashes([words[i] for i in for_shape])
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            out[for_shape[hit]] = self.of_hash[at[hit]]
-            for_shape = for_shape[~hit]
-        for i in for_shape:
+        for i in np.flatnonzero(ranks < 0).tolist():
             w = words[i]
             out[i] = self.plain + self.ends[w[-1]] * 2 + (len(w) > 8)
         return ranks, out
@@ -122,20 +113,21 @@ class _Minus:
 _minus = _Minus()
 
 
-def count_pairs(texts: DataFrame, sent, size: int) -> np.ndarray:
-    """How often number i is followed by number j, the end standing before and behind each text."""
+def count_pairs(lines, rows: DataFrame, size: int) -> np.ndarray:
+    """How often number i is followed by number j in the lines that ``lines`` makes of each batch of ``rows``.
+
+    A line is the numbers of a text with the end before and behind them.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sent.value
-        total = np.zeros(s.size * s.size, np.int64)
+        total = np.zeros(size * size, np.int64)
         for batch in batches:
-            codes, size = [], 0
-            for text in batch.column(0).to_pylist():
-                line = np.concatenate([[s.end], s.of(words_of(text))[1], [s.end]])
-                codes.append(line[:-1] * s.size + line[1:])
-                size += len(line)
-                if size > 1_000_000:
+            codes, held = [], 0
+            for line in lines(batch):
+                codes.append(line[:-1] * size + line[1:])
+                held += len(line)
+                if held > 1_000_000:
                     total += np.bincount(np.concatenate(codes), minlength=len(total))
-                    codes, size = [], 0
+                    codes, held = [], 0
             if codes:
                 total += np.bincount(np.concatenate(codes), minlength=len(total))
         pair = np.flatnonzero(total)
@@ -144,44 +136,46 @@ def count_pairs(texts: DataFrame, sent, size: int) -> np.ndarray:
             yield pa.record_batch([pa.array(p), pa.array(total[p])], names=["pair", "n"])
 
     # size * size rows at most, whatever the input
-    found = texts.select("text").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(size * size)
     pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     return pairs.reshape(size, size)
 
 
-def deal(texts: DataFrame, sent, pairs: np.ndarray, plain: int) -> DataFrame:
-    """h, class: for the hash of each word whose number has DEALT added, the class that makes its occurrences likeliest.
+def deal(texts: DataFrame, sent, pairs: np.ndarray, plain: int, least_count: int) -> DataFrame:
+    """h, class: for the hash of each word to be dealt, the class that makes its occurrences likeliest.
 
-    ``pairs`` counts how classes follow each other. Words are counted with the classes on either
-    side, and all move at once, by what precedes, what follows and the size of the class. Ties: the
-    lower class.
+    To be dealt are the dictionary's words whose number has DEALT added, and of those beyond it the
+    ones that occur ``least_count`` times. ``pairs`` counts how classes follow each other. Words are
+    counted with the classes on either side, and all move at once, by what precedes, what follows
+    and the size of the class. Ties: the lower class.
     """
     size = len(pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, codes, held = sent.value, [], 0
+        s, codes, beyond, held = sent.value, [], [], 0
         known = word_hashes(s.known)
-        every = np.sort(np.concatenate([known, s.hashes]))
-        place = np.append(np.searchsorted(every, known), -1)
 
         def handed_on():
             code, n = np.unique(np.concatenate(codes), return_counts=True)
-            return pa.record_batch([pa.array(every[code // (2 * size)]), pa.array(code % (2 * size), pa.int32()), pa.array(n)], names=["h", "code", "n"])
+            h, c = (np.concatenate(x) for x in zip(*beyond))  # these hardly repeat
+            return pa.record_batch([pa.array(np.concatenate([known[code // (2 * size)], h])),
+                                    pa.array(np.concatenate([code % (2 * size), c]), pa.int32()),
+                                    pa.array(np.concatenate([n, np.ones(len(h), np.int64)]))], names=["h", "code", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 ranks, numbers = s.of(words)
-                moves = np.flatnonzero(numbers >= DEALT)
                 line = np.concatenate([[s.end], numbers % DEALT, [s.end]])
-                at = place[ranks[moves]]
-                at[at < 0] = np.searchsorted(every, word_hashes([words[i] for i in moves[at < 0]]))
-                codes += [at * (2 * size) + line[moves + 2], at * (2 * size) + size + line[moves]]
-                held += 2 * len(moves)
+                moves, others = np.flatnonzero(numbers >= DEALT), np.flatnonzero(ranks < 0)
+                at, h = ranks[moves] * (2 * size), word_hashes([words[i] for i in others.tolist()])
+                codes += [at + line[moves + 2], at + size + line[moves]]
+                beyond += [(h, line[others + 2]), (h, size + line[others])]
+                held += 2 * (len(moves) + len(others))
                 if held > COUNTED_TOGETHER * 8:
                     yield handed_on()
-                    codes, held = [], 0
+                    codes, beyond, held = [], [], 0
         if held:
             yield handed_on()
 
@@ -202,7 +196,9 @@ def deal(texts: DataFrame, sent, pairs: np.ndarray, plain: int) -> DataFrame:
 
     # tasks have summed what they hand on, and a word meets each class on either side, so its list is short
     sums = texts.select("text").mapInArrow(count, "h bigint, code int, n bigint").repartition("h").groupBy("h", "code").agg(F.sum("n").alias("n"))
-    return sums.groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("codes")).mapInArrow(choose, "h bigint, class int")
+    words = sums.groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("codes"), F.sum("n").alias("sides")).filter(
+        F.col("sides") >= 2 * least_count)
+    return words.select("h", "codes").mapInArrow(choose, "h bigint, class int")
 
 
 def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
@@ -260,24 +256,50 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, passes:
 
 
 @dataclass
-class ClassModel:
-    vocabulary: str  # Parquet of word, shape, n, class
+class Vocabulary:
+    """All words with their counts and classes as a table, and of these the dictionary that workers hold."""
+
+    path: str  # Parquet of word, shape, n, class; of all words
     total: int
     distinct: int
     end_count: int
-    classes: Classes
+    words: Classes
     counts: np.ndarray  # by rank
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
+
+
+@dataclass
+class ClassModel:
+    vocabulary: Vocabulary
     step: np.ndarray  # [i, j] of classes: log10 probability of j behind i, less j's emission denominator
 
+    @property
+    def total(self) -> int:
+        return self.vocabulary.total
 
-def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, dictionary: int = DICTIONARY,
-        least_count: int = LEAST_COUNT) -> ClassModel:
-    """Learn from the column ``text`` (as bytes) of all rows, none of which may be left out.
+    @property
+    def distinct(self) -> int:
+        return self.vocabulary.distinct
+
+    @property
+    def classes(self) -> Classes:
+        """All words with a learned class, on the driver: to look at small models. Neither fit nor score uses it."""
+        plain = self.vocabulary.words.plain
+        rows = self.vocabulary.read(SparkSession.active()).filter(F.col("class") < plain).select("word", "class").toArrow()
+        return Classes({w: i for i, w in enumerate(rows["word"].to_pylist())}, np.append(rows["class"].to_numpy(), -1).astype(np.int64), plain)
+
+
+def learn_classes(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, dictionary: int = DICTIONARY,
+                  least_count: int = LEAST_COUNT) -> Vocabulary:
+    """Count the words of the column ``text`` (as bytes) of all rows and give them classes.
 
     The ``clustered`` most frequent words (ties: the lower word) found the classes by exchange; then
     all others of ``least_count`` or more are dealt to these classes, in parallel. The counts and
-    classes of all words stay a table in the shared folder. The driver gets ``dictionary`` words,
-    the pairs of classes, and a hash and a class (12 bytes) of every dealt word.
+    classes of all words stay a table in the shared folder. The driver and the workers hold the pairs
+    of classes and ``dictionary`` words at most, or ``clustered``, if that is more; all other words meet
+    their counts and classes by joins.
     """
     path = scratch_path(spark, "vocabulary")
     count_words(texts).write.parquet(path)
@@ -289,16 +311,16 @@ def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, class
     head = real.orderBy(F.desc("n"), "word").limit(clustered).collect()
     first = [bytes(r["word"]) for r in head]
     clustered = len(head)
-    none = np.zeros(0, np.int64)
 
-    def counted(c: Classes) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(c)
-        pairs = count_pairs(texts, sent, c.size)
-        sent.unpersist()
-        return pairs
+    founders = spark.sparkContext.broadcast(Classes({w: i for i, w in enumerate(first)}, np.append(np.arange(clustered), -1), clustered))
+
+    def lines(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        s = founders.value
+        for text in batch.column(0).to_pylist():
+            yield np.concatenate([[s.end], s.of(words_of(text))[1], [s.end]])
 
-    ranks = {w: i for i, w in enumerate(first)}
-    pairs = counted(Classes(ranks, np.append(np.arange(clustered), -1), none, none, clustered))
+    pairs = count_pairs(lines, texts.select("text"), clustered + SHAPES + 1)
+    founders.destroy()
     of = exchange(pairs, clustered, classes)
     k = int(of.max()) + 1
     plain = k - SHAPES - 1
@@ -313,98 +335,198 @@ def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, class
             break
         least = r["step"]
 
-    def with_classes(words: DataFrame) -> tuple[Classes, np.ndarray]:
-        """The dictionary, clustered words first, and the hashes of dealt words that it lacks."""
-        top = words.filter(step >= F.lit(least)).select("word", "class", "n").toArrow()
+    def held(words: DataFrame) -> tuple[Classes, np.ndarray]:
+        """The dictionary, clustered words first, with the column ``class``, and its counts."""
+        top = words.filter("shape >= 0").filter(step >= F.lit(least)).select("word", "class", "n").toArrow()
         fixed = set(first)
         top = top.filter(pa.array([w not in fixed for w in top["word"].to_pylist()], pa.bool_()))
         names = first + top["word"].to_pylist()
         numbers = np.concatenate([of[:clustered], top["class"].to_numpy(), [-1]]).astype(np.int64)
-        rest = words.filter(F.col("n") >= least_count).filter(F.coalesce(step < F.lit(least), F.lit(True))).select(
-            F.xxhash64("word").alias("h"), "class").toArrow().sort_by("h")
         counts = np.concatenate([[r["n"] for r in head], top["n"].to_numpy()]).astype(np.int64)
-        return Classes({w: i for i, w in enumerate(names)}, numbers, rest["h"].to_numpy(), rest["class"].to_numpy(), plain), counts
+        return Classes({w: i for i, w in enumerate(names)}, numbers, plain), counts
 
-    moving = real.withColumn("class", (F.col("shape") + plain + F.when(F.col("n") >= least_count, DEALT).otherwise(0)).cast("int"))
-    sent = spark.sparkContext.broadcast(with_classes(moving)[0])
-    dealt = deal(texts, sent, onehot.T @ pairs @ onehot, plain).withColumnsRenamed({"h": "d_h", "class": "d_class"})
+    moving = vocabulary.withColumn("class", (F.col("shape") + plain + F.when(F.col("n") >= least_count, DEALT).otherwise(0)).cast("int"))
+    sent = spark.sparkContext.broadcast(held(moving)[0])
+    dealt = deal(texts, sent, onehot.T @ pairs @ onehot, plain, least_count).withColumnsRenamed({"h": "d_h", "class": "d_class"})
+    found = spark.createDataFrame([(w, int(c)) for w, c in zip(first, of)], "f_word binary, f_class int")  # ``clustered`` rows
+    by_shape = F.when(F.col("shape") < 0, k - 1).otherwise(F.col("shape") + plain)
     path = scratch_path(spark, "classes")
-    vocabulary.join(dealt.hint("merge"), F.when(F.col("n") >= least_count, F.xxhash64("word")) == F.col("d_h"), "left").select(
-        "word", "shape", "n", F.coalesce("d_class", F.col("shape") + plain).cast("int").alias("class")).write.parquet(path)
+    vocabulary.join(F.broadcast(found), F.col("word") == F.col("f_word"), "left").join(
+        dealt.hint("merge"), F.when((F.col("shape") >= 0) & (F.col("n") >= least_count), F.xxhash64("word")) == F.col("d_h"), "left").select(
+        "word", "shape", "n", F.coalesce("f_class", "d_class", by_shape).cast("int").alias("class")).write.parquet(path)
     sent.destroy()
-    del sent, dealt
-    vocabulary = spark.read.parquet(path)
-    found, counts = with_classes(vocabulary.filter("shape >= 0"))
-    n = counted(found)
-    transition = np.log10((n + PRIOR) / (n.sum(1, keepdims=True) + PRIOR * k))
-    # words of each class and their counts
-    v, c = np.zeros(k), np.zeros(k)
-    for r in vocabulary.filter("shape >= 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        v[r["class"]], c[r["class"]] = r["v"], r["n"]
-    for i, r in enumerate(head):  # these have classes of their own, and not the table's
-        at = plain + r["shape"]
-        v[at], c[at], v[of[i]], c[of[i]] = v[at] - 1, c[at] - r["n"], v[of[i]] + 1, c[of[i]] + r["n"]
-    v[-1], c[-1] = min(1, ends), ends
-    return ClassModel(path, total, distinct, ends, found, counts, transition - np.log10(c + 0.1 * (v + 1)))
+    words, counts = held(spark.read.parquet(path))
+    return Vocabulary(path, total, distinct, ends, words, counts)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: ClassModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+def encode(spark: SparkSession, rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, training, n_tokens, n_known, logs, numbers (classes of the words, as bytes) for each row of doc_id, training, text.
 
-    ``base_score`` is the unigram log10 probability with 0.1 added to each count, ``score`` that of
-    the class model: class after class, and word by class. A null text is an empty one, which has
-    one token, its end. Repeated rows and rows that share an id keep their own scores. Words beyond
-    the dictionary get their counts by a join, so the model is the same however large it is.
+    ``logs`` sums log10(count + 0.1) over the tokens. Words of the dictionary are looked up where the text
+    is; the others go by themselves to a join with the vocabulary, none of them being frequent, and come
+    back by row and place. The result is a table, so all that follows reads no text.
     """
-    sent = spark.sparkContext.broadcast((model.classes, model.counts, model.step))
-    ends = model.end_count
-    denominator = math.log10(model.total + 0.1 * (model.distinct + 1))
+    sent = spark.sparkContext.broadcast((vocabulary.words, vocabulary.counts))
+    ends, kind = vocabulary.end_count, _kind(vocabulary.words.size)
+    names = ("row", "place", "word", "doc_id", "training", "known", "logs", "numbers")
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.binary())
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        s, counts, step = sent.value
-        log_count, log_end = np.log10(np.append(counts, -0.1) + 0.1, where=np.append(counts, 0) > 0, out=np.zeros(len(counts) + 1)), math.log10(ends + 0.1)
+        s, counts = sent.value
+        log_count, log_end = np.append(np.log10(counts + 0.1), 0.0), math.log10(ends + 0.1)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "word", "tf", "doc_id", "n", "known", "logs", "steps")}
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: dict[str, list] = {k: [] for k in names}
+            held = 0
+            for i, training, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 words = words_of(t)
-                ranks, symbols = s.of(words)
-                rare = np.flatnonzero(ranks < 0)
-                line = np.concatenate([[s.end], symbols, [s.end]])
-                out["row"].append(row)
+                ranks, numbers = s.of(words)
+                beyond = np.flatnonzero(ranks < 0).tolist()
+                out["row"] += [row] * (len(beyond) + 1)
+                out["place"] += [-1, *beyond]
                 out["word"].append(b"\n%d" % row)  # no word; it meets nothing, and all such rows don't meet in one task
-                out["tf"].append(0)
-                out["doc_id"].append(i)
-                out["n"].append(len(words) + 1)
-                out["known"].append(len(words) - len(rare) + (ends > 0))
-                out["logs"].append(float(log_count[ranks].sum()) + log_end)
-                out["steps"].append(float(step[line[:-1], line[1:]].sum()))
-                tf = Counter([words[k] for k in rare])
-                out["row"] += [row] * len(tf)
-                out["word"] += tf.keys()
-                out["tf"] += tf.values()
-                for k in ("doc_id", "n", "known", "logs", "steps"):
-                    out[k] += [None] * len(tf)
+                out["word"] += [words[j] for j in beyond]
+                for c, v in (("doc_id", i), ("training", training), ("known", len(words) - len(beyond) + (ends > 0)),
+                             ("logs", float(log_count[ranks].sum()) + log_end), ("numbers", numbers.astype(kind).tobytes())):
+                    out[c].append(v)
+                    out[c] += [None] * len(beyond)
                 row += 1
-                if len(out["row"]) > 50_000:
+                held += len(words)
+                if held > 200_000:
                     yield _batch(out)
-                    out = {k: [] for k in out}
+                    out, held = {k: [] for k in names}, 0
             if out["row"]:
                 yield _batch(out)
 
     def _batch(out):
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.record_batch([pa.array(out[k], t) for k, t in zip(out, kinds)], names=list(out))
-
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        local, "row bigint, word binary, tf bigint, doc_id bigint, n bigint, known bigint, logs double, steps double")
-    vocabulary = spark.read.parquet(model.vocabulary).select(F.col("word").alias("v_word"), F.col("n").alias("v_n"))
-    count = F.coalesce("v_n", F.lit(0))
-    sums = rows.join(vocabulary, F.col("word") == F.col("v_word"), "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"),
-        (F.sum(F.when(count > 0, F.col("tf")).otherwise(0)) + F.max("known")).alias("n_known"),
-        (F.sum(F.col("tf") * F.log10(count + F.lit(0.1))) + F.max("logs")).alias("logs"), F.max("steps").alias("steps"))
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"),
+        return pa.record_batch([pa.array(out[k], t) for k, t in zip(names, kinds)], names=list(names))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, out, size = None, [], 0
+
+        def done():
+            d, t, n, *rest = zip(*out)
+            return pa.record_batch([pa.array(x, y) for x, y in zip((d, t, n, *rest), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()))],
+                                   names=["doc_id", "training", "n_tokens", "n_known", "logs", "numbers"])
+
+        def closed(o):
+            return o[0], o[1], len(o[4]) + 1, o[2], o[3], o[4].tobytes()
+
+        for batch in batches:
+            place, n, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "n", "class"))
+            starts = np.flatnonzero(place < 0)
+            logs = np.log10(n + 0.1)
+            for k, (a, b) in enumerate(zip([0, *starts.tolist()], [*starts.tolist(), len(place)])):
+                if k:  # the part before the first start belongs to the text that is open
+                    if open_:
+                        out.append(closed(open_))
+                        size += len(out[-1][5])
+                        if size > 4_000_000:
+                            yield done()
+                            out, size = [], 0
+                    open_ = [*(batch.column(c)[a].as_py() for c in ("doc_id", "training", "known", "logs")),
+                             np.frombuffer(batch.column("numbers")[a].as_py(), kind).copy()]
+                    a += 1
+                if a < b:
+                    at, c = place[a:b], number[a:b]
+                    open_[2] += int((n[a:b] > 0).sum())
+                    open_[3] += float(logs[a:b].sum())
+                    open_[4][at[c >= 0]] = c[c >= 0]
+        if open_:
+            out.append(closed(open_))
+        if out:
+            yield done()
+
+    words = vocabulary.read(spark).select(F.col("word").alias("v_word"), "n", "class")
+    parts = rows.select(F.col("doc_id").cast("bigint"), "training", F.col("text").cast("binary")).mapInArrow(
+        local, "row bigint, place int, word binary, doc_id bigint, training boolean, known bigint, logs double, numbers binary")
+    met = parts.join(words, F.col("word") == F.col("v_word"), "left").select(
+        "row", "place", "doc_id", "training", "known", "logs", "numbers", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).alias("class"))
+    path = scratch_path(spark, "encoded")
+    met.repartition("row").sortWithinPartitions("row", "place").mapInArrow(
+        whole, "doc_id bigint, training boolean, n_tokens bigint, n_known bigint, logs double, numbers binary").write.parquet(path)
+    sent.destroy()
+    return spark.read.parquet(path)
+
+
+def _kind(size: int):
+    return np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def _lines(size: int):
+    """From a batch of encoded texts to their numbers, the last one, the end, before and behind them."""
+    kind, end = _kind(size), np.array([size - 1])
+
+    def lines(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for numbers in batch.column("numbers").to_pylist():
+            yield np.concatenate([end, np.frombuffer(numbers, kind), end]).astype(np.int64)
+
+    return lines
+
+
+def _model(spark: SparkSession, encoded: DataFrame, vocabulary: Vocabulary) -> ClassModel:
+    """Transitions and emissions from the encoded training texts."""
+    k = vocabulary.words.size
+    n = count_pairs(_lines(k), encoded.filter("training").select("numbers"), k)
+    transition = np.log10((n + PRIOR) / (n.sum(1, keepdims=True) + PRIOR * k))
+    v, c = np.zeros(k), np.zeros(k)  # words of each class and their counts
+    for r in vocabulary.read(spark).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        v[r["class"]], c[r["class"]] = r["v"], r["n"]
+    return ClassModel(vocabulary, transition - np.log10(c + 0.1 * (v + 1)))
+
+
+def _scores(encoded: DataFrame, model: ClassModel) -> DataFrame:
+    step, lines = model.step, _lines(len(model.step))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [float(step[line[:-1], line[1:]].sum()) for line in lines(batch)]
+            yield pa.record_batch([*(batch.column(i) for i in range(5)), pa.array(sums, pa.float64())],
+                                  names=["doc_id", "training", "n_tokens", "n_known", "logs", "steps"])
+
+    denominator = math.log10(model.total + 0.1 * (model.distinct + 1))
+    rows = encoded.select("doc_id", "training", "n_tokens", "n_known", "logs", "numbers").mapInArrow(
+        steps, "doc_id bigint, training boolean, n_tokens bigint, n_known bigint, logs double, steps double")
+    return rows.select("doc_id", "training", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"),
                        (F.col("logs") - F.col("n_tokens") * denominator).alias("base_score"), (F.col("logs") + F.col("steps")).alias("score"))
+
+
+def _rows(docs: DataFrame, doc_id, text, training) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
+
+
+def fit(spark: SparkSession, texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, dictionary: int = DICTIONARY,
+        least_count: int = LEAST_COUNT) -> ClassModel:
+    """Learn from the column ``text`` (as bytes) of all rows, none of which may be left out; see ``learn_classes``.
+
+    Null and empty texts have an end and no word, rows that repeat count each time, very long texts count
+    whole, an empty table gives a model without words, and other columns play no part.
+    """
+    vocabulary = learn_classes(spark, texts, clustered, classes, dictionary, least_count)
+    rows = texts.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(True).alias("training"), "text")
+    return _model(spark, encode(spark, rows, vocabulary), vocabulary)
+
+
+def score(spark: SparkSession, docs: DataFrame, model: ClassModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``base_score`` is the unigram log10 probability with 0.1 added to each count, ``score`` that of
+    the class model: class after class, and word by class. A null text is an empty one, which has
+    one token, its end. Repeated rows and rows that share an id keep their own scores, null ids too. Very
+    long texts are scored whole, an empty table gives an empty one, and other columns play no part. Words beyond
+    the dictionary get their counts and classes by a join, so the model is the same however large it is.
+    """
+    return _scores(encode(spark, _rows(docs, doc_id, text, F.lit(False)), model.vocabulary), model).drop("training")
+
+
+def fit_and_score(spark: SparkSession, docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:
+    """The rows of ``score`` and the column training, by the model that ``fit`` learns from the rows where ``training`` holds.
+
+    The same as ``fit`` and then ``score``, but words beyond the dictionary are joined once for both.
+    """
+    rows = _rows(docs, doc_id, text, training)
+    vocabulary = learn_classes(spark, rows.filter("training").select(F.col("text").cast("binary").alias("text")), **kwargs)
+    encoded = encode(spark, rows, vocabulary)
+    return _scores(encoded, _model(spark, encoded, vocabulary))

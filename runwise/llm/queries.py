@@ -70,8 +70,7 @@ def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     held_out = id_crc("doc_id") % 10 == 0
-    model = brown.fit(spark, docs.filter(~held_out).select(F.col("text").cast("binary").alias("text")))
-    return brown.score(spark, docs, model).select(
+    return brown.fit_and_score(spark, docs, ~held_out).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
