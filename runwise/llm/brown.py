@@ -230,7 +230,7 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, passes:
             n[a] -= r
             n[:, a] -= l
             n[a, a] -= own
-            cols, rows = n.sum(0), n.sum(1)
+            cols, rows = n.sum(0) + r, n.sum(1) + l  # what stands next to w counts, whatever the class of w
             c = np.arange(classes)
             gain = (f(n[:classes] + r) - f(n[:classes])).sum(1) + (f(n[:, :classes].T + l) - f(n[:, :classes].T)).sum(1)
             d = n[c, c]

@@ -693,6 +693,100 @@ def test_clustered_words_do_not_depend_on_the_dictionary(spark):
     assert max(model.classes.of(list(model.classes.known))[1]) < 3
 
 
+def _shape(w):
+    last = w[-1:]
+    kind = 0 if last in b".!?" else 1 if last in b",;:" else 2 if last.isdigit() else 4 if last.islower() or last[0] > 127 else 3
+    return f"shape {kind} {len(w) > 8}"
+
+
+def _class_scores(train, texts, clustered, classes, least=3, prior=0.5, passes=5):
+    """Scores of the class model, written from its definition: whole likelihoods, dictionaries, no arrays."""
+    shapes = [f"shape {k} {long}" for k in range(5) for long in (False, True)]
+    lines = [(t or "").encode().lower().split() for t in train]
+    c = collections.Counter(w for line in lines for w in line)
+    head = sorted(c, key=lambda w: (-c[w], w))[:clustered]
+    of = {w: i % min(classes, len(head)) for i, w in enumerate(head)}
+    symbols = collections.Counter()
+    for line in lines:
+        symbols.update(itertools.pairwise(["end", *(w if w in of else _shape(w) for w in line), "end"]))
+
+    def follow():
+        pairs = collections.Counter()
+        for (a, b), n in symbols.items():
+            pairs[of.get(a, a), of.get(b, b)] += n
+        return pairs
+
+    def likelihood():
+        pairs, rows, cols = follow(), collections.Counter(), collections.Counter()
+        for (a, b), n in pairs.items():
+            rows[a] += n
+            cols[b] += n
+        return math.fsum([n * math.log(n) for n in pairs.values()] + [-n * math.log(n) for x in (rows, cols) for n in x.values()])
+
+    for _ in range(passes):
+        before = dict(of)
+        for w in head:
+            own, found = of[w], []
+            for k in range(classes):
+                of[w] = k
+                found.append(likelihood())
+            of[w] = found.index(max(found)) if max(found) > found[own] + 1e-9 else own
+        if of == before:
+            break
+    kinds = [*range(classes), *shapes, "end"]
+
+    def chance(pairs):
+        rows = collections.Counter()
+        for (a, _), n in pairs.items():
+            rows[a] += n
+        return lambda a, b: (pairs[a, b] + prior) / (rows[a] + prior * len(kinds))
+
+    pairs = follow()
+    p, into = chance(pairs), collections.Counter()
+    for (_, b), n in pairs.items():
+        into[b] += n
+    sides = collections.defaultdict(list)
+    for line in lines:
+        line = [b"", *line, b""]
+        number = ["end", *(of.get(w, _shape(w)) for w in line[1:-1]), "end"]
+        for i, w in enumerate(line[1:-1], 1):
+            if w not in of and c[w] >= least:
+                sides[w].append((number[i - 1], number[i + 1]))
+    dealt = {w: max(range(classes), key=lambda k: math.fsum(
+        math.log(p(a, k)) + math.log(p(k, b)) - math.log(into[k] + 1) for a, b in around)) for w, around in sides.items()}
+    of.update(dealt)
+    steps, words, sums = collections.Counter(), collections.Counter(), collections.Counter()
+    for line in lines:
+        steps.update(itertools.pairwise(["end", *(of.get(w, _shape(w)) for w in line), "end"]))
+    for w, n in c.items():
+        words[of.get(w, _shape(w))] += 1
+        sums[of.get(w, _shape(w))] += n
+    words["end"], sums["end"] = 1, len(lines)
+    p = chance(steps)
+    for t in texts:
+        line = (t or "").encode().lower().split()
+        number = ["end", *(of.get(w, _shape(w)) for w in line), "end"]
+        counts = [*(c[w] for w in line), len(lines)]
+        yield math.fsum(math.log10(p(a, b)) + math.log10((n + 0.1) / (sums[b] + 0.1 * (words[b] + 1)))
+                        for (a, b), n in zip(itertools.pairwise(number), counts))
+
+
+@pytest.mark.parametrize("dictionary", [1_000, 30, 0])
+def test_scores_by_brute_force(spark, dictionary):
+    r = random.Random(14)
+    pools = [[f"{c}{'long word'[:4] if i % 3 else 'considerable'}{i}{r.choice(['', '', '.', ',', 'ä', ')'])}" for i in range(25)] for c in "Ab"]
+    texts = [" ".join(r.choice(pools[(k + r.randint(0, 3) // 3) % 2][: r.choice([3, 8, 25])]) for k in range(r.randint(0, 40))) for _ in range(90)]
+    rows = [(i, t, i % 10 != 0, "x", 3) for i, t in enumerate([*texts, None, "", " ", texts[0], "new words " * 40, "unbroken" * 4_000])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, wanted boolean, word string, row int").repartition(3)
+    want = list(_class_scores([t for _, t, wanted, *_ in rows if wanted], [t for _, t, *_ in rows], 12, 3))
+    got = brown.fit_and_score(spark, df, F.col("wanted"), clustered=12, classes=3, dictionary=dictionary).collect()
+    assert np.allclose([x.score for x in sorted(got, key=lambda x: x.doc_id)], want, rtol=1e-9)
+    if dictionary == 30:  # the same in two steps
+        model = brown.fit(spark, df.filter("wanted").select(F.col("text").cast("binary").alias("text")), clustered=12, classes=3, dictionary=30)
+        assert np.allclose([x.score for x in sorted(brown.score(spark, df, model).collect(), key=lambda x: x.doc_id)], want, rtol=1e-9)
+        assert len(model.vocabulary.words.known) <= 30
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(2)
     true = np.arange(40) % 4
