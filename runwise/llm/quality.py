@@ -17,6 +17,10 @@ BOILERPLATE = re.compile(
     rb"|enable javascript|subscribe to|click here|sign up for|share this",
     re.IGNORECASE,
 )
+# Marks that end or part sentences, beyond ASCII: ellipsis; Greek; Armenian; Arabic, Urdu and
+# Syriac; Devanagari; Sinhala; Thai; Tibetan; Burmese; Ethiopic; Khmer; Mongolian; Chinese and Japanese; wide forms.
+MARKS = "…\u037e։՝՜՞،؛؟۔܀।॥෴ฯ๚๛།༎၊။፠።፣፤፥፦፧፨។៕៖᠂᠃᠅、。，．：；！？｡､"
+MARK = re.compile(b"|".join(x.encode() for x in MARKS))
 SCHEMA = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "n_lines bigint, n_bad_lines bigint, lost_chars bigint, base_failed boolean, kept boolean, clean_text string"
@@ -52,12 +56,12 @@ def repeated_words(words: list[bytes]) -> int:
 def bad_line(line: bytes, words: list[bytes]) -> bool:
     """Whether a line with words fails one of the line rules.
 
-    Punctuation: ten words or more without any mark. Navigation: a third of the words are
+    Punctuation: ten words or more without any mark of any script. Navigation: a third of the words are
     separators. Symbols or exclamation marks: more than one to two words. Repetition: ten words
     or more, a fifth of them different at most. Boilerplate: one of the fixed phrases.
     """
     n = len(words)
-    if n >= 10 and (len(set(words)) * 5 <= n or not re.search(rb"[.,;:!?]|\xe3\x80\x82", line)):
+    if n >= 10 and (len(set(words)) * 5 <= n or not re.search(rb"[.,;:!?]", line) and not (not line.isascii() and MARK.search(line))):
         return True
     if 2 * sum(map(line.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))) > n or 2 * line.count(b"!") > n:
         return True

@@ -160,7 +160,7 @@ SQL = {
         r as (select doc_id, count(distinct p) n_repeat_words from (select doc_id, unnest(range(i, i + 8)) p from g where c > 1) group by 1),
         a as (select doc_id, line, regexp_extract_all(line, '{SPACED_WORD}') w from (select doc_id, unnest(string_split(text, chr(10))) line from d)),
         f as (select doc_id, line, length(array_to_string(w, '')) chars,
-            len(w) >= 10 and (len(list_distinct(w)) * 5 <= len(w) or not regexp_matches(line, '[.,;:!?]|。'))
+            len(w) >= 10 and (len(list_distinct(w)) * 5 <= len(w) or not regexp_matches(line, '[.,;:!?…\x{{037E}}։՝՜՞،؛؟۔܀।॥෴ฯ๚๛།༎၊။፠።፣፤፥፦፧፨។៕៖᠂᠃᠅、。，．：；！？｡､]'))
             or 2 * len(regexp_extract_all(line, '[#*$%&|<>]')) > len(w) or 2 * len(regexp_extract_all(line, '!')) > len(w)
             or len(w) >= 3 and 3 * len(list_filter(w, lambda x: x in ('|', '»', '›', '•', '·', '>', '<', '/', '-', '–'))) >= len(w)
             or regexp_matches(line, '(?i)cookie (?:policy|settings)|all rights reserved|privacy policy|terms of (?:use|service)|enable javascript|subscribe to|click here|sign up for|share this') bad

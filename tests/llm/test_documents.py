@@ -534,6 +534,31 @@ def test_quality_keeps_good_documents(spark):
     assert got.filter("not kept and not base_failed").count() == 0
 
 
+# A sentence's end, or a comma, of a script that has its own; the words stand in for any.
+@pytest.mark.parametrize("mark", ["।", "॥", "؟", "۔", "،", "։", "።", "፣", "။", "។", "。", "、", "！", "…", "\u037e", "།"])
+def test_marks_of_other_scripts_end_lines(mark):
+    line = _prose(80, 12).rstrip(".").encode()
+    assert quality.bad_line(line, line.split())
+    line += mark.encode()
+    assert not quality.bad_line(line, line.split())
+    # letters of these scripts are no marks
+    for word in ("क", "ب", "բ", "ሀ", "က", "ក", "漢"):
+        other = " ".join(word * (i + 1) for i in range(12)).encode()
+        assert quality.bad_line(other, other.split())
+        assert not quality.bad_line(other + mark.encode(), (other + mark.encode()).split())
+
+
+def test_marks_by_sql(spark, tmp_path):
+    names = ["।", "؟", "،", "։", "።", "။", "។", "。", "！", "…", "\u037e", "༎", "x", "é", "-"]
+    rows = [(i, "\n".join(_prose(81 + j, 14).rstrip(".") + m for j in range(4))) for i, m in enumerate(names)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"select doc_id, kept from ({SQL['op8_quality_rules']})").fetchall()
+    assert _counted(QUERIES["op8_quality_rules"](spark, str(tmp_path)).select("doc_id", "kept").collect()) == _counted(want)
+    assert sorted(i for i, kept in want if not kept) == [12, 13, 14]
+
+
 # --- lines -------------------------------------------------------------------
 
 def _chunk_borders(texts):
