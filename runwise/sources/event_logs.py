@@ -15,6 +15,9 @@ COMPACT = ".compact"
 # Where an event stands: its file, and its place there or that of the split it was read in.
 LOG_FILE, LOG_AT = "log_file", "log_at"
 
+# Events of an archived file at most, about 500 MB of JSON.
+EVENTS_A_FILE = 1_000_000
+
 _SUFFIXES = r"(\.(zstd|lz4|snappy|lzf|inprogress|compact))+$"
 _ROLLING = r"^events_(\d+)_"
 _APP_FOLDER = r"/application_attempt=([^/]+)/"
@@ -129,15 +132,18 @@ def require_readable(spark: SparkSession, path: str) -> None:
 
 
 def write_event_logs(events: DataFrame, path: str) -> None:
-    """Archive events as JSON lines, one folder per application.
+    """Archive events as JSON lines in gzip, one folder per application.
 
     The rebalance hint gathers an application into few files, yet lets adaptive
-    execution split one that is much larger than the rest.
+    execution split one that is much larger than the rest. A file in gzip is read by one task,
+    so a large one is continued in another after ``EVENTS_A_FILE`` events.
     """
     (
         events.drop(LOG_FILE, LOG_AT)
         .hint("rebalance", "application_attempt")
         .write.mode("overwrite")
+        .option("compression", "gzip")
+        .option("maxRecordsPerFile", EVENTS_A_FILE)
         .partitionBy("application_attempt")
         .json(path)
     )

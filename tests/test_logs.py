@@ -104,6 +104,23 @@ def test_archived_events_keep_their_application(spark, sf_dir):
     assert direct.exceptAll(again).isEmpty() and again.exceptAll(direct).isEmpty()
 
 
+def test_archive_is_packed_and_large_logs_are_cut(spark, sf_dir, tmp_path, monkeypatch):
+    """The archive is a small part of the same lines as plain text, and a long log has several files."""
+    from runwise.sources import event_logs
+
+    events = fx.log_events(spark, sf_dir)
+    plain = events.drop("application_attempt").select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    write_event_logs(events, str(tmp_path / "a"))
+    assert sum(f.stat().st_size for f in (tmp_path / "a").rglob("*.json*")) < plain / 5
+    monkeypatch.setattr(event_logs, "EVENTS_A_FILE", 100)
+    one = events.filter("application_attempt = 'app-1'")
+    write_event_logs(one, str(tmp_path / "b"))
+    read = read_event_logs(spark, str(tmp_path / "b"))
+    assert one.count() == read.count() > 100 and len([*(tmp_path / "b").rglob("*.json*")]) > read.count() // 100
+    for name in ("Event", "Timestamp", "Spark Properties"):
+        assert sorted(map(str, one.select(name).collect())) == sorted(map(str, read.select(name).collect()))
+
+
 def test_parts_of_a_rolling_log_merge(spark, tmp_path):
     folder = tmp_path / "eventlog_v2_app-1"
     folder.mkdir()
