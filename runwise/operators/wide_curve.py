@@ -5,21 +5,29 @@ brings a whole curve, or all rows of one feature, into a task or to the driver,
 and the number of steps does not depend on the labels.
 """
 
+from bisect import bisect
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from runwise.session import written
 
 BLOCK = "start double, end double, prediction double"
-STACK = ("range int, start double, end double, w double, s double, slope double, before_end double, before_w double, "
+STACK = ("part int, range bigint, start double, end double, w double, s double, slope double, before_end double, before_w double, "
          "before_s double, before double, last boolean, n bigint, size double")
 
 # Relative size below which a gap between labels, or between sums of them, counts as rounding error:
 # stretches whose means differ by less may come out as one.
 ROUNDING = 1e-12
 
-# Points of a range and blocks of a band, about, that one task handles.
+# Points of a range and blocks of a band, about, that are handled together.
 LOCAL_POINTS = 200_000
 
+# Points up to which a task takes several ranges, one after the other.
+TASK_POINTS = 20_000
+
+# Lines that each place between two known cuts is searched with at a time.
+LINES = 64
+
 
 def _written(df: DataFrame) -> DataFrame:
     return written(df, "curve")
@@ -42,8 +50,11 @@ def _pool(tiny: float):
     return pool
 
 
-def _stacks(center: float, tiny: float):
-    """The points of each partition, sorted, to its stack of blocks with the sums before each."""
+def _stacks(center: float, tiny: float, size: int):
+    """The points of each partition, sorted and in ranges of ``size``, to the ranges' stacks of blocks.
+
+    The sums before a block are those of the partition, so that only partitions are added up later.
+    """
     pool = _pool(tiny)
     names = [c.split()[0] for c in STACK.split(", ")]
 
@@ -52,37 +63,59 @@ def _stacks(center: float, tiny: float):
         import pandas as pd
         from pyspark import TaskContext
 
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        points = pd.concat(parts)
-        w = points["weight"].to_numpy()
-        s = w * (points["mem"].to_numpy() - center)
-        blocks = pool(points["rows"].tolist(), points["rows"].tolist(), w.tolist(), s.tolist())
-        start, end, bw, bs = (np.array(x) for x in zip(*blocks))
-        n, slope, none = len(blocks), bs / bw, np.full(1, -np.inf)
-        before = lambda x: np.concatenate([[0.0], np.cumsum(x)[:-1]])
-        last = np.arange(n) == n - 1
-        columns = (np.full(n, TaskContext.get().partitionId()), start, end, bw, bs, slope, np.concatenate([none, end[:-1]]), before(bw), before(bs),
-                   np.concatenate([none, slope[:-1]]), last, np.where(last, n, 0), np.where(last, np.abs(s).sum(), 0.0))
-        yield pd.DataFrame(dict(zip(names, columns)))
+        part, done, all_w, all_s = TaskContext.get().partitionId(), 0, 0.0, 0.0
+
+        def fitted(points):
+            nonlocal done, all_w, all_s
+            w = points["weight"].to_numpy()
+            s = w * (points["mem"].to_numpy() - center)
+            blocks = pool(points["rows"].tolist(), points["rows"].tolist(), w.tolist(), s.tolist())
+            start, end, bw, bs = (np.array(x) for x in zip(*blocks))
+            n, slope, none = len(blocks), bs / bw, np.full(1, -np.inf)
+            sums_w, sums_s = all_w + np.cumsum(bw), all_s + np.cumsum(bs)
+            last = np.arange(n) == n - 1
+            columns = (np.full(n, part), np.full(n, (part << 32) + done), start, end, bw, bs, slope, np.concatenate([none, end[:-1]]),
+                       np.concatenate([[all_w], sums_w[:-1]]), np.concatenate([[all_s], sums_s[:-1]]),
+                       np.concatenate([none, slope[:-1]]), last, np.where(last, n, 0), np.where(last, np.abs(s).sum(), 0.0))
+            done, all_w, all_s = done + 1, sums_w[-1], sums_s[-1]
+            return columns
+
+        def frame(ranges):
+            return pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*ranges))})
+
+        rest, waiting = [], 0
+        for b in batches:
+            rest.append(b)
+            waiting += len(b)
+            if waiting >= size:
+                points = pd.concat(rest)
+                whole = len(points) // size * size
+                yield frame(fitted(points[i : i + size]) for i in range(0, whole, size))
+                rest, waiting = [points[whole:]], len(points) - whole
+        if waiting:
+            yield frame([fitted(pd.concat(rest))])
 
     return stack
 
 
-def _corners(slopes: list[float], first: int):
-    """Blocks to the corners ``(t, range, x, w, s)`` at which a line of slope ``slopes[t]`` supports the range's own curve."""
+def _corners(slopes: list[float], lows: list[float], highs: list[float], first: int):
+    """Blocks to the corners ``(line, part, x, w, s)`` at which a line of slope ``line`` supports the range's own curve.
+
+    Only corners between the line's place in ``lows`` and that in ``highs`` count, which both only rise.
+    """
     def corners(batches):
         import numpy as np
         import pandas as pd
 
-        lines = np.array(slopes)
+        lines, left, right = np.array(slopes), np.array(lows), np.array(highs)
 
         def rows(b, low, high, x, w, s):
-            n = high - low
+            places = x.to_numpy()
+            low = np.maximum(low, np.searchsorted(right, places, "left"))
+            n = np.maximum(0, np.minimum(high, np.searchsorted(left, places, "right")) - low)
             at = np.repeat(np.arange(len(n)), n)
             t = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            return pd.DataFrame({"t": t.astype("int32"), "range": b["range"].to_numpy()[at], "x": x.to_numpy()[at], "w": w.to_numpy()[at], "s": s.to_numpy()[at]})
+            return pd.DataFrame({"line": lines[t], "part": b["part"].to_numpy()[at], "x": places[at], "w": w.to_numpy()[at], "s": s.to_numpy()[at]})
 
         for b in batches:
             low, high = (np.searchsorted(lines, b[c].to_numpy(), "right") for c in ("before", "slope"))
@@ -101,23 +134,33 @@ def _cuts(stacks: DataFrame, slopes: list[float], first: int, size: float) -> li
     """For each slope the place of the axis left of which the fit's blocks lie below it, and right of which they do not.
 
     That is where the running sum of ``weight * (mem - slope)`` is least. A range's own least place is
-    a corner of its own fit, so only those meet: one row per range and slope.
+    a corner of its own fit, so only those meet: one row per range and slope. Few slopes, far apart, are
+    placed first. A slope between two of them has its place between theirs, so the next ones, ``LINES`` times
+    as many, meet only the ranges there, and rows grow with ranges and slopes, not with their product.
     """
-    totals = stacks.filter("last").select("range", (F.col("before_w") + F.col("w")).alias("all_w"), (F.col("before_s") + F.col("s")).alias("all_s"))
-    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("range", *[F.coalesce(F.sum(f"all_{c}").over(ahead), F.lit(0.0)).alias(f"off_{c}") for c in "ws"])
-    corners = stacks.mapInPandas(_corners(slopes, first), "t int, range int, x double, w double, s double")
-    line = F.element_at(F.lit(slopes), F.col("t") + 1)
-    values = _written(corners.join(offsets, "range").select("t", "x", (F.expr("s + off_s") - line * F.expr("w + off_w")).alias("gap")))
-    least = values.groupBy("t").agg(F.min("gap").alias("least"))
-    # of places that differ by rounding alone the leftmost, so that no stretch is cut in two
-    near = values.join(least, "t").filter(F.col("gap") <= F.col("least") + ROUNDING * size)
-    found = dict(tuple(r) for r in near.groupBy("t").agg(F.min("x")).collect())
-    cuts, so_far = [], float("-inf")
-    for t in range(len(slopes)):
-        so_far = max(so_far, found[t])
-        cuts.append(so_far)
-    return cuts
+    totals = stacks.groupBy("part").agg(F.sum("w").alias("all_w"), F.sum("s").alias("all_s"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _written(totals.select("part", *[F.coalesce(F.sum(f"all_{c}").over(ahead), F.lit(0.0)).alias(f"off_{c}") for c in "ws"]))
+    step, cuts = 1, {-1: float("-inf"), len(slopes): float("inf")}
+    while step * LINES < len(slopes):
+        step *= LINES
+    while step:
+        asked = [t for t in range(step - 1, len(slopes), step) if t not in cuts]
+        known = sorted(cuts)
+        lows = [cuts[known[bisect(known, t) - 1]] for t in asked]
+        highs = [cuts[known[bisect(known, t)]] for t in asked]
+        corners = stacks.mapInPandas(_corners([slopes[t] for t in asked], lows, highs, first), "line double, part int, x double, w double, s double")
+        values = _written(corners.join(offsets, "part").select("line", "x", F.expr("s + off_s - line * (w + off_w)").alias("gap")))
+        least = values.groupBy("line").agg(F.min("gap").alias("least"))
+        # of places that differ by rounding alone the leftmost, so that no stretch is cut in two
+        near = values.join(least, "line").filter(F.col("gap") <= F.col("least") + ROUNDING * size)
+        found = dict(tuple(r) for r in near.groupBy("line").agg(F.min("x")).collect())
+        so_far = float("-inf")
+        for t, low, high in zip(asked, lows, highs):
+            # without a row, the places on both sides are one but for rounding
+            so_far = cuts[t] = min(high, max(so_far, low, found.get(slopes[t], low)))
+        step //= LINES
+    return [cuts[t] for t in range(len(slopes))]
 
 
 def _segments(slopes: list[float], cuts: list[float]):
@@ -164,17 +207,17 @@ def isotonic_blocks(
         return points.sparkSession.createDataFrame([], BLOCK)
     center, scale = moments or points.agg(*label_moments()).first()
     tiny, size = ROUNDING * scale, max(1, local_points)
-    ranges = ranges or -(-number // size)
-    ranged = points.select("rows", "mem", "weight").repartitionByRange(ranges, "rows").sortWithinPartitions("rows")
-    stacks = _written(ranged.mapInPandas(_stacks(center, tiny), STACK))
+    parts = ranges or -(-number // max(size, TASK_POINTS))
+    ranged = points.select("rows", "mem", "weight").repartitionByRange(parts, "rows").sortWithinPartitions("rows")
+    stacks = _written(ranged.mapInPandas(_stacks(center, tiny, size), STACK))
     prediction = (F.lit(center) + F.col("s") / F.col("w")).alias("prediction")
-    if ranges == 1:
+    if parts == 1 and number <= size:
         return stacks.select("start", "end", prediction)
     first, blocks, spread = stacks.filter("last").agg(F.min("range"), F.sum("n"), F.sum("size")).first()
     bands = -(-blocks // size)
     slopes = sorted(set(stacks.approxQuantile("slope", [i / bands for i in range(1, bands)], 0.1 / bands))) if bands > 1 else []
     cuts = _cuts(stacks, slopes, first, spread) if slopes else []
-    placed = stacks.mapInPandas(_segments(slopes, cuts), "range int, start double, end double, w double, s double, segment int, part double")
+    placed = stacks.mapInPandas(_segments(slopes, cuts), "range bigint, start double, end double, w double, s double, segment int, part double")
     pooled = placed.groupBy("segment", "range", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("w").alias("w"), F.sum("s").alias("s"))
     pool = _pool(tiny)
 

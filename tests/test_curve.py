@@ -7,6 +7,7 @@ from runwise.operators import (
     Curve, fit_curve, merge_curve, pooled_points, predict_curve, probe_points, read_curve, refit_curve, write_curve,
 )
 from runwise.operators.wide_curve import _in_ranges, interpolate, isotonic_blocks
+from runwise.session import written
 
 POINTS = [(10, 100), (10, 200), (50, 80), (100, 300), (100, 100), (1000, 500), (2000, 400)]
 
@@ -152,6 +153,24 @@ def test_fit_does_not_depend_on_the_cuts(spark, seed):
         assert max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 1e-9
 
 
+def test_rows_that_meet_grow_with_the_points(spark, monkeypatch):
+    """Eight times the points give about eight times the rows, not ranges times bands."""
+    from runwise.operators import wide_curve
+
+    rows = {}
+    for n in (1000, 8000):
+        tables = []
+        monkeypatch.setattr(wide_curve, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+        rng = random.Random(n)
+        data = [(float(i), float(rng.randrange(5 * n)) + 4 * i, 1.0) for i in range(n)]
+        df = spark.createDataFrame(data, "rows double, mem double, weight double")
+        got = sorted(tuple(r) for r in isotonic_blocks(df, n, 5).collect())
+        want = _fit((x, int(y), 1) for x, y, _ in data)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 1e-6
+        rows[n] = sum(t.count() for t in tables)
+    assert rows[8000] < 16 * rows[1000], rows
+
+
 def test_steps_do_not_follow_the_labels(spark):
     """The same jobs for labels that give one block and for labels that give as many as points."""
     tracker, jobs = spark.sparkContext.statusTracker(), {}
