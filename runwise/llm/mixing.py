@@ -68,14 +68,15 @@ def when_demanded(fraction: Column, schedule: tuple[float, ...]) -> Column:
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-             share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: int = 0, keep: bool = False) -> DataFrame:
+             share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: int = 0, keep: bool = False, number: bool = False) -> DataFrame:
     """What the mix takes of each row of ``docs``: doc_id, size, source, source_size, target, taken, takes.
 
     The documents of a source stand in the order of a hash of seed and id and are read round and
     round, until the target, rounded to whole words, is reached; the document at which that happens
     is taken in part. ``takes`` lists, per round that takes words, its ``words`` and the training
     time ``position`` at which the source's demand reaches them. With ``keep``, the row's own columns
-    are kept as the struct ``row``.
+    are kept as the struct ``row``; with ``number`` the row has its ``part`` and its ``number`` in the
+    order of source and part, which name it.
 
     Texts without words have size 0 and are never taken. A null source is a source of its own.
     Rows that share an id follow each other by size; equal rows are interchangeable. Reruns agree.
@@ -96,9 +97,12 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         .withColumn("before", F.coalesce(F.sum("part_size").over(prefix), F.lit(0)))
         .join(targets, F.col("p_source").eqNullSafe(F.col("source"))).drop("source", "part_size")
     )
-    within = Window.partitionBy("source", "part").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = Window.partitionBy("source", "part").orderBy("order", "doc_id", "size")
+    within = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
     rows = rows.withColumn("offset", F.col("before") + F.sum("size").over(within) - F.col("size"))
+    if number:
+        rows = rows.withColumn("number", F.row_number().over(here))
     goal = F.round("target").cast("bigint")
 
     def take(k):
@@ -112,10 +116,24 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         return F.struct(words.alias("words"), position.alias("position"))
 
     takes = F.filter(F.array(*[take(k) for k in range(rounds)]), lambda x: x["words"] > 0)
-    return rows.select("doc_id", "size", "source", "source_size", "target", takes.alias("takes"), *(["row"] if keep else [])).withColumn(
+    return rows.select("doc_id", "size", "source", "source_size", "target", takes.alias("takes"),
+                       *(["row"] if keep else []), *(["part", "number"] if number else [])).withColumn(
         "taken", F.aggregate("takes", F.lit(0).cast("bigint"), lambda a, x: a + x["words"]))
 
 
+def training_order(docs: DataFrame, **how) -> DataFrame:
+    """The mix without its texts, range-sorted by training position: one row per document and round that takes words of it.
+
+    ``part`` and ``number`` name the row of ``docs`` in its source. ``position`` is the training time at which the
+    schedule of the source's weight reaches the copy, ``words`` what it takes. A document that is not taken stands
+    once, first, without a position and with no words. Rows at one position stand by source, part and number, so
+    that those without one spread over tasks too.
+    """
+    plan = mix_plan(docs, number=True, **how).select("doc_id", "size", "source", "source_size", "target", "part", "number", F.explode_outer("takes").alias("take"))
+    return plan.select("doc_id", "size", "source", "source_size", "target", "part", "number", F.coalesce("take.words", F.lit(0)).alias("words"),
+                       F.col("take.position").alias("position")).sort(F.col("position").asc_nulls_first(), "source", "part", "number")
+
+
 def mix(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", position: str | None = None, **how) -> DataFrame:
     """The mixed documents, range-sorted by training position, with the columns of ``docs``.
 

@@ -302,6 +302,26 @@ def test_repeated_strings_query(spark, table):
 
 # --- mixing ------------------------------------------------------------------
 
+def test_mixing_query_reads_the_training_order(spark, monkeypatch):
+    """The query's rows come from a table in the order of the schedules, at the positions of the mixed documents."""
+    from runwise.llm import queries
+
+    tables = {}
+    keep = queries.written
+    monkeypatch.setattr(queries, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    got = queries.op5_mixing(spark, TESTDATA)
+    order = tables["training_order"]
+    mixed = mixing.mix(queries.table(spark, TESTDATA, "documents"), position="at")
+    taken = order.filter("words > 0")
+    assert sorted(map(tuple, taken.select("doc_id", "position").collect())) == sorted(map(tuple, mixed.select("doc_id", "at").collect()))
+    by_file = taken.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min("position").alias("a"), F.max("position").alias("b")).orderBy("f").collect()
+    assert all(x.b <= y.a for x, y in zip(by_file, by_file[1:]))
+    middles = dict(taken.groupBy("source").agg(F.sum(F.col("position") * F.col("words")) / F.sum("words")).collect())
+    first, *_, last = sorted(middles, key=lambda x: (x is None, x))[:3]
+    assert middles[first] < 0.5 < middles[last]  # the first source fades, the third grows
+    assert got.agg(F.sum("taken")).first()[0] == taken.agg(F.sum("words")).first()[0]
+
+
 def test_mixing_hard_rows(spark, hard, none):
     got = mixing.mix_plan(hard).collect()
     assert len(got) == len(HARD)
