@@ -12,6 +12,8 @@ from runwise.session import written
 
 #: A border follows a line for one in EVERY values of the hash rolled over the last ROLL lines.
 ROLL, EVERY, LEAST = 2, 2, 2
+#: Rows of a batch that are Python objects at a time, and bytes, with some for each row and line, that leave together.
+ROWS_AT_ONCE, BYTES_OUT, ROW_BYTES, LINE_BYTES = 200, 8_000_000, 400, 100
 _U = np.uint64
 
 
@@ -37,6 +39,14 @@ def borders(hashes: np.ndarray, every: int = EVERY, least: int = LEAST) -> list[
     return out
 
 
+def _rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """The rows of batches, of which only a few are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(first, ROWS_AT_ONCE)
+            yield from zip(*(part.column(c).to_pylist() for c in columns))
+
+
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id, chunk, lines, chars, key, body, at, pairs: the chunks of each text in order, and their bytes.
 
@@ -58,21 +68,20 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         def done():
             return pa.record_batch([pa.array(out[k], t) for k, t in zip(names, kinds)], names=names)
 
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = t.split(b"\n") if t is not None else []
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-                pairs = [blake2b(x + b"\n" + y, digest_size=16).digest() if x.strip() or y.strip() else None for x, y in zip(lines, lines[1:])] + [None]
-                for k, (a, b) in enumerate(borders(h) if lines else [(0, 0)]):
-                    body = b"\n".join(lines[a:b]) if lines else None
-                    chars = sum(map(len, lines[a:b])) + b - a
-                    for c, v in zip(names, (row, i, k, b - a, chars, xxhash.xxh3_128_digest(body) if b - a > 1 else None, body, a, pairs[a:b])):
-                        out[c].append(v)
-                    size += chars
-                row += 1
-                if size > 8_000_000:
-                    yield done()
-                    out, size = {k: [] for k in names}, 0
+        for i, t in _rows(batches, ("doc_id", "text")):
+            lines = t.split(b"\n") if t is not None else []
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+            pairs = [blake2b(x + b"\n" + y, digest_size=16).digest() if x.strip() or y.strip() else None for x, y in zip(lines, lines[1:])] + [None]
+            for k, (a, b) in enumerate(borders(h) if lines else [(0, 0)]):
+                body = b"\n".join(lines[a:b]) if lines else None
+                chars = sum(map(len, lines[a:b])) + b - a
+                for c, v in zip(names, (row, i, k, b - a, chars, xxhash.xxh3_128_digest(body) if b - a > 1 else None, body, a, pairs[a:b])):
+                    out[c].append(v)
+                size += chars + ROW_BYTES + LINE_BYTES * (b - a)
+            row += 1
+            if size > BYTES_OUT:
+                yield done()
+                out, size = {k: [] for k in names}, 0
         if out["row"]:
             yield done()
 
@@ -86,24 +95,23 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(),
              pa.list_(pa.struct([("line", pa.int64()), ("size", pa.int64())])))
     out, size = {k: [] for k in names}, 0
-    for batch in batches:
-        for row, chunk, at, body, asks in zip(*(batch.column(c).to_pylist() for c in ("row", "chunk", "at", "body", "asks"))):
-            lines = body.split(b"\n")
-            for ask in asks:
-                if ask["part"] < 0:
-                    full = [False, *(bool(x.strip()) for x in lines), False]
-                    taken, place = body, at
-                    claims = [{"line": at + i, "size": len(x) + 1} for i, x in enumerate(lines) if any(full[i : i + 3])]
-                else:
-                    place = ask["line"]
-                    taken = lines[place + ask["part"] - at]
-                    claims = [{"line": place + ask["part"], "size": len(taken) + 1}]
-                for c, v in zip(names, (ask["key"], ask["part"], row, chunk, place, ask["stays"], taken, claims)):
-                    out[c].append(v)
-                size += len(taken) + 16 * len(claims)
-                if size > 8_000_000:
-                    yield pa.record_batch([pa.array(out[k], t) for k, t in zip(names, kinds)], names=names)
-                    out, size = {k: [] for k in names}, 0
+    for row, chunk, at, body, asks in _rows(batches, ("row", "chunk", "at", "body", "asks")):
+        lines = body.split(b"\n")
+        for ask in asks:
+            if ask["part"] < 0:
+                full = [False, *(bool(x.strip()) for x in lines), False]
+                taken, place = body, at
+                claims = [{"line": at + i, "size": len(x) + 1} for i, x in enumerate(lines) if any(full[i : i + 3])]
+            else:
+                place = ask["line"]
+                taken = lines[place + ask["part"] - at]
+                claims = [{"line": place + ask["part"], "size": len(taken) + 1}]
+            for c, v in zip(names, (ask["key"], ask["part"], row, chunk, place, ask["stays"], taken, claims)):
+                out[c].append(v)
+            size += len(taken) + ROW_BYTES + LINE_BYTES * len(claims)
+            if size > BYTES_OUT:
+                yield pa.record_batch([pa.array(out[k], t) for k, t in zip(names, kinds)], names=names)
+                out, size = {k: [] for k in names}, 0
     if out["row"]:
         yield pa.record_batch([pa.array(out[k], t) for k, t in zip(names, kinds)], names=names)
 

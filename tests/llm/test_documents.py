@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -926,3 +927,11 @@ def test_pipeline_on_documents(spark, table, duck):
     items = [tuple(r) for r in duck.execute("select item_id, text from benchmark").fetchall()]
     left = p.decontamination(spark, clean.filter(F.col("doc_id").isin(sorted(one))), TESTDATA)
     assert {r.doc_id for r in left.collect()} == {i for i, t in rows if i in one and not _contaminated(t, items)[-1]}
+
+
+def test_line_asks_leave_in_bounded_batches():
+    """Rows and lines without bytes have a size too, and few rows are Python objects at a time."""
+    ask = {"key": b"k" * 16, "part": 0, "line": 0, "across": False, "stays": False}
+    rows = [{"row": i, "chunk": 0, "at": 0, "body": b"\n", "asks": [ask] * 10} for i in range(6_000)]
+    out = [*lines._asked(iter([pa.RecordBatch.from_pylist(rows)]))]
+    assert sum(b.num_rows for b in out) == 60_000 and max(b.num_rows for b in out) < 30_000
