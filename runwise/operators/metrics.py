@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runwise.functions.params import SECRET_KEYS
 from runwise.schemas import APPLICATION_END, APPLICATION_START, ENVIRONMENT_UPDATE, TASK_END
-from runwise.sources.event_logs import LOG_AT, LOG_FILE, part_number, with_application_id
+from runwise.sources.event_logs import LOG_APP, LOG_AT, LOG_FILE, application_of_line, part_number
 
 PEAK_MEMORY = "internal.metrics.peakExecutionMemory"
 
@@ -35,9 +35,10 @@ def task_metrics(events: DataFrame) -> DataFrame:
 
     The peak-memory accumulables are condensed inside the row's own array
     instead of exploding it. ``has_peak`` tells a task that reports the metric
-    without a value from one that does not report it. Events of log files keep their ``log_file``.
+    without a value from one that does not report it. Events of log files keep their ``log_file``
+    and ``log_application``.
     """
-    where = [LOG_FILE] if LOG_FILE in events.columns else []
+    where = [c for c in (LOG_FILE, LOG_APP) if c in events.columns]
     tasks = events.filter(F.col("Event") == TASK_END).select(
         "application_attempt", *where,
         *[F.col(field).alias(name) for name, field in TASK_FIELDS.items()],
@@ -90,7 +91,7 @@ def app_metrics(tasks: DataFrame) -> DataFrame:
     All aggregates share one shuffle of partial results, one row per application
     and map task, so neither many tasks nor one dominating application hurts.
     Tasks of log files are totalled per file first, so that the application is
-    read from a path once per file and not once per event.
+    read from a path once per file and not once per event. Those whose line names it need no path.
     """
     values = {
         "total_duration": (F.sum, F.col("finish_time") - F.col("launch_time")), "total_gc": (F.sum, F.col("jvm_gc_time")),
@@ -98,8 +99,9 @@ def app_metrics(tasks: DataFrame) -> DataFrame:
         "max_bytes_all": (F.max, _moved()), "max_peak_mem": (F.max, F.col("peak")), "has_peak": (F.max, F.col("has_peak")),
     }
     if LOG_FILE in tasks.columns:
-        files = tasks.groupBy(LOG_FILE).agg(*[f(c).alias(name) for name, (f, c) in values.items()])
-        tasks = files.withColumn("application_attempt", with_application_id(F.col(LOG_FILE)))
+        file = F.when(F.col(LOG_APP).isNull(), F.col(LOG_FILE)).alias(LOG_FILE)
+        files = tasks.groupBy(file, LOG_APP).agg(*[f(c).alias(name) for name, (f, c) in values.items()])
+        tasks = files.withColumn("application_attempt", application_of_line())
         values = {name: (f, F.col(name)) for name, (f, _) in values.items()}
     return tasks.groupBy("application_attempt").agg(*[f(c).alias(name) for name, (f, c) in values.items()])
 

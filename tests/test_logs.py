@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from runwise import fixtures as fx
 from runwise.operators import app_durations, app_metrics, effective_conf, task_metrics, trial_table
-from runwise.schemas import TASK_END
+from runwise.operators.metrics import PEAK_MEMORY
+from runwise.schemas import EVENT, TASK_END
 from runwise.session import event_log_conf
 from runwise.sources.codecs import decoded_lines
 from runwise.sources.files import resolver, store_options
@@ -121,6 +122,65 @@ def test_archive_is_packed_and_large_logs_are_cut(spark, sf_dir, tmp_path, monke
         assert sorted(map(str, one.select(name).collect())) == sorted(map(str, read.select(name).collect()))
 
 
+def _events_of(spark, ids):
+    """Two tasks, start, end and a setting of each application."""
+    rows = []
+    for k, app in enumerate(ids):
+        rows += [(app, "SparkListenerApplicationStart", 10 + k, None, None, None), (app, "SparkListenerApplicationEnd", 500 + 3 * k, None, None, None)]
+        rows += [(app, "SparkListenerEnvironmentUpdate", None, {"spark.executor.memory": f"{k}m" if app else "1g"}, None, None)]
+        for i in (1, 2):
+            rows.append((app, TASK_END, None, None, (k, k + 7 * i, [("x", "7"), (PEAK_MEMORY, str(k * i))]), (i, k, 2, 3, (k * 5,), (6,), (7, 8, 9), (k,))))
+    return spark.createDataFrame(rows, f"application_attempt string, {EVENT}").repartition(5)
+
+
+def _archived(spark, events, path):
+    """Results of the archived events, checked against those of the events themselves; applications without an id have the folder's."""
+    write_event_logs(events, str(path))
+    read = read_event_logs(spark, str(path), complete=True)
+    named = events.withColumn("application_attempt", F.coalesce(F.nullif("application_attempt", F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    for result in (lambda e: app_metrics(task_metrics(e)), app_durations, effective_conf):
+        assert sorted(map(tuple, result(read).collect())) == sorted(map(tuple, result(named).collect()))
+    assert read.count() == events.count()
+    return len([*path.rglob("*.json.gz")]), len([*path.glob("application_attempt=*")])
+
+
+def test_many_applications_share_files(spark, tmp_path):
+    """Files of an archive do not grow with its applications; a later archive replaces it in either layout."""
+    odd = ["a b/c=d%25+e", "50%", "app:1", None, ""]
+    ids = [f"app-{i}" for i in range(300)]
+    files, folders = _archived(spark, _events_of(spark, [*ids, *odd]), tmp_path / "a")
+    assert files <= 20 and folders == 0
+    files, folders = _archived(spark, _events_of(spark, [*ids[:4], *odd]), tmp_path / "a")
+    assert folders == 8 and files >= 8
+    files, folders = _archived(spark, _events_of(spark, ids[:101]), tmp_path / "a")
+    assert files <= 20 and folders == 0
+    assert _archived(spark, _events_of(spark, ids[:100]), tmp_path / "a")[1] == 100
+
+
+def test_archive_of_an_archive(spark, tmp_path, monkeypatch):
+    """Archived events can be archived again, and applications that come after the first events count too."""
+    from runwise.sources import event_logs
+
+    monkeypatch.setattr(event_logs, "FIRST_EVENTS", 3)
+    events = _events_of(spark, [f"app-{i}" for i in range(150)])
+    write_event_logs(events, str(tmp_path / "a"))
+    files, folders = _archived(spark, read_event_logs(spark, str(tmp_path / "a")), tmp_path / "b")
+    assert files <= 20 and folders == 0
+    assert _archived(spark, events.filter("application_attempt < 'app-12'"), tmp_path / "c")[1] == 24
+    empty = events.limit(0)
+    assert _archived(spark, empty, tmp_path / "d")[1] == 0
+
+
+def test_archive_and_logs_of_applications_share_a_folder(spark, tmp_path):
+    """The line's application counts where it names one, the path's elsewhere; totals of both meet in one row."""
+    write_event_logs(_events_of(spark, [f"app-{i}" for i in range(150)]), str(tmp_path / "archive"))
+    task = {"Event": TASK_END, "Task Info": {"Launch Time": 0, "Finish Time": 1000}}
+    (tmp_path / "app-3").write_text(json.dumps(task) + "\n")
+    (tmp_path / "app-x").write_text(json.dumps(task) + "\n")
+    got = {r[0]: r.total_duration for r in app_metrics(task_metrics(read_event_logs(spark, str(tmp_path)))).collect()}
+    assert got == {f"app-{i}": 21 for i in range(150)} | {"app-3": 1021, "app-x": 1000}
+
+
 def test_parts_of_a_rolling_log_merge(spark, tmp_path):
     folder = tmp_path / "eventlog_v2_app-1"
     folder.mkdir()
