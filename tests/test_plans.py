@@ -2,6 +2,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from runwise import fixtures as fx
 from runwise.plans import analyze_runs, run_workload
@@ -40,6 +41,30 @@ def test_analysis_from_logs_to_probe(spark, sf_dir):
     assert len(probe) == 5 and probe == sorted(probe)
 
 
+def test_analysis_of_many_applications(spark, sf_dir, tmp_path, monkeypatch):
+    """Files do not grow with the applications, and the points and the curve are those of one folder for each."""
+    from runwise.sources import event_logs
+
+    # the applications of the small tables, each with copies of its own
+    copies = spark.range(20).withColumnRenamed("id", "copy")
+    name = F.concat_ws("-", "application_attempt", "copy")
+    events = fx.log_events(spark, sf_dir).crossJoin(copies).withColumn("application_attempt", name).drop("copy")
+    runs = fx.config_runs(spark, sf_dir).crossJoin(copies).withColumn("application_attempt", name).withColumn("limit", (F.col("limit") + F.col("copy")).cast("string"))
+    configs = scratch_path(spark, "configs")
+    write_config_log(config_record(runs, fx.CONFIG_FIELDS), configs)
+
+    def analyzed(folder):
+        write_event_logs(events, str(tmp_path / folder))
+        result = analyze_runs(spark, str(tmp_path / folder), configs, scratch_path(spark, "points"))
+        return [sorted(map(tuple, df.collect())) for df in (result.points, result.probe)], len([*(tmp_path / folder).rglob("*.json.gz")])
+
+    (points, probe), files = analyzed("shared")
+    assert files <= 20 and len(points) == 160 and len(probe) == 5
+    monkeypatch.setattr(event_logs, "OWN_FOLDERS", 1000)
+    same, files = analyzed("own")
+    assert files >= 200 and same == [points, probe]
+
+
 def test_scratch_needs_a_shared_folder():
     cluster = SimpleNamespace(
         conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077")
